@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
 from quire.llm.simhash import near_duplicates
+from quire.llm.tokens import token_counts
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
