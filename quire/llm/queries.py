@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.html_extract import extract
 from quire.llm.quality import quality
 from quire.llm.simhash import near_duplicates
 from quire.llm.tokens import token_counts
@@ -26,10 +27,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
