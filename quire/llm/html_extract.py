@@ -66,6 +66,37 @@ LABELLED_BLOCKS = """
 30 0 0 0 30 0 0 0 0 0 1
 30 0 30 0 0 0 0 0 0 0 1
 12 0 12 0 12 0 0 0 0 0 1
+3 0 0 0 30 0 0 0 1 1 0
+12 0 0 0 200 0 0 0 1 1 0
+90 0 1 1 10 0 0 0 1 1 0
+150 0 10 0 250 0 0 0 1 1 0
+22 0 3 1 11 0 0 0 1 1 0
+22 0 3 1 11 0 0 0 1 0 0
+100 0 20 .1 60 0 0 0 1 0 0
+30 0 50 0 0 0 0 0 1 0 0
+30 .4 50 0 12 .2 0 0 1 0 0
+200 0 50 0 40 0 1 0 1 1 0
+10 0 50 0 100 0 1 0 1 1 0
+1 0 50 0 100 0 1 0 1 1 0
+50 .1 10 0 5 0 1 0 1 1 0
+100 0 80 0 0 0 0 1 0 1 0
+40 0 80 0 30 0 0 1 0 1 0
+14 0 80 0 0 0 0 1 0 0 0
+70 0 80 0 0 0 0 1 0 0 0
+14 0 40 0 30 0 1 1 0 1 0
+150 0 40 0 30 0 1 1 0 1 0
+20 0 0 0 40 0 0 0 0 1 0
+75 0 30 0 40 0 0 0 0 1 0
+200 0 100 0 12 0 0 0 0 1 0
+14 0 200 0 0 0 0 0 0 1 0
+11 0 12 0 7 0 1 0 0 1 1
+11 0 80 0 60 0 1 0 0 1 1
+11 0 22 0 1 0 1 0 0 1 1
+90 0 11 0 14 0 1 0 0 1 1
+20 0 60 0 14 0 1 0 0 1 1
+3 0 40 0 14 0 1 0 0 1 1
+1 0 11 0 1 0 1 0 0 1 1
+60 .5 40 0 40 0 1 0 0 1 1
 8 0 2 1 60 0 0 0 0 0 1
 6 0 55 0 60 0 0 0 0 0 1
 3 0 60 .05 80 0 0 0 0 0 1
