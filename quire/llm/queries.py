@@ -11,6 +11,7 @@ from quire.llm.html_extract import extract
 from quire.llm.quality import quality
 from quire.llm.simhash import near_duplicates
 from quire.llm.tokens import token_counts
+from quire.llm.toxicity import toxicity
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +32,16 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op2_html_extraction": op2_html_extraction,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
