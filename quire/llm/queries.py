@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import table
 from quire.llm.decontam import contaminated
 from quire.llm.html_extract import extract
+from quire.llm.pii import personal_data
 from quire.llm.quality import quality
 from quire.llm.simhash import near_duplicates
 from quire.llm.tokens import token_counts
@@ -41,6 +42,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op8_personal_data": op8_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
