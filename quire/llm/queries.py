@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import table
 from quire.llm.decontam import contaminated
 from quire.llm.html_extract import extract
+from quire.llm.mixing import mix
 from quire.llm.pii import personal_data
 from quire.llm.quality import quality
 from quire.llm.simhash import near_duplicates
@@ -46,6 +47,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op9_decontamination": op9_decontamination,
     "op8_personal_data": op8_personal_data,
+    "op5_source_mixing": op5_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
