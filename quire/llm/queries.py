@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import table
 from quire.llm.decontam import contaminated
 from quire.llm.html_extract import extract
+from quire.llm.licenses import scan, scan_sql
 from quire.llm.mixing import mix
 from quire.llm.pii import personal_data
 from quire.llm.quality import quality
@@ -51,6 +52,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
@@ -60,6 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op8_personal_data": op8_personal_data,
     "op5_source_mixing": op5_source_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": scan_sql(),
+}
