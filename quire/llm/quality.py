@@ -106,30 +106,36 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     )
 
 
+class Profiler:
+    """Counts of texts: the base rules, the character classes and the common words."""
+
+    def __init__(self) -> None:
+        self.table = class_table()
+        common = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+        self.at = {w.encode(): k for k, w in enumerate(common)}
+        self.other = len(common)
+
+    def of(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+        text = text or ""
+        words = text.encode().split()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        classes = np.bincount(self.table[np.minimum(points, _TABLE_SIZE - 1)], minlength=len(CLASSES))
+        hist = np.zeros(self.other + 1, np.int64)
+        for w, n in Counter(words).items():
+            hist[self.at.get(w.rstrip(b".,"), self.other)] += n
+        return base_counts(text, words), classes, hist
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, the five base counts, classes array<long>, words array<long>), one row for each row of docs."""
-    common = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table()
-        at = {w.encode(): k for k, w in enumerate(common)}
-        other = len(common)
+        profiler = Profiler()
         for b in batches:
-            base, classes, hists = [], [], []
-            for text in b.column(2).to_pylist():
-                text = text or ""
-                data = text.encode()
-                words = data.split()
-                base.append(base_counts(text, words))
-                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                classes.append(np.bincount(table[np.minimum(points, _TABLE_SIZE - 1)], minlength=len(CLASSES)))
-                hist = np.zeros(other + 1, np.int64)
-                for w, n in Counter(words).items():
-                    hist[at.get(w.rstrip(b".,"), other)] += n
-                hists.append(hist)
+            base, classes, hists = zip(*map(profiler.of, b.column(2).to_pylist())) if b.num_rows else ([], [], [])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in zip(*base)), pa.array([c.tolist() for c in classes], longs), pa.array([h.tolist() for h in hists], longs)],
+                [b.column(0), b.column(1), *(pa.array([x[k] for x in base], pa.int64()) for k in range(5)), pa.array([c.tolist() for c in classes], longs), pa.array([h.tolist() for h in hists], longs)],
                 names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "words"],
             )
 
@@ -168,25 +174,33 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d / 2, 0))
 
 
+def nearest(hists: np.ndarray, refs: np.ndarray, least: int) -> np.ndarray:
+    """Distance of each histogram to the nearest reference; nan where there is too little to judge."""
+    if not len(hists) or not len(refs):
+        return np.full(len(hists), np.nan)
+    size = hists.sum(axis=1)
+    return np.where(size >= least, js_distance(hists / np.maximum(size, 1)[:, None], refs).min(axis=1), np.nan)
+
+
 def distances(profiles: DataFrame, refs: dict[str, np.ndarray]) -> DataFrame:
     """profiles with class_distance and word_distance to the nearest reference; null where there is too little to judge."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            judged = []
-            for what, least in (("classes", MIN_CHARS), ("words", MIN_COMMON_WORDS)):
-                hist = np.array(b.column(what).to_pylist(), float)
-                if not len(hist) or not len(refs[what]):
-                    judged.append(np.full(len(hist), np.nan))
-                    continue
-                size = hist.sum(axis=1)
-                near = js_distance(hist / np.maximum(size, 1)[:, None], refs[what]).min(axis=1)
-                judged.append(np.where(size >= least, near, np.nan))
+            judged = [nearest(np.array(b.column(w).to_pylist(), float), refs[w], least) for w, least in (("classes", MIN_CHARS), ("words", MIN_COMMON_WORDS))]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64(), from_pandas=True) for x in judged)], names=[*b.schema.names, "class_distance", "word_distance"])
 
     return map_batches(profiles, per_batch, ", ".join(f"{n} {t}" for n, t in [*profiles.dtypes, ("class_distance", "double"), ("word_distance", "double")]))
 
 
+def learned_references(profiles: DataFrame) -> dict[str, np.ndarray]:
+    """The means over all rows, then over those near the first means."""
+    first = references(profiles)
+    near = distances(profiles, first).where(F.col("class_distance") <= TRIM).select(*profiles.columns)
+    second = references(near)
+    return second if len(second["classes"]) else first
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, the base counts, base_failed, class_distance, word_distance, kept) for every row of docs (doc_id, text, lang, ...).
 
@@ -197,12 +211,28 @@ def quality(docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     profiles = cut(_profiles(docs))
-    first = references(profiles)
-    near = distances(profiles, first).where(F.col("class_distance") <= TRIM).select(*profiles.columns)
-    second = references(near)
-    judged = distances(profiles, second if len(second["classes"]) else first)
+    judged = distances(profiles, learned_references(profiles))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     off = (F.col("class_distance") > FAR_CLASS) | ((F.col("class_distance") > OFF_CLASS) & (F.col("word_distance") > OFF_WORD))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~F.coalesce(off, F.lit(False))).alias("kept")
     )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that quality keeps, with all their columns; a second pass judges each row where it is, so no text is shuffled."""
+    refs = learned_references(cut(_profiles(docs)))
+    at = docs.columns.index("text")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler = Profiler()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            base, classes, words = (np.array(x, float) for x in zip(*map(profiler.of, b.column(at).to_pylist())))
+            failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
+            by_class, by_word = nearest(classes, refs["classes"], MIN_CHARS), nearest(words, refs["words"], MIN_COMMON_WORDS)
+            off = (by_class > FAR_CLASS) | ((by_class > OFF_CLASS) & (by_word > OFF_WORD))
+            yield b.filter(pa.array(~failed & ~off))
+
+    return map_batches(docs, per_batch, docs.schema)

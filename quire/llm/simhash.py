@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quire.llm.common import batch_of, cut, map_batches
 from quire.llm.components import connected_components
@@ -164,22 +166,54 @@ def near_links(distinct: DataFrame, parts: list[Part], radius: int = RADIUS) ->
     return probe.join(index, near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text, ...).
-
-    component_id is the smallest doc_id reachable over links of at most ``radius``
-    differing bits. Null and empty texts share fingerprint zero, linked like any other;
-    a null doc_id stays a row and never names a component unless all are null; repeated
-    rows stay repeated; other columns are ignored; an empty table gives no rows.
-    """
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame | None:
+    """(doc_id, fp, root, component_id) for every row of docs; root numbers a group even if its doc_ids are null. None for no rows."""
     fps = cut(fingerprints(docs))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = nodes.count()
     if n == 0:
-        return fps.select("doc_id", F.lit("").alias("fingerprint"), F.col("fp").alias("component_id"))
+        return None
     parts = plan_search(bit_counts(nodes), n, radius)
     roots = connected_components(near_links(nodes, parts, radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text, ...).
+
+    component_id is the smallest doc_id reachable over links of at most ``radius``
+    differing bits. Null and empty texts share fingerprint zero, linked like any other;
+    a null doc_id stays a row and never names a component unless all are null; repeated
+    rows stay repeated; other columns are ignored; an empty table gives no rows.
+    """
+    found = grouped(docs, radius)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, fingerprint string, component_id long")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each group of near duplicates, that of its smallest doc_id, with all columns.
+
+    Among equal doc_ids the smaller fingerprint stays, among rows equal in both one of them. Nulls and
+    empty texts as in near_duplicates. Texts are shuffled once, after repeated rows are dropped where they are.
+    """
+    found = grouped(docs, radius)
+    if found is None:
+        return docs
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    chosen = found.groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.id").alias("_keep_id"), F.col("c.fp").alias("_keep_fp"))
+    at = docs.columns.index("text")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([simhash((t or "").encode()) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "_fp"])
+
+    marked = map_batches(docs, per_batch, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    key = F.col("doc_id").cast("long")
+    single = marked.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_fp").orderBy("_fp"))).where("_n = 1")
+    return single.join(chosen, key.eqNullSafe(F.col("_keep_id")) & (F.col("_fp") == F.col("_keep_fp")), "left_semi").select(*docs.columns)
