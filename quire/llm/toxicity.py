@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -74,10 +75,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
     return sorted((r.doc_id, r.text or "", r.toxic) for r in rows), sizes
 
 
-def screened(bags: list[set[str]], labels: list[int]) -> list[str]:
-    """Words whose presence goes with the label beyond chance, in the order of code points."""
-    n, toxic = len(bags), sum(labels)
-    seen, in_toxic = Counter(w for bag in bags for w in bag), Counter(w for bag, y in zip(bags, labels) if y for w in bag)
+def bag(text: str) -> list[set[str]]:
+    """The features of each sentence; a text without sentences is one empty sentence."""
+    return [sentence_features(text[a:b]) for a, b in sentences(text)] or [set()]
+
+
+def screened(rows: list[tuple[int, str, int]]) -> list[str]:
+    """Features whose presence in a text goes with its label beyond chance, in the order of code points."""
+    n, toxic = len(rows), sum(y for _, _, y in rows)
+    seen: Counter[str] = Counter()
+    in_toxic: Counter[str] = Counter()
+    for _, text, y in rows:
+        features = sentence_features(text)
+        seen.update(features)
+        if y:
+            in_toxic.update(features)
     rate = toxic / n
     return sorted(w for w, k in seen.items() if k >= 3 and abs(in_toxic[w] - k * rate) >= MIN_Z * math.sqrt(k * rate * (1 - rate)))
 
@@ -87,12 +99,16 @@ def fit(rows: list[tuple[int, str, int]], sizes: dict[int, int]) -> tuple[float,
     if len({y for _, _, y in rows}) < 2:
         rate = (sum(y for _, _, y in rows) + 0.5) / (len(rows) + 1) if rows else 0.05
         return math.log(rate / (1 - rate)) - 2.0, {}
-    bags = [[sentence_features(text[a:b]) for a, b in sentences(text)] or [set()] for _, text, _ in rows]
-    vocabulary = {w: k for k, w in enumerate(screened([set().union(*bag) for bag in bags], [label for _, _, label in rows]))}
+    vocabulary = {w: k for k, w in enumerate(screened(rows))}
     y = np.array([label for _, _, label in rows], float)
-    bag_of = np.concatenate([np.full(len(b), k, np.int32) for k, b in enumerate(bags)])
-    pairs = [(k, vocabulary[w]) for k, s in enumerate(s for bag in bags for s in bag) for w in s if w in vocabulary]
-    sent, word = (np.array(x, np.int32) for x in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 2
+    bag_of, sent, word = array("i"), array("i"), array("i")
+    for k, (_, text, _) in enumerate(rows):  # of each text only the screened features stay
+        for features in bag(text):
+            for w in features & vocabulary.keys():
+                sent.append(len(bag_of))
+                word.append(vocabulary[w])
+            bag_of.append(k)
+    bag_of, sent, word = (np.array(x, np.int32) for x in (bag_of, sent, word))
     share = {label: sizes[label] / max(1, int((y == label).sum())) for label in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
     weight /= weight.sum()
