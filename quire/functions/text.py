@@ -128,7 +128,7 @@ def pad3(n: Column) -> Column:
 
 def format_wan(n: Column) -> Column:
     """A count in units of ten thousand with one decimal (binary half-even); null is unset."""
-    return F.coalesce(F.concat(F.format_number(n / F.lit(10000.0), "0.0"), F.lit("万字")), F.lit(UNSET))
+    return F.coalesce(F.concat(F.call_function("format_number", n / F.lit(10000.0), F.lit("0.0")), F.lit("万字")), F.lit(UNSET))
 
 
 def chinese_date(stamp: Column) -> Column:
@@ -152,12 +152,13 @@ def status_text(main: Column, extra: Column, date: Column | None = None) -> Colu
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """struct<pos, char1, char2>: the first code point that differs, from 1; the shorter side shows （无）-style absence; null if equal."""
+    """struct<pos, char1, char2>: the first code point that differs, from 1; the shorter side shows (无); null if equal."""
     none = F.lit("(无)")
     differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
-    pos = F.when(a == b, F.lit(None)).otherwise(F.array_position(differs, True)).cast("int")
-    at = lambda c: F.when(pos <= F.char_length(c), F.substring(c, pos, F.lit(1))).otherwise(none)
-    return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), at(a).alias("char1"), at(b).alias("char2")))
+    # the position is held in a one-element array, so that it is found once
+    found = F.array(F.when(a == b, F.lit(None)).otherwise(F.array_position(differs, True)).cast("int"))
+    at = lambda c, pos: F.when(pos <= F.char_length(c), F.substring(c, pos, F.lit(1))).otherwise(none)
+    return F.transform(found, lambda pos: F.when(pos.isNotNull(), F.struct(pos.alias("pos"), at(a, pos).alias("char1"), at(b, pos).alias("char2"))))[0]
 
 
 def page_breaks(c: Column, mark: str = "[newpage]") -> Column:
@@ -177,3 +178,12 @@ def image_media_type(name: Column) -> Column:
 def distinct_tags(tags: Column) -> Column:
     """Stripped tags without empty ones, each at its first place."""
     return F.array_distinct(F.filter(F.transform(tags, strip), lambda t: t.isNotNull() & (t != "")))
+
+
+def once(df, **columns: Column):
+    """df with columns that are computed a single time, however often later expressions read them.
+
+    The optimizer merges projections and would repeat them; a one-row generator keeps them apart.
+    """
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", held).select(*[c for c in df.columns if c not in columns], "_once.*")

@@ -6,43 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import first_difference, paragraphs
+from quire.functions.text import first_difference, once, paragraphs
 from quire.operators.overlay import KEY, pair
 
-RECORD = "struct<line_no:int,kind:string,pos:int,char1:string,char2:string,text1:string,text2:string>"
-
-
-def _records(a, b):
-    """array of records: paragraphs compared by their ordinal, within one row; no paragraph is exploded that is equal."""
-    n = F.greatest(F.size(a), F.size(b))
-
-    def at(i):
-        x, y = F.get(a, i), F.get(b, i)
-        d = first_difference(x, y)
-        kind = F.when(x.isNull(), F.lit("only_in_2")).when(y.isNull(), F.lit("only_in_1")).when(x != y, F.lit("changed"))
-        return F.struct((i + 1).cast("int").alias("line_no"), kind.alias("kind"), d["pos"].alias("pos"), d["char1"].alias("char1"), d["char2"].alias("char2"), x.alias("text1"), y.alias("text2"))
-
-    found = F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda r: r["kind"].isNotNull())
-    return F.when(n > 0, found).otherwise(F.array().cast(f"array<{RECORD}>"))
+NO_TEXT = "array<string>"
 
 
 def compare(base: DataFrame, corrected: DataFrame) -> DataFrame:
-    """One row for each key: status (modified, renamed_only, unchanged, only_baseline, only_corrected), n_diffs, diffs and names.
+    """One row for each key: status (modified, renamed_only, unchanged, only_baseline, only_corrected), n_diffs, names and paragraphs.
 
-    Null texts have no paragraphs. A chapter that is only in one layer has all its paragraphs as records.
+    n_diffs counts ordinals at which the paragraphs differ, one side's surplus included. Null texts have no
+    paragraphs. A chapter that is only in one layer has all its paragraphs as differences.
     """
     p = pair(base, corrected)
-    none = F.array().cast("array<string>")
-    parts = p.withColumn("a", F.coalesce(paragraphs(F.col("base_text")), none)).withColumn("b", F.coalesce(paragraphs(F.col("corrected_text")), none))
-    diffs = parts.withColumn("diffs", _records(F.col("a"), F.col("b"))).withColumn("n_base", F.size("a")).withColumn("n_corrected", F.size("b"))
+    none = F.array().cast(NO_TEXT)
+    parts = once(p, paras_base=F.coalesce(paragraphs(F.col("base_text")), none), paras_corrected=F.coalesce(paragraphs(F.col("corrected_text")), none))
+    differ = F.size(F.filter(F.zip_with("paras_base", "paras_corrected", lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("long")
+    parts = once(parts, n_diffs=differ)
     status = (
         F.when(F.col("in_corrected").isNull(), "only_baseline")
         .when(F.col("in_base").isNull(), "only_corrected")
-        .when(F.size("diffs") > 0, "modified")
+        .when(F.col("n_diffs") > 0, "modified")
         .when(F.col("base_name") != F.col("corrected_name"), "renamed_only")
         .otherwise("unchanged")
     )
-    return diffs.select(*KEY, status.alias("status"), F.size("diffs").cast("long").alias("n_diffs"), "diffs", "base_name", "corrected_name", "n_base", "n_corrected")
+    return parts.select(*KEY, status.alias("status"), "n_diffs", "base_name", "corrected_name", "paras_base", "paras_corrected")
 
 
 def status_summary(compared: DataFrame) -> DataFrame:
@@ -51,10 +39,17 @@ def status_summary(compared: DataFrame) -> DataFrame:
 
 
 def paragraph_diffs(compared: DataFrame) -> DataFrame:
-    """One row for each record of chapters in both layers. compat_line_no is the ordinal that counts the shorter side twice."""
-    both = compared.where("status not in ('only_baseline', 'only_corrected')")
-    rows = both.select(*KEY, F.least("n_base", "n_corrected").alias("shorter"), F.explode("diffs").alias("d"))
-    return rows.select(*KEY, "d.*", F.when(F.col("d.kind") == "changed", F.col("d.line_no")).otherwise(F.col("d.line_no") + F.col("shorter")).alias("compat_line_no"))
+    """One row for each difference of chapters in both layers: line_no, kind (changed, only_in_1, only_in_2), pos, char1, char2, text1, text2.
+
+    compat_line_no is the ordinal of a surplus paragraph that counts the shorter side twice.
+    """
+    both = compared.where("base_name is not null and corrected_name is not null")
+    rows = both.select(*KEY, F.least(F.size("paras_base"), F.size("paras_corrected")).alias("shorter"), F.posexplode(F.arrays_zip("paras_base", "paras_corrected")).alias("at", "p"))
+    rows = rows.select(*KEY, "shorter", (F.col("at") + 1).alias("line_no"), F.col("p.paras_base").alias("text1"), F.col("p.paras_corrected").alias("text2")).where("not (text1 <=> text2)")
+    kind = F.when(F.col("text1").isNull(), "only_in_2").when(F.col("text2").isNull(), "only_in_1").otherwise("changed")
+    rows = once(rows, kind=kind, d=F.when(F.col("text1").isNotNull() & F.col("text2").isNotNull(), first_difference(F.col("text1"), F.col("text2"))))
+    compat = F.when(F.col("kind") == "changed", F.col("line_no")).otherwise(F.col("line_no") + F.col("shorter"))
+    return rows.select(*KEY, "line_no", "kind", "d.*", "text1", "text2", compat.alias("compat_line_no"))
 
 
 def preview(diffs: DataFrame, k: int) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.numerals import EXTRA, NUMERAL, chapter_name, int_to_chinese, marker_columns, renumbered
-from quire.functions.text import pad3, sanitize_filename_part, strip, title_of_file, unicode_lines
+from quire.functions.numerals import EXTRA, NUMERAL, chapter_name, int_to_chinese, marker_columns, renumbered, title_of_file
+from quire.functions.text import pad3, sanitize_filename_part, strip, unicode_lines
 
 FILE = ["work_id", "file_name"]
 

@@ -18,7 +18,7 @@ def read_chapters(spark: SparkSession, folder: str, work_id: str, rank: int = 0)
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
     rows = files.select(
-        F.lit(work_id).alias("work_id"), F.lit(rank).alias("layer_rank"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("modificationTime").alias("mtime")
+        F.lit(work_id).alias("work_id"), F.lit(rank).alias("layer_rank"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("mtime")
     )
     return with_keys(rows)
 
@@ -53,9 +53,7 @@ def volumes_of(configs: DataFrame) -> DataFrame:
 
 def key_values(texts: DataFrame, key: str, ascii_first: bool = True) -> DataFrame:
     """(key, line_no, field, value, tail) of texts (key, text): label: value lines; all lines behind 简介 are its tail."""
-    rows = texts.select(key, F.posexplode(unicode_lines(F.col("text"))).alias("line_no", "line"))
-    colon = F.when(F.contains("line", F.lit(":")), F.lit(":")) if ascii_first else F.when(F.contains("line", F.lit("：")), F.lit("："))
-    colon = F.coalesce(colon, F.lit("：" if ascii_first else ":"))
+    rows = texts.select(key, F.posexplode_outer(unicode_lines(F.col("text"))).alias("line_no", "line"))
     at = F.locate(":", F.col("line")) if ascii_first else F.locate("：", F.col("line"))
     other = F.locate("：", F.col("line")) if ascii_first else F.locate(":", F.col("line"))
     pos = F.when(at > 0, at).otherwise(other)
