@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 MARK = "\x1e"
 #: Where a sentence ends: (pattern, replacement) in order; groups are written \1 and turned to each engine's form.
 CUTS = [
-    (r"([.!?;:])[ \t\r\n]+", r"\1" + MARK),
+    (r"([.!?;])[ \t\r\n]+", r"\1" + MARK),
     (r"\n[ \t\r]*\n", MARK),
     (r"\n([ \t#*/>-]*(?:Licensed|Released|Distributed|Dual|This|Permission|Redistribution|Copyright|SPDX|The above|THE SOFTWARE|THIS SOFTWARE|Neither|You may|All rights|Under the|See the|If not))", MARK + r"\1"),
 ]

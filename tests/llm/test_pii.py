@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import boosting, pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+ODD = [
+    "a@b.c_d@e.f x@y", "a@b.c@d.e 1.2.3.4.5.6.7.8 1.2.3.4.999.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1111-1", "+1 (614) 555-8001 +49 30 1234567.89 +1", "é😀x@y.zz 😀 192.168.000.1 256.1.1.1 0255.1.1.1",
+    "4111111111111111" * 30, "1 " * 4000, "a" * 20000 + "@x.y", "9" * 20000, "", None, "@@..a@-.-", "٣٤٥ ４１１１１１１１１１１１１１１１", "no digits at all", "4111111111111111, 5500005555555559 +12345678 +123456789",
+]
+
+
+def brute(text):
+    text, out = text or "", []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            g, d = m.group(), re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in g.split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_match_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, ODD[0]), (0, ODD[0])]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, spans string, pii_base string").drop("pii_base")
+    got = sorted([(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.personal_data(df).collect()], key=str)
+    want = []
+    for i, t in rows:
+        b = brute(t)
+        want.append((i, *(sum(k == kind for k, _, _ in b) for kind in PATTERNS), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in b).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert pii.personal_data(df.where("false")).count() == 0
+
+
+def test_method_adds_spans(spark):
+    text = 'call token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", my ssn is 123-45-6789, order 123-45-6789, mail me: bob at acme dot com, sha256 9c8b45435718dcc700c184a7e303cdc64c6a8f7f'
+    spans = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans.split(",")
+    found = [(s.split(":")[0], text[int(s.split(":")[1]) : int(s.split(":")[2])], int(s.split(":")[1])) for s in spans]
+    assert [(k, t) for k, t, _ in found] == [("secret", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"), ("ssn", "123-45-6789"), ("spelled_email", "bob at acme dot com")]
+    assert found[0][2] < 20 and found[1][2] < text.index("order")
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "é😀x@y.zz and 1.2.3.4.", "en", 3), (2, None, "en", 0), (3, "clean", "en", 5)], "doc_id long, text string, lang string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
+    assert got == {1: ("é😀[EMAIL] and [IP].", 19), 2: (None, 0), 3: ("clean", 5)}
+    assert pii.redact(df).columns == df.columns
+
+
+def test_features_are_the_same_on_both_sides(spark):
+    rows = pii.examples()[::37]
+    for k, kind in enumerate(pii.GENERATORS):
+        mine = [e for e in rows if e.kind == kind]
+        df = spark.createDataFrame([(n, e.text, e.left) for n, e in enumerate(mine)], "n int, t string, l string").orderBy("n")
+        boosted, _ = pii.model()
+        cols = pii.column_features(k, F.col("t"), F.col("l"))
+        got = df.select("n", F.array(*cols).alias("f"), boosted.margin(cols).alias("m")).orderBy("n").collect()
+        assert [r.f for r in got] == [pii.python_features(e) for e in mine]
+        assert np.allclose([r.m for r in got], boosted.margins(np.array([pii.python_features(e) for e in mine])))
+
+
+def test_boosting_learns_and_calibrates():
+    r = np.random.default_rng(0)
+    x = r.random((400, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = boosting.fit(x, y, trees=30).margins(x)
+    assert ((m > 0) == y).mean() > 0.95
+    assert boosting.calibrated_threshold(np.array([1.0, 2, 3]), np.array([0.0, 1, 1]), 1.0) == pytest.approx(1.5)
+    assert boosting.calibrated_threshold(np.array([1.0]), np.array([0.0]), 0.9) == float("inf")
