@@ -11,7 +11,10 @@ what they were expected to be, up to one last document.
 The meetings form a reduction tree: documents of a source are dealt by a hash into
 blocks of a few dozen, in each of which neighbours by size meet, from the largest
 to the smallest; at most one fraction is left of a block, and the blocks' leftovers
-meet by the same rule in blocks of blocks. Masses are integers in units of a
+meet by the same rule in blocks of blocks. What is left is a large document mostly,
+so documents are rounded in a few classes of size, the largest first: the last of a
+class meets all smaller documents of its source at once, whose common fraction takes
+up the difference. Masses are integers in units of a
 2**-30th of a word, and randomness is a hash of the two parties, so reruns agree.
 """
 
@@ -30,6 +33,8 @@ MAX_COPIES = 3
 ONE = 1 << 30
 BLOCK, FAN_BITS = 48, 5
 SEED = 42
+#: Sizes from which the classes begin, the largest class first.
+CLASSES = (1024, 128, 1)
 _UNIT = "struct<doc_id:long,size:long,mass:long>"
 
 
@@ -99,23 +104,42 @@ def _level(units: DataFrame) -> DataFrame:
     return cut(grouped.select("source", "block", "depth", _meet(F.col("units"), F.col("source")).alias("m")).select("source", "block", "depth", "m.left", "m.won"))
 
 
-def round_fractions(units: DataFrame) -> DataFrame:
-    """(source, doc_id, size) of the units taken, of units (source, doc_id, size, mass, n): mass under size * 2**30, n units in the source."""
+def round_fractions(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(taken (source, doc_id, size), left (source, unit)) of units (source, doc_id, size, mass, n): mass under size * 2**30,
+    n at least the units of the source. left is the one fraction that remains of a source, if any."""
     depth = F.greatest(F.ceil(F.log2(F.col("n") / F.lit(float(BLOCK)))), F.lit(0)).cast("int")
     block = F.pmod(F.xxhash64(F.lit(SEED), "source", "doc_id", "size"), F.pow(F.lit(2.0), depth).cast("long"))
     level = units.select("source", block.alias("block"), depth.alias("depth"), F.struct("doc_id", "size", "mass").alias("unit"))
     most = units.agg(F.max("n")).first()[0] or 0
-    levels = ceil(max(0.0, log2(max(most, 1) / BLOCK)) / FAN_BITS) if most > BLOCK else 0
+    levels = ceil(log2(most / BLOCK) / FAN_BITS) if most > BLOCK else 0
     taken = None
-    for k in range(levels + 1):
+    for _ in range(levels + 1):
         done = _level(level)
         won = done.select("source", F.explode("won").alias("u")).select("source", "u.doc_id", "u.size")
         taken = won if taken is None else taken.union(won)
         level = done.where("left.mass > 0").select("source", F.shiftright("block", FAN_BITS).alias("block"), "depth", F.col("left").alias("unit"))
-    # What is left of a source is one fraction: taken with its own probability.
-    u = F.pmod(F.xxhash64(F.lit(SEED + 1), "source", "unit.doc_id", "unit.size"), F.lit(ONE))
-    last = level.where(u * F.col("unit.size") < F.col("unit.mass"))
-    return taken.union(last.select("source", "unit.doc_id", "unit.size"))
+    return taken, level.select("source", "unit")
+
+
+def _last_meets_rest(state: DataFrame, left: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state (source, fine), taken) after the last unit of each source met its smaller documents as one.
+
+    rest has (source, words) of these documents, whose fraction is fine out of 2**30. What the last unit gives
+    or gets is spread over them evenly. If they are too few to settle it, it is taken with its own probability.
+    """
+    l = left.select(F.col("source").alias("l_source"), "unit")
+    r = rest.select(F.col("source").alias("r_source"), "words")
+    met = state.join(l, F.col("source").eqNullSafe(F.col("l_source")), "left").join(r, F.col("source").eqNullSafe(F.col("r_source")), "left")
+    words = F.coalesce(F.col("words"), F.lit(0)).cast("double")
+    size, mass, held = F.col("unit.size").cast("double"), F.col("unit.mass") / F.lit(float(ONE)), F.col("fine") / F.lit(float(ONE)) * words
+    to_unit, to_rest = F.least(size - mass, held), F.least(words - held, mass)
+    u = F.pmod(F.xxhash64(F.lit(SEED + 2), "source", "unit.doc_id", "unit.size"), F.lit(ONE)) / F.lit(float(ONE))
+    met = cut(met.select("source", "fine", "unit", words.alias("words"), size.alias("size"), mass.alias("mass"), held.alias("held"), F.when(u * (to_unit + to_rest) < to_rest, to_unit).otherwise(-to_rest).alias("moved")))
+    after = F.col("mass") + F.col("moved")
+    kept = F.when(F.col("unit").isNull() | (F.col("words") == 0), F.col("fine")).otherwise(F.least(F.greatest(F.round((F.col("held") - F.col("moved")) / F.col("words") * ONE).cast("long"), F.lit(0)), F.lit(ONE)))
+    v = F.pmod(F.xxhash64(F.lit(SEED + 1), "source", "unit.doc_id", "unit.size"), F.lit(ONE)) / F.lit(float(ONE))
+    taken = met.where(F.col("unit").isNotNull() & (v * F.col("size") < after)).select("source", "unit.doc_id", "unit.size")
+    return met.select("source", kept.alias("fine")), taken
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -132,11 +156,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
     targets = cut(source_targets(sources, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     fine = F.round(rate * ONE).cast("long")
-    named = targets.withColumnRenamed("source", "of_source")
-    planned = groups.join(named, F.col("source").eqNullSafe(F.col("of_source")))
-    planned = planned.select("doc_id", "source", "size", "rows", "n", "source_size", "target", F.floor(fine / ONE).alias("whole"), (fine % ONE * F.col("rows")).alias("share"))
-    planned = planned.select("*", F.floor(F.col("share") / ONE).alias("sure"), (F.col("share") % ONE).alias("p"))
-    taken = round_fractions(planned.where("p > 0 and size > 0").select("source", "doc_id", "size", (F.col("p") * F.col("size")).alias("mass"), "n"))
+    rates = cut(targets.select("source", "source_size", "target", F.floor(fine / ONE).alias("whole"), (fine % ONE).alias("fine")))
+    kind = F.coalesce(*[F.when(F.col("size") >= least, k) for k, least in enumerate(CLASSES)])  # null: no words
+    sized = groups.withColumn("kind", kind)
+    counts = cut(sized.where("kind is not null").groupBy("source", "kind").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("words")))
+    state, shares, taken = rates.select("source", "fine"), None, None
+    for k in range(len(CLASSES)):
+        n_of = counts.where(F.col("kind") == k).select(F.col("source").alias("n_source"), "n")
+        now = state.join(n_of, F.col("source").eqNullSafe(F.col("n_source"))).select(F.col("source").alias("s_source"), "fine", "n")
+        members = sized.where(F.col("kind") == k).join(now, F.col("source").eqNullSafe(F.col("s_source")))
+        share = F.col("fine") * F.col("rows")
+        units = members.select("source", "doc_id", "size", (share % ONE * F.col("size")).alias("mass"), "n").where("mass > 0")
+        won, left = round_fractions(units)
+        rest = counts.where(F.col("kind") > k).groupBy("source").agg(F.sum("words").alias("words"))
+        fines = state.select("source", "fine", F.lit(k).alias("kind"))
+        shares = fines if shares is None else shares.union(fines)
+        state, last = _last_meets_rest(state, left, rest)
+        taken = won.union(last) if taken is None else taken.union(won).union(last)
+    of_kind = shares.select(F.col("source").alias("f_source"), F.col("fine").alias("f"), F.col("kind").alias("f_kind"))
+    of_source = rates.select(F.col("source").alias("of_source"), "source_size", "target", "whole")
+    planned = sized.join(of_source, F.col("source").eqNullSafe(F.col("of_source"))).join(of_kind, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("kind") == F.col("f_kind")), "left")
+    planned = planned.withColumn("sure", F.floor(F.coalesce("f", F.lit(0)) * F.col("rows") / ONE))
     t = taken.select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_doc_id"), F.col("size").alias("t_size"), F.lit(1).alias("won"))
     same = F.col("source").eqNullSafe(F.col("t_source")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("size") == F.col("t_size"))
     decided = planned.join(t, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", "whole", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("extra"))
