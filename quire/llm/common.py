@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed until df has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared checkpoint folder: for wide rows that are read more than once."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.boosting import Boosted, calibrated_threshold, fit
+from quire.llm.common import fresh
 from quire.llm.pii_examples import Example, examples
 
 BASE = ["email", "ip", "card", "phone"]
@@ -164,13 +165,14 @@ def _without_overlaps(base: Column, extra: Column) -> Column:
     return F.concat(base, kept)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with pii_base and pii_spans; the arrays are computed once, each in its own projection."""
+def with_spans(docs: DataFrame, base: str, spans: str) -> DataFrame:
+    """docs with the base spans and all spans under these names; the arrays are computed once, each in its own projection."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = text.rlike("[0-9@]|(?i)[\\x20\\[(]at[\\x20\\])]")
     none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,score:double>>")
-    step = docs.withColumn("pii_base", F.when(some, base_spans(text)).otherwise(none)).withColumn("pii_extra", F.when(some, method_candidates(text)).otherwise(none))
-    return step.withColumn("pii_spans", _without_overlaps(F.col("pii_base"), F.col("pii_extra"))).drop("pii_extra")
+    extra = fresh(docs, base, spans, "pii_extra")[2]
+    step = docs.withColumn(base, F.when(some, base_spans(text)).otherwise(none)).withColumn(extra, F.when(some, method_candidates(text)).otherwise(none))
+    return step.withColumn(spans, _without_overlaps(F.col(base), F.col(extra))).drop(extra)
 
 
 def _listed(spans: Column) -> Column:
@@ -184,7 +186,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows stay, a null doc_id stays null, other columns are
     ignored (a column named like a result is not read), an empty table gives no rows.
     """
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "pii_base", "pii_spans")
     count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_listed(F.col("pii_base")), 256).alias("base_sha256"), _listed(F.col("pii_spans")).alias("spans"))
 
@@ -195,9 +197,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; all other columns and rows are unchanged.
     """
     names = docs.columns
-    found = with_spans(docs)
+    base, spans = fresh(docs, "pii_base", "pii_spans")
+    found = with_spans(docs, base, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -205,7 +208,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
     clean = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    out = found.withColumn("text", F.when(F.size("pii_spans") > 0, clean).otherwise(F.col("text"))).drop("pii_base", "pii_spans")
+    out = found.withColumn("text", F.when(F.size(F.col(spans)) > 0, clean).otherwise(F.col("text"))).drop(base, spans)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)

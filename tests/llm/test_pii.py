@@ -59,6 +59,8 @@ def test_redaction(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
     assert got == {1: ("é😀[EMAIL] and [IP].", 19), 2: (None, 0), 3: ("clean", 5)}
     assert pii.redact(df).columns == df.columns
+    clash = df.withColumn("pii_spans", F.lit("mine")).withColumn("PII_base", F.lit(1))
+    assert {(r.text, r.pii_spans) for r in pii.redact(clash).collect()} == {(t, "mine") for t, _ in got.values()}
 
 
 def test_features_are_the_same_on_both_sides(spark):
