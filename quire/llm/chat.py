@@ -34,12 +34,13 @@ def participants(turns: DataFrame) -> DataFrame:
     return turns.where("role is not null").where(~_is_system(F.col("role"))).select("conv_id", F.col("role").alias("perspective")).distinct()
 
 
-def _segment(role: Column, perspective: Column, text: Column) -> tuple[Column, Column, Column]:
-    """(header, body with its end mark, whether it is trained on)."""
-    mine = F.coalesce(role == perspective, F.lit(False))
+def _header(role: Column, perspective: Column) -> Column:
     name = F.regexp_replace(F.coalesce(role, F.lit("unknown")), "[^A-Za-z0-9_-]", "_")
-    header = F.when(_is_system(role), F.lit(f"{OPEN}system\n")).when(mine, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
-    return header, F.concat(F.coalesce(text, F.lit("")), F.lit(CLOSE)), mine
+    return F.when(_is_system(role), F.lit(f"{OPEN}system\n")).when(_mine(role, perspective), F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
+
+
+def _mine(role: Column, perspective: Column) -> Column:
+    return F.coalesce(role == perspective, F.lit(False))
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -57,26 +58,31 @@ def rotate(turns: DataFrame) -> DataFrame:
     both 0 where nothing is trained on. Order is by turn, then role, then text; null turns come last.
     """
     rows = _ordered(turns)
-    speakers = participants(rows).select(F.col("conv_id").alias("of_conv"), "perspective")
-    wide = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_conv"))).drop("of_conv")
-    header, body, mine = _segment(F.col("role"), F.col("perspective"), F.col("text"))
-    wide = wide.withColumn("size", F.char_length(header) + F.char_length(body))
-    by_part = wide.groupBy("conv_id", "perspective", "part").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    # Texts stay where they are until every place is known; only their lengths and hashes travel.
+    narrow = rows.select("conv_id", "turn", "role", "part", "uid", F.xxhash64("text").alias("hash"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
+    speakers = participants(narrow).select(F.col("conv_id").alias("of_conv"), "perspective")
+    wide = narrow.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_conv"))).drop("of_conv")
+    wide = wide.withColumn("head", F.char_length(_header(F.col("role"), F.col("perspective"))))
+    wide = wide.withColumn("size", F.col("head") + F.col("chars") + len(CLOSE))
+    by_part = wide.groupBy("conv_id", "perspective", "part").agg(F.count("*").alias("n"), F.sum("size").alias("part_chars"))
     # one row for each partition that a rendering spans
     earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select(
         F.col("conv_id").alias("b_conv"), F.col("perspective").alias("b_perspective"), F.col("part").alias("b_part"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("chars_before"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("part_chars").over(earlier), F.lit(0)).alias("chars_before"),
     )
-    inside = Window.partitionBy("conv_id", "perspective", "part").orderBy(F.col("turn").asc_nulls_last(), "role", F.xxhash64("text"), "uid").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("conv_id", "perspective", "part").orderBy(F.col("turn").asc_nulls_last(), "role", "hash", "uid").rowsBetween(Window.unboundedPreceding, 0)
     placed = wide.withColumn("n_in", F.count("*").over(inside)).withColumn("chars_in", F.sum("size").over(inside))
     same = F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("perspective") == F.col("b_perspective")) & (F.col("part") == F.col("b_part"))
-    placed = placed.join(before, same)
-    return placed.select(
-        "conv_id", "perspective", (F.col("n_before") + F.col("n_in") - 1).alias("position"),
-        F.when(_is_system(F.col("role")), "system").when(mine, "assistant").otherwise("user").alias("chat_role"), F.col("role").alias("speaker"),
-        F.concat(header, body).alias("segment"), F.when(mine, F.char_length(header)).otherwise(0).alias("mask_start"),
-        F.when(mine, F.char_length(header) + F.char_length(body) - 1).otherwise(0).alias("mask_end"), (F.col("chars_before") + F.col("chars_in") - F.col("size")).alias("start"),
+    placed = placed.join(before, same).select(
+        "uid", "conv_id", "perspective", "role", "head", "size", (F.col("n_before") + F.col("n_in") - 1).alias("position"), (F.col("chars_before") + F.col("chars_in") - F.col("size")).alias("start")
+    )
+    told = placed.join(rows.select("uid", "text"), "uid")
+    mine = _mine(F.col("role"), F.col("perspective"))
+    return told.select(
+        "conv_id", "perspective", "position", F.when(_is_system(F.col("role")), "system").when(mine, "assistant").otherwise("user").alias("chat_role"), F.col("role").alias("speaker"),
+        F.concat(_header(F.col("role"), F.col("perspective")), F.coalesce("text", F.lit("")), F.lit(CLOSE)).alias("segment"),
+        F.when(mine, F.col("head")).otherwise(0).alias("mask_start"), F.when(mine, F.col("size") - 1).otherwise(0).alias("mask_end"), "start",
     )
 
 
