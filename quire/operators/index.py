@@ -82,3 +82,25 @@ def chapter_selection(text: str | None, total: int) -> list[int]:
     if a > b or a < 1 or b > total:
         raise ValueError(f"a selection lies within 1-{total}, first number first")
     return list(range(a, b + 1))
+
+
+_REVISIONS = "map<string,struct<msg:string,filename:string,mtime:string,updated_at:string>>"
+
+
+def revisions_of(texts: DataFrame, by: str) -> DataFrame:
+    """(by, key, msg, filename, mtime, updated_at) of texts (by, json); unreadable JSON has no notes."""
+    return texts.select(by, F.explode(F.from_json("json", _REVISIONS)).alias("key", "v")).select(by, "key", "v.*")
+
+
+def set_revisions(old: DataFrame, notes: DataFrame, by: str) -> DataFrame:
+    """Notes put in by (by, key), where a note's key is the prefix of its file name, or the whole name; old keys by full name go."""
+    key = F.coalesce(F.nullif(F.regexp_extract("filename", r"^(\d+)", 1), F.lit("")), F.col("filename"))
+    new = notes.withColumn("key", key).select(*old.columns)
+    legacy = new.select(by, F.col("filename").alias("key"))
+    return upsert(remove(old, legacy, [by, "key"]), new, [by, "key"], F.col("updated_at"))
+
+
+def revisions_json(notes: DataFrame, by: str) -> DataFrame:
+    """(by, json): the notes of each work as one JSON object, keys in order."""
+    entry = F.struct("key", F.struct("msg", "filename", "mtime", "updated_at").alias("v"))
+    return notes.groupBy(by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))

@@ -98,3 +98,10 @@ def chapter_order() -> list[Column]:
 def format_order() -> list[Column]:
     """Names without a prefix count as zero and so come first; ties by name."""
     return [F.coalesce(F.col("ord"), F.lit(0)), F.col("file_name")]
+
+
+def lineage_lines(assembled: DataFrame) -> DataFrame:
+    """(work_id, text): one line for each chapter of a work saying which layer it came from, in key order."""
+    line = F.concat("file_name", F.lit(" <- "), "origin", F.when(F.col("renamed"), F.concat(F.lit(" (was "), "replaces", F.lit(")"))).otherwise(F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("chapter_key").alias("k"), line.alias("line"))))
+    return assembled.groupBy("work_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))

@@ -78,6 +78,26 @@ def info_page(title: Column, author: Column, platform: Column, main: Column, ext
     return F.concat(F.concat_ws("\n\n", *fields), F.lit("\n"))
 
 
+def series_info_page(series_id: Column, title: Column, author: Column, update_time: Column, words: Column, chapters: Column, tags: Column, description: Column) -> Column:
+    """The index page of a series: labelled lines, tags joined, the description last; missing fields get their placeholders."""
+    given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    labelled = lambda label, c: F.concat(F.lit(f"{label}: "), c)
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    lines = [
+        labelled("系列ID", series_id),
+        labelled("系列名称", given(title, "未知系列")),
+        labelled("作者", given(author, "未知作者")),
+        labelled("更新时间", given(update_time, "未知时间")),
+        labelled("总字数", count(words)),
+        labelled("章节数", count(chapters)),
+        labelled("标签", given(F.array_join(tags, "、"), "无")),
+        F.lit(""),
+        F.lit("简介:"),
+        given(description, "（暂无简介）"),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def blank_info_page() -> str:
     return "\n\n".join(["书籍信息", UNSET, f"作者：{UNSET}", f"连载于：{UNSET}", f"连载状态：{UNSET}", f"字数：{UNSET}", "简介：", UNSET]) + "\n"
 

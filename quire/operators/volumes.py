@@ -65,3 +65,9 @@ def overlaps(volumes: DataFrame) -> DataFrame:
     """Volumes that begin before an earlier one of their work has ended."""
     w = Window.partitionBy("work_id").orderBy("start", "pos").rowsBetween(Window.unboundedPreceding, -1)
     return volumes.withColumn("reach", F.max("end").over(w)).where("start <= reach").drop("reach")
+
+
+def volumes_json(ranges: DataFrame) -> DataFrame:
+    """(work_id, json): the volumes of each work as a JSON list of name, start and end, by start."""
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", "name")))
+    return ranges.groupBy("work_id").agg(F.to_json(F.transform(rows, lambda v: F.struct(v["name"].alias("name"), v["start"].alias("start"), v["end"].alias("end")))).alias("json"))
