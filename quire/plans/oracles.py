@@ -93,6 +93,8 @@ pages AS (SELECT s.work_id, s.kind, s.play_order, coalesce(b.title, s.title) AS
 html AS (SELECT work_id, CASE kind WHEN 'vol' THEN 'vol_' ELSE 'chap_' END || lpad(CAST(play_order AS VARCHAR), 5, '0') || '.xhtml' AS page_name, title,
 '<?xml version="1.0" encoding="utf-8"?>' || {LF} || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {ESCAPE.format('title')} || '</title><link rel="stylesheet" href="style.css"/></head><body>' || {LF} || '<h1>' || {ESCAPE.format('title')} || '</h1>' || {LF} || coalesce(list_aggregate(f, 'string_agg', {LF}), '') || {LF} || '</body></html>' || {LF} AS page_html FROM pages)"""
 
+NEW_TITLE = f"CASE WHEN num IS NULL THEN marker ELSE '第' || CASE WHEN first_style = 'chinese' THEN {SMALL_NUMERAL} ELSE CAST(new_num AS VARCHAR) END || '章' || CASE WHEN rest <> '' AND NOT regexp_matches(rest, '^[\\s：:]') THEN ' ' ELSE '' END || rest END"
+
 ORACLE_SQL: dict[str, str] = {
     "line_explode_nonblank": f"SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM ({PARAS})",
     "paragraph_interleave": f"SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(p, {LF} || {LF}) || {LF} END AS text FROM ({PARAS})",
@@ -131,7 +133,8 @@ ORACLE_SQL: dict[str, str] = {
     "marker_detect": f"SELECT doc_id, line_no, marker, num, style FROM ({MARKERS})",
     "segment_chapters": f"""WITH s AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM ({SEGS})), l AS (SELECT * FROM ({MARKED_LINES}))
 SELECT s.doc_id, s.seg_no, s.marker, s.num, md5(coalesce(string_agg(l.line, {LF} ORDER BY l.line_no), '')) AS body_md5 FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND l.line_no > s.line_no AND (s.next IS NULL OR l.line_no < s.next) GROUP BY s.doc_id, s.seg_no, s.marker, s.num""",
-    "segment_renumber": f"SELECT doc_id, seg_no, CASE WHEN num IS NULL THEN marker ELSE '第' || CASE WHEN first_style = 'chinese' THEN {SMALL_NUMERAL} ELSE CAST(new_num AS VARCHAR) END || '章' || CASE WHEN rest <> '' AND NOT regexp_matches(rest, '^[\\s：:]') THEN ' ' ELSE '' END || rest END AS title, new_num, coalesce(new_num <> num, false) AS fixed FROM ({RENUM})",
+    "segment_renumber": f"SELECT doc_id, seg_no, {NEW_TITLE} AS title, new_num, coalesce(new_num <> num, false) AS fixed FROM ({RENUM})",
+    "chapter_files_written": f"SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY doc_id, seg_no) AS seq, {NEW_TITLE} AS title FROM ({RENUM})",
     "global_sequence": f"SELECT doc_id, seg_no, seq FROM ({SEQ})",
     "volume_ranges": f"SELECT work_id, regexp_replace(CAST(doc_id AS VARCHAR), '^\\d+[ ]*', '') AS name, min(seq) AS start, max(seq) AS \"end\" FROM ({SEQ}) GROUP BY work_id, doc_id",
     "segment_preambles": f"SELECT doc_id // 20 AS work_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ({PRE}) GROUP BY 1",
@@ -167,5 +170,10 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "info_page_render": f"SELECT c_custkey, {_info('c_name', '''CASE WHEN c_mktsegment = 'BUILDING' THEN '未填' ELSE c_mktsegment END''', '(c_custkey % 5)', '(c_custkey % 3)', '(c_custkey * 97)', '''未填'''.join([chr(39), chr(39)]))} AS page FROM customer",
     "info_page_refresh": f"SELECT c_custkey, {REFRESHED} AS page FROM customer",
     "info_page_parse": f"SELECT c_custkey, c_name AS title, c_mktsegment AS author, 'Web' AS platform, {_status('(c_custkey % 4)', '(c_custkey % 2)')} || '（2020年1月2日）' AS status, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 3 AS VARCHAR) ELSE '' END AS vol_count, {WAN.format('(c_custkey * 1000)')} AS word_count, 'text' AS description FROM customer",
+    "series_page_render": f"SELECT c_custkey, '系列ID: ' || c_custkey || {LF} || '系列名称: ' || c_name || {LF} || '作者: ' || CASE WHEN c_mktsegment = 'BUILDING' THEN '未知作者' ELSE c_mktsegment END || {LF} || '更新时间: 未知时间' || {LF} || '总字数: ' || (c_custkey * 3) || {LF} || '章节数: 0' || {LF} || '标签: ' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '、x' ELSE '无' END || {LF} || {LF} || '简介:' || {LF} || 'd' AS page FROM customer",
+    "series_page_parse": "SELECT c_custkey, c_name AS title, CASE WHEN c_mktsegment = 'BUILDING' THEN '未知作者' ELSE c_mktsegment END AS author, '未知时间' AS update_time, c_custkey * 3 AS word_count, CAST(0 AS BIGINT) AS chapter_count, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ',x' ELSE '无' END AS tags, 'd' AS description FROM customer",
+    "volumes_json": f"SELECT work_id, '[' || string_agg('{{\"name\":\"' || name || '\",\"start\":' || a || ',\"end\":' || b || '}}', ',' ORDER BY a) || ']' AS json FROM (SELECT work_id, regexp_replace(CAST(doc_id AS VARCHAR), '^\\d+[ ]*', '') AS name, min(seq) AS a, max(seq) AS b FROM ({SEQ}) GROUP BY work_id, doc_id) GROUP BY work_id",
+    "assemble_lineage_text": f"SELECT work_id, string_agg(line, {LF} ORDER BY chapter_key) AS text FROM (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) || CASE WHEN y.file_name IS NULL THEN ' <- baseline' ELSE ' <- corrected' END || CASE WHEN x.file_name <> y.file_name THEN ' (was ' || x.file_name || ')' ELSE '' END AS line FROM ({BASE}) x FULL JOIN ({EXTRA}) y ON x.chapter_key = y.chapter_key) GROUP BY work_id",
+    "revisions_upsert": "SELECT conv_id, lpad(CAST(turn AS VARCHAR), 3, '0') AS key, CASE WHEN turn = 1 THEN substr(text, 1, 8) ELSE 'new' END AS msg, lpad(CAST(turn AS VARCHAR), 3, '0') || ' x.txt' AS filename FROM conversations WHERE turn IN (0, 1, 2, 4)",
     "preset_resolution": "SELECT * FROM (VALUES ('default', '1.5em', 'red', 'center'), ('big', '3em', 'red', 'center')) t(name, size, color, align)",
 }

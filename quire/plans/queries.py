@@ -474,6 +474,45 @@ def info_page_parse(spark, d):
     return files.book_info(info_page_refresh(spark, d).withColumnRenamed("page", "text"), "c_custkey")
 
 
+@query
+def series_page_render(spark, d):
+    c = V.table(spark, d, "customer")
+    tags = F.when(F.col("c_custkey") % 2 == 0, F.array(F.col("c_mktsegment"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    page = publish.series_info_page(F.col("c_custkey").cast("string"), F.col("c_name"), F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit(""), F.col("c_custkey") * 3, F.lit(None).cast("long"), tags, F.lit("d"))
+    return c.select("c_custkey", page.alias("page"))
+
+
+@query
+def series_page_parse(spark, d):
+    got = files.series_info(series_page_render(spark, d).withColumnRenamed("page", "text"), "c_custkey")
+    return got.withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def volumes_json(spark, d):
+    return volumes.volumes_json(segment.volume_ranges(segment.sequenced(_segments(spark, d))))
+
+
+@query
+def assemble_lineage_text(spark, d):
+    return overlay.lineage_lines(overlay.assemble(V.layer(spark, d, "base"), V.layer(spark, d, "extra")))
+
+
+@query
+def revisions_upsert(spark, d):
+    m = V.messages(spark, d)
+    notes = m.select("conv_id", F.substring("text", 1, 8).alias("msg"), F.concat(X.pad3(F.col("turn")), F.lit(" x.txt")).alias("filename"), F.lit("1").alias("mtime"), F.col("turn").cast("string").alias("updated_at"))
+    old = notes.where("updated_at in ('0', '1', '2')").select("conv_id", F.when(F.col("updated_at") == "0", F.col("filename")).otherwise(F.substring("filename", 1, 3)).alias("key"), "msg", "filename", "mtime", "updated_at")
+    new = notes.where("updated_at in ('0', '2', '4')").withColumn("msg", F.lit("new"))
+    return index.set_revisions(old, new, "conv_id").select("conv_id", "key", "msg", "filename")
+
+
+@query
+def chapter_files_written(spark, d):
+    segs = segment.sequenced(segment.renumber(_segments(spark, d)))
+    return segment.chapter_files(segs, name_only=True).select("work_id", "seq", "title")
+
+
 @query
 def preset_resolution(spark, d):
     presets = config.parse_styles('{"chapter": {"big": {"size": "3em"}, "bad": {"align": "right"}}, "volume": {"plain": {"vol_split": false}}}')
