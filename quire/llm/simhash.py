@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.llm.common import batch_of, cut, map_batches
+from quire.llm.common import batch_of, cut, fresh, map_batches
 from quire.llm.components import connected_components
 from quire.llm.fingerprint_text import simhash
 
@@ -205,15 +205,18 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if found is None:
         return docs
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
-    chosen = found.groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.id").alias("_keep_id"), F.col("c.fp").alias("_keep_fp"))
+    fp, no_id, some_id, n = fresh(docs, "_fp", "_no_id", "_id", "_n")
+    chosen = found.groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.last").alias(no_id), F.coalesce("c.id", F.lit(0).cast("long")).alias(some_id), F.col("c.fp").alias(fp))
     at = docs.columns.index("text")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash((t or "").encode()) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "_fp"])
-
-    marked = map_batches(docs, per_batch, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    key = F.col("doc_id").cast("long")
-    single = marked.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_fp").orderBy("_fp"))).where("_n = 1")
-    return single.join(chosen, key.eqNullSafe(F.col("_keep_id")) & (F.col("_fp") == F.col("_keep_fp")), "left_semi").select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, fp])
+
+    marked = map_batches(docs, per_batch, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    # One exchange of the texts serves both: repeated rows are dropped before it, the join finds its rows where they lie.
+    key = {no_id: F.col("doc_id").isNull(), some_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}
+    names = [*key, fp]
+    single = marked.withColumns(key).withColumn(n, F.row_number().over(Window.partitionBy(*names).orderBy(fp))).where(F.col(n) == 1)
+    return single.join(chosen, names, "left_semi").select(*docs.columns)

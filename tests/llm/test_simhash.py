@@ -100,3 +100,4 @@ def test_keep_one(spark):
     assert {i for i in ids if i is not None} == {c for _, _, c in comps if c is not None}
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
     assert simhash.keep_one(df.where("false")).count() == 0
+    assert simhash.keep_one(df.withColumnRenamed("root", "_fp").withColumnRenamed("fp", "_ID")).count() == kept.count()
