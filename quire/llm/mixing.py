@@ -35,6 +35,8 @@ BLOCK, FAN_BITS = 48, 5
 SEED = 42
 #: Sizes from which the classes begin, the largest class first.
 CLASSES = (1024, 128, 1)
+#: Tables of one row for each source are broadcast up to this many rows (under 10 MB); beyond it they are shuffled.
+BROADCAST_SOURCES = 50_000
 _UNIT = "struct<doc_id:long,size:long,mass:long>"
 
 
@@ -157,6 +159,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     fine = F.round(rate * ONE).cast("long")
     rates = cut(targets.select("source", "source_size", "target", F.floor(fine / ONE).alias("whole"), (fine % ONE).alias("fine")))
+    few = rates.count() <= BROADCAST_SOURCES
+    held = F.broadcast if few else (lambda df: df)  # a hot source is then never one task
     kind = F.coalesce(*[F.when(F.col("size") >= least, k) for k, least in enumerate(CLASSES)])  # null: no words
     sized = groups.withColumn("kind", kind)
     counts = cut(sized.where("kind is not null").groupBy("source", "kind").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("words")))
@@ -164,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
     for k in range(len(CLASSES)):
         n_of = counts.where(F.col("kind") == k).select(F.col("source").alias("n_source"), "n")
         now = state.join(n_of, F.col("source").eqNullSafe(F.col("n_source"))).select(F.col("source").alias("s_source"), "fine", "n")
-        members = sized.where(F.col("kind") == k).join(now, F.col("source").eqNullSafe(F.col("s_source")))
+        members = sized.where(F.col("kind") == k).join(held(now), F.col("source").eqNullSafe(F.col("s_source")))
         share = F.col("fine") * F.col("rows")
         units = members.select("source", "doc_id", "size", (share % ONE * F.col("size")).alias("mass"), "n").where("mass > 0")
         won, left = round_fractions(units)
@@ -175,7 +179,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
         taken = won.union(last) if taken is None else taken.union(won).union(last)
     of_kind = shares.select(F.col("source").alias("f_source"), F.col("fine").alias("f"), F.col("kind").alias("f_kind"))
     of_source = rates.select(F.col("source").alias("of_source"), "source_size", "target", "whole")
-    planned = sized.join(of_source, F.col("source").eqNullSafe(F.col("of_source"))).join(of_kind, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("kind") == F.col("f_kind")), "left")
+    planned = sized.join(held(of_source), F.col("source").eqNullSafe(F.col("of_source"))).join(held(of_kind), F.col("source").eqNullSafe(F.col("f_source")) & (F.col("kind") == F.col("f_kind")), "left")
     planned = planned.withColumn("sure", F.floor(F.coalesce("f", F.lit(0)) * F.col("rows") / ONE))
     t = taken.select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_doc_id"), F.col("size").alias("t_size"), F.lit(1).alias("won"))
     same = F.col("source").eqNullSafe(F.col("t_source")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("size") == F.col("t_size"))
