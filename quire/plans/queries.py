@@ -407,7 +407,7 @@ def json_props_extract(spark, d):
 
 @query
 def tag_distinct_ordered(spark, d):
-    t = V.documents(spark, d).select("doc_id", X.distinct_tags(F.split(F.substring("text", 1, 400), " ")).alias("tags"))
+    t = V.documents(spark, d).select("doc_id", X.distinct_tags(F.split("text", " ")).alias("tags"))
     return t.select("doc_id", F.array_join("tags", "、").alias("tags"), F.size("tags").cast("long").alias("n_tags"))
 
 
