@@ -447,7 +447,7 @@ def illustration_collect(spark, d):
 
 @query
 def image_tag_replace(spark, d):
-    texts = V.documents(spark, d).select("doc_id", F.concat(F.substring("text", 1, 30), F.lit("[image:"), (F.col("doc_id") % 50).cast("string"), F.lit("] and [image:"), (F.col("doc_id") % 7).cast("string"), F.lit("]")).alias("text"))
+    texts = V.documents(spark, d).select("doc_id", F.concat("text", F.lit("[image:"), (F.col("doc_id") % 50).cast("string"), F.lit("] and [image:"), (F.col("doc_id") % 7).cast("string"), F.lit("]")).alias("text"))
     ids = V.table(spark, d, "documents").select((F.col("doc_id") % 45).alias("n")).distinct()
     status = F.element_at(F.array(*[F.lit(x) for x in ("ok", "gone", "failed", "bad")]), (F.col("n") % 4 + 1).cast("int"))
     images = ids.select(F.col("n").cast("string").alias("id"), status.alias("status"), F.concat(F.lit("p"), F.col("n").cast("string"), F.lit(".jpg")).alias("img"))
