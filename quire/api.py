@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import convert_punctuation, interleave_blank_lines, paragraphs, punctuation_stats
-from quire.operators import diff, index, overlay, publish, segment, volumes
+from quire.operators import diff, index, markup, overlay, publish, segment, volumes
 from quire.sources import config
 
 
@@ -67,14 +67,32 @@ def split(packed: DataFrame, name_only: bool = False, limit_title: bool = False,
     return {"chapters": segment.chapter_files(seqs, name_only), "volumes": volumes.volumes_json(segment.volume_ranges(seqs)), "stats": segment.split_stats(segs, lines)}
 
 
-def epub(*layers: DataFrame, ranges: DataFrame, info: DataFrame, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str) -> DataFrame:
-    """(work_id, file_name, content): an e-book of each work; info has work_id, title and author."""
+def epub(
+    *layers: DataFrame, ranges: DataFrame, info: DataFrame, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str, images: DataFrame | None = None, illustrations: DataFrame | None = None, covers: DataFrame | None = None
+) -> DataFrame:
+    """(work_id, file_name, content): an e-book of each work; info has work_id, title and author.
+
+    images (work_id, img, priority, content) are shown where a text has their marker, and at the end of the chapters that
+    illustrations (work_id, chapter, pos, img, desc array) name; covers has work_id, img and content.
+    """
+    if illustrations is not None and images is None:
+        raise ValueError("illustrations need images")
     presets = config.parse_styles(styles)
-    css = publish.style_sheet(config.resolve_style(presets["chapter"], title_style, config.CHAPTER_STYLE), config.resolve_style(presets["volume"], vol_style, config.VOLUME_STYLE))
+    chapter, volume = config.resolve_style(presets["chapter"], title_style, config.CHAPTER_STYLE), config.resolve_style(presets["volume"], vol_style, config.VOLUME_STYLE)
     done = overlay.with_keys(overlay.overlay(*layers)).where(overlay.is_chapter(F.col("file_name")))
-    titled = publish.resolved_titles(done.withColumn("file_title", segment.title_of_file(F.col("file_name"))))
+    chapters, found = done.withColumn("file_title", segment.title_of_file(F.col("file_name"))), None
+    if images is None:
+        titled = publish.resolved_titles(chapters)
+    else:
+        found = publish.known_images(images)
+        names = found.groupBy("work_id").agg(F.array_sort(F.collect_list("img")).alias("known"))
+        titled = publish.resolved_titles(chapters.join(names, "work_id", "left"), F.coalesce("known", F.array().cast("array<string>")))
+    if illustrations is not None:
+        notes = illustrations.join(found.select("work_id", "img"), ["work_id", "img"], "left_semi").withColumnRenamed("chapter", "chapter_key")
+        titled = markup.with_illustrations(titled, notes, overlay.KEY)
     items = volumes.spine(done, ranges).join(titled.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
-    return publish.books(publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title"))), info, css, modified)
+    pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")), chapter, volume)
+    return publish.books(pages, info, publish.style_sheet(chapter, volume), modified, found, covers)
 
 
 def retry(records: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -51,7 +51,26 @@ def image_html(img: Column, desc: Column) -> Column:
     """The fragment of an illustration; desc is an array of lines, which may be empty or null."""
     lines = F.array_join(F.transform(desc, escape_html), "<br/>")
     note = F.when(F.size(F.coalesce(desc, F.array().cast("array<string>"))) > 0, F.concat(F.lit('<div class="illustration-desc">'), lines, F.lit("</div>"))).otherwise(F.lit(""))
-    return F.concat(F.lit('<div class="illustration"><img src="img/'), img, F.lit('" alt="插图"/>'), note, F.lit("</div>"))
+    return F.concat(F.lit('<div class="illustration"><img src="img/'), escape_html(img), F.lit('" alt="插图"/>'), note, F.lit("</div>"))
+
+
+def inline_fragments(para: Column, known: Column) -> Column:
+    """array<string>: the fragments of a paragraph, its markers of known images as illustrations in their places; other markers stay text."""
+    texts, marks = F.split(para, ILLUSTRATION), F.regexp_extract_all(para, F.lit(ILLUSTRATION), 0)
+    names = F.transform(F.regexp_extract_all(para, F.lit(ILLUSTRATION), 1), strip)
+    none = F.array().cast("array<string>")
+    flush = lambda out, buf: F.when(buf != "", F.concat(out, F.array(paragraph_html(strip(buf))))).otherwise(out)
+
+    def step(acc: Column, i: Column) -> Column:
+        text, mark, name = F.get(texts, i), F.get(marks, i), F.get(names, i)
+        buf = F.when(strip(text) != "", F.concat(acc["buf"], text)).otherwise(acc["buf"])
+        shown = F.coalesce(F.array_contains(known, name), F.lit(False))
+        image = F.when(shown, F.array(image_html(name, none))).otherwise(none)
+        return F.struct(F.when(shown | mark.isNull(), F.concat(flush(acc["out"], buf), image)).otherwise(acc["out"]).alias("out"), F.when(shown, F.lit("")).otherwise(F.concat(buf, F.coalesce(mark, F.lit("")))).alias("buf"))
+
+    start = F.struct(none.alias("out"), F.lit("").alias("buf"))
+    whole = F.aggregate(F.sequence(F.lit(0), F.size(marks)), start, step, lambda acc: acc["out"])
+    return F.when(para.rlike(ILLUSTRATION), whole).otherwise(F.array(paragraph_html(para)))
 
 
 def with_illustrations(bodies: DataFrame, illustrations: DataFrame, key: list[str]) -> DataFrame:

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.numerals import marker_columns
-from quire.functions.text import UNSET, escape_html, format_wan, indent_body, paragraphs, status_text, strip
-from quire.operators.markup import paragraph_html
+from quire.functions.numerals import marker_columns, split_title, split_volume_title
+from quire.functions.text import MEDIA_TYPES, UNSET, escape_html, format_wan, indent_body, paragraphs, status_text, strip
+from quire.operators.markup import inline_fragments, paragraph_html
 
 INFO_NAME = "000 书籍信息.txt"
 
@@ -46,10 +46,11 @@ def merge_text(chapters: DataFrame, headings: DataFrame | None = None, indent: b
     return rows.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["part"]), "").alias("text"))
 
 
-def resolved_titles(chapters: DataFrame) -> DataFrame:
+def resolved_titles(chapters: DataFrame, known: Column | None = None) -> DataFrame:
     """chapters (file_title, text) with display_title, skip_first and fragments: a marker on the first line is the title and leaves the body.
 
-    Otherwise the file's title stands, and leading paragraphs that repeat it are dropped.
+    Otherwise the file's title stands, and leading paragraphs that repeat it are dropped. known is the array of the
+    work's image names, whose markers become illustrations.
     """
     rows = chapters.withColumn("paras", paragraphs(F.col("text")))
     first = F.get("paras", F.lit(0))
@@ -59,7 +60,8 @@ def resolved_titles(chapters: DataFrame) -> DataFrame:
     rows = rows.withColumn("body", body)
     keep = F.array_position(F.transform("body", lambda p: p != F.col("display_title")), True)
     trimmed = F.when(keep == 0, F.array().cast("array<string>")).otherwise(F.slice("body", F.greatest(keep, F.lit(1)).cast("int"), F.size("body")))
-    return rows.withColumn("fragments", F.transform(trimmed, paragraph_html)).drop("paras", "body")
+    fragments = F.transform(trimmed, paragraph_html) if known is None else F.flatten(F.transform(trimmed, lambda p: inline_fragments(p, known)))
+    return rows.withColumn("fragments", fragments).drop("paras", "body")
 
 
 def info_page(title: Column, author: Column, platform: Column, main: Column, extra: Column, date: Column, words: Column, description: Column) -> Column:
@@ -120,12 +122,29 @@ def refresh_info(page: Column, words: Column, main: Column, extra: Column, volum
     return F.coalesce(F.when(volumes > 0, with_volumes).otherwise(out), page)
 
 
-def page_rows(spine: DataFrame) -> DataFrame:
-    """spine rows (work_id, kind, title, play_order, fragments) as page rows with page_name and page_html."""
+def _two_lines(title: Column, parts: Column, kind: str) -> Column:
+    """A number line and a name line; null where a title has no number."""
+    part = lambda name, field: F.concat(F.lit(f'<div class="{kind}-{name}">'), escape_html(parts[field]), F.lit("</div>"))
+    return F.when(parts["num"].isNotNull(), F.concat(part("num", "num"), part("name", "name")))
+
+
+def page_rows(spine: DataFrame, chapter: dict | None = None, volume: dict | None = None) -> DataFrame:
+    """spine rows (work_id, kind, title, play_order, fragments) as page rows with page_name and page_html.
+
+    The styles of chapters and volumes say whether titles stand on two lines; without a volume style a volume's page is like a chapter's.
+    """
+    title, is_vol = F.col("title"), F.col("kind") == "vol"
+    heading, opened = escape_html(title), F.lit("<body>\n")
+    if chapter and chapter.get("split"):
+        heading = F.when(is_vol, heading).otherwise(F.coalesce(_two_lines(title, split_title(title), "chapter"), heading))
+    if volume is not None:
+        plain = F.concat(F.lit('<div class="volume-name">'), escape_html(title), F.lit("</div>"))
+        shown = F.coalesce(_two_lines(title, split_volume_title(title), "volume"), plain) if volume.get("vol_split", True) else plain
+        heading, opened = F.when(is_vol, shown).otherwise(heading), F.when(is_vol, F.lit('<body class="vol">\n')).otherwise(opened)
     name = F.concat(F.when(F.col("kind") == "vol", F.lit("vol_")).otherwise(F.lit("chap_")), F.lpad(F.col("play_order").cast("string"), 5, "0"), F.lit(".xhtml"))
-    body = F.concat(F.lit("<h1>"), escape_html(F.col("title")), F.lit("</h1>\n"), F.array_join(F.coalesce("fragments", F.array().cast("array<string>")), "\n"))
+    body = F.concat(F.lit("<h1>"), heading, F.lit("</h1>\n"), F.array_join(F.coalesce("fragments", F.array().cast("array<string>")), "\n"))
     head = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>'
-    page = F.concat(F.lit(head), escape_html(F.col("title")), F.lit('</title><link rel="stylesheet" href="style.css"/></head><body>\n'), body, F.lit("\n</body></html>\n"))
+    page = F.concat(F.lit(head), escape_html(F.col("title")), F.lit('</title><link rel="stylesheet" href="style.css"/></head>'), opened, body, F.lit("\n</body></html>\n"))
     return spine.select("work_id", "kind", "title", "vol_no", "play_order", name.alias("page_name"), page.alias("page_html"))
 
 
@@ -148,12 +167,35 @@ def style_sheet(chapter: dict, volume: dict) -> str:
         ".illustration { text-align: center; }",
         ".illustration img { max-width: 100%; }",
     ]
+    if chapter.get("split"):
+        color = css_value(chapter.get("num_color", ""), "")
+        rules.append(f".chapter-num {{ display: block; font-size: {css_value(chapter.get('num_size', ''), '1em')};" + (f" color: {color};" if color else "") + " }")
+        rules.append(".chapter-name { display: block; }")
+    if volume.get("vol_split", True):
+        rules.append(f".vol .volume-num {{ display: block; color: {css_value(volume.get('vol_num_color', ''), '#555555')}; font-size: {css_value(volume.get('vol_num_size', ''), '1.2em')}; margin-bottom: {css_value(volume.get('vol_gap', ''), '0.6em')}; }}")
+        rules.append(f".vol .volume-name {{ display: block; color: {css_value(volume.get('vol_color', ''), '#8B0000')}; font-size: {css_value(volume.get('vol_size', ''), '2.5em')}; }}")
+        rules.append(".vol h1 { font-size: 1em; }")
     return "\n".join(rules) + "\n"
 
 
-def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, author: str, css: str, book_id: str, modified: str) -> bytes:
-    """An e-book of pages (name, kind, title, vol_no, html) in reading order; the same input gives the same bytes."""
+def _media(name: str) -> str:
+    return MEDIA_TYPES.get(name.rpartition(".")[2].lower(), "image/jpeg")
+
+
+def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, author: str, css: str, book_id: str, modified: str, images: dict[str, bytes] | None = None, cover: tuple[str, bytes] | None = None) -> bytes:
+    """An e-book of pages (name, kind, title, vol_no, html) in reading order, with images by name and a cover (name, bytes); the same input gives the same bytes."""
     esc = lambda s: html.escape(s or "", quote=True)
+    images, packed, extra, meta, guide = images or {}, [], "", "", ""
+    if cover:
+        at = f"cover.{cover[0].rpartition('.')[2].lower() if '.' in cover[0] else 'jpg'}"
+        page = f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>封面</title><link rel="stylesheet" href="style.css"/></head><body class="cover-page">\n<div class="cover-image"><img src="{esc(at)}" alt="封面"/></div>\n</body></html>\n'
+        pages = [("cover.xhtml", "cover", "封面", None, page), *pages]
+        packed.append((f"OEBPS/{at}", cover[1]))
+        extra += f'<item id="cover-img" href="{esc(at)}" media-type="{_media(at)}" properties="cover-image"/>'
+        meta, guide = '<meta name="cover" content="cover-img"/>', '<guide><reference type="cover" title="封面" href="cover.xhtml"/></guide>'
+    for k, (name, data) in enumerate(sorted(images.items())):
+        packed.append((f"OEBPS/img/{name}", data))
+        extra += f'<item id="img{k}" href="img/{esc(name)}" media-type="{_media(name)}"/>'
     manifest = "".join(f'<item id="p{k}" href="{n}" media-type="application/xhtml+xml"/>' for k, (n, *_) in enumerate(pages))
     spine = "".join(f'<itemref idref="p{k}"/>' for k in range(len(pages)))
     tree: list[tuple[int, tuple, list]] = []
@@ -171,11 +213,12 @@ def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, auth
         ("META-INF/container.xml", xml + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'),
         ("OEBPS/style.css", css),
         *((f"OEBPS/{n}", body) for n, _, _, _, body in pages),
+        *packed,
         (
             "OEBPS/content.opf",
             xml
-            + f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{esc(book_id)}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:creator>{esc(author)}</dc:creator><dc:language>zh</dc:language><meta property="dcterms:modified">{esc(modified)}</meta></metadata>'
-            + f'<manifest><item id="css" href="style.css" media-type="text/css"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{manifest}</manifest><spine toc="ncx">{spine}</spine></package>',
+            + f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{esc(book_id)}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:creator>{esc(author)}</dc:creator><dc:language>zh</dc:language><meta property="dcterms:modified">{esc(modified)}</meta>{meta}</metadata>'
+            + f'<manifest><item id="css" href="style.css" media-type="text/css"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{extra}{manifest}</manifest><spine toc="ncx">{spine}</spine>{guide}</package>',
         ),
         ("OEBPS/toc.ncx", xml + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{esc(book_id)}"/></head><docTitle><text>{esc(title)}</text></docTitle><navMap>{ncx}</navMap></ncx>'),
         ("OEBPS/nav.xhtml", xml + f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{esc(title)}</title></head><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>'),
@@ -189,16 +232,37 @@ def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, auth
     return out.getvalue()
 
 
-def books(pages: DataFrame, info: DataFrame, css: str, modified: str) -> DataFrame:
-    """(work_id, file_name, content): an archive for each work; one work's pages are in memory at a time."""
-    rows = pages.join(info.select("work_id", F.col("title").alias("book_title"), "author"), "work_id", "left")
+def known_images(images: DataFrame) -> DataFrame:
+    """images (work_id, img, priority, content) by name; the least priority wins, names that are no plain file names are left out."""
+    plain = images.where(F.col("img").rlike(r"^[^/\\]+$") & ~F.col("img").isin(".", ".."))
+    return plain.groupBy("work_id", "img").agg(F.min_by("content", F.struct("priority", "content")).alias("content"))
+
+
+def books(pages: DataFrame, info: DataFrame, css: str, modified: str, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """(work_id, file_name, content): an archive for each work; one work's pages and images are in memory at a time.
+
+    images (work_id, img, content) holds each name of a work once; those that a page shows are packed. covers (work_id, img, content) has at most one row for a work.
+    """
+    rows = pages.withColumn("data", F.lit(None).cast("binary"))
+    bare = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("title", "vol_no", "play_order")]
+    as_rows = lambda df, kind: df.select("work_id", F.lit(kind).alias("kind"), *bare, F.col("img").alias("page_name"), F.lit(None).cast("string").alias("page_html"), F.col("content").alias("data"))
+    if images is not None:
+        used = pages.select("work_id", F.explode(F.array_distinct(F.regexp_extract_all("page_html", F.lit(r'<img src="img/([^"]+)"'), 1))).alias("_shown"))
+        shown = images.withColumn("_shown", escape_html(F.col("img"))).join(used, ["work_id", "_shown"], "left_semi")
+        rows = rows.unionByName(as_rows(shown, "img"))
+    if covers is not None:
+        rows = rows.unionByName(as_rows(covers.join(pages.select("work_id"), "work_id", "left_semi"), "cover"))
+    rows = rows.join(info.select("work_id", F.col("title").alias("book_title"), "author"), "work_id", "left")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("play_order")
+        files = {k: [(p.page_name, bytes(p.data)) for p in pdf[pdf.kind == k].itertuples()] for k in ("img", "cover")}
         work, title = pdf.work_id.iloc[0], pdf.book_title.iloc[0]
         title = title if isinstance(title, str) else UNSET
         author = pdf.author.iloc[0] if isinstance(pdf.author.iloc[0], str) else UNSET
-        made = archive([(p.page_name, p.kind, p.title, None if pd.isna(p.vol_no) else int(p.vol_no), p.page_html) for p in pdf.itertuples()], title, author, css, f"urn:quire:{work}", modified)
+        pdf = pdf[~pdf.kind.isin(list(files))].sort_values("play_order")
+        made = archive(
+            [(p.page_name, p.kind, p.title, None if pd.isna(p.vol_no) else int(p.vol_no), p.page_html) for p in pdf.itertuples()], title, author, css, f"urn:quire:{work}", modified, dict(files["img"]), next(iter(files["cover"]), None)
+        )
         return pd.DataFrame({"work_id": [work], "file_name": [f"{title}.epub"], "content": [made]})
 
     return rows.groupBy("work_id").applyInPandas(build, f"work_id {pages.schema['work_id'].dataType.simpleString()}, file_name string, content binary")

@@ -340,7 +340,7 @@ def epub_pages(spark, d):
 def epub_archives(spark, d):
     bodies = publish.resolved_titles(V.documents(spark, d).select(V.work().alias("work_id"), X.pad3(F.col("doc_id") % V.WORK_SIZE).alias("chapter_key"), F.col("doc_id").cast("string").alias("file_title"), "text"))
     items = volumes.spine(V.numbered(spark, d), _volumes(spark, d)).join(bodies.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
-    pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")))
+    pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")), config.CHAPTER_STYLE, config.VOLUME_STYLE)
     info = pages.select("work_id").distinct().select("work_id", F.concat(F.lit("Work "), F.col("work_id").cast("string")).alias("title"), F.lit("A. Writer").alias("author"))
     css = publish.style_sheet(config.CHAPTER_STYLE, config.VOLUME_STYLE)
     return publish.books(pages, info, css, "2020-01-01T00:00:00Z").select("work_id", "file_name", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
