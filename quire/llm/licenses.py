@@ -1,12 +1,16 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences; sentences that mention licensing are normalised
-(lower case, only letters, digits and . + - kept) and mapped to identifiers of known
-licence sentences. The identifiers of a text, in order, are matched against licence
-rules: the first rule that fits takes its identifiers away, then the next is tried.
+(lower case, words of letters, digits and inner . + -) and mapped to identifiers of
+known licence sentences: for each family of sentences the first pattern that fits. An
+SPDX line gives one identifier for each name of its expression, a Creative Commons
+name one with its version. The identifiers of a text, in order, are matched against
+licence rules: the first rule that fits takes its identifiers away, then the next is
+tried.
 
 Only built-in expressions that DuckDB has too are used (no look-around), and
-``scan_sql`` is the same scan as SQL, generated from the same tables.
+``scan_sql`` is the same scan as SQL, generated from the same tables; the tests hold
+the tables themselves against licence texts and a plain matcher.
 """
 
 from __future__ import annotations
@@ -17,125 +21,230 @@ from pyspark.sql import functions as F
 MARK = "\x1e"
 #: Where a sentence ends: (pattern, replacement) in order; groups are written \1 and turned to each engine's form.
 CUTS = [
+    (r"\b(Inc|Ltd|Corp|Co|LLC|Mr|Dr|St|No|al|etc|[vV])\.([ \t\r\n]+[a-z0-9])", r"\1 \2"),  # not after an abbreviation
+    (r";([ \t\r\n#*/>-]+either)", r" \1"),  # nor before the version of a GNU notice
+    (r"((?i:SPDX-License-Identifier)[^\n]*)\n", r"\1" + MARK),
     (r"([.!?;])[ \t\r\n]+", r"\1" + MARK),
     (r"\n[ \t\r]*\n", MARK),
     (r"\n([ \t#*/>-]*(?:Licensed|Released|Distributed|Dual|This|Permission|Redistribution|Copyright|SPDX|The above|THE SOFTWARE|THIS SOFTWARE|Neither|You may|All rights|Under the|See the|If not))", MARK + r"\1"),
 ]
-MENTIONS = "licen[sc]e|copyright|permission|warrant|redistribut|spdx|public domain|all rights reserved|merchantab"
-# Known licence sentences as patterns over normalised sentences, the first that fits names the sentence.
-SENTENCES = [
-    ("spdx_mit", r"spdx-license-identifier mit\b"),
-    ("spdx_apache2", r"spdx-license-identifier apache-2\.0"),
-    ("spdx_bsd3", r"spdx-license-identifier bsd-3-clause"),
-    ("spdx_bsd2", r"spdx-license-identifier bsd-2-clause"),
-    ("spdx_gpl3", r"spdx-license-identifier gpl-3\.0"),
-    ("spdx_gpl2", r"spdx-license-identifier gpl-2\.0"),
-    ("spdx_mpl2", r"spdx-license-identifier mpl-2\.0"),
-    ("cc_by_nc_sa", r"licen[sc]ed under (?:a |the )?(?:cc by-nc-sa|creative commons attribution-noncommercial-sharealike) ?(?:[0-9.]+)?"),
-    ("cc_by_nc_nd", r"licen[sc]ed under (?:a |the )?(?:cc by-nc-nd|creative commons attribution-noncommercial-noderiv[a-z]*) ?(?:[0-9.]+)?"),
-    ("cc_by_nc", r"licen[sc]ed under (?:a |the )?(?:cc by-nc|creative commons attribution-noncommercial) ?(?:[0-9.]+)?"),
-    ("cc_by_sa", r"licen[sc]ed under (?:a |the )?(?:cc by-sa|creative commons attribution-sharealike) ?(?:[0-9.]+)?"),
-    ("cc_by", r"licen[sc]ed under (?:a |the )?(?:cc by|creative commons attribution)\b ?(?:[0-9.]+)?"),
-    ("cc0", r"(?:cc0|creative commons zero|dedicated to the public domain|released into the public domain)"),
-    ("apache2_ref", r"(?:licen[sc]ed|released|distributed) under the apache license version 2\.0"),
-    ("apache2_comply", r"you may not use this file except in compliance with the license"),
-    ("apache2_copy", r"you may obtain a copy of the license at"),
-    ("apache2_asis", r"unless required by applicable law or agreed to in writing"),
-    ("mit_ref", r"(?:licen[sc]ed|released|distributed) under the (?:terms of the )?(?:mit|expat) license"),
-    ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc_grant", r"permission to use copy modify and ?(?:or)? distribute this software for any purpose"),
-    ("asis_software", r"(?:the|this) software is provided (?:by [a-z ]+ )?as is"),
-    ("bsd_ref", r"(?:licen[sc]ed|released|distributed) under (?:the|a) (?:new |modified |simplified |[23]-clause )?bsd(?:-style)? license"),
-    ("bsd_intro", r"redistribution and use in source and binary forms"),
-    ("bsd_source", r"redistributions of source code must retain"),
-    ("bsd_binary", r"redistributions in binary form must reproduce"),
-    ("bsd_endorse", r"neither the name of"),
-    ("agpl_ref", r"under (?:the terms of )?the gnu affero general public license(?: as published)?.*version 3"),
-    ("lgpl_ref", r"under (?:the terms of )?the gnu (?:lesser|library) general public license"),
-    ("gpl3_ref", r"under (?:the terms of )?the gnu general public license.*version 3"),
-    ("gpl2_ref", r"under (?:the terms of )?the gnu general public license.*version 2"),
-    ("gpl_ref", r"under (?:the terms of )?the gnu general public license"),
-    ("gpl_hope", r"distributed in the hope that it will be useful"),
-    ("gpl_see", r"see the gnu (?:affero |lesser )?general public license for more details"),
-    ("gpl_received", r"you should have received a copy of the gnu"),
-    ("mpl2_ref", r"subject to the terms of the mozilla public license v\. 2\.0"),
-    ("mpl2_copy", r"if a copy of the mpl was not distributed with this file"),
-    ("copyright", r"^copyright\b"),
-    ("rights", r"all rights reserved"),
+MENTIONS = r"licen[sc]e|copyright|permission|warrant|redistribut|spdx|public domain|all rights reserved|merchantab|\bmpl\b|\b[al]?gpl|\bgnu\b|creative commons|\bcc0\b|\bcc[ -]by|advertising materials"
+#: Of a lower-cased sentence: other characters, then marks around words, become blanks.
+NORMAL = [("[^a-z0-9.+-]+", " "), (r"[.-]+( |$)", r"\1"), (r"(^| )[.+-]+", r"\1")]
+
+# SPDX short identifiers.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 "
+    "CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 "
+    "GFDL-1.3 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later "
+    "MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1 "
+    "Classpath-exception-2.0 GCC-exception-3.1 LLVM-exception Linux-syscall-note"
+).split()
+#: Names of SPDX identifiers as normalised sentences spell them; a + stands for "or later".
+SPDX_NAMES = {s.lower(): s for s in SPDX} | {f"{f}-{v}+".lower(): f"{f}-{v}-or-later" for f, vs in (("GPL", "1.0 2.0 3.0"), ("LGPL", "2.0 2.1 3.0"), ("AGPL", "1.0 3.0")) for v in vs.split()}
+SPDX_LINE = r"\bspdx-license-identifier (.*)$"
+
+CC_KINDS = [("by-nc-sa", "attribution[ -]noncommercial[ -]sharealike"), ("by-nc-nd", "attribution[ -]noncommercial[ -]noderiv[a-z]*"), ("by-nc", "attribution[ -]noncommercial"), ("by-sa", "attribution[ -]sharealike"), ("by-nd", "attribution[ -]noderiv[a-z]*"), ("by", "attribution")]
+CC_VERSION = r"(?:\bcc[ -]by[a-z-]*[ -]|(?:attribution|sharealike|noncommercial|noderiv[a-z]*|international|unported|license|licence|version) )v?([1-4]\.[0-9])\b"
+
+_UNDER = "under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
+
+
+def _gnu(short: str, long: str, versions: list[str]) -> list[tuple[str, str]]:
+    """The sentences that name a GNU licence: each version or a later one, each version, and without a version."""
+    name, out = rf"(?:gnu {long}general public licen[sc]e|\bgnu {short}\b|\b{short}\b)", []
+    for v in versions:
+        digits = v.removesuffix(".0") + (r"(?:\.0)?" if v.endswith(".0") else "")
+        number = rf"(?:{name}.*\bversion {digits.replace('2.1', '2[.]1')}|{name} ?(?:version |v ?)?{digits.replace('2.1', '2[.]1')}|\b{short}[v-]+{digits.replace('2.1', '2[.]1')})"
+        out.append((f"{short}{v}_later", rf"{number}(?:\+| .*\b(?:later|newer)\b| (?:later|newer)\b)"))
+        out.append((f"{short}{v}", rf"{number}(?: |$)"))
+    return [*out, (short, name)]
+
+
+# Known licence sentences as patterns over normalised sentences, by family.
+FAMILIES: list[list[tuple[str, str]]] = [
+    [
+        ("apache2_comply", "you may not use this (?:file|work|software) except in compliance with the license"),
+        ("apache2_copy", "you may obtain a copy of the license at"),
+        ("apache2_asis", "unless required by applicable law or agreed to in writing"),
+        ("apache2_ref", r"\bapache[- ](?:(?:software )?licen[sc]e )?(?:version |v ?)?2(?:\.0)?\b"),
+        ("apache_ref", r"\bapache (?:software )?licen[sc]e\b"),
+    ],
+    [
+        ("bsl_grant", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+        ("mit_grant", "permission is hereby granted free of charge to any person obtaining a copy"),
+        ("isc_grant", "permission to use copy modify and ?(?:or )?distribute this software (?:and its documentation )?for any purpose"),
+        ("mit_notice", "the above copyright notice and this permission notice (?:shall be included|appear) in all copies"),
+        ("zlib_grant", "permission is granted to anyone to use this software for any purpose"),
+        ("mit_ref", rf"\b(?:mit|expat)(?:-style| style)? licen[sc]es?\b|{_UNDER}(?:mit|expat)\b|\blicen[sc]e mit\b|\b(?:and|or) (?:the )?mit\b"),
+        ("isc_ref", rf"\bisc licen[sc]es?\b|{_UNDER}isc\b|\blicen[sc]e isc\b"),
+        ("zlib_ref", rf"\bzlib licen[sc]es?\b|{_UNDER}zlib\b"),
+        ("bsl_ref", r"\bboost software licen[sc]e\b"),
+        ("wtfpl", r"\bwtfpl\b|\bdo what the fuck you want to public licen[sc]e\b"),
+    ],
+    [
+        ("bsd_intro", "redistribution and use in source and binary forms"),
+        ("bsd_source", "redistributions? of source code must retain"),
+        ("bsd_binary", "redistributions? in binary form must reproduce"),
+        ("bsd_advert", "all advertising materials mentioning features"),
+        ("bsd_endorse", "neither the names? of|may (?:not )?be used to endorse or promote"),
+        ("bsd4_ref", r"\bbsd[- ]4[- ]clause\b|\b(?:4-clause|four-clause|original) bsd\b"),
+        ("bsd3_ref", r"\bbsd[- ]3[- ]clause\b|\b(?:3-clause|three-clause|new|modified|revised) bsd\b"),
+        ("bsd2_ref", r"\bbsd[- ]2[- ]clause\b|\b(?:2-clause|two-clause|simplified) bsd\b|\bfreebsd licen[sc]e\b"),
+        ("bsd_ref", rf"\bbsd(?:-style| style)? licen[sc]es?\b|{_UNDER}bsd\b|\blicen[sc]e bsd\b"),
+    ],
+    [("asis_software", "(?:the|this) software is provided (?:by [a-z0-9 .-]+ )?as[ -]is")],
+    [
+        ("gpl_hope", "distributed in the hope that it will be useful"),
+        ("gpl_see", "see the gnu (?:affero |lesser |library )?general public license for more details"),
+        ("gpl_received", "received a copy of the gnu"),
+        *_gnu("agpl", "affero ", ["3.0"]),
+        *_gnu("lgpl", "(?:lesser |library )", ["2.1", "2.0", "3.0"]),
+        *_gnu("gpl", "", ["2.0", "3.0", "1.0"]),
+    ],
+    [
+        ("mpl2_copy", "if a copy of the mpl was not distributed with this"),
+        ("mpl2_ref", r"\bmozilla public licen[sc]e (?:version |v ?)?2(?:\.0)?\b|\bmpl[ -](?:version |v ?)?2(?:\.0)?\b"),
+        ("mpl1_ref", r"\bmozilla public licen[sc]e (?:version |v ?)?1\.1\b|\bmpl[ -](?:version |v ?)?1\.1\b"),
+        ("epl2_ref", r"\beclipse public licen[sc]e (?:- )?(?:version |v ?)?2\b|\bepl[ -](?:v ?)?2\b"),
+        ("epl1_ref", r"\beclipse public licen[sc]e (?:- )?(?:version |v ?)?1\b|\bepl[ -](?:v ?)?1\b"),
+        ("ofl_ref", r"\bsil open font licen[sc]e\b"),
+        ("artistic2_ref", r"\bartistic licen[sc]e (?:version |v ?)?2\b"),
+    ],
+    [
+        ("unlicense", r"\bfree and unencumbered software\b|\bunlicense\b"),
+        ("cc0", r"\bcc0\b|\bcreative commons zero\b"),
+        ("public_domain", r"\b(?:dedicat|releas|plac|put)[a-z]* .*\bthe public domain\b|\b(?:is|are) in the public domain\b|\b(?:dedicated|released|placed|put) (?:to|into|in) the public domain\b"),
+    ],
+    [("rights", "all rights reserved")],
 ]
-# Licence rules over the sequence of identifiers, each written ;id; the first rule that fits wins.
-RULES = [
-    ("MIT", r";mit_grant(?:;mit_notice)?(?:;asis_software)?"),
-    ("ISC", r";isc_grant(?:;mit_notice)?(?:;asis_software)?"),
-    ("BSD-3-Clause", r";bsd_intro(?:;bsd_source)?(?:;bsd_binary)?;bsd_endorse(?:;asis_software)?"),
-    ("BSD-2-Clause", r";bsd_intro;bsd_source(?:;bsd_binary)?(?:;asis_software)?"),
-    ("Apache-2.0", r"(?:;apache2_ref(?:;apache2_comply)?(?:;apache2_copy)?(?:;apache2_asis)?|;apache2_comply;apache2_copy|;spdx_apache2)"),
-    ("MPL-2.0", r"(?:;mpl2_ref(?:;mpl2_copy)?|;spdx_mpl2)"),
-    ("AGPL-3.0", r";agpl_ref(?:;gpl_hope)?(?:;gpl_see)?(?:;gpl_received)?"),
-    ("LGPL", r";lgpl_ref(?:;gpl_hope)?(?:;gpl_see)?(?:;gpl_received)?"),
-    ("GPL-3.0", r"(?:;gpl3_ref(?:;gpl_hope)?(?:;gpl_see)?(?:;gpl_received)?|;spdx_gpl3)"),
-    ("GPL-2.0", r"(?:;gpl2_ref(?:;gpl_hope)?(?:;gpl_see)?(?:;gpl_received)?|;spdx_gpl2)"),
-    ("GPL", r";gpl_ref(?:;gpl_hope)?(?:;gpl_see)?(?:;gpl_received)?"),
-    ("CC-BY-NC-SA", r";cc_by_nc_sa\b"),
-    ("CC-BY-NC-ND", r";cc_by_nc_nd\b"),
-    ("CC-BY-NC", r";cc_by_nc(?:;|$)"),
-    ("CC-BY-SA", r";cc_by_sa\b"),
-    ("CC-BY", r";cc_by(?:;|$)"),
-    ("CC0-1.0", r";cc0\b"),
-    ("MIT", r"(?:;mit_ref|;spdx_mit)\b"),
-    ("BSD", r"(?:;bsd_ref|;spdx_bsd3|;spdx_bsd2)\b"),
-    ("All-Rights-Reserved", r";rights\b"),
+COPYRIGHT = r"^(?:c )?copyright\b"
+
+
+def _sequence(*ids: str) -> str:
+    """A pattern over the identifiers of a text, each written ;id; - those with ? may be missing, with * come any number of times."""
+    return "".join(f"(?:;{i.rstrip('?*')};)" + i[len(i.rstrip("?*")) :] for i in ids)
+
+
+_GPL_REST = ("gpl_hope?", "gpl_see?", "gpl_received?")
+# Licence rules over the sequence of identifiers; the first rule that fits wins.
+RULES: list[tuple[str, str]] = [
+    ("Unlicense", _sequence("unlicense", "public_domain*", "asis_software?")),
+    ("BSL-1.0", _sequence("bsl_ref?", "bsl_grant", "asis_software?") + "|" + _sequence("bsl_ref")),
+    ("MIT", _sequence("mit_ref?", "mit_grant", "mit_notice?", "asis_software?")),
+    ("ISC", _sequence("isc_ref?", "isc_grant", "mit_notice?", "asis_software?")),
+    ("Zlib", _sequence("zlib_ref?", "asis_software?", "zlib_grant") + "|" + _sequence("zlib_ref")),
+    ("BSD-4-Clause", _sequence("bsd_intro", "bsd_source?", "bsd_binary?", "bsd_advert", "bsd_endorse?", "asis_software?") + "|" + _sequence("bsd4_ref")),
+    ("BSD-3-Clause", _sequence("bsd_intro", "bsd_source?", "bsd_binary?", "bsd_endorse", "asis_software?") + "|" + _sequence("bsd3_ref")),
+    ("BSD-2-Clause", _sequence("bsd_intro", "bsd_source", "bsd_binary?", "asis_software?") + "|" + _sequence("bsd2_ref")),
+    ("Apache-2.0", _sequence("apache2_ref", "apache2_comply?", "apache2_copy?", "apache2_ref*", "apache2_asis?") + "|" + _sequence("apache2_comply", "apache2_copy")),
+    ("MPL-2.0", _sequence("mpl2_ref", "mpl2_copy?")),
+    ("MPL-1.1", _sequence("mpl1_ref")),
+    ("EPL-2.0", _sequence("epl2_ref")),
+    ("EPL-1.0", _sequence("epl1_ref")),
+    ("OFL-1.1", _sequence("ofl_ref")),
+    ("Artistic-2.0", _sequence("artistic2_ref")),
+    *[
+        (f"{family.upper()}-{v}{'-or-later' if later else ''}", _sequence(f"{family}{v}{later}", *_GPL_REST))
+        for family, versions in (("agpl", ["3.0"]), ("lgpl", ["2.0", "2.1", "3.0"]), ("gpl", ["1.0", "2.0", "3.0"]))
+        for v in versions
+        for later in ("_later", "")
+    ],
+    *[(family.upper(), _sequence(family, *_GPL_REST)) for family in ("agpl", "lgpl", "gpl")],
+    ("CC0-1.0", _sequence("cc0", "public_domain*")),
+    ("WTFPL", _sequence("wtfpl")),
+    ("MIT", _sequence("mit_ref")),
+    ("ISC", _sequence("isc_ref")),
+    ("BSD", _sequence("bsd_ref")),
+    ("Apache", _sequence("apache_ref")),
+    ("Public-Domain", _sequence("public_domain")),
 ]
+#: Only where no rule has fitted: a reservation stands beside nearly every licence.
+LAST_RULE = ("All-Rights-Reserved", _sequence("rights"))
+
+
+def _java(replacement: str) -> str:
+    return replacement.replace("\\", "$")
 
 
 def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9.+-]+", " "))
+    out = F.lower(sentence)
+    for pattern, into in NORMAL:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(_java(into)))
+    return F.trim(out)
+
 
+def _spdx_ids(sentence: Column) -> Column:
+    names = F.array(*map(F.lit, SPDX_NAMES))
+    words = F.filter(F.split(F.regexp_extract(sentence, SPDX_LINE, 1), " "), lambda w: ~w.isin("and", "or", "with", ""))
+    wanted = F.filter(words, lambda w, k: (k == 0) | F.array_contains(names, w) | w.startswith("licenseref-"))
+    return F.transform(wanted, lambda w: F.concat(F.lit("spdx:"), w))
 
-def _identifier(sentence: Column) -> Column:
-    found = F.lit("unknown")
-    for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(found)
-    return found
 
+def _cc_id(sentence: Column) -> Column:
+    kind = F.lit(None).cast("string")
+    for code, name in reversed(CC_KINDS):
+        kind = F.when(sentence.rlike(rf"\bcc[ -]{code}\b|\bcreative commons {name}\b"), F.lit(f"cc:{code}")).otherwise(kind)
+    version = F.regexp_extract(sentence, CC_VERSION, 1)
+    return F.when(version == "", kind).otherwise(F.concat(kind, F.lit("-"), version))
 
-def sentence_ids(text: Column) -> Column:
-    """array<string>: the identifiers of the licence sentences of a text, in order; unknown for those that fit no pattern."""
+
+def _identifiers(sentence: Column) -> Column:
+    """array<string> of a normalised sentence; unknown, or copyright for a notice, if no family has it."""
+    found = []
+    for family in FAMILIES:
+        first = F.lit(None).cast("string")
+        for name, pattern in reversed(family):
+            first = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(first)
+        found.append(first)
+    plain = F.array_compact(F.array(*found, _cc_id(sentence)))
+    other = F.array(F.when(sentence.rlike(COPYRIGHT), F.lit("copyright")).otherwise(F.lit("unknown")))
+    return F.when(sentence.rlike(SPDX_LINE), _spdx_ids(sentence)).when(F.size(plain) > 0, plain).otherwise(other)
+
+
+def _sentences(text: Column) -> Column:
     marked = text
     for pattern, into in CUTS:
-        marked = F.regexp_replace(marked, F.lit(pattern), F.lit(into.replace("\\1", "$1")))
-    near = F.filter(F.split(marked, MARK), lambda s: F.lower(s).rlike(MENTIONS))
-    known = F.transform(near, lambda s: _identifier(_normalised(s)))
-    return F.when(F.lower(text).rlike(MENTIONS), known).otherwise(F.array().cast("array<string>"))
+        marked = F.regexp_replace(marked, F.lit(pattern), F.lit(_java(into)))
+    return F.filter(F.split(marked, MARK), lambda s: F.lower(s).rlike(MENTIONS))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_unknown, sentence_ids, licenses) for every row of docs (doc_id, text, ...).
 
-    sentence_ids and licenses are comma-joined, licences in the order of the rules. Null and empty texts have
-    none of either. Repeated rows stay, null doc_ids stay null, other columns are ignored, an empty table gives no rows.
+    n_sentences are those that mention licensing, n_unknown those of them that no family has. sentence_ids and
+    licenses are comma-joined: identifiers in text order; licences named by SPDX lines and Creative Commons names
+    in text order, then the others in the order of the rules, each once. Null and empty texts have none of
+    either. Repeated rows stay, null doc_ids stay null, other columns are ignored, an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentence_ids(text).alias("ids"))
-    # ;a;b;; keeps a separator behind each identifier that a rule can look at
-    known = F.array_join(F.transform(F.filter("ids", lambda i: (i != "unknown") & (i != "copyright")), lambda i: F.concat(F.lit(";"), i)), "")
-    step = step.withColumn("rest", known).withColumn("licenses", F.lit(""))
-    licensed = F.array().cast("array<string>")
+    none = F.array().cast("array<array<string>>")
+    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.lower(text).rlike(MENTIONS), F.transform(_sentences(text), lambda s: _identifiers(_normalised(s)))).otherwise(none).alias("by_sentence"))
+    step = step.withColumn("ids", F.flatten("by_sentence"))
+    names = F.create_map(*[F.lit(x) for pair in SPDX_NAMES.items() for x in pair])
+    named = F.transform(
+        F.filter("ids", lambda i: i.startswith("spdx:") | i.startswith("cc:")),
+        lambda i: F.when(i.startswith("cc:"), F.upper(F.replace(i, F.lit(":"), F.lit("-")))).otherwise(F.coalesce(F.element_at(names, F.substring(i, 6, 1000)), F.substring(i, 6, 1000))),
+    )
+    rest = F.array_join(F.transform(F.filter("ids", lambda i: ~i.isin("unknown", "copyright") & ~i.contains(":")), lambda i: F.concat(F.lit(";"), i, F.lit(";"))), "")
+    step = step.withColumn("rest", rest).withColumn("named", named)
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
 
     def apply(acc: Column, rule: Column) -> Column:
         fits = F.regexp(acc["rest"], rule["pattern"])
-        rest = F.regexp_replace(acc["rest"], rule["pattern"], F.lit(";"))
-        return F.struct(F.when(fits, rest).otherwise(acc["rest"]).alias("rest"), F.when(fits, F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"))
+        taken = F.regexp_replace(acc["rest"], rule["pattern"], F.lit("|"))
+        return F.struct(F.when(fits, taken).otherwise(acc["rest"]).alias("rest"), F.when(fits, F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(rules, F.struct(F.col("rest").alias("rest"), licensed.alias("found")), apply, lambda acc: F.array_join(F.array_distinct(acc["found"]), ","))
+    found = F.aggregate(rules, F.struct(F.col("rest").alias("rest"), F.col("named").alias("found")), apply, lambda acc: acc["found"])
+    found = F.when(F.col("rest") == "", F.col("named")).otherwise(found)
+    step = step.withColumn("found", F.array_distinct(found))
+    reserved = (F.size("found") == 0) & F.col("rest").rlike(LAST_RULE[1])
     return step.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_sentences"),
+        F.size("by_sentence").cast("long").alias("n_sentences"),
         F.size(F.filter("ids", lambda i: i == "unknown")).cast("long").alias("n_unknown"),
         F.array_join("ids", ",").alias("sentence_ids"),
-        F.when(F.col("rest") == "", F.lit("")).otherwise(found).alias("licenses"),
+        F.when(reserved, F.lit(LAST_RULE[0])).otherwise(F.array_join("found", ",")).alias("licenses"),
     )
 
 
@@ -147,20 +256,34 @@ def scan_sql(table: str = "documents") -> str:
     for pattern, into in CUTS:
         parts = [mark if x == MARK else q(x) for x in (into.replace(MARK, "\x00" + MARK + "\x00").split("\x00")) if x]
         marked = f"regexp_replace({marked}, {q(pattern)}, {' || '.join(parts)}, 'g')"
-    cases = " ".join(f"WHEN regexp_matches(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES)
+    normal = "lower(s)"
+    for pattern, into in NORMAL:
+        normal = f"regexp_replace({normal}, {q(pattern)}, {q(into)}, 'g')"
+    first = lambda family: "CASE " + " ".join(f"WHEN regexp_matches(s, {q(p)}) THEN {q(n)}" for n, p in family) + " END"
+    cc = "CASE " + " ".join(f"WHEN regexp_matches(s, {q(rf'\bcc[ -]{code}\b|\bcreative commons {name}\b')}) THEN {q('cc:' + code)}" for code, name in CC_KINDS) + " END"
+    version = f"regexp_extract(s, {q(CC_VERSION)}, 1)"
+    known = "[" + ", ".join(map(q, SPDX_NAMES)) + "]"
+    words = f"list_filter(string_split(regexp_extract(s, {q(SPDX_LINE)}, 1), ' '), lambda w: w NOT IN ('and', 'or', 'with', ''))"
+    spdx = f"list_transform(list_filter({words}, lambda w, k: k = 1 OR list_contains({known}, w) OR starts_with(w, 'licenseref-')), lambda w: 'spdx:' || w)"
+    plain = f"list_filter([{', '.join(map(first, FAMILIES))}, ({cc}) || CASE WHEN {version} = '' THEN '' ELSE '-' || {version} END], lambda x: x IS NOT NULL)"
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in SPDX_NAMES.items()) + "}"
     steps, at = [], "r0"
     for k, (name, pattern) in enumerate(RULES, 1):
         steps.append(
-            f"r{k} AS (SELECT doc_id, row_no, ids, regexp_replace(rest, {q(pattern)}, ';', 'g') AS rest, found || CASE WHEN regexp_matches(rest, {q(pattern)}) AND NOT list_contains(found, {q(name)}) THEN [{q(name)}] ELSE [] END AS found FROM {at})"
+            f"r{k} AS (SELECT doc_id, row_no, n_sentences, ids, regexp_replace(rest, {q(pattern)}, '|', 'g') AS rest, found || CASE WHEN regexp_matches(rest, {q(pattern)}) AND NOT list_contains(found, {q(name)}) THEN [{q(name)}] ELSE [] END AS found FROM {at})"
         )
         at = f"r{k}"
     return f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS row_no, text FROM {table}),
 parts AS (SELECT row_no, unnest(string_split({marked}, {mark})) AS s, unnest(range(len(string_split({marked}, {mark})))) AS k FROM docs),
-near AS (SELECT row_no, k, trim(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g')) AS s FROM parts WHERE regexp_matches(lower(s), {q(MENTIONS)})),
-named AS (SELECT row_no, k, CASE {cases} ELSE 'unknown' END AS id FROM near),
-lists AS (SELECT row_no, list(id ORDER BY k) AS ids, coalesce(string_agg(';' || id, '' ORDER BY k) FILTER (id <> 'unknown' AND id <> 'copyright'), '') AS rest FROM named GROUP BY row_no),
-r0 AS (SELECT docs.doc_id, docs.row_no, coalesce(ids, []) AS ids, coalesce(rest, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM docs LEFT JOIN lists ON docs.row_no = lists.row_no),
+near AS (SELECT row_no, k, trim({normal}) AS s FROM parts WHERE regexp_matches(lower(s), {q(MENTIONS)})),
+families AS (SELECT row_no, k, s, {plain} AS found FROM near),
+named AS (SELECT row_no, k, CASE WHEN regexp_matches(s, {q(SPDX_LINE)}) THEN {spdx} WHEN len(found) > 0 THEN found WHEN regexp_matches(s, {q(COPYRIGHT)}) THEN ['copyright'] ELSE ['unknown'] END AS ids FROM families),
+lists AS (SELECT row_no, count(*) AS n_sentences, flatten(list(ids ORDER BY k)) AS ids FROM named GROUP BY row_no),
+joined AS (SELECT docs.doc_id, docs.row_no, coalesce(n_sentences, 0) AS n_sentences, coalesce(ids, []) AS ids FROM docs LEFT JOIN lists ON docs.row_no = lists.row_no),
+r0 AS (SELECT doc_id, row_no, n_sentences, ids, array_to_string(list_transform(list_filter(ids, lambda i: i NOT IN ('unknown', 'copyright') AND NOT contains(i, ':')), lambda i: ';' || i || ';'), '') AS rest,
+  list_transform(list_filter(ids, lambda i: contains(i, ':')), lambda i: CASE WHEN starts_with(i, 'cc:') THEN upper(replace(i, ':', '-')) ELSE coalesce({names}[substr(i, 6)], substr(i, 6)) END) AS named,
+  CAST(list_filter(named, lambda x, k: list_position(named, x) = k) AS VARCHAR[]) AS found FROM joined),
 {", ".join(steps)}
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, CAST(len(list_filter(ids, lambda i: i = 'unknown')) AS BIGINT) AS n_unknown,
-array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses FROM {at}"""
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(len(list_filter(ids, lambda i: i = 'unknown')) AS BIGINT) AS n_unknown,
+array_to_string(ids, ',') AS sentence_ids, CASE WHEN len(found) = 0 AND regexp_matches(rest, {q(LAST_RULE[1])}) THEN {q(LAST_RULE[0])} ELSE array_to_string(found, ',') END AS licenses FROM {at}"""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quire.llm import licenses
@@ -14,26 +16,156 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 Redistributions of source code must retain the above copyright notice.
 Redistributions in binary form must reproduce the above copyright notice.
 {}THIS SOFTWARE IS PROVIDED BY THE AUTHORS "AS IS"; no warranty is given."""
+BSD3_GOOGLE = """Copyright 2010, Google Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+    * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+    * Neither the name of Google Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+BSD4 = BSD3_GOOGLE.replace("    * Neither", "    * All advertising materials mentioning features or use of this software must display a notice.\n    * Neither")
+GPL2_LATER = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License along
+# with this program."""
+LGPL21_LATER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+See the GNU Lesser General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications."""
 CASES = {
     "Prose.\nReleased under the MIT License.": "MIT",
-    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
     "Licensed### under%%% the Apache License,*** Version 2.0.": "Apache-2.0",
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
     "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
     MIT: "MIT",
     BSD.format("Neither the name of the holder may be used without permission.\n"): "BSD-3-Clause",
     BSD.format(""): "BSD-2-Clause",
-    "Released under the MIT License. Licensed under CC BY-SA 4.0.": "CC-BY-SA,MIT",
+    "Released under the MIT License. Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0,MIT",
     "A licence to dream; permission denied.": "",
     "": "",
     None: "",
+    BSD3_GOOGLE: "BSD-3-Clause",
+    BSD4: "BSD-4-Clause",
+    GPL2_LATER: "GPL-2.0-or-later",
+    GPL2_LATER.replace("General", "Affero General").replace("version 2", "version 3"): "AGPL-3.0-or-later",
+    LGPL21_LATER: "LGPL-2.1-or-later",
+    MPL: "MPL-2.0",
+    UNLICENSE: "Unlicense",
+    APACHE: "Apache-2.0",
+    ISC: "ISC",
+    ZLIB: "Zlib",
+    "# SPDX-License-Identifier: MIT OR Apache-2.0\nimport os": "MIT,Apache-2.0",
+    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */\nint x;": "GPL-2.0-only,Linux-syscall-note,BSD-3-Clause",
+    "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0",
+    "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
+    "-- SPDX-License-Identifier: ISC": "ISC",
+    "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+    "SPDX-License-Identifier: LicenseRef-Own-1": "licenseref-own-1",
+    "Apache-2.0 license": "Apache-2.0",
+    "Licensed under MIT": "MIT",
+    "Dual licensed under the MIT and Apache 2.0 licenses.": "Apache-2.0,MIT",
+    "Licensed under either of Apache License, Version 2.0 or the MIT license at your option.": "Apache-2.0,MIT",
+    "License: GPLv3+": "GPL-3.0-or-later",
+    "Under the LGPL-2.1 license.": "LGPL-2.1",
+    "Licensed under the GNU GPL version 2 or later.": "GPL-2.0-or-later",
+    "Licensed under the 3-clause BSD license.": "BSD-3-Clause",
+    "Licensed under the BSD license.": "BSD",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+    "To the extent possible, this is dedicated to the public domain.": "Public-Domain",
+    "Released under CC0.": "CC0-1.0",
+    "Copyright 2020 Someone. All rights reserved.": "All-Rights-Reserved",
+    "Copyright 2020 Someone. All rights reserved. Licensed under the MIT License.": "MIT",
 }
 
 
+def plain_sequence(ids):
+    """Licences of an identifier sequence by walking it, without the rules' patterns: names and full texts only."""
+    names = {"mit_ref": "MIT", "mit_grant": "MIT", "isc_grant": "ISC", "isc_ref": "ISC", "zlib_grant": "Zlib", "unlicense": "Unlicense", "apache2_ref": "Apache-2.0", "mpl2_ref": "MPL-2.0", "bsd_ref": "BSD", "bsd3_ref": "BSD-3-Clause", "cc0": "CC0-1.0"}
+    out = {names[i] for i in ids if i in names}
+    for family in ("agpl", "lgpl", "gpl"):
+        for i in ids:
+            if i.startswith(family) and i not in ("gpl_hope", "gpl_see", "gpl_received"):
+                version, _, later = i.removeprefix(family).partition("_")
+                out.add("-".join(x for x in (family.upper(), version, "or-later" if later else "") if x))
+    if "bsd_intro" in ids:
+        out.add("BSD-4-Clause" if "bsd_advert" in ids else "BSD-3-Clause" if "bsd_endorse" in ids else "BSD-2-Clause")
+    if "public_domain" in ids and not out & {"Unlicense", "CC0-1.0"}:
+        out.add("Public-Domain")
+    for i in ids:
+        if i.startswith("cc:"):
+            out.add(i.replace(":", "-").upper())
+        if i.startswith("spdx:"):
+            out.add({k.lower(): k for k in licenses.SPDX}.get(i[5:], "GPL-2.0-or-later" if i == "spdx:gpl-2.0+" else i[5:]))
+    return out or ({"All-Rights-Reserved"} if "rights" in ids else set())
+
+
+def test_rules_match_a_plain_walk(spark):
+    texts = [t for t in CASES if t]
+    r = random.Random(2)
+    for _ in range(60):
+        texts.append("\n\n".join(["Some prose about nothing."] + [t for t in r.sample(texts[: len(CASES) - 2], 2)]))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in got:
+        assert set(filter(None, row.licenses.split(","))) == plain_sequence(row.sentence_ids.split(",")), texts[row.doc_id]
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(CASES)] + [(None, None, "x"), (0, list(CASES)[0], "x")], "doc_id long, text string, licenses string")
     got = licenses.scan(df)
-    assert {r.doc_id: r.licenses for r in got.collect() if r.doc_id is not None} == dict(enumerate(CASES.values()))
+    found = {r.doc_id: r.licenses for r in got.collect() if r.doc_id is not None}
+    for k, (text, want) in enumerate(CASES.items()):
+        assert found[k] == want, text
     assert got.count() == len(CASES) + 2 and got.where("doc_id = 9").first().n_unknown == 2
     assert licenses.scan(df.where("false")).count() == 0
 
