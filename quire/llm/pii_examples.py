@@ -1,8 +1,17 @@
-"""Labelled candidate spans, generated from rules, on which the personal-data model is trained."""
+"""Labelled candidates for the personal-data model.
+
+Sentences are written with personal data, and with other things that look alike, planted
+in them at known places; formats, contexts and noise are those of the writers below and not of
+the generators. The generators are then run over the sentences: what they propose is an
+example, positive if it lies on planted personal data. So the model is fitted, and its thresholds
+are calibrated, on what generators find, with true text on both sides.
+"""
 
 from __future__ import annotations
 
 import random
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 
@@ -14,50 +23,57 @@ class Example(NamedTuple):
     label: int
 
 
-def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
+def _of(r: random.Random, alphabet: str, n: int) -> str:
+    return "".join(r.choice(alphabet) for _ in range(n))
 
 
-def _hex(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789abcdef") for _ in range(n))
+DIGITS, HEX = "0123456789", "0123456789abcdef"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def _key(r: random.Random, n: int) -> str:
-    return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+def _shaped(r: random.Random, shape: str) -> str:
+    """The shape with digits for #, capitals for @, letters or digits for *, hexadecimal digits for ~."""
+    alphabets = {"#": DIGITS, "@": LETTERS[:26], "*": LETTERS + DIGITS, "~": HEX}
+    return "".join(r.choice(alphabets[c]) if c in alphabets else c for c in shape)
 
 
-# Contexts in which a span of each kind is personal data, and in which it is not.
-CONTEXTS = {
-    "secret": (['token = "', "api_key: ", "password=", "secret is ", "access key ", 'TOKEN = "', "apikey=", "bearer "], ["commit ", "see file ", "checksum ", "class ", "variable ", "the ", "sha256 ", "build "]),
-    "ssn": (["ssn ", "social security number: ", "my ssn is ", "social security no. ", "taxpayer id "], ["part no. ", "order ", "isbn ", "invoice ", "version ", "ref ", "the ", "page "]),
-    "iban": (["iban ", "bank account: ", "pay to ", "konto ", "account number ", "transfer to "], ["model ", "serial ", "code ", "part no. ", "the ", "version "]),
-    "birth": (["born on ", "date of birth: ", "dob ", "birthday ", "geboren am ", "born "], ["released on ", "version ", "meeting on ", "the ", "updated ", "on ", "due ", "figure "]),
-    "local_phone": (["call ", "phone: ", "tel. ", "mobile ", "telephone ", "fax ", "call me at "], ["order ", "isbn ", "total ", "the ", "invoice ", "item ", "page ", "ref "]),
-    "spelled_email": (["mail me: ", "e-mail ", "contact ", "write to ", "email: "], ["we met ", "look ", "arrive ", "the ", "laugh ", "stay "]),
+# How personal data of each kind is written, what stands before or behind it, and the same for what only looks like it.
+PERSONAL: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "secret": (["~" * 40, "*" * 24, "*" * 32, "*" * 40, "sk-" + "*" * 32, "ghp_" + "*" * 36, "*" * 16 + "_" + "*" * 20], ['token = "', "api_key: ", "password=", "the secret is ", "access key ", 'TOKEN = "', "apikey=", "bearer ", "key ", "credential: "], [" is my api key", '" as the token', " (secret)", "", "", ""]),
+    "ssn": (["###-##-####"], ["ssn ", "social security number: ", "my ssn is ", "social security no. ", "taxpayer id "], [" is my ssn", " (social security)", "", "", "", ""]),
+    "iban": (["DE####################", "FR## #####".replace(" ", "") + "#" * 18, "GB##@@@@" + "#" * 14, "ES" + "#" * 22], ["iban ", "bank account: ", "pay to ", "konto ", "account number ", "transfer to "], [" is my iban", " at the bank", "", "", ""]),
+    "birth": (["19##-0#-1#", "1#/0#/19##", "2#.0#.20##", "0#/2#/19##"], ["born on ", "date of birth: ", "dob ", "birthday ", "geboren am ", "born ", "birth date "], [" is my birthday", " (date of birth)", "", "", ""]),
+    "local_phone": (["(###) ###-####", "###-###-####", "0### ######", "### ### ####", "0##/#######".replace("/", "-")], ["call ", "phone: ", "tel. ", "mobile ", "telephone ", "fax ", "call me at ", "my phone number is "], [" is my phone", " (mobile)", "", "", ""]),
+    "spelled_email": (["jane at example dot com", "bob.s [at] mail5 [dot] com", "k_weber(at)acme(dot)org", "luis at acme dot net", "ann [at] example dot io", "tom.b at firma dot de"], ["mail me: ", "e-mail ", "contact ", "write to ", "email: "], [" for mail", "", "", ""]),
 }
+OTHER: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "secret": (["~" * 40, "internationalisation_of_part#", "section-##-of-the-handbook", "aaaaaaaaaaaa#########", "0" * 22, "~" * 64, "lib-very-long-name-v#", "#" * 24], ["commit ", "see file ", "checksum ", "class ", "variable ", "the ", "sha256 ", "build ", "version "], [" is the commit", " (checksum)", " was merged", "", ""]),
+    "ssn": (["###-##-####"], ["part no. ", "order ", "isbn ", "invoice ", "version ", "ref ", "the ", "page "], [" is the part", " (order)", " pieces", "", ""]),
+    "iban": (["PN##@@@@@@@@@@@", "SN##" + "#" * 14, "XX##@#@#@#@#@#@#", "DE##@@@@@@@@@@@@"], ["model ", "serial ", "code ", "part no. ", "the ", "version "], [" is the serial", " (model)", "", ""]),
+    "birth": (["20##-0#-1#", "1#/0#/19##", "2#.0#.20##", "####-##-##"], ["released on ", "version ", "meeting on ", "the ", "updated ", "on ", "due ", "figure "], [" was the release", " (version)", "", ""]),
+    "local_phone": (["#########", "###-###-####", "## ## ## ##", "################", "########"], ["order ", "isbn ", "total ", "the ", "invoice ", "item ", "page ", "ref "], [" items", " is the order", " (isbn)", "", ""]),
+    "spelled_email": (["home at night dot then", "once at noon dot and", "him at last dot so", "good at chess dot so"], ["we met ", "look ", "arrive ", "the ", "laugh ", "stay "], [" we left", "", ""]),
+}
+FILLERS = ["and so it was. ", "lorem ipsum dolor ", "Der die das ", "\n", "We have seen 3 of 12. ", "la que el en ", "x = 1; ", "(note) "]
 
 
-def _span(r: random.Random, kind: str, good: bool) -> str:
-    if kind == "secret":
-        return r.choice([_hex(r, 40), _key(r, r.randint(20, 44)), "sk-" + _key(r, 32), _hex(r, 40).upper()]) if good else r.choice(["internationalisation_of_part" + _digits(r, 1), _hex(r, 40), "section-" + _digits(r, 2) + "-of-the-handbook", "a" * 12 + _digits(r, 9), "0" * 22])
-    if kind == "ssn":
-        return f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}"
-    if kind == "iban":
-        return r.choice(["DE", "FR", "ES", "GB"]) + _digits(r, r.choice([18, 20, 22])) if good else r.choice(["DE", "XX", "PN", "SN"]) + _digits(r, 2) + _key(r, r.randint(11, 16)).upper()
-    if kind == "birth":
-        return r.choice([f"19{_digits(r, 2)}-0{r.randint(1, 9)}-1{_digits(r, 1)}", f"{r.randint(10, 28)}/0{r.randint(1, 9)}/19{_digits(r, 2)}", f"{r.randint(10, 28)}.0{r.randint(1, 9)}.20{_digits(r, 2)}"])
-    if kind == "local_phone":
-        return r.choice([f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"0{_digits(r, 3)} {_digits(r, 6)}"]) if good else r.choice([_digits(r, 9), f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 2)} {_digits(r, 2)} {_digits(r, 2)} {_digits(r, 2)}", _digits(r, 16)])
-    name, host = r.choice(["jane", "bob.s", "k_weber", "luis"]), r.choice(["example", "mail5", "acme"])
-    return f"{name}{r.choice([' at ', ' [at] ', '(at)'])}{host}{r.choice([' dot ', '[dot]'])}com" if good else f"{r.choice(['home', 'once', 'him', 'good'])} at night dot {r.choice(['then', 'and', 'so'])}"
-
-
-def examples(per_kind: int = 120, seed: int = 20) -> list[Example]:
-    """per_kind examples of each label and kind; reruns agree."""
+def examples(generators: dict[str, str], per_kind: int = 160, seed: int = 20, context: int = 40) -> list[Example]:
+    """Candidates of the generators (kind -> pattern) over per_kind sentences of either sort; reruns agree."""
     r, out = random.Random(seed), []
-    for kind, (yes, no) in CONTEXTS.items():
-        for label, contexts in ((1, yes), (0, no)):
+    near: Callable[[tuple[int, int], tuple[int, int]], bool] = lambda a, b: 2 * (min(a[1], b[1]) - max(a[0], b[0])) >= max(a[1], b[1]) - min(a[0], b[0])
+    for kind in PERSONAL:
+        for source, personal in ((PERSONAL, True), (OTHER, False)):
+            shapes, lefts, rights = source[kind]
             for _ in range(per_kind):
-                filler = r.choice(["", "and so it was. ", "lorem ipsum dolor ", "Der die das ", "\n"])
-                out.append(Example(kind, _span(r, kind, bool(label)), filler + r.choice(contexts), r.choice([" ", ". ", '"', "\n", ", and", ""]), label))
+                right = r.choice(rights)
+                left = r.choice(lefts) if not right or r.random() < 0.7 else ""
+                span = _shaped(r, r.choice(shapes)) if kind != "spelled_email" else r.choice(shapes)
+                start = "".join(r.choice(FILLERS) for _ in range(r.randint(0, 2))) + left
+                text = start + span + right + r.choice([". ", '" ', "\n", ", and ", " "]) + r.choice(FILLERS)
+                place = (len(start), len(start) + len(span))
+                for name, pattern in generators.items():
+                    for m in re.finditer(pattern, text):
+                        hit = personal and name == kind and near(m.span(), place)
+                        if hit or name == kind or not near(m.span(), place):
+                            out.append(Example(name, m.group(), text[max(0, m.start() - context) : m.start()], text[m.end() : m.end() + context], int(hit)))
     return out
