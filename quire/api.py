@@ -9,16 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import convert_punctuation, interleave_blank_lines, paragraphs, punctuation_stats
+from quire.functions.numerals import EXTRA
+from quire.functions.text import char_count, chinese_date, convert_punctuation, interleave_blank_lines, once, paragraphs, punctuation_stats
 from quire.operators import diff, index, markup, overlay, publish, segment, volumes
 from quire.sources import config
 
 
-def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False) -> DataFrame:
-    """(work_id, text): the layers overlaid, later ones winning, as one text; ranges are valid volumes."""
-    done = overlay.with_keys(overlay.overlay(*layers)).where(overlay.is_chapter(F.col("file_name")))
+def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False, info: bool = False) -> DataFrame:
+    """(work_id, text): the layers overlaid, later ones winning, as one text; ranges are valid volumes.
+
+    The information page (000) stands first; with info its counts are renewed from the chapters that are merged.
+    """
+    done = overlay.with_keys(overlay.overlay(*layers)).where(~overlay.is_reserved(F.col("file_name")))
     heads = volumes.headings(done, ranges) if ranges is not None else None
-    return publish.merge_text(done, heads, indent)
+    return publish.merge_text(refreshed(done, ranges) if info else done, heads, indent)
+
+
+def refreshed(chapters: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """chapters with the counts on information pages renewed: characters, main and extra chapters, volumes."""
+    told = overlay.is_chapter(F.col("file_name"))
+    extra = F.contains(F.col("file_name"), F.lit(EXTRA))
+    counts = chapters.groupBy("work_id").agg(F.sum(F.when(told, char_count(F.col("text"))).otherwise(0)).alias("words"), F.count_if(told & ~extra).alias("main"), F.count_if(told & extra).alias("extra"))
+    n = ranges.groupBy("work_id").agg(F.count("*").alias("n_volumes")) if ranges is not None else chapters.select("work_id", F.lit(0).cast("long").alias("n_volumes")).where("false")
+    rows = chapters.join(counts, "work_id").join(n, "work_id", "left")
+    page = publish.refresh_info(F.col("text"), F.col("words"), F.col("main"), F.col("extra"), F.coalesce("n_volumes", F.lit(0)))
+    return rows.withColumn("text", F.when(F.col("file_name").startswith("000 "), page).otherwise(F.col("text"))).select(*chapters.columns)
+
+
+def book_info(chapters: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """(work_id, file_name, text): the information page of each work.
+
+    about has work_id, title, author, platform, update_time, words and description, as series pages and metadata give them; a
+    work without a row there gets the blank page. Main and extra chapters are counted by file name.
+    """
+    works = chapters.groupBy("work_id").agg(F.count_if(overlay.is_chapter(F.col("file_name")) & ~F.contains(F.col("file_name"), F.lit(EXTRA))).alias("main"), F.count_if(overlay.is_chapter(F.col("file_name")) & F.contains(F.col("file_name"), F.lit(EXTRA))).alias("extra"))
+    blank = F.lit(publish.blank_info_page())
+    if about is None:
+        return works.select("work_id", F.lit(publish.INFO_NAME).alias("file_name"), blank.alias("text"))
+    rows = works.join(about.withColumn("known", F.lit(True)), "work_id", "left")
+    page = publish.info_page(F.col("title"), F.col("author"), F.col("platform"), F.col("main"), F.col("extra"), chinese_date(F.col("update_time")), F.col("words"), F.col("description"))
+    return rows.select("work_id", F.lit(publish.INFO_NAME).alias("file_name"), F.when(F.col("known"), page).otherwise(blank).alias("text"))
 
 
 def format_chapters(chapters: DataFrame, punct: bool = False) -> DataFrame:
@@ -59,12 +89,18 @@ def assemble(base: DataFrame, corrected: DataFrame) -> dict[str, DataFrame]:
 
 
 def split(packed: DataFrame, name_only: bool = False, limit_title: bool = False, punct: bool = False) -> dict[str, DataFrame]:
-    """chapters, volumes (JSON) and stats of packed files (work_id, file_name, file_ord, text)."""
-    source = packed.withColumn("text", convert_punctuation(F.col("text"))) if punct else packed
-    lines = segment.marked_lines(source, limit_title)
+    """chapters, volumes (JSON) and stats of packed files (work_id, file_name, file_ord, text).
+
+    Punctuation is converted chapter by chapter, title included, so an open quote ends with its chapter; file names keep theirs.
+    """
+    lines = segment.marked_lines(packed, limit_title)
     segs = segment.renumber(segment.segments(lines))
     seqs = segment.sequenced(segs)
-    return {"chapters": segment.chapter_files(seqs, name_only), "volumes": volumes.volumes_json(segment.volume_ranges(seqs)), "stats": segment.split_stats(segs, lines)}
+    chapters = segment.chapter_files(seqs, name_only)
+    if punct:
+        whole = once(chapters, whole=convert_punctuation(F.concat("title", F.lit("\n"), F.coalesce("body", F.lit("")))))
+        chapters = whole.withColumns({"title": F.substring_index("whole", "\n", 1), "body": F.substring(F.col("whole"), F.char_length("title") + 2, F.char_length("whole"))}).select(*chapters.columns)
+    return {"chapters": chapters, "volumes": volumes.volumes_json(segment.volume_ranges(seqs)), "stats": segment.split_stats(segs, lines)}
 
 
 def epub(

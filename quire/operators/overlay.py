@@ -24,9 +24,14 @@ def with_keys(files: DataFrame) -> DataFrame:
     return files.withColumns({"prefix": prefix, "ord": prefix.try_cast("decimal(38,0)"), "chapter_key": F.coalesce(prefix, F.col("file_name"))})
 
 
+def is_reserved(name: Column) -> Column:
+    """An index file or a file beside the chapters."""
+    return name.startswith("series_") | name.startswith("_") | name.isin(*RESERVED_NAMES)
+
+
 def is_chapter(name: Column) -> Column:
     """Not an information page (000), an index file or a reserved name."""
-    return ~(name.startswith("000 ") | name.startswith("series_") | name.startswith("_") | name.isin(*RESERVED_NAMES))
+    return ~(name.startswith("000 ") | is_reserved(name))
 
 
 def last_wins(chapters: DataFrame, *order: Column) -> DataFrame:
@@ -50,8 +55,12 @@ def overlay(*layers: DataFrame) -> DataFrame:
 
 
 def pair(base: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Full outer pairing: keys, base_* and corrected_* names and texts, in_base and in_corrected."""
-    side = lambda df, name: df.select(*KEY, F.col("file_name").alias(f"{name}_name"), F.col("text").alias(f"{name}_text"), F.lit(True).alias(f"in_{name}"))
+    """Full outer pairing: keys, base_* and corrected_* names and texts, in_base and in_corrected.
+
+    Of files that share a key in one layer the last counts, so a repeated prefix never multiplies rows; the
+    window's exchange serves the join.
+    """
+    side = lambda df, name: unique_prefixes(df).select(*KEY, F.col("file_name").alias(f"{name}_name"), F.col("text").alias(f"{name}_text"), F.lit(True).alias(f"in_{name}"))
     return side(base, "base").join(side(corrected, "corrected"), KEY, "full_outer")
 
 

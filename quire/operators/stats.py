@@ -46,7 +46,7 @@ def success_ratio(results: DataFrame) -> DataFrame:
 
 
 def format_stats(titles: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(work_id, n_main, n_extra, n_skipped)."""
+    """(work_id, n_main, n_extra, n_skipped), works with skipped files alone included."""
     done = titles.groupBy("work_id").agg(F.count_if(~F.col("is_extra")).alias("n_main"), F.count_if("is_extra").alias("n_extra"))
     left = skipped.groupBy("work_id").agg(F.count("*").alias("n_skipped"))
-    return done.join(left, "work_id", "left").withColumn("n_skipped", F.coalesce("n_skipped", F.lit(0)))
+    return done.join(left, "work_id", "full_outer").na.fill(0, ["n_main", "n_extra", "n_skipped"])

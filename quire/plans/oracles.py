@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.functions.numerals import NUMERAL, TITLE_NUMERAL
 from quire.functions.text import MEDIA_TYPES, RESERVED, SPACE
-from quire.plans.views import CHAPTERS, LAYERS, LF, MARKED_LINES, MARKERS, NUMBERED, PAD, QUOTED, SPACED, VOLUMES, WORK, paragraphs_sql, q, strip_sql
+from quire.plans.views import CHAPTERS, LAYERS, LF, MARKED_LINES, MARKERS, NUMBERED, PAD, QUOTED, QUOTED_LINES, SPACED, VOLUMES, WORK, conflicting_sql, paragraphs_sql, q, strip_sql
 
 PARAS = f"SELECT doc_id, lang, {paragraphs_sql('text')} AS p FROM ({SPACED})"
 COUNTED = f"SELECT doc_id, lang, len(p) AS n_paras, list_sum(list_transform(p, lambda x: length(x))) AS n_chars FROM ({PARAS})"
@@ -20,12 +20,20 @@ def _lines(name: str, sql: str) -> str:
     return f"{name} AS (SELECT chapter_key, unnest({p}) AS t, unnest(range(len({p}))) + 1 AS line_no FROM ({sql}))"
 
 
+def _last(sql: str) -> str:
+    """Of several files with one key the greatest name."""
+    return f"SELECT work_id, chapter_key, max(file_name) AS file_name, max_by(text, file_name) AS text FROM ({sql}) GROUP BY work_id, chapter_key"
+
+
+MERGE_BASE = f"SELECT {WORK} AS work_id, {PAD} AS chapter_key, {PAD} || CASE WHEN doc_id % 20 = 0 THEN ' 书籍信息.txt' ELSE ' a.txt' END AS file_name, text FROM documents"
+MERGE_FIX = f"SELECT {WORK} AS work_id, {PAD} AS chapter_key, {PAD} || ' b.txt' AS file_name, replace(text, 'en', 'EN') AS text FROM documents WHERE doc_id % 20 <> 0 AND doc_id % 3 <> 1"
+
 DIFFS = f"""WITH {_lines('a', BASE)}, {_lines('b', COR)},
 keys AS (SELECT x.chapter_key FROM ({BASE}) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key),
 n AS (SELECT k.chapter_key, least((SELECT count(*) FROM a WHERE a.chapter_key = k.chapter_key), (SELECT count(*) FROM b WHERE b.chapter_key = k.chapter_key)) AS shorter FROM keys k),
 d AS (SELECT coalesce(a.chapter_key, b.chapter_key) AS chapter_key, CAST(coalesce(a.line_no, b.line_no) AS BIGINT) AS line_no, a.t AS text1, b.t AS text2 FROM a FULL JOIN b ON a.chapter_key = b.chapter_key AND a.line_no = b.line_no WHERE a.t IS DISTINCT FROM b.t),
 e AS (SELECT d.*, n.shorter, CASE WHEN text1 IS NULL THEN 'only_in_2' WHEN text2 IS NULL THEN 'only_in_1' ELSE 'changed' END AS kind,
- list_min(list_filter(range(1, greatest(length(text1), length(text2)) + 1), lambda i: substr(text1, i, 1) <> substr(text2, i, 1))) AS pos FROM d JOIN n ON d.chapter_key = n.chapter_key)"""
+ list_position(list_transform(list_zip(string_split(text1, ''), string_split(text2, '')), lambda c: c[1] IS DISTINCT FROM c[2]), true) AS pos FROM d JOIN n ON d.chapter_key = n.chapter_key)"""
 #: All lines that differ, of chapters in either layer.
 STATUS = f"""WITH {_lines('a', BASE)}, {_lines('b', COR)},
 d AS (SELECT coalesce(a.chapter_key, b.chapter_key) AS chapter_key, count(*) FILTER (a.t IS DISTINCT FROM b.t) AS n_diffs FROM a FULL JOIN b ON a.chapter_key = b.chapter_key AND a.line_no = b.line_no GROUP BY 1),
@@ -79,7 +87,7 @@ def _info(title: str, author: str, main: str, extra: str, words: str, desc: str,
 
 REFRESHED = _info("c_name", "c_mktsegment", "(c_custkey % 4)", "(c_custkey % 2)", "(c_custkey * 1000)", "'text'", f"CASE WHEN c_custkey % 3 > 0 THEN {LF} || '卷/篇数：' || (c_custkey % 3) ELSE '' END")
 ILLUS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'head' WHEN 1 THEN 'img' WHEN 2 THEN 'img' ELSE 'line' END AS kind, lpad(CAST(turn + 1 AS VARCHAR), 3, '0') AS header, CASE WHEN turn % 4 = 1 THEN 'i' || turn || '.png' ELSE 'ch7_' || turn || '.png' END AS img, role FROM conversations"
-TAG_TEXT = "SELECT doc_id, substr(text, 1, 30) AS head, doc_id % 50 AS a, doc_id % 7 AS b FROM documents"
+TAG_TEXT = "SELECT doc_id, text AS head, doc_id % 50 AS a, doc_id % 7 AS b FROM documents"
 
 
 def _tag(n: str) -> str:
@@ -110,7 +118,7 @@ ORACLE_SQL: dict[str, str] = {
     "timestamp_trim_date_cn": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS date_cn FROM orders",
     "page_break_replace": f"SELECT doc_id, replace(replace(text, '. ', '.[newpage]'), '[newpage]', {LF} || {LF}) AS text FROM documents",
     "media_type_of_url": "SELECT page_id, CASE page_id % 5 " + f"WHEN 0 THEN {q(MEDIA_TYPES['png'])} WHEN 2 THEN {q(MEDIA_TYPES['gif'])} ELSE {q(MEDIA_TYPES['jpeg'])} END AS media_type FROM pages",
-    "first_difference": f"SELECT x.work_id, x.chapter_key, i AS pos, substr(x.text, i, 1) AS char1, substr(y.text, i, 1) AS char2 FROM (SELECT x.work_id, x.chapter_key, x.text, y.text AS other, list_min(list_filter(range(1, length(x.text) + 1), lambda i: substr(x.text, i, 1) <> substr(y.text, i, 1))) AS i FROM ({BASE}) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key WHERE x.text <> y.text) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key",
+    "first_difference": f"SELECT x.work_id, x.chapter_key, i AS pos, substr(x.text, i, 1) AS char1, substr(y.text, i, 1) AS char2 FROM (SELECT x.work_id, x.chapter_key, x.text, y.text AS other, list_position(list_transform(list_zip(string_split(x.text, ''), string_split(y.text, '')), lambda c: c[1] <> c[2]), true) AS i FROM ({BASE}) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key WHERE x.text <> y.text) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key",
     "int_to_chinese": NUMERAL_SQL,
     "chinese_to_int": "SELECT p_partkey, nullif(p_partkey % 10000, 0) AS value FROM part",
     "title_split": f"SELECT p_partkey, CASE WHEN regexp_matches(title, {q(EXTRA_TITLE)}) THEN '番外' WHEN regexp_matches(title, {q(CHAPTER_TITLE)}) THEN regexp_extract(title, {q(CHAPTER_TITLE)}, 1) END AS num, CASE WHEN regexp_matches(title, {q(EXTRA_TITLE)}) THEN {strip_sql(f'regexp_extract(title, {q(EXTRA_TITLE)}, 1)')} WHEN regexp_matches(title, {q(CHAPTER_TITLE)}) THEN {strip_sql(f'regexp_extract(title, {q(CHAPTER_TITLE)}, 2)')} ELSE title END AS name FROM ({TITLES})",
@@ -125,6 +133,14 @@ ORACLE_SQL: dict[str, str] = {
     "assemble_overlay_lineage": f"SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) AS file_name, md5(CASE WHEN y.chapter_key IS NOT NULL THEN y.text ELSE x.text END) AS text_md5, CASE WHEN y.chapter_key IS NOT NULL THEN 'corrected' ELSE 'baseline' END AS origin, coalesce(x.file_name <> y.file_name, false) AS renamed, x.file_name AS replaces FROM ({BASE}) x FULL JOIN ({COR}) y ON x.chapter_key = y.chapter_key",
     "assemble_summary": f"SELECT count(*) AS total, count(y.chapter_key) AS from_corrected, count(*) - count(y.chapter_key) AS from_baseline, count(*) FILTER (x.file_name <> y.file_name) AS renamed FROM ({BASE}) x FULL JOIN ({EXTRA}) y ON x.chapter_key = y.chapter_key",
     "overlay_three_layers": f"SELECT work_id, chapter_key, file_name, CAST(layer_rank AS BIGINT) AS layer_rank, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY chapter_key ORDER BY layer_rank DESC) AS n FROM (SELECT *, 0 AS layer_rank FROM ({BASE}) UNION ALL SELECT *, 1 FROM ({COR}) UNION ALL SELECT *, 2 FROM ({EXTRA}))) WHERE n = 1",
+    "assemble_conflicts": f"SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) AS file_name, md5(coalesce(y.text, x.text)) AS text_md5, CASE WHEN y.chapter_key IS NOT NULL THEN 'corrected' ELSE 'baseline' END AS origin, x.file_name AS replaces FROM ({_last(conflicting_sql(2))}) x FULL JOIN ({_last(conflicting_sql(3))}) y ON x.work_id = y.work_id AND x.chapter_key = y.chapter_key",
+    "merge_command": f"""WITH l AS (SELECT work_id, chapter_key, file_name, text, 0 AS layer_rank FROM ({MERGE_BASE}) UNION ALL SELECT work_id, chapter_key, file_name, text, 1 FROM ({MERGE_FIX})),
+w AS (SELECT *, {paragraphs_sql('text')} AS p, try_cast(chapter_key AS BIGINT) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY work_id, chapter_key ORDER BY layer_rank DESC, file_name DESC) AS n FROM l) WHERE n = 1),
+t AS (SELECT work_id, string_agg(CASE WHEN len(p) > 0 THEN array_to_string(p, {LF} || {LF}) || {LF} || {LF} ELSE '' END, '' ORDER BY ord IS NULL, ord, chapter_key) AS text FROM w GROUP BY work_id)
+SELECT work_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM t""",
+    "split_punct": f"""WITH s AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next, row_number() OVER (PARTITION BY work_id ORDER BY doc_id, seg_no) AS seq, {NEW_TITLE} AS title FROM ({RENUM.replace(MARKED_LINES, QUOTED_LINES)})), l AS (SELECT * FROM ({QUOTED_LINES})),
+c AS (SELECT s.work_id, s.seq, {WIDE.format("s.title || " + LF + " || coalesce(string_agg(l.line, " + LF + " ORDER BY l.line_no), '')")} AS x FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND l.line_no > s.line_no AND (s.next IS NULL OR l.line_no < s.next) GROUP BY s.work_id, s.seq, s.title)
+SELECT work_id, seq, md5({PAIRED.format(x='x')}) AS content_md5 FROM c""",
     "missing_chapters": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "existing_chapters": "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "key_intersect": f"SELECT chapter_key FROM ({BASE}) INTERSECT SELECT chapter_key FROM ({COR})",
@@ -161,7 +177,7 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "chapter_selection": "SELECT conv_id AS work_id, turn + 1 AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 10 AS running, turn + 1 AS kept FROM conversations WHERE turn + 1 BETWEEN 2 AND 4",
     "newest_info_argmax": "SELECT event_type, f AS file_name FROM (SELECT event_type, lpad(CAST(event_id AS VARCHAR), 10, '0') AS f, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "json_props_extract": "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events",
-    "tag_distinct_ordered": f"SELECT doc_id, string_agg(t, '、' ORDER BY k) AS tags, count(*) AS n_tags FROM (SELECT doc_id, t, min(k) AS k FROM (SELECT doc_id, {strip_sql('unnest(w)')} AS t, unnest(range(len(w))) AS k FROM (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS w FROM documents)) WHERE t <> '' GROUP BY doc_id, t) GROUP BY doc_id",
+    "tag_distinct_ordered": f"SELECT doc_id, string_agg(t, '、' ORDER BY k) AS tags, count(*) AS n_tags FROM (SELECT doc_id, t, min(k) AS k FROM (SELECT doc_id, {strip_sql('unnest(w)')} AS t, unnest(range(len(w))) AS k FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE t <> '' GROUP BY doc_id, t) GROUP BY doc_id",
     "listing_word_total": "SELECT l_orderkey, CAST(sum(CASE WHEN l_linenumber % 3 = 0 OR trunc(l_quantity) = 0 THEN l_linenumber ELSE trunc(l_quantity) END) AS BIGINT) AS words FROM lineitem GROUP BY l_orderkey",
     "success_ratio": "SELECT count(*) FILTER (value > 50) AS n_ok, count(*) AS n_total FROM events",
     "header_forward_fill": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM conversations",
@@ -174,6 +190,6 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "series_page_parse": "SELECT c_custkey, c_name AS title, CASE WHEN c_mktsegment = 'BUILDING' THEN '未知作者' ELSE c_mktsegment END AS author, '未知时间' AS update_time, c_custkey * 3 AS word_count, CAST(0 AS BIGINT) AS chapter_count, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ',x' ELSE '无' END AS tags, 'd' AS description FROM customer",
     "volumes_json": f"SELECT work_id, '[' || string_agg('{{\"name\":\"' || name || '\",\"start\":' || a || ',\"end\":' || b || '}}', ',' ORDER BY a) || ']' AS json FROM (SELECT work_id, regexp_replace(CAST(doc_id AS VARCHAR), '^\\d+[ ]*', '') AS name, min(seq) AS a, max(seq) AS b FROM ({SEQ}) GROUP BY work_id, doc_id) GROUP BY work_id",
     "assemble_lineage_text": f"SELECT work_id, string_agg(line, {LF} ORDER BY chapter_key) AS text FROM (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) || CASE WHEN y.file_name IS NULL THEN ' <- baseline' ELSE ' <- corrected' END || CASE WHEN x.file_name <> y.file_name THEN ' (was ' || x.file_name || ')' ELSE '' END AS line FROM ({BASE}) x FULL JOIN ({EXTRA}) y ON x.chapter_key = y.chapter_key) GROUP BY work_id",
-    "revisions_upsert": "SELECT conv_id, lpad(CAST(turn AS VARCHAR), 3, '0') AS key, CASE WHEN turn = 1 THEN substr(text, 1, 8) ELSE 'new' END AS msg, lpad(CAST(turn AS VARCHAR), 3, '0') || ' x.txt' AS filename FROM conversations WHERE turn IN (0, 1, 2, 4)",
+    "revisions_upsert": "SELECT conv_id, lpad(CAST(turn AS VARCHAR), 3, '0') || CASE WHEN turn % 6 = 0 THEN ' x.txt' ELSE '' END AS key, CASE WHEN turn % 3 = 0 THEN text ELSE 'new' END AS msg, lpad(CAST(turn AS VARCHAR), 3, '0') || ' x.txt' AS filename FROM conversations",
     "preset_resolution": "SELECT * FROM (VALUES ('default', '1.5em', 'red', 'center'), ('big', '3em', 'red', 'center')) t(name, size, color, align)",
 }

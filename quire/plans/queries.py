@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire import api
 from quire.functions import numerals as N
 from quire.functions import text as X
 from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
@@ -190,6 +191,27 @@ def assemble_overlay_lineage(spark, d):
     return overlay.assemble(V.layer(spark, d, "base"), V.layer(spark, d, "corrected")).select("work_id", "chapter_key", "file_name", F.md5("text").alias("text_md5"), "origin", "renamed", "replaces")
 
 
+@query
+def assemble_conflicts(spark, d):
+    done = api.assemble(V.conflicting(spark, d, 2), V.conflicting(spark, d, 3))["chapters"]
+    return done.select("work_id", "chapter_key", "file_name", F.md5("text").alias("text_md5"), "origin", "replaces")
+
+
+@query
+def merge_command(spark, d):
+    n = F.col("doc_id") % V.WORK_SIZE
+    named = lambda df, name: overlay.with_keys(df.select(V.work().alias("work_id"), F.concat(X.pad3(n), name).alias("file_name"), "text"))
+    base = named(V.documents(spark, d), F.when(n == 0, F.lit(" 书籍信息.txt")).otherwise(F.lit(" a.txt")))
+    fixed = named(V.documents(spark, d).where((n != 0) & (F.col("doc_id") % 3 != 1)).withColumn("text", F.replace("text", F.lit("en"), F.lit("EN"))), F.lit(" b.txt"))
+    return api.merge(base, fixed).select("work_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def split_punct(spark, d):
+    parts = api.split(V.marked(spark, d, quotes=True), punct=True)["chapters"]
+    return parts.select("work_id", "seq", F.md5(F.concat("title", F.lit("\n"), "body")).alias("content_md5"))
+
+
 @query
 def assemble_summary(spark, d):
     return overlay.assemble_summary(overlay.assemble(V.layer(spark, d, "base"), V.layer(spark, d, "extra")))
@@ -501,9 +523,9 @@ def assemble_lineage_text(spark, d):
 @query
 def revisions_upsert(spark, d):
     m = V.messages(spark, d)
-    notes = m.select("conv_id", F.substring("text", 1, 8).alias("msg"), F.concat(X.pad3(F.col("turn")), F.lit(" x.txt")).alias("filename"), F.lit("1").alias("mtime"), F.col("turn").cast("string").alias("updated_at"))
-    old = notes.where("updated_at in ('0', '1', '2')").select("conv_id", F.when(F.col("updated_at") == "0", F.col("filename")).otherwise(F.substring("filename", 1, 3)).alias("key"), "msg", "filename", "mtime", "updated_at")
-    new = notes.where("updated_at in ('0', '2', '4')").withColumn("msg", F.lit("new"))
+    notes = m.select("conv_id", "turn", F.col("text").alias("msg"), F.concat(X.pad3(F.col("turn")), F.lit(" x.txt")).alias("filename"), F.lit("1").alias("mtime"), F.col("turn").cast("string").alias("updated_at"))
+    old = notes.where("turn % 3 <> 1").select("conv_id", F.when(F.col("turn") % 2 == 0, F.col("filename")).otherwise(F.substring("filename", 1, 3)).alias("key"), "msg", "filename", "mtime", "updated_at")
+    new = notes.where("turn % 3 <> 0").drop("turn").withColumn("msg", F.lit("new"))
     return index.set_revisions(old, new, "conv_id").select("conv_id", "key", "msg", "filename")
 
 

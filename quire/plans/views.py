@@ -48,27 +48,34 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Three layers of one collection, keyed by doc_id: base, corrected and extra; each holds some of the documents, with whole texts."""
+    """Three layers of one collection, keyed by doc_id: base, corrected and extra; each lacks a few of the documents and holds the whole texts of all others."""
     d = documents(spark, sf_dir)
     if name == "base":
         d = d.where("doc_id % 11 <> 0")
     elif name == "corrected":
-        d = d.where("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.replace("text", F.lit("en"), F.lit("EN"))).otherwise(F.col("text")))
+        d = d.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("en"), F.lit("EN"))).otherwise(F.col("text")))
     else:
-        d = d.where("doc_id % 7 = 0").withColumn("text", F.upper("text"))
+        d = d.where("doc_id % 17 <> 0").withColumn("text", F.upper("text"))
     key = F.col("doc_id").cast("string")
-    return d.select(work().alias("work_id"), key.alias("chapter_key"), F.concat(key, F.lit(f" {name}.txt") if name == "extra" else F.lit(".txt")).alias("file_name"), "text")
+    tail = F.lit(".txt") if name == "base" else F.lit(" extra.txt") if name == "extra" else F.when(F.col("doc_id") % 4 == 0, F.lit(" v2.txt")).otherwise(F.lit(".txt"))
+    return d.select(work().alias("work_id"), key.alias("chapter_key"), F.concat(key, tail).alias("file_name"), "text")
 
 
-def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(work_id, file_name, file_ord, text): documents as packed files whose lines hold markers of several kinds."""
+def conflicting(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """All documents as chapter files of works of forty, in which ``size`` neighbours share a prefix."""
+    n = F.expr(f"doc_id % 40 div {size}")
+    return with_keys(documents(spark, sf_dir).select(F.expr("doc_id div 40").alias("work_id"), F.concat(pad3(n), F.lit(" t"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("file_name"), "text"))
+
+
+def marked(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    """(work_id, file_name, file_ord, text): documents as packed files whose lines hold markers of several kinds; with quotes in other lines, if wanted."""
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     s, n = F.col("doc_id") + F.col("line_no"), (F.col("line_no") * 7) % 13 + 1
     title = F.substring("line", 1, 8)
     number = F.when(s % 3 == 0, F.element_at(F.array(*[F.lit(x) for x in "一 二 三 四 五 六 七 八 九 十 十一 十二 十三".split()]), n.cast("int"))).otherwise(n.cast("string"))
     gap = F.when(F.col("line_no") % 3 == 0, F.lit("")).otherwise(F.lit(" "))
     stop = F.when(F.col("line_no") % 4 == 0, F.lit("。")).otherwise(F.lit(""))
-    line = F.when(s % 17 == 3, F.lit("番外：x")).when(s % 5 == 2, F.concat(F.lit("第"), number, F.lit("章"), gap, title, stop)).otherwise(F.col("line"))
+    line = F.when(s % 17 == 3, F.lit("番外：x")).when(s % 5 == 2, F.concat(F.lit("第"), number, F.lit("章"), gap, title, stop)).otherwise(F.replace("line", F.lit(", "), F.lit(' "')) if quotes else F.col("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n")
     files = rows.groupBy("doc_id").agg(joined.alias("text"))
     return files.select(work().alias("work_id"), F.col("doc_id").cast("string").alias("file_name"), F.col("doc_id").alias("file_ord"), "text")
@@ -115,9 +122,15 @@ CHAPTERS = f"""SELECT *, nullif(regexp_extract(file_name, '^(\\d+)', 1), '') AS
 SELECT doc_id, {WORK} AS work_id, CASE WHEN doc_id % 19 = 0 THEN '' ELSE {PAD} || ' ' END || CASE WHEN doc_id % 6 = 0 THEN '番外：' ELSE '' END || regexp_replace(substr(text, 1, 10), '[\\n.]', '', 'g') || '.txt' AS file_name, text FROM documents)"""
 LAYERS = {
     "base": f"SELECT {WORK} AS work_id, CAST(doc_id AS VARCHAR) AS chapter_key, doc_id || '.txt' AS file_name, text FROM documents WHERE doc_id % 11 <> 0",
-    "corrected": f"SELECT {WORK} AS work_id, CAST(doc_id AS VARCHAR) AS chapter_key, doc_id || '.txt' AS file_name, CASE WHEN doc_id % 10 = 0 THEN replace(text, 'en', 'EN') ELSE text END AS text FROM documents WHERE doc_id % 5 = 0",
-    "extra": f"SELECT {WORK} AS work_id, CAST(doc_id AS VARCHAR) AS chapter_key, doc_id || ' extra.txt' AS file_name, 'X' || substr(text, 1, 40) AS text FROM documents WHERE doc_id % 7 = 0",
+    "corrected": f"SELECT {WORK} AS work_id, CAST(doc_id AS VARCHAR) AS chapter_key, doc_id || CASE WHEN doc_id % 4 = 0 THEN ' v2.txt' ELSE '.txt' END AS file_name, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'en', 'EN') ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0",
+    "extra": f"SELECT {WORK} AS work_id, CAST(doc_id AS VARCHAR) AS chapter_key, doc_id || ' extra.txt' AS file_name, upper(replace(text, 'ß', 'SS')) AS text FROM documents WHERE doc_id % 17 <> 0",
 }
+
+
+def conflicting_sql(size: int) -> str:
+    return f"SELECT *, substr(file_name, 1, 3) AS chapter_key FROM (SELECT doc_id // 40 AS work_id, lpad(CAST(doc_id % 40 // {size} AS VARCHAR), 3, '0') || ' t' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS file_name, text FROM documents)"
+
+
 NUMBERED = f"SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord FROM documents"
 VOLUMES = f"SELECT work_id, pos, name, start, \"end\", pos + 1 AS vol_no FROM (SELECT DISTINCT {WORK} AS work_id FROM documents), (VALUES (0, '第一卷 V0', 1, 6), (1, '第二卷 V1', 7, 12), (2, '第三卷 V2', 12, 14), (3, '第四卷 V3', 13, 15), (4, '第五卷 V4', 90, 95)) v(pos, name, start, \"end\")"
 #: Lines with markers: (doc_id, line_no, line), line_no from 0.
@@ -126,6 +139,8 @@ CASE WHEN (doc_id + line_no) % 3 = 0 THEN ['一','二','三','四','五','六','
 || '章' || CASE WHEN line_no % 3 = 0 THEN '' ELSE ' ' END || substr(line, 1, 8) || CASE WHEN line_no % 4 = 0 THEN '。' ELSE '' END ELSE line END AS line
 FROM (SELECT doc_id, unnest(string_split(text, {LF})) AS line, unnest(range(len(string_split(text, {LF})))) AS line_no FROM documents)"""
 NUMERALS = "['一','二','三','四','五','六','七','八','九','十','十一','十二','十三']"
+#: The same with quotes in the lines that are no markers.
+QUOTED_LINES = MARKED_LINES.replace("ELSE line END AS line", "ELSE replace(line, ', ', ' \"') END AS line")
 #: Markers of these lines: num null for extras.
 MARKERS = f"""SELECT doc_id, line_no, s AS marker, CASE WHEN s LIKE '第%' THEN coalesce(try_cast(n AS BIGINT), CAST(list_position({NUMERALS}, n) AS BIGINT)) END AS num,
 CASE WHEN s LIKE '番外%' THEN 'extra' WHEN try_cast(n AS BIGINT) IS NOT NULL THEN 'arabic' ELSE 'chinese' END AS style, rest FROM (
