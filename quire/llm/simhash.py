@@ -8,11 +8,16 @@
    candidate rows. Two fingerprints within ``radius`` bits agree within t_i in at
    least one partition, so nothing is lost whatever the estimates are; the
    cheapest m wins.
-3. Each fingerprint probes the values within t_i of its own in each partition;
-   an equi-join on (partition, value) finds candidates, which the join condition
-   verifies by the full Hamming distance.
-4. Links between distinct fingerprints become components; copies only carry the
-   component of their fingerprint, and are never paired.
+3. Each fingerprint probes the values within t_i of its own in each partition. First
+   it is only compared with the least and the greatest fingerprint that has the value,
+   one row for each probe, and the links found become provisional components: a dense
+   group of near copies costs links in proportion to its size, not to its square.
+4. Then an equi-join on (partition, value) finds, for each probe, the other provisional
+   components that have it; a component's only member is verified by the full Hamming
+   distance in the join, and the members of a larger one in a second join. So every pair
+   of fingerprints in different provisional components that the partitions bring together is
+   verified, and no other needs to be. Links between components join them.
+5. Copies only carry the component of their fingerprint, and are never paired.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ BITS = 64
 RADIUS = 4
 #: Relative cost of a shuffled probe row and of a verified candidate pair.
 PROBE_COST, VERIFY_COST = 20.0, 1.0
+#: Parts over which the members of one component are spread in joins.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -155,15 +162,60 @@ def _tries(i: int, part: Part, mask: int) -> Column:
     return F.transform(_probes(part), lambda x: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(x).alias("key")))
 
 
-def near_links(distinct: DataFrame, parts: list[Part], radius: int = RADIUS) -> DataFrame:
-    """(a, b) of distinct fingerprints (fp long) within radius bits; a pair may come twice."""
-    used = [(i, p, sum(1 << b for b in p.bits)) for i, p in enumerate(parts) if p.threshold >= 0]
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, _, mask in used])
-    index = distinct.select("fp", F.explode(keys).alias("k")).select(F.col("fp").alias("b"), "k.part", "k.key")
-    tries = F.flatten(F.array(*[_tries(i, p, mask) for i, p, mask in used]))
-    probe = distinct.select(F.col("fp"), F.explode(tries).alias("k")).select(F.col("fp").alias("a"), F.col("k.part").alias("p_part"), F.col("k.key").alias("p_key"))
-    near = (F.col("p_part") == F.col("part")) & (F.col("p_key") == F.col("key")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probe.join(index, near).select("a", "b")
+def _searched(parts: list[Part]) -> list[tuple[int, Part, int]]:
+    """(number, partition, mask of its bits) of the partitions with a threshold."""
+    return [(i, p, sum(1 << b for b in p.bits)) for i, p in enumerate(parts) if p.threshold >= 0]
+
+
+def _index(nodes: DataFrame, parts: list[Part]) -> DataFrame:
+    """nodes (fp, ...) with part and key: a row for each partition."""
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, _, mask in _searched(parts)])
+    return nodes.select("*", F.explode(keys).alias("k")).select(*nodes.columns, "k.part", "k.key")
+
+
+def _probe(nodes: DataFrame, parts: list[Part]) -> DataFrame:
+    """nodes (fp, ...) with part and key: a row for each value within a partition's threshold."""
+    tries = F.flatten(F.array(*[_tries(i, p, mask) for i, p, mask in _searched(parts)]))
+    return nodes.select("*", F.explode(tries).alias("k")).select(*nodes.columns, "k.part", "k.key")
+
+
+def _near(a: Column, b: Column, radius: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= radius
+
+
+def seed_links(nodes: DataFrame, parts: list[Part], radius: int = RADIUS) -> DataFrame:
+    """(a, b): each fingerprint of nodes (fp long) with the ends of the buckets it probes, where within radius bits."""
+    ends = _index(nodes.select("fp"), parts).groupBy("part", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    met = _probe(nodes.select("fp"), parts).join(ends, ["part", "key"])
+    linked = met.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).where((F.col("a") != F.col("b")) & _near(F.col("a"), F.col("b"), radius))
+    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def cross_links(nodes: DataFrame, parts: list[Part], radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of different components of nodes (fp long, comp long) of which some members are within radius bits."""
+    index = _index(nodes.select("fp", "comp"), parts)
+    groups = index.groupBy("part", "key", F.col("comp").alias("other")).agg(F.count("*").alias("n"), F.min("fp").alias("one"))
+    # either of two members finds the other, so the one of the lesser component is enough
+    met = _probe(nodes.select("fp", "comp"), parts).join(groups, ["part", "key"]).where(F.col("comp") < F.col("other"))
+    met = met.where((F.col("n") > 1) | _near(F.col("fp"), F.col("one"), radius))
+    direct = met.where(_near(F.col("fp"), F.col("one"), radius)).select("comp", "other")
+    open_ = met.where((F.col("n") > 1) & ~_near(F.col("fp"), F.col("one"), radius)).select("fp", "comp", "part", "key", "other")
+    members = index.select(F.col("fp").alias("b"), F.col("comp").alias("other"), "part", "key")
+    further = open_.join(members, ["part", "key", "other"]).where(_near(F.col("fp"), F.col("b"), radius)).select("comp", "other")
+    return direct.union(further).select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def components(nodes: DataFrame, parts: list[Part], radius: int = RADIUS) -> DataFrame:
+    """nodes (fp long, ...) with root: the least fingerprint reachable; null for one without links."""
+    first = connected_components(seed_links(nodes, parts, radius)).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
+    held = cut(nodes.select("fp").join(first, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), F.col("comp").isNotNull().alias("linked")))
+    second = connected_components(cross_links(held, parts, radius)).select(F.col("node").alias("comp"), F.col("root").alias("higher"))
+    # Few components are joined to others; only their members look further, spread by salt, as a component may be large.
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    spread = second.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    merged = held.withColumn("salt", salt).join(spread, ["comp", "salt"], "left")
+    roots = merged.select("fp", F.coalesce("higher", F.when(F.col("linked"), F.col("comp"))).alias("root"))
+    return nodes.join(roots, "fp")
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame | None:
@@ -174,11 +226,12 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame | None:
     if n == 0:
         return None
     parts = plan_search(bit_counts(nodes), n, radius)
-    roots = connected_components(near_links(nodes, parts, radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+    named = cut(components(nodes, parts, radius))
+    # A fingerprint without links is its own component. The least id of the others comes back over salts.
+    least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("fp", "root", F.col("least").alias("component_id"))
+    alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
+    return fps.join(linked.union(alone), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

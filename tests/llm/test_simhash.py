@@ -73,14 +73,56 @@ def test_every_plan_is_exact(spark, radius):
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
     counts = simhash.bit_counts(nodes)
     assert counts[5, 9] == sum(1 for f in fps if f >> 5 & 1 and f >> 9 & 1)
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= radius
     for n in (200, 10**8, 10**10):
         parts = simhash.plan_search(counts * (n / len(fps)), n, radius)
         assert sorted(b for p in parts for b in p.bits) == list(range(64))
         assert sum(p.threshold for p in parts) == radius - len(parts) + 1
-        if n == 10**10 and radius == 4:
-            continue  # the same join with many more probes
-        assert {tuple(x) for x in simhash.near_links(nodes, parts, radius).distinct().collect()} == want
+        mine = signed if n < 10**10 else signed[::6] + signed[1::6]  # the largest plan has many probes
+        # every fingerprint its own component: all links must be found
+        held = spark.createDataFrame([(f, f) for f in mine], "fp long, comp long")
+        assert {tuple(x) for x in simhash.cross_links(held, parts, radius).collect()} == {(a, b) for a in mine for b in mine if a < b and near(a, b)}
+        # components of several members: a link for each pair of components with near members
+        held = spark.createDataFrame([(f, k % 7) for k, f in enumerate(mine)], "fp long, comp long")
+        assert {tuple(x) for x in simhash.cross_links(held, parts, radius).collect()} == {(i % 7, j % 7) for i, a in enumerate(mine) for j, b in enumerate(mine) if i % 7 < j % 7 and near(a, b)}
+        seeds = {tuple(x) for x in simhash.seed_links(spark.createDataFrame([(f,) for f in mine], "fp long"), parts, radius).collect()}
+        assert seeds <= {(a, b) for a in mine for b in mine if a < b and near(a, b)}
+
+
+def reach(fps, radius=4):
+    """The least fingerprint reachable, by search."""
+    root, left = {}, set(fps)
+    for f in sorted(fps):
+        if f in root:
+            continue
+        todo = [f]
+        left.discard(f)
+        while todo:
+            x = todo.pop()
+            root[x] = f
+            close = [y for y in left if ((x ^ y) & (2**64 - 1)).bit_count() <= radius]
+            left.difference_update(close)
+            todo += close
+    return root
+
+
+def test_dense_groups_have_links_in_proportion(spark):
+    r = np.random.default_rng(4)
+    counted = []
+    for n in (150, 600):
+        center = int(r.integers(0, 1 << 63))
+        dense = {center ^ sum(1 << int(x) for x in r.choice(12, 2, replace=False) * 5) for _ in range(n)} | {center ^ sum(1 << int(x) for x in r.choice(62, 2, replace=False)) for _ in range(n)}
+        chain = [int(r.integers(0, 1 << 62))]
+        for _ in range(30):
+            chain.append(chain[-1] ^ sum(1 << int(x) for x in r.choice(60, 4, replace=False)))
+        fps = sorted(dense | set(chain) | {int(x) for x in r.integers(0, 1 << 62, 200)})
+        nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+        parts = simhash.plan_search(simhash.bit_counts(nodes), len(fps))
+        counted.append((len(dense), simhash.seed_links(nodes, parts).count()))
+        got = {x.fp: x.root if x.root is not None else x.fp for x in simhash.components(nodes, parts).collect()}
+        assert got == reach(fps)
+    (n1, k1), (n2, k2) = counted
+    assert k1 <= 12 * n1 and k2 <= 12 * n2
 
 
 def test_connected_components(spark):
