@@ -6,8 +6,10 @@ pre-token. For a pre-token let L[k] be the last token of the encoding of its
 first k symbols, and E[k] the same with the word end put on symbol k. A sequence
 of tokens is the encoding of its concatenation exactly if every neighbouring pair
 is, so L[k] and E[k] are the only vocabulary entries that end at k and agree with
-L at their own start; counts follow by one addition. Nothing is ever encoded
-twice: the counts of pre-tokens add up to those of every prefix of the text.
+L at their own start; counts follow by one addition. The last token and the count of
+every prefix met are kept, so words that begin alike share their work and a prefix is
+never encoded again: the counts of pre-tokens add up to those of every prefix of the text,
+and a word's table of prefix counts settles what falls inside a word.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import accumulate, islice
 
 import regex
 
-#: Cached words of a worker; beyond it the cache starts anew, which only costs time.
-CACHE_WORDS = 400_000
+#: Words, pre-tokens or prefixes kept by a worker; beyond it a cache starts anew, which only costs time.
+CACHE_WORDS = 500_000
+#: Longer pre-tokens are worked out in arrays of their own and not kept.
+SHORT = 48
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_WORDS = re.compile(_SPACE.pattern.replace("[", "[^", 1))
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -50,7 +56,7 @@ class PrefixCounter:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.symbols = _byte_symbols()
+        self.symbols = {b: c for b, c in enumerate(_byte_symbols())}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         #: For each token that its own symbols merge into: the rank of its last merge (-1: a symbol) and that merge's halves.
         self.made: dict[str, int] = {}
@@ -62,6 +68,7 @@ class PrefixCounter:
             if pair[0] in self.made and pair[1] in self.made and pair[0] + pair[1] not in self.made:
                 self.made[pair[0] + pair[1]], self.halves[pair[0] + pair[1]] = rank, pair
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.states: dict[str, tuple[str, int]] = {}
         self.totals: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
@@ -100,9 +107,13 @@ class PrefixCounter:
                 return token, counts[j] + 1
         raise ValueError(f"no token ends at {k} of {s!r}")
 
+    def symbols_of(self, piece: str) -> str:
+        """One symbol for each byte of a pre-token; ASCII letters and digits stand for themselves."""
+        return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.symbols)
+
     def piece_counts(self, piece: str) -> list[int]:
         """Tokens of the first k symbols (bytes) of a pre-token, as a word of their own, for k = 1 .. its length."""
-        s = "".join(self.symbols[b] for b in piece.encode())
+        s = self.symbols_of(piece)
         last, counts, out = [""], [0], []
         for k in range(1, len(s) + 1):
             out.append(self._last(s, k, self.end, last, counts)[1])
@@ -111,31 +122,81 @@ class PrefixCounter:
             counts.append(c)
         return out
 
+    def _kept(self, s: str) -> int:
+        """Tokens of a short pre-token; the states of its prefixes are looked up, or worked out and kept."""
+        states, made, longest, n = self.states, self.made, self.longest, len(s)
+        if len(states) >= CACHE_WORDS:
+            states.clear()
+        known = n - 1
+        while known and s[:known] not in states:
+            known -= 1
+        for k in range(known + 1, n + 1):
+            suffix = self.end if k == n else ""
+            for j in range(max(0, k - longest), k):
+                token = s[j:k] + suffix if suffix else s[j:k]
+                if token in made:
+                    if not j:
+                        count = 1
+                        break
+                    last, before = states[s[:j]]
+                    if self.agree(last, token):
+                        count = before + 1
+                        break
+            else:
+                raise ValueError(f"no token ends at {k} of {s!r}")
+            if suffix:
+                return count
+            states[s[:k]] = token, count
+        raise ValueError("an empty pre-token")
+
     def piece_total(self, piece: str) -> int:
         """The last of piece_counts."""
         total = self.totals.get(piece)
         if total is None:
-            s = "".join(self.symbols[b] for b in piece.encode())
-            last, counts = [""], [0]
-            for k in range(1, len(s)):
-                t, c = self._last(s, k, "", last, counts)
-                last.append(t)
-                counts.append(c)
-            total = self._last(s, len(s), self.end, last, counts)[1]
+            s = self.symbols_of(piece)
+            if len(s) > SHORT:
+                return self._long(s)
             if len(self.totals) >= CACHE_WORDS:
                 self.totals.clear()
-            self.totals[piece] = total
+            total = self.totals[piece] = self._kept(s)
         return total
 
+    def _long(self, s: str) -> int:
+        last, counts = [""], [0]
+        for k in range(1, len(s)):
+            t, c = self._last(s, k, "", last, counts)
+            last.append(t)
+            counts.append(c)
+        return self._last(s, len(s), self.end, last, counts)[1]
+
     def word_total(self, word: str) -> int:
         total = self.words.get(word)
         if total is None:
-            total = sum(map(self.piece_total, self.pieces.findall(word)))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = total
+            total = self.piece_total(word) if word.isascii() and word.isalpha() else sum(map(self.piece_total, self.pieces.findall(word)))
         return total
 
+    def word_prefixes(self, word: str) -> list[int] | None:
+        """Tokens of the first k characters of a word, for k = 0 .. its length.
+
+        None for a word whose beginnings do not normalise to beginnings of its own normal form.
+        """
+        normal = self.normalise(word)
+        if not (word.isascii() or (unicodedata.is_normalized("NFC", word) and len(normal) == len(word) and unicodedata.is_normalized("NFC", normal))):
+            return None
+        out, done = [0], 0
+        for piece in self.pieces.findall(normal):
+            if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # a part of such an ending is cut in another way
+                counts = [sum(map(self.piece_total, self.pieces.findall(piece[:k]))) for k in range(1, len(piece) + 1)]
+            else:
+                by_byte, at = self.piece_counts(piece), 0
+                counts = []
+                for c in piece:
+                    at += len(c.encode())
+                    counts.append(by_byte[at - 1])
+            out += [done + c for c in counts]
+            done += counts[-1]
+        return out if len(out) == len(word) + 1 else None
+
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -148,21 +209,55 @@ class PrefixCounter:
             return [w for w in _SPACE.split(text) if w]
         return text.split()
 
+    def word_totals(self, words: list[str]) -> list[int]:
+        """The totals of words, each worked out once; short ones are kept for other texts."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = set(words).difference(self.words)
+        self.words.update({w: self.word_total(w) for w in new})
+        out = list(map(self.words.__getitem__, words))
+        for w in new:
+            if len(w) > SHORT:
+                del self.words[w]
+        return out
+
     def count(self, text: str | None) -> int:
         """Tokens of the whole text; special strings are their own tokens."""
+        return self.measure(text, None)[0]
+
+    def measure(self, text: str | None, budget: int | None) -> tuple[int, int]:
+        """(tokens, length in code points of the longest prefix within the budget) from one pass over the words.
+
+        The prefix does not end in white space; if it is not the whole text, the word at which the budget runs out is
+        looked up in its table of prefix counts (one whose beginnings normalise otherwise is left out whole).
+        """
         if not text:
-            return 0
-        total = 0
+            return 0, 0
+        total, at, cut = 0, 0, None
         for k, part in enumerate(self.split_special.split(text) if "<|" in text else [text]):
             if k % 2:
+                if cut is None and budget is not None and total + 1 > budget:
+                    cut = len(text[:at].rstrip())
                 total += 1
-                continue
-            words = self.split_words(self.normalise(part))
-            known = self.words.get
-            for w in words:
-                c = known(w)
-                total += self.word_total(w) if c is None else c
-        return total
+            else:
+                counts = self.word_totals(self.split_words(self.normalise(part)))
+                before, total = total, total + sum(counts)
+                if cut is None and budget is not None and total > budget:
+                    sums = accumulate(counts, initial=before)
+                    full = next(n for n, x in enumerate(sums) if x > budget) - 1
+                    cut = at + self._cut_in(part, full, budget - before - sum(counts[:full]))
+                    if cut == at:
+                        cut = len(text[:at].rstrip())
+            at += len(part)
+        return total, len(text) if cut is None else cut
+
+    def _cut_in(self, part: str, full: int, left: int) -> int:
+        """Where a part is cut of which this many words fit, and of the next so much that it has at most so many tokens."""
+        spans = [m.span() for m in islice(_WORDS.finditer(part), full + 1)]
+        start, end = spans[full]
+        table = self.word_prefixes(part[start:end])
+        inside = max((n for n, c in enumerate(table) if c <= left), default=0) if table else 0
+        return start + inside if inside else spans[full - 1][1] if full else 0
 
     def boundaries(self, text: str | None) -> tuple[list[int], list[int]]:
         """(ends, counts): for each word of the text its end as an offset in code points, and the tokens up to there.

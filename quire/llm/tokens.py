@@ -28,8 +28,9 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for every row of docs (doc_id, text, ...).
 
-    limit_chars is the length in code points of the longest prefix ending at a word end that keeps
-    within the limit (the whole text if it does). A null text counts as empty: no bytes, no tokens.
+    limit_chars is the length in code points of the longest prefix without white space at its end that keeps
+    within the limit (the whole text if it does); only a word that is not in normal form C is taken whole or not
+    at all. A null text counts as empty: no bytes, no tokens.
     Repeated rows stay; a null doc_id stays null; other columns are ignored; an empty table gives none.
     """
 
@@ -37,8 +38,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
         c = counter(vocabulary)
         for b in batches:
             texts = b.column(1).to_pylist()
-            totals = [c.count(t) for t in texts]
-            cuts = [c.cut_for(t, limit, *c.boundaries(t)) if n > limit else len(t or "") for t, n in zip(texts, totals)]
+            found = [c.measure(t, limit) for t in texts]
+            totals, cuts = [n for n, _ in found], [k for _, k in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(cuts, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"],

@@ -41,6 +41,36 @@ def test_every_prefix(pair):
         assert library(text[:cut]) <= budget and (cut == ends[-1] or library(text[: ends[ends.index(cut) + 1 if cut else 0]]) > budget)
 
 
+def test_longest_prefix_within_a_budget(pair):
+    mine, library = pair
+    r = random.Random(6)
+    made = ["Don't cut  here: naïve cafés, they'll cost 12½ <|endoftext|> more. ", "  internationalisation of antidisestablishmentarianism", "x<|endoftext|>y", "日本語テスト and 😀👍🏽 done", " ", "they'rE'S"]
+    made += ["".join(r.choice("aeiou'sStTrelvdmx019!?., \nßé日😀") for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    for text in made:
+        total = library(text)
+        counts = [library(text[:k]) for k in range(len(text) + 1)]
+        for budget in {0, 1, 2, 3, total // 2, max(0, total - 1), total, total + 1}:
+            got = mine.measure(text, budget)
+            want = len(text) if total <= budget else max((k for k in range(len(text)) if counts[k] <= budget and not text[k - 1 : k].isspace() and not inside_special(text, k)), default=0)
+            assert got == (total, want), (text, budget)
+
+
+def inside_special(text, k):
+    return any(a < k < a + len(s) for s in ("<|startoftext|>", "<|endoftext|>") for a in range(len(text)) if text.startswith(s, a))
+
+
+def test_prefix_states_are_shared_and_bounded(pair, monkeypatch):
+    from quire.llm import prefix_bpe
+
+    mine, library = PrefixCounter(PATH), pair[1]
+    monkeypatch.setattr(prefix_bpe, "CACHE_WORDS", 50)
+    r = random.Random(9)
+    for _ in range(300):
+        text = " ".join("".join(r.choice(["er", "en", "th", "in", "xq", "é"]) for _ in range(r.randrange(1, 30))) for _ in range(5))
+        assert mine.count(text) == library(text)
+    assert len(mine.states) <= 50 + prefix_bpe.SHORT and len(mine.words) <= 60
+
+
 def test_operator(spark, pair):
     _, library = pair
     rows = [(k, t, "x", 5) for k, t in enumerate(ODD)] + [(None, "a b", "x", 5), (1, None, None, None), (1, None, None, None)]
