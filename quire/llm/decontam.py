@@ -6,6 +6,9 @@ punctuation. Windows of five template tokens are hash-joined; for each alignment
 an item in a document the joined windows are compared token by token and their slots
 must map one to one (the same value in the item is always the same value in the
 document), so re-parameterised questions are found and chance template matches are not.
+In a short item one changed word breaks most windows, so it is also compared token by
+token where any window has placed it; an item shorter than a window is matched whole,
+with equal slots, as its template alone says too little.
 
 The benchmark is a stated query set. It is read in blocks of bounded size, each
 hashed in memory and sent to the executors; the documents are never collected, and
@@ -28,6 +31,8 @@ from quire.llm.templates import WINDOW, Reader, windows
 
 #: An item is in a document if this share of its windows is, or this many consecutive ones (13 words).
 MIN_SHARE, MIN_RUN = 0.8, 9
+#: Items of fewer tokens than this are also found by MIN_SHARE of their tokens at one place: in longer ones a changed word leaves MIN_RUN windows.
+SHORT_ITEM = 2 * (MIN_RUN + WINDOW - 1) + 1
 #: Template tokens of one benchmark block at most (one item may exceed it alone).
 BLOCK_TOKENS = 300_000
 
@@ -41,8 +46,11 @@ class Block:
         reader = Reader()
         self.items: list[Item] = []
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             ids, slot, codes = reader.read(text)
+            if 0 < len(ids) < WINDOW:
+                self.whole[len(ids)][int(windows(codes, len(ids))[0])].append(len(self.items))
             for j, h in enumerate(windows(codes).tolist()):
                 self.at[h].append((len(self.items), j))
             self.items.append((item_id, slot.tolist(), [reader.values[k] for k in ids.tolist()]))
@@ -57,9 +65,10 @@ class Block:
     def matches(self, reader: Reader, text: str) -> list[dict]:
         """One entry for each item that the text holds."""
         ids, slot, codes = reader.read(text)
+        out = [{"item_id": self.items[item][0], "n_matched": 1, "n_windows": 1, "longest_run": 1, "reparameterised": False} for item in sorted(self._short(reader, ids, slot, codes))]
         hashes = windows(codes)
         if not len(hashes):
-            return []
+            return out
         near = np.nonzero(self.filter[hashes >> self.shift])[0]
         found: dict[tuple[int, int], list[int]] = defaultdict(list)
         for i, h in zip(near.tolist(), hashes[near].tolist()):
@@ -67,12 +76,15 @@ class Block:
                 found[item, i - j].append(j)
         hit: dict[int, set[int]] = defaultdict(set)
         changed: dict[int, bool] = {}
+        alike: set[int] = set()
         for (item, shift), js in found.items():
             good, same = self._consistent(item, shift, js, reader, ids, slot)
             hit[item].update(good)
             if good:
                 changed[item] = changed.get(item, True) and not same
-        out = []
+                size = len(self.items[item][1])
+                if size < SHORT_ITEM and self._equal_tokens(item, shift, reader, ids, slot) >= MIN_SHARE * size:
+                    alike.add(item)
         for item, js in sorted(hit.items()):
             total = len(self.items[item][1]) - WINDOW + 1
             run = best = 0
@@ -80,10 +92,36 @@ class Block:
             for j in sorted(js):
                 run = run + 1 if last is not None and j == last + 1 else 1
                 best, last = max(best, run), j
-            if len(js) >= MIN_SHARE * total or best >= MIN_RUN:
+            if len(js) >= MIN_SHARE * total or best >= MIN_RUN or item in alike:
                 out.append({"item_id": self.items[item][0], "n_matched": len(js), "n_windows": total, "longest_run": best, "reparameterised": changed.get(item, False)})
         return out
 
+    def _short(self, reader: Reader, ids: np.ndarray, slot: np.ndarray, codes: np.ndarray) -> set[int]:
+        """Items shorter than a window that the text holds, slot values included."""
+        found: set[int] = set()
+        for size, known in self.whole.items():
+            hashes = windows(codes, size)
+            wanted = np.fromiter(known, np.uint64, len(known))
+            for i in np.nonzero(np.isin(hashes, wanted))[0].tolist():
+                for item in known[int(hashes[i])]:
+                    _, kinds, values = self.items[item]
+                    if item not in found and kinds == slot[i : i + size].tolist() and values == [reader.values[k] for k in ids[i : i + size].tolist()]:
+                        found.add(item)
+        return found
+
+    def _equal_tokens(self, item: int, shift: int, reader: Reader, ids: np.ndarray, slot: np.ndarray) -> int:
+        """Tokens of an item that agree where it lies in the text: equal plain ones, and slots that keep one mapping."""
+        _, kinds, values = self.items[item]
+        to_doc: dict[tuple[int, str], str] = {}
+        to_item: dict[tuple[int, str], str] = {}
+        equal = 0
+        for t in range(max(0, -shift), min(len(kinds), len(ids) - shift)):
+            kind, mine, theirs = kinds[t], values[t], reader.values[ids[t + shift]]
+            if kind != slot[t + shift]:
+                continue
+            equal += to_doc.setdefault((kind, mine), theirs) == theirs and to_item.setdefault((kind, theirs), mine) == mine if kind else mine == theirs
+        return equal
+
     def _consistent(self, item: int, shift: int, js: list[int], reader: Reader, ids: np.ndarray, slot: np.ndarray) -> tuple[list[int], bool]:
         """The windows of one alignment whose plain tokens are equal and whose slots keep one mapping; whether all slots are equal."""
         _, kinds, values = self.items[item]
@@ -130,8 +168,9 @@ _MATCH = "doc_id long, item_id long, n_matched long, n_windows long, longest_run
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, longest_run, reparameterised): a row for each row of docs and item it holds.
 
-    Null and empty texts hold nothing; items with under five template tokens are never found; repeated
-    rows and items give repeated rows; null ids stay null; other columns are ignored; empty tables give no rows.
+    Null and empty texts hold nothing, and nothing holds an item without a template token; items with under five
+    count as one window. Repeated rows and items give repeated rows; null ids stay null; other columns are
+    ignored; empty tables give no rows.
     """
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None

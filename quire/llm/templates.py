@@ -103,13 +103,13 @@ class Reader:
         return ids, slot, codes
 
 
-def windows(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every window of canonical tokens."""
-    n = len(codes) - WINDOW + 1
+def windows(codes: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """A 64-bit hash of every window of so many canonical tokens."""
+    n = len(codes) - size + 1
     if n < 1:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(WINDOW):
+        for j in range(size):
             out = (out ^ (out >> np.uint64(29))) * _FACTOR + codes[j : j + n]
     return out

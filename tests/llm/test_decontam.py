@@ -56,3 +56,23 @@ def test_slots_must_map_one_to_one():
     broken = block.matches(reader, "Anna sold 3 clips to Bob in May, and then she sold 9 clips and 8 pins in June for 4 euros each.")
     assert not broken or broken[0]["n_matched"] < good[0]["n_matched"]
     assert not block.matches(reader, "and then she sold")
+
+
+def test_short_items():
+    reader = Reader()
+    block = decontam.Block([(1, "capital of France"), (2, "add 12 apples"), (3, "..."), (4, "")])
+    found = lambda t: sorted(m["item_id"] for m in block.matches(reader, t))
+    assert found("What is the capital of France, please?") == [1] and found("Capital of France") == [1]
+    assert found("the capital of Spain") == [] and found("add 12 apples and add 13 apples") == [2] and found("add 13 apples") == []
+
+
+def test_one_changed_word_in_a_short_item():
+    r = random.Random(3)
+    for n in range(6, 40):
+        item = prose(r, n).split()
+        block = decontam.Block([(1, " ".join(item))])
+        for at in range(n):
+            text = prose(r, 30).split() + item[:at] + ["zzzz"] + item[at + 1 :] + prose(r, 30).split()
+            windows = sum(not j <= at < j + 5 for j in range(n - 4))
+            assert bool(block.matches(Reader(), " ".join(text))) == (windows > 0), (n, at)
+    assert not block.matches(Reader(), prose(r, 3000))
