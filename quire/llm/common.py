@@ -13,16 +13,20 @@ from pyspark.sql import types as T
 
 #: A word is a run of code points other than ASCII white space (Java, Python and RE2 agree on it).
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows handed to Python at once. Texts may be long, so few: it bounds a worker's memory.
+#: Rows that Python objects are made of at once; Spark bounds the bytes of the batches that they are cut from.
 BATCH_ROWS = 500
+#: Folders of the tables made by ``written`` and not discarded yet.
+_TABLES: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where none is named (tests) take a temporary one."""
+    """Use the folder named in spark.checkpoint.dir; a session in one process (tests) may take a temporary one instead."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
 
 
@@ -48,13 +52,29 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for path in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _TABLES.remove(path)
+
+
+def tables_written() -> list[str]:
+    return list(_TABLES)
+
+
 def map_batches(df: DataFrame, per_batch: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(per_batch, schema)
+    """mapInArrow over small slices of the batches."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(lambda batches: per_batch(sliced(batches)), schema)
 
 
 def word_count(text: Column) -> Column:

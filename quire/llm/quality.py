@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import cut, map_batches
+from quire.llm.common import cut, fresh, map_batches, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -148,18 +149,21 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 def references(profiles: DataFrame) -> dict[str, np.ndarray]:
     """For classes and words: one mean histogram for each reference language, over all its rows that pass the base rules."""
-    out = {}
     passed = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))
     known = profiles.where(F.col("lang").isin(list(COMMON_WORDS)) & passed)
-    for what in ("classes", "words"):
-        size = F.aggregate(what, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def shares(what: str) -> Column:
         # Shares in whole millionths: the sums do not depend on the order of rows, so reruns agree.
-        shares = known.select("lang", F.posexplode(F.transform(what, lambda x: F.round(x * 1e6 / size).cast("long"))))
-        sums = shares.groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect()  # languages x bins
-        langs = sorted({r.lang for r in sums})
-        width = max((r.pos for r in sums), default=-1) + 1
-        total = np.zeros((len(langs), width))
-        for r in sums:
+        size = F.aggregate(what, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.transform(F.col(what), lambda x, k: F.struct(F.lit(what).alias("what"), k.alias("pos"), F.round(x * 1e6 / size).cast("long").alias("n")))
+
+    rows = known.select("lang", F.explode(F.concat(shares("classes"), shares("words"))).alias("s"))
+    sums = rows.groupBy("lang", "s.what", "s.pos").agg(F.sum("s.n").alias("n")).collect()  # languages x bins
+    langs, out = sorted({r.lang for r in sums}), {}
+    for what in ("classes", "words"):
+        mine = [r for r in sums if r.what == what]
+        total = np.zeros((len(langs), max((r.pos for r in mine), default=-1) + 1))
+        for r in mine:
             total[langs.index(r.lang), r.pos] = r.n
         out[what] = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
     return out
@@ -182,27 +186,29 @@ def nearest(hists: np.ndarray, refs: np.ndarray, least: int) -> np.ndarray:
     return np.where(size >= least, js_distance(hists / np.maximum(size, 1)[:, None], refs).min(axis=1), np.nan)
 
 
-def distances(profiles: DataFrame, refs: dict[str, np.ndarray]) -> DataFrame:
+HISTOGRAMS = {"class_distance": ("classes", MIN_CHARS), "word_distance": ("words", MIN_COMMON_WORDS)}
+
+
+def distances(profiles: DataFrame, refs: dict[str, np.ndarray], names: tuple[str, ...] = tuple(HISTOGRAMS)) -> DataFrame:
     """profiles with class_distance and word_distance to the nearest reference; null where there is too little to judge."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            judged = [nearest(np.array(b.column(w).to_pylist(), float), refs[w], least) for w, least in (("classes", MIN_CHARS), ("words", MIN_COMMON_WORDS))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64(), from_pandas=True) for x in judged)], names=[*b.schema.names, "class_distance", "word_distance"])
+            judged = [nearest(np.array(b.column(w).to_pylist(), float), refs[w], least) for w, least in (HISTOGRAMS[n] for n in names)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64(), from_pandas=True) for x in judged)], names=[*b.schema.names, *names])
 
-    return map_batches(profiles, per_batch, ", ".join(f"{n} {t}" for n, t in [*profiles.dtypes, ("class_distance", "double"), ("word_distance", "double")]))
+    return map_batches(profiles, per_batch, ", ".join(f"{n} {t}" for n, t in [*profiles.dtypes, *((n, "double") for n in names)]))
 
 
 def learned_references(profiles: DataFrame) -> dict[str, np.ndarray]:
     """The means over all rows, then over those near the first means."""
     first = references(profiles)
-    near = distances(profiles, first).where(F.col("class_distance") <= TRIM).select(*profiles.columns)
-    second = references(near)
+    second = references(distances(profiles, first, ("class_distance",)).where(F.col("class_distance") <= TRIM))
     return second if len(second["classes"]) else first
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, the base counts, base_failed, class_distance, word_distance, kept) for every row of docs (doc_id, text, lang, ...).
+    """(doc_id, the base counts, base_failed, kept, class_distance, word_distance) for every row of docs (doc_id, text, lang, ...).
 
     A distance is null where the text is too short to judge, or no row of the table has a reference
     language; null distances never reject. Null and empty texts have no words and fail the base rules.
@@ -215,24 +221,38 @@ def quality(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     off = (F.col("class_distance") > FAR_CLASS) | ((F.col("class_distance") > OFF_CLASS) & (F.col("word_distance") > OFF_WORD))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~F.coalesce(off, F.lit(False))).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(off, F.lit(False))).alias("kept"), "class_distance", "word_distance"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality keeps, with all their columns; a second pass judges each row where it is, so no text is shuffled."""
-    refs = learned_references(cut(_profiles(docs)))
-    at = docs.columns.index("text")
+    """The rows of docs that quality keeps, with all their columns.
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = Profiler()
+    Every text is profiled once: rows are written with their profiles, the references are learned from these, and the
+    rows that pass are read back, so no text is shuffled.
+    """
+    own, at, names = list(docs.columns), docs.columns.index("text"), fresh(docs, "q_words", "q_repeat", "q_classes", "q_hist")
+    n_words, n_repeat, classes, hist = names
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler, longs = Profiler(), pa.list_(pa.int64())
+        for b in batches:
+            found = [profiler.of(t) for t in b.column(at).to_pylist()]
+            added = [pa.array([f[0][0] for f in found], pa.int64()), pa.array([f[0][4] for f in found], pa.int64()), pa.array([f[1].tolist() for f in found], longs), pa.array([f[2].tolist() for f in found], longs)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, n_words, n_repeat, classes, hist])
+
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_repeat, T.LongType()), T.StructField(classes, longs), T.StructField(hist, longs)])
+    rows = written(map_batches(docs, profile, schema))
+    of_lang = F.col("lang").cast("string") if "lang" in [c.lower() for c in docs.columns] else F.lit(None).cast("string")
+    refs = learned_references(rows.select(of_lang.alias("lang"), F.col(n_words).alias("n_words"), F.col(n_repeat).alias("n_repeat_words"), F.col(classes).alias("classes"), F.col(hist).alias("words")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            base, classes, words = (np.array(x, float) for x in zip(*map(profiler.of, b.column(at).to_pylist())))
-            failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
-            by_class, by_word = nearest(classes, refs["classes"], MIN_CHARS), nearest(words, refs["words"], MIN_COMMON_WORDS)
+            words, repeat = (b.column(n).to_numpy(zero_copy_only=False) for n in (n_words, n_repeat))
+            by_class, by_word = (nearest(np.array(b.column(n).to_pylist(), float), refs[w], least) for n, w, least in ((classes, "classes", MIN_CHARS), (hist, "words", MIN_COMMON_WORDS)))
+            failed = (words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * words)
             off = (by_class > FAR_CLASS) | ((by_class > OFF_CLASS) & (by_word > OFF_WORD))
-            yield b.filter(pa.array(~failed & ~off))
+            yield b.filter(pa.array(~failed & ~off)).select(own)
 
-    return map_batches(docs, per_batch, docs.schema)
+    return map_batches(rows, judge, docs.schema)

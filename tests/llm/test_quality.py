@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -66,3 +67,53 @@ def test_distance():
     p = np.array([[0.5, 0.5, 0], [1, 0, 0]])
     assert np.allclose(Q.js_distance(p, p).diagonal(), 0)
     assert np.isclose(Q.js_distance(np.array([[1.0, 0]]), np.array([[0, 1.0]]))[0, 0], 1)
+
+
+def brute_verdicts(rows):
+    """{index: kept} by loops: the means over passing rows, again over those near them, then the nearest distances."""
+    profiler = Q.Profiler()
+    found = [profiler.of(t) for _, t, _ in rows]
+    failed = [b[0] < 20 or 100 * b[4] > 30 * b[0] for b, _, _ in found]
+
+    def js(p, q):
+        m = [(x + y) / 2 for x, y in zip(p, q)]
+        kl = lambda a: sum(x * math.log2(x / z) for x, z in zip(a, m) if x > 0)
+        return math.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+    def share(h):
+        return [x / sum(h) for x in h]
+
+    def means(chosen, what):
+        out = []
+        for lang in sorted({rows[k][2] for k in chosen}):
+            mine = [[round(1e6 * x / sum(found[k][what])) for x in found[k][what]] for k in chosen if rows[k][2] == lang]
+            out.append(share([sum(col) for col in zip(*mine)]))
+        return out
+
+    def least(k, refs, what, size):
+        h = found[k][what]
+        return min((js(share(h), r) for r in refs), default=None) if sum(h) >= size else None
+
+    good = [k for k in range(len(rows)) if not failed[k] and rows[k][2] in Q.COMMON_WORDS]
+    first = means(good, 1)
+    near = [k for k in good if (d := least(k, first, 1, Q.MIN_CHARS)) is not None and d <= Q.TRIM]
+    classes, words = means(near, 1), means(near, 2)
+    out = []
+    for k in range(len(rows)):
+        c, w = least(k, classes, 1, Q.MIN_CHARS), least(k, words, 2, Q.MIN_COMMON_WORDS)
+        off = c is not None and (c > Q.FAR_CLASS or (c > Q.OFF_CLASS and w is not None and w > Q.OFF_WORD))
+        out.append((rows[k][0], not failed[k] and not off, c and round(c, 5), w and round(w, 5)))
+    return out
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = corpus()
+    got = Q.quality(frame(spark, rows))
+    assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rounded = [(r.doc_id, r.kept, r.class_distance and round(r.class_distance, 5), r.word_distance and round(r.word_distance, 5)) for r in got.collect()]
+    assert sorted(rounded, key=str) == sorted(brute_verdicts(rows), key=str)
+
+
+def test_keep_good_with_clashing_names(spark):
+    df = frame(spark, corpus()).withColumnRenamed("n_words", "q_words").withColumnRenamed("kept", "Q_HIST")
+    assert Q.keep_good(df).columns == df.columns and Q.keep_good(df).count() == Q.quality(df).where("kept").count()
