@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import table, written
+from quire.llm.common import discard, table, tables_written, written
 from quire.llm.decontam import decontaminate
 from quire.llm.mixing import mix
 from quire.llm.pii import redact
@@ -56,6 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents; what lies between two stages is written once and read again."""
     docs = table(spark, sf_dir, "documents")
+    others = set(tables_written())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        # what the stage read and what it wrote on its way is not needed any more
+        discard(spark, [t for t in tables_written()[:-1] if t not in others])
     return STAGES[-1][1](spark, docs, sf_dir)
