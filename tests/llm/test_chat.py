@@ -5,7 +5,7 @@ def brute(rows):
     """{(conv, perspective): (text, mask spans)} of rows (conv, turn, role, text) without chunks."""
     out = {}
     for conv in {r[0] for r in rows}:
-        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or ""))
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
         for who in {r[2] for r in turns if r[2] not in (None, "system")}:
             text, mask = "", []
             for _, _, role, said in turns:
@@ -50,3 +50,31 @@ def test_repeated_turns_stay(spark):
     rows = [(1, 0, "a", "x")] * 5 + [(1, 0, "b", "x")]
     got = {r.perspective: (r.n_turns, r.mask.count(":")) for r in chat.format_chats(frame(spark, rows)).collect()}
     assert got == {"a": (6, 5), "b": (6, 1)}
+
+
+def test_ties_go_by_text(spark):
+    rows = [(1, 0, "a", "zeta"), (1, 0, "a", "alpha"), (1, 0, "a", None), (1, 0, "b", "x")]
+    for shuffled in (rows, rows[::-1]):
+        got = {(r.conv_id, r.perspective): r.text for r in chat.format_chats(frame(spark, shuffled)).collect()}
+        assert got == {k: t for k, (t, _) in brute(rows).items()}
+
+
+def test_conversations_over_many_ranges(spark):
+    """A conversation with a third of all turns, in small ranges and small chunks, and equal turns by the hundred."""
+    rows = [(c, t, "abc"[(c + t) % 3], f"turn {t} " + "x" * (t % 40)) for c in range(30) for t in range(12)] + [(77, t, "pqr"[t % 3], f"long {t} é😀") for t in range(300)] + [(99, 0, "a", "same")] * 150 + [(None, 5, "a", "n")] * 40
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        got = chat.format_chats(frame(spark, rows).repartition(5), chunk_chars=700).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = brute(rows)
+    assert len({(r.conv_id, r.perspective, r.chunk) for r in got}) == len(got)
+    for key, (text, mask) in want.items():
+        mine = sorted((r for r in got if (r.conv_id, r.perspective) == key), key=lambda r: r.chunk)
+        assert "".join(r.text for r in mine) == text
+        at, spans = 0, []
+        for r in mine:
+            spans += [(at + int(a), at + int(b)) for a, b in (m.split(":") for m in r.mask.split(",") if m)]
+            at += len(r.text)
+        assert spans == mask
+    assert {(r.conv_id, r.perspective) for r in got} == set(want)
