@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.numerals import EXTRA
-from quire.functions.text import char_count, chinese_date, convert_punctuation, interleave_blank_lines, once, paragraphs, punctuation_stats
-from quire.operators import diff, index, markup, overlay, publish, segment, volumes
+from quire.functions.text import char_count, chinese_date, convert_punctuation, interleave_blank_lines, once, pad3, paragraphs, punctuation_stats
+from quire.operators import diff, index, markup, overlay, publish, reports, segment, volumes
 from quire.sources import config
 
 
@@ -71,6 +71,33 @@ def punct(texts: DataFrame, scope: str = "file") -> DataFrame:
     return texts.withColumns(stats).withColumn("text", convert_punctuation(F.col("text"), scope))
 
 
+def compare_files(files: DataFrame) -> DataFrame:
+    """files (..., text1, text2) with the report of their comparison."""
+    return reports.comparison_text(files)
+
+
+def note_add(old: DataFrame, notes: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """old with notes (by, filename, msg, updated_at) put in, by full name or number; files has by, file_name and mtime."""
+    return index.set_revisions(old, index.noted(notes, files, old, by), by)
+
+
+def note_list(old: DataFrame, by: str) -> DataFrame:
+    """(by, text): a line for each note in the order of keys."""
+    line = F.concat(F.lit("["), "key", F.lit("] "), "filename", F.lit(": "), "msg")
+    rows = F.array_sort(F.collect_list(F.struct("key", line.alias("line"))))
+    return old.groupBy(by).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def note_remove(old: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """old without the notes of names (by, filename)."""
+    return index.remove_revisions(old, names, by)
+
+
+def note_clear(old: DataFrame, works: DataFrame, by: str) -> DataFrame:
+    """old without any note of works."""
+    return old.join(works.select(by), by, "left_anti")
+
+
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     """The paragraphs in which chapters of equal key differ."""
     return diff.paragraph_diffs(diff.compare(first, second))
@@ -79,7 +106,7 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
 def diff_layers(base: DataFrame, corrected: DataFrame, preview: int = 3) -> dict[str, DataFrame]:
     """summary, chapters, preview and report of two layers."""
     found = diff.compare(base, corrected)
-    return {"summary": diff.status_summary(found), "chapters": found, "preview": diff.preview(diff.paragraph_diffs(found), preview), "report": diff.report(found)}
+    return {"summary": diff.status_summary(found), "chapters": found, "preview": diff.preview(diff.paragraph_diffs(found), preview), "report": reports.directory_report(found, preview)}
 
 
 def assemble(base: DataFrame, corrected: DataFrame) -> dict[str, DataFrame]:
@@ -132,5 +159,6 @@ def epub(
 
 
 def retry(records: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Records whose chapter has no file."""
-    return overlay.missing(index.record_rows(records), chapters.select(F.col("prefix").alias("chapter_num")), "chapter_num")
+    """Records whose chapter has no file; a prefix counts as its number, so 1 and 001 are the same chapter."""
+    have = chapters.select(pad3(F.col("prefix").try_cast("int")).alias("chapter_num")).where("chapter_num is not null")
+    return overlay.missing(index.record_rows(records), have, "chapter_num")

@@ -94,12 +94,38 @@ def revisions_of(texts: DataFrame, by: str) -> DataFrame:
 
 def set_revisions(old: DataFrame, notes: DataFrame, by: str) -> DataFrame:
     """Notes put in by (by, key), where a note's key is the prefix of its file name, or the whole name; old keys by full name go."""
-    key = F.coalesce(F.nullif(F.regexp_extract("filename", r"^(\d+)", 1), F.lit("")), F.col("filename"))
-    new = notes.withColumn("key", key).select(*old.columns)
+    new = (notes if "key" in notes.columns else notes.withColumn("key", note_key(F.col("filename")))).select(*old.columns)
     legacy = new.select(by, F.col("filename").alias("key"))
     return upsert(remove(old, legacy, [by, "key"]), new, [by, "key"], F.col("updated_at"))
 
 
+def note_key(name: Column) -> Column:
+    """The key of a note for a full name, a number or a name without one: the leading digits, or else the whole name."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d+)", 1), F.lit("")), name)
+
+
+def noted(notes: DataFrame, files: DataFrame, old: DataFrame, by: str) -> DataFrame:
+    """notes (by, filename, msg, updated_at) made ready for set_revisions: filename and mtime of the file that has the note's key.
+
+    files has by, file_name and mtime. A note by number takes the name of the file with that number, the greatest if there are
+    several, or none; one by full name keeps it, and the old note's time if there is no such file.
+    """
+    keyed = notes.withColumn("key", note_key(F.col("filename"))).withColumn("full", F.col("filename") != F.col("key"))
+    held = files.withColumn("key", note_key(F.col("file_name"))).groupBy(by, "key").agg(F.max(F.struct("file_name", "mtime")).alias("of_number"), F.map_from_entries(F.collect_set(F.struct("file_name", "mtime"))).alias("by_name"))
+    rows = keyed.join(held, [by, "key"], "left").join(old.select(by, "key", F.col("mtime").alias("old_mtime")), [by, "key"], "left")
+    name = F.when(F.col("full"), F.col("filename")).otherwise(F.coalesce("of_number.file_name", F.lit("")))
+    time = F.when(F.col("full"), F.element_at("by_name", F.col("filename"))).otherwise(F.col("of_number.mtime"))
+    return rows.select(by, "key", "msg", name.alias("filename"), F.coalesce(time, "old_mtime", F.lit("")).alias("mtime"), "updated_at")
+
+
+def remove_revisions(old: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """old without the notes of names (by, filename), each a full name or a number; a note kept under its full name goes if there is none under the number."""
+    wanted = names.select(by, note_key(F.col("filename")).alias("key"), "filename").distinct()
+    there = wanted.join(old.select(by, "key"), [by, "key"], "left_semi").select(by, "key")
+    legacy = wanted.join(old.select(by, "key"), [by, "key"], "left_anti").select(by, F.col("filename").alias("key"))
+    return remove(old, there.union(legacy), [by, "key"])
+
+
 def revisions_json(notes: DataFrame, by: str) -> DataFrame:
     """(by, json): the notes of each work as one JSON object, keys in order."""
     entry = F.struct("key", F.struct("msg", "filename", "mtime", "updated_at").alias("v"))

@@ -23,21 +23,24 @@ def found_images(paras: DataFrame, images: DataFrame) -> DataFrame:
     return image_markers(paras).join(best, "img", "left")
 
 
-def replace_tags(texts: DataFrame, images: DataFrame, tag: str, key: list[str]) -> DataFrame:
+def replace_tags(texts: DataFrame, images: DataFrame, tag: str, key: list[str], scope: Column | None = None) -> DataFrame:
     """texts (key..., text) with every [tag:id] replaced by what images (id, status, img) say of it.
 
     status ok gives the illustration's marker, gone, failed and bad each its notice; an id without a row stays
-    as it is. Only the distinct ids of a text are joined, so a text is shuffled once whatever it holds.
+    as it is. With scope, ids in images are those of a text behind its scope and a unit separator. Only the distinct ids of a text are joined, so a text is shuffled once whatever it holds.
     """
     mark = lambda body: F.concat(F.lit("\n\n【"), body, F.lit("】\n\n"))
     notice = (
         F.when(F.col("status") == "ok", mark(F.concat(F.lit("插图: "), F.col("img"))))
-        .when(F.col("status") == "gone", mark(F.concat(F.lit("插图失效: 原图 "), F.col("id"), F.lit(" 已删除"))))
-        .when(F.col("status") == "failed", mark(F.concat(F.lit("插图获取失败: 原图 "), F.col("id"), F.lit(" 请求超时或网络异常"))))
-        .when(F.col("status") == "bad", mark(F.concat(F.lit("插图获取失败: 原图 "), F.col("id"), F.lit(" 返回数据异常"))))
+        .when(F.col("status") == "gone", mark(F.concat(F.lit("插图失效: 原图 "), F.col("shown_id"), F.lit(" 已删除"))))
+        .when(F.col("status") == "failed", mark(F.concat(F.lit("插图获取失败: 原图 "), F.col("shown_id"), F.lit(" 请求超时或网络异常"))))
+        .when(F.col("status") == "bad", mark(F.concat(F.lit("插图获取失败: 原图 "), F.col("shown_id"), F.lit(" 返回数据异常"))))
     )
     ids = texts.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\[{tag}:(\d+)\]"), 1))).alias("id"))
-    known = ids.join(images.select("id", notice.alias("to")), "id").where("to is not null")
+    shown = F.col("shown_id")
+    if scope is not None:
+        ids = ids.withColumn("id", F.concat_ws("\x1f", scope, "id"))
+    known = ids.join(images.select("id", F.element_at(F.split("id", "\x1f"), -1).alias("shown_id"), "status", "img").select("id", "shown_id", notice.alias("to")), "id").where("to is not null").select(*key, shown.alias("id"), "to")
     pairs = known.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", "to"))).alias("pairs"))
     swapped = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, F.concat(F.lit(f"[{tag}:"), p["id"], F.lit("]")), p["to"]))
     return texts.join(pairs, key, "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped)).drop("pairs")

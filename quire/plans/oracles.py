@@ -103,6 +103,50 @@ html AS (SELECT work_id, CASE kind WHEN 'vol' THEN 'vol_' ELSE 'chap_' END || lp
 
 NEW_TITLE = f"CASE WHEN num IS NULL THEN marker ELSE '第' || CASE WHEN first_style = 'chinese' THEN {SMALL_NUMERAL} ELSE CAST(new_num AS VARCHAR) END || '章' || CASE WHEN rest <> '' AND NOT regexp_matches(rest, '^[\\s：:]') THEN ' ' ELSE '' END || rest END"
 
+EDITED = f"CASE WHEN doc_id % 3 = 0 THEN replace(text, 'en', 'EN') || {LF} || 'z' WHEN doc_id % 3 = 1 THEN string_split(text, {LF})[1] ELSE text END"
+#: Paragraph lists a and b side by side: line numbers with differences, and the first differing place of two texts.
+CHANGED = "list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])"
+PLACE = "list_position(list_transform(list_zip(string_split(a[i], ''), string_split(b[i], '')), lambda c: c[1] IS DISTINCT FROM c[2]), true)"
+AT = "coalesce(nullif(substr({}[i], {}, 1), ''), '(无)')"
+COMPARE_REPORT = f"""SELECT doc_id, CAST(length(r) AS BIGINT) AS n_chars, md5(r) AS report_md5 FROM (SELECT doc_id, '文件1和文件2之间的差异：' || {LF} || {LF} ||
+ coalesce(array_to_string(list_transform(c, lambda i, k: '第 ' || k || ' 个错误：' || {LF} || '文件1第 ' || i || ' 行：' || {LF} || a[i] || {LF} || '文件2第 ' || i || ' 行：' || {LF} || b[i] || {LF} || '第一个不同的字符在位置 ' || {PLACE} || '，''' || {AT.format('a', PLACE)} || ''' vs ''' || {AT.format('b', PLACE)} || '''，这段共有 1 个错误' || {LF} || {LF}), ''), '') ||
+ '总共 ' || (len(c) + abs(len(a) - len(b))) || ' 处错误' ||
+ coalesce(array_to_string(list_transform(range(len(b) + 1, len(a) + 1), lambda i: '文件1额外的行 ' || i || '：''' || a[i] || '''' || {LF}), ''), '') ||
+ coalesce(array_to_string(list_transform(range(len(a) + 1, len(b) + 1), lambda i: '文件2额外的行 ' || i || '：''' || b[i] || '''' || {LF}), ''), '') AS r
+ FROM (SELECT *, {CHANGED} AS c FROM (SELECT doc_id, {paragraphs_sql('text')} AS a, {paragraphs_sql(EDITED)} AS b FROM documents)))"""
+
+
+def _section(s: int, head: str, tail: str) -> str:
+    these = f"FILTER (section = {s})"
+    return f"CASE WHEN count(*) {these} > 0 THEN {LF} || '{head}' || count(*) {these} || '{tail}' || {LF} || string_agg(line, {LF} ORDER BY CAST(chapter_key AS BIGINT)) {these} || {LF} ELSE '' END"
+
+
+def _more(rows: str, rest: str) -> str:
+    return f"CASE WHEN len({rows}) > 3 THEN {LF} || '    ... 剩余 ' || (len({rows}) - 3) || ' {rest}见日志文件' ELSE '' END"
+
+
+def _surplus(rows: str, x: str, did: str, side: str) -> str:
+    return f"CASE WHEN len({rows}) > 0 THEN {LF} || '  校正版{did}了 ' || len({rows}) || ' 段:' || array_to_string(list_transform({rows}[1:3], lambda i: {LF} || '    第 ' || i || ' 段 ({side}独有): ' || {x}[i]), '') || {_more(rows, '段' + did)} ELSE '' END"
+
+
+DIRECTORY_REPORT = f"""WITH p AS (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, x.file_name AS bn, y.file_name AS cn, {paragraphs_sql('x.text')} AS a, {paragraphs_sql('y.text')} AS b FROM ({BASE}) x FULL JOIN ({COR}) y ON x.chapter_key = y.chapter_key),
+c AS (SELECT *, {CHANGED} AS c, range(len(b) + 1, len(a) + 1) AS gone, range(len(a) + 1, len(b) + 1) AS added FROM p),
+s AS (SELECT *, CASE WHEN cn IS NULL THEN 4 WHEN bn IS NULL THEN 5 WHEN len(c) + len(gone) + len(added) > 0 THEN 0 WHEN bn <> cn THEN 1 ELSE 6 END AS section FROM c),
+l AS (SELECT work_id, chapter_key, section, CASE section
+ WHEN 0 THEN {LF} || '===== [' || chapter_key || '] ' || bn || CASE WHEN bn <> cn THEN '  vs  ' || cn ELSE '' END || ' — ' || (len(c) + len(gone) + len(added)) || ' 处差异 =====' ||
+  coalesce(array_to_string(list_transform(c[1:3], lambda i: {LF} || '  第 ' || i || ' 段 第 ' || {PLACE} || ' 字: ''' || {AT.format('a', PLACE)} || ''' vs ''' || {AT.format('b', PLACE)} || '''' || {LF} || '    标准化: ' || a[i] || {LF} || '    校正版: ' || b[i]), ''), '') || {_more('c', '处段落差异')} || {_surplus('gone', 'a', '删除', '标准化')} || {_surplus('added', 'b', '新增', '校正')}
+ WHEN 1 THEN '  [' || chapter_key || '] ' || bn || '  ->  ' || cn ELSE '  [' || chapter_key || '] ' || coalesce(bn, cn) END AS line FROM s),
+r AS (SELECT work_id, {_section(0, '', ' 个配对文件发现内容差异：')} || {_section(1, '', ' 个文件仅改了文件名（内容一致）:')} || CASE WHEN count(*) FILTER (section < 2) = 0 THEN {LF} || '所有配对文件内容完全一致，无差异。' || {LF} ELSE '' END || {_section(4, '仅标准化目录存在 ', ' 个文件（未校正）:')} || {_section(5, '仅校正目录存在 ', ' 个文件（新增）:')} ||
+ {LF} || '对比完成: ' || count(*) FILTER (section = 0) || ' 篇改动，' || count(*) FILTER (section IN (1, 6)) || ' 篇未改（其中 ' || count(*) FILTER (section = 1) || ' 篇仅改名），' || count(*) FILTER (section = 4) || ' 篇未校正，' || count(*) FILTER (section = 5) || ' 篇新增' || {LF} AS r FROM l GROUP BY work_id)
+SELECT work_id, CAST(length(r) AS BIGINT) AS n_chars, md5(r) AS report_md5 FROM r"""
+TURN = "lpad(CAST(turn AS VARCHAR), 3, '0')"
+GOT = f"SELECT *, {WORK} AS work_id, {PAD} AS num FROM documents WHERE doc_id % 9 <> 0"
+_NOTICE = f"{LF} || {LF} || '【' || {{}} || '】' || {LF} || {LF}"
+_REFERENCED = [_NOTICE.format(x) for x in ("'插图: ch' || num || '_pid_0.jpg'", "'插图失效: 原图 1 已删除'", "'插图获取失败: 原图 2 请求超时或网络异常'", "'插图获取失败: 原图 3 返回数据异常'")]
+_UPLOADED = _NOTICE.format("'插图: ch' || num || '_up_5.png'")
+DOWNLOADED = f"'a' || {LF} || {LF} || 'b' || {_UPLOADED} || CASE doc_id % 4 WHEN 0 THEN {_REFERENCED[0]} WHEN 1 THEN {_REFERENCED[1]} WHEN 2 THEN {_REFERENCED[2]} ELSE {_REFERENCED[3]} END || text || '[uploadedimage:6][image:9]'"
+
+
 ORACLE_SQL: dict[str, str] = {
     "line_explode_nonblank": f"SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM ({PARAS})",
     "paragraph_interleave": f"SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(p, {LF} || {LF}) || {LF} END AS text FROM ({PARAS})",
@@ -192,4 +236,21 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "assemble_lineage_text": f"SELECT work_id, string_agg(line, {LF} ORDER BY chapter_key) AS text FROM (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) || CASE WHEN y.file_name IS NULL THEN ' <- baseline' ELSE ' <- corrected' END || CASE WHEN x.file_name <> y.file_name THEN ' (was ' || x.file_name || ')' ELSE '' END AS line FROM ({BASE}) x FULL JOIN ({EXTRA}) y ON x.chapter_key = y.chapter_key) GROUP BY work_id",
     "revisions_upsert": "SELECT conv_id, lpad(CAST(turn AS VARCHAR), 3, '0') || CASE WHEN turn % 6 = 0 THEN ' x.txt' ELSE '' END AS key, CASE WHEN turn % 3 = 0 THEN text ELSE 'new' END AS msg, lpad(CAST(turn AS VARCHAR), 3, '0') || ' x.txt' AS filename FROM conversations",
     "preset_resolution": "SELECT * FROM (VALUES ('default', '1.5em', 'red', 'center'), ('big', '3em', 'red', 'center')) t(name, size, color, align)",
+    "compare_report": COMPARE_REPORT,
+    "directory_report": DIRECTORY_REPORT,
+    "revisions_remove": f"SELECT conv_id, CASE WHEN turn % 2 = 0 THEN {TURN} || ' x.txt' ELSE {TURN} END AS key, role AS msg FROM conversations WHERE turn % 3 <> 0",
+    "notes_added": f"SELECT conv_id, {TURN} AS key, text AS msg, CASE WHEN turn % 2 = 1 OR turn % 5 <> 0 THEN {TURN} || ' ' || role || '.txt' ELSE '' END AS filename, CASE WHEN turn % 5 <> 0 THEN CAST(turn AS VARCHAR) WHEN turn % 3 = 0 THEN 't' ELSE '' END AS mtime FROM conversations",
+    "work_paths": "SELECT c_custkey, f AS folder, f || '/chapters' AS chapters, f || '/illustrations' AS images, f || '/' || f || '_records.csv' AS records, f || '/' || f || '_metadata.json' AS metadata, f || '/' || f || '_summary.txt' AS summary, f || '/' || f || '_info.txt' AS info, f || '/cover.jpg' AS cover FROM (SELECT c_custkey, 'series_' || c_custkey AS f FROM customer)",
+    "series_overview": f"SELECT c_custkey, ok, CASE WHEN NOT ok THEN '' WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE c_name END AS title, CASE WHEN NOT ok THEN '' WHEN c_custkey % 2 = 0 THEN 'U' ELSE 'A' END AS author, CASE WHEN ok THEN 'a' || {LF} || 'b & c' ELSE '' END AS description, CASE WHEN NOT ok THEN '' WHEN c_custkey % 3 = 1 THEN '2020-01-02' ELSE '2019' END AS update_time, CASE WHEN ok THEN 'x,' || c_mktsegment ELSE '' END AS tags, CASE WHEN ok THEN 'http://h.example/p/' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '.PNG?x=1' ELSE '.bin' END END AS cover_url, CASE WHEN ok THEN CASE WHEN c_custkey % 5 = 0 THEN 'cover.png' ELSE 'cover.jpg' END END AS cover FROM (SELECT *, c_custkey % 7 <> 0 AS ok FROM customer)",
+    "download_chapters": f"SELECT work_id, num || ' t ' || doc_id || '.txt' AS file_name, md5({DOWNLOADED}) AS content_md5 FROM ({GOT})",
+    "download_metadata": f"SELECT work_id, num AS key, 't/' || doc_id AS title, '2020-01-02 03:04:05' AS time, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE CAST(length(text) + length('a[newpage]b[uploadedimage:5][image:0][uploadedimage:6][image:9]') AS BIGINT) END AS word_count, 'd' || {LF} || 'e' AS \"desc\", CAST(doc_id AS VARCHAR) AS novel_id FROM ({GOT})",
+    "download_images": f"SELECT work_id, 'ch' || num || '_up_5.png' AS img, 'http://h.example/i/' || doc_id || '.png' AS url FROM ({GOT}) UNION SELECT work_id, 'ch' || num || '_pid_0.jpg', 'http://h.example/0.jpg' FROM ({GOT}) WHERE doc_id % 4 = 0",
+    "candidate_files": "SELECT c_custkey AS work_id, '/w/' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/corrected/illustrations' ELSE '/corrected' END || '/Cover.PNG' AS path FROM customer",
+    "volume_config_parse": "SELECT c_custkey AS work_id, k AS pos, CASE k WHEN 0 THEN 'A' ELSE 'B' END AS name, c_custkey + 9 * k AS start, CASE k WHEN 0 THEN c_custkey + 5 ELSE c_custkey + 9 END AS \"end\" FROM customer, (VALUES (0), (1)) v(k) WHERE c_custkey % 11 <> 0",
+    "revisions_parse": f"SELECT conv_id, {TURN} AS key, text AS msg, role AS filename, '1' AS mtime, '2' AS updated_at FROM conversations WHERE turn % 7 <> 6",
+    "illustration_files": f"SELECT conv_id || '-' || turn AS id, {TURN} AS chapter, 'i' || turn || '.png' AS img, role || '|x' AS \"desc\" FROM conversations",
+    "listing_pages": "SELECT l_orderkey AS work_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_suppkey) - 1 AS pos, CAST(l_partkey AS VARCHAR) AS id, CASE WHEN l_linenumber % 2 = 0 OR l_partkey = 0 THEN l_suppkey ELSE l_partkey END AS words FROM lineitem",
+    "landed_chapters": "SELECT doc_id AS id, good AND doc_id % 5 <> 0 AS ok, CASE WHEN good THEN lang END AS title, md5(CASE WHEN good THEN text ELSE '' END) AS content_md5, CASE WHEN good AND doc_id % 2 = 0 THEN 'd' ELSE '' END AS description, CASE WHEN good THEN '2020-01-02 03:04:05' ELSE '' END AS time, CASE WHEN NOT good THEN 0 WHEN doc_id % 3 = 0 THEN doc_id ELSE length(text) END AS word_count FROM (SELECT *, doc_id % 10 <> 9 AS good FROM documents)",
+    "format_command": f"""SELECT work_id, lpad(CAST(n AS VARCHAR), 3, '0') || ' ' || title || '.txt' AS file_name, md5(array_to_string([title] || list_transform(p, lambda p: {PAIRED.format(x=WIDE.format('p'))}), {LF} || {LF}) || {LF}) AS text_md5 FROM (
+SELECT {WORK} AS work_id, doc_id, row_number() OVER w AS k, doc_id % 20 + 1 AS n, '第' || ['一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十'][CAST(row_number() OVER w AS INTEGER)] || '章 t' || doc_id AS title, {paragraphs_sql("replace(replace(text, ', ', ' \"'), '. ', '?')")} AS p FROM documents WINDOW w AS (PARTITION BY {WORK} ORDER BY doc_id))""",
 }

@@ -13,7 +13,7 @@ from quire.functions import numerals as N
 from quire.functions import text as X
 from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
 from quire.plans import views as V
-from quire.sources import config, files
+from quire.sources import config, files, landed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,3 +540,145 @@ def preset_resolution(spark, d):
     presets = config.parse_styles('{"chapter": {"big": {"size": "3em"}, "bad": {"align": "right"}}, "volume": {"plain": {"vol_split": false}}}')
     styles = [(n, config.resolve_style(presets["chapter"], n, config.CHAPTER_STYLE, color="red")) for n in (None, "big")]
     return spark.createDataFrame([(n or "default", s["size"], s["color"], s["align"]) for n, s in styles], "name string, size string, color string, align string")
+
+
+# Reports, notes, landed responses
+
+
+@query
+def compare_report(spark, d):
+    edited = F.when(F.col("doc_id") % 3 == 0, F.concat(F.replace("text", F.lit("en"), F.lit("EN")), F.lit("\nz"))).when(F.col("doc_id") % 3 == 1, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
+    got = api.compare_files(V.documents(spark, d).select("doc_id", F.col("text").alias("text1"), edited.alias("text2")))
+    return got.select("doc_id", F.char_length("report").cast("long").alias("n_chars"), F.md5("report").alias("report_md5"))
+
+
+@query
+def directory_report(spark, d):
+    got = api.diff_layers(V.layer(spark, d, "base"), V.layer(spark, d, "corrected"))["report"]
+    return got.select("work_id", F.char_length("report").cast("long").alias("n_chars"), F.md5("report").alias("report_md5"))
+
+
+@query
+def revisions_remove(spark, d):
+    m = V.messages(spark, d).select("conv_id", "turn", "role")
+    name = F.concat(X.pad3(F.col("turn")), F.lit(" x.txt"))
+    old = m.select("conv_id", F.when(F.col("turn") % 2 == 0, name).otherwise(X.pad3(F.col("turn"))).alias("key"), F.col("role").alias("msg"), name.alias("filename"), F.lit("1").alias("mtime"), F.lit("2").alias("updated_at"))
+    gone = m.where("turn % 3 = 0").select("conv_id", F.when(F.col("turn") % 4 == 3, X.pad3(F.col("turn"))).otherwise(name).alias("filename"))
+    return api.note_remove(old, gone, "conv_id").select("conv_id", "key", "msg")
+
+
+@query
+def notes_added(spark, d):
+    m = V.messages(spark, d)
+    name = F.concat(X.pad3(F.col("turn")), F.lit(" "), "role", F.lit(".txt"))
+    held = m.where("turn % 5 <> 0").select("conv_id", name.alias("file_name"), F.col("turn").cast("string").alias("mtime"))
+    old = m.where("turn % 3 = 0").select("conv_id", X.pad3(F.col("turn")).alias("key"), F.lit("old").alias("msg"), F.lit("f").alias("filename"), F.lit("t").alias("mtime"), F.lit("1").alias("updated_at"))
+    notes = m.select("conv_id", F.when(F.col("turn") % 2 == 0, X.pad3(F.col("turn"))).otherwise(name).alias("filename"), F.col("text").alias("msg"), F.lit("2").alias("updated_at"))
+    return api.note_add(old, notes, held, "conv_id").select("conv_id", "key", "msg", "filename", "mtime")
+
+
+@query
+def work_paths(spark, d):
+    c = V.table(spark, d, "customer")
+    return c.select("c_custkey", *[p.alias(n) for n, p in landed.work_paths("series", F.col("c_custkey")).items()])
+
+
+@query
+def series_overview(spark, d):
+    c, n = V.table(spark, d, "customer"), F.col("c_custkey")
+    given = lambda k, v: F.when(n % 3 == k, v)
+    body = F.struct(
+        given(0, F.col("c_name")).alias("title"), F.when(n % 3 == 0, F.lit("no")).when(n % 3 == 1, F.col("c_name")).alias("seriesTitle"), F.col("c_mktsegment").alias("name"), F.when(n % 2 == 0, F.lit("")).otherwise(F.lit("A")).alias("userName"),
+        F.struct(F.lit("U").alias("name")).alias("user"), F.lit("a<br />b &amp; <i>c</i>").alias("description"), given(1, F.lit("2020-01-02")).alias("updateDate"), F.lit("2019").alias("createDate"),
+        F.array(F.struct(F.lit("x").alias("tag"), F.lit("no").alias("name")), F.struct(F.lit("").alias("tag"), F.col("c_mktsegment").alias("name")), F.struct(F.lit("x").alias("tag"), F.lit("no").alias("name"))).alias("tags"),
+        F.struct(F.create_map(F.when(n % 2 == 0, F.lit("480mw")).otherwise(F.lit("1200x1200")), F.concat(F.lit("http://h.example/p/"), n.cast("string"), F.when(n % 5 == 0, F.lit(".PNG?x=1")).otherwise(F.lit(".bin"))), F.lit("240x480"), F.lit("http://h.example/q.gif")).alias("urls")).alias("cover"),
+    )
+    page = F.to_json(F.struct((n % 7 == 0).alias("error"), body.alias("body")))
+    got = landed.series_overview(c.select("c_custkey", page.alias("json")), "c_custkey")
+    return got.withColumn("tags", F.array_join("tags", ","))
+
+
+def _download(spark, d):
+    n, t = F.col("doc_id"), V.documents(spark, d)
+    text = F.concat(F.lit("a[newpage]b[uploadedimage:5][image:"), (n % 4).cast("string"), F.lit("]"), "text", F.lit("[uploadedimage:6][image:9]"))
+    images = F.create_map(F.lit("5"), F.struct(F.struct(F.concat(F.lit("http://h.example/i/"), n.cast("string"), F.lit(".png")).alias("original")).alias("urls")))
+    body = F.struct(F.concat(F.lit("t/"), n.cast("string")).alias("title"), text.alias("content"), F.lit("d<br>e").alias("description"), F.lit("2020-01-02T03:04:05+00:00").alias("createDate"), F.when(n % 2 == 0, F.lit(7)).alias("textCount"), images.alias("textEmbeddedImages"))
+    json = F.to_json(F.struct((n % 9 == 0).alias("error"), body.alias("body")))
+    details = t.select(V.work().alias("work_id"), X.pad3(n % V.WORK_SIZE).alias("chapter_num"), n.cast("string").alias("novel_id"), json.alias("json"))
+    pages = spark.createDataFrame([("0", "ok", "http://h.example/0.jpg"), ("1", "gone", None), ("2", "failed", None), ("3", "bad", None)], "id string, status string, url string")
+    return landed.download(details, pages)
+
+
+@query
+def download_chapters(spark, d):
+    return _download(spark, d)["chapters"].select("work_id", "file_name", F.md5("content").alias("content_md5"))
+
+
+@query
+def download_metadata(spark, d):
+    parts = _download(spark, d)
+    return parts["metadata"].join(parts["records"].select("work_id", F.col("chapter_num").alias("key"), "novel_id"), ["work_id", "key"])
+
+
+@query
+def download_images(spark, d):
+    return _download(spark, d)["images"]
+
+
+@query
+def candidate_files(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("work_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("rank"))
+    folders = c.withColumn("folder", F.concat(F.lit("/w/"), F.col("work_id").cast("string"), F.when(F.col("rank") == 0, F.lit("/standardized")).otherwise(F.lit("/corrected"))))
+    places = landed.search_places(folders, ["", "illustrations"])
+    n = F.col("work_id")
+    held = folders.select("work_id", F.when(n % 3 == 0, F.concat(F.lit("/w/"), n.cast("string"))).when(n % 3 == 1, F.concat("folder", F.lit("/illustrations"))).otherwise(F.col("folder")).alias("folder"), F.explode(F.array(F.lit("Cover.PNG"), F.lit("封面.jpg"), F.lit("cover.txt"))).alias("name"))
+    return landed.found_files(places, held.distinct(), landed.cover_files(F.col("name")))
+
+
+@query
+def volume_config_parse(spark, d):
+    n = F.col("c_custkey")
+    json = F.concat(F.lit('[{"name": " A ", "start": '), n.cast("string"), F.lit(', "end": "'), (n + 5).cast("string"), F.lit('"}, {"name": "B", "start": "'), (n + 9).cast("string"), F.lit('"}, {"name": "C", "start": "x", "end": 3}]'))
+    rows = V.table(spark, d, "customer").select(n.alias("work_id"), F.when(n % 11 == 0, F.lit("no json")).otherwise(json).alias("json"))
+    return files.volumes_of(rows).select("work_id", F.col("pos").cast("long").alias("pos"), "name", "start", "end")
+
+
+@query
+def revisions_parse(spark, d):
+    m = V.messages(spark, d)
+    json = F.to_json(F.create_map(X.pad3(F.col("turn")), F.struct(F.col("text").alias("msg"), F.col("role").alias("filename"), F.lit("1").alias("mtime"), F.lit("2").alias("updated_at"))))
+    rows = m.select("conv_id", F.when(F.col("turn") % 7 == 6, F.lit("{")).otherwise(json).alias("json"))
+    return index.revisions_of(rows, "conv_id")
+
+
+@query
+def illustration_files(spark, d):
+    m, n = V.messages(spark, d), F.col("turn")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), n.cast("string"))
+    entry = F.struct(n.cast("string").alias("chapter"), F.concat(F.lit("i"), n.cast("string"), F.lit(".png")).alias("img"), F.concat("role", F.lit("\n\n x")).alias("desc"))
+    plain = F.concat(X.pad3(n), F.lit(" t\n【插图: i"), n.cast("string"), F.lit(".png】\n"), "role", F.lit("\nx"))
+    text = F.when(n % 3 == 0, F.concat(F.lit(" \n"), F.to_json(F.array(entry)))).when(n % 3 == 1, plain).otherwise(F.concat(F.lit("[not json\n"), plain))
+    return files.illustrations(m.select(key.alias("id"), text.alias("text")), "id").select("id", "chapter", "img", F.array_join("desc", "|").alias("desc"))
+
+
+@query
+def listing_pages(spark, d):
+    o = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(0)).otherwise(F.col("l_partkey")).alias("textCount"), F.col("l_suppkey").alias("wordCount")))).alias("x"))
+    items = F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["textCount"].alias("textCount"), e["wordCount"].alias("wordCount")))
+    flat, deep = F.to_json(F.struct(F.struct(items.alias("seriesContents")).alias("body"))), F.to_json(F.struct(F.struct(F.struct(items.alias("seriesContents")).alias("page")).alias("body")))
+    pages = o.select(F.col("l_orderkey").alias("work_id"), F.lit(1).alias("page_no"), F.when(F.col("l_orderkey") % 2 == 0, flat).otherwise(deep).alias("json"))
+    return files.listing_rows(pages).select("work_id", F.col("pos").cast("long").alias("pos"), "id", "words")
+
+
+@query
+def landed_chapters(spark, d):
+    n, t = F.col("doc_id"), V.documents(spark, d)
+    body = F.struct(F.col("lang").alias("title"), F.col("text").alias("content"), F.when(n % 2 == 0, F.lit("d")).alias("description"), F.lit("2020-01-02T03:04:05+00:00").alias("createDate"), F.when(n % 3 == 0, n).alias("textCount"))
+    page = F.when(n % 10 == 9, F.lit("broken")).otherwise(F.to_json(F.struct((n % 5 == 0).alias("error"), body.alias("body"))))
+    return files.chapter_details(t.select(n.alias("id"), page.alias("json"))).select("id", "ok", "title", F.md5("content").alias("content_md5"), "description", "time", "word_count")
+
+
+@query
+def format_command(spark, d):
+    chapters = overlay.with_keys(V.documents(spark, d).select(V.work().alias("work_id"), F.concat(X.pad3(F.col("doc_id") % V.WORK_SIZE + 1), F.lit(" t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.replace(F.replace("text", F.lit(", "), F.lit(' "')), F.lit(". "), F.lit("?")).alias("text")))
+    return api.format_chapters(chapters, punct=True).select("work_id", "file_name", F.md5("text").alias("text_md5"))

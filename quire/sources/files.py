@@ -14,8 +14,11 @@ def read_chapters(spark: SparkSession, folder: str, work_id: str, rank: int = 0)
     """(work_id, layer_rank, file_name, text, mtime, prefix, ord, chapter_key) of the .txt files in a folder, not below it.
 
     Names come from the path, which the file source leaves unencoded. Names that begin with _ or . are
-    invisible to Spark's readers; a missing folder is an error of the reader.
+    invisible to Spark's readers; a missing folder has no files.
     """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return with_keys(spark.createDataFrame([], "work_id string, layer_rank int, file_name string, text string, mtime timestamp"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
     rows = files.select(
         F.lit(work_id).alias("work_id"), F.lit(rank).alias("layer_rank"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("mtime")
@@ -135,6 +138,14 @@ def illustrations_from_json(texts: DataFrame, key: str) -> DataFrame:
     return rows.select(key, shown.alias("chapter"), (F.col("pos") + 1).alias("pos"), strip(F.col("e.img")).alias("img"), desc.alias("desc")).where("coalesce(img, '') <> '' and chapter is not null")
 
 
+def illustrations(texts: DataFrame, key: str, compat: bool = False) -> DataFrame:
+    """(key, chapter, pos, img, desc) of illustration files of either form: JSON if a text begins with a bracket and can be read, else text."""
+    plain = F.regexp_replace("text", "^\\x{feff}", "")
+    form = plain.rlike(r"(?U)^\s*[\[{]") & F.try_parse_json(plain).isNotNull()
+    rows = texts.withColumns({"text": plain, "is_json": F.coalesce(form, F.lit(False))})
+    return illustrations_from_json(rows.where("is_json"), key).unionByName(illustrations_from_text(rows.where("not is_json"), key, compat))
+
+
 def first_given(*alternatives: Column) -> Column:
     """The first alternative that is neither null nor empty."""
     return F.coalesce(*[F.nullif(a, F.lit("")) for a in alternatives])
