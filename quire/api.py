@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions.numerals import EXTRA
 from quire.functions.text import char_count, chinese_date, convert_punctuation, interleave_blank_lines, once, pad3, paragraphs, punctuation_stats
 from quire.operators import diff, index, markup, overlay, publish, reports, segment, volumes
-from quire.sources import config
+from quire.sources import config, files
 
 
 def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False, info: bool = False) -> DataFrame:
@@ -131,9 +131,11 @@ def split(packed: DataFrame, name_only: bool = False, limit_title: bool = False,
 
 
 def epub(
-    *layers: DataFrame, ranges: DataFrame, info: DataFrame, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str, images: DataFrame | None = None, illustrations: DataFrame | None = None, covers: DataFrame | None = None
+    *layers: DataFrame, ranges: DataFrame, info: DataFrame | None = None, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str, images: DataFrame | None = None, illustrations: DataFrame | None = None, covers: DataFrame | None = None
 ) -> DataFrame:
-    """(work_id, file_name, content): an e-book of each work; info has work_id, title and author.
+    """(work_id, file_name, content): an e-book of each work; info has work_id, title and author, which beat those of its information page.
+
+    A work with an information page (000) has it in front, its counts renewed from the chapters that are packed.
 
     images (work_id, img, priority, content) are shown where a text has their marker, and at the end of the chapters that
     illustrations (work_id, chapter, pos, img, desc array) name; covers has work_id, img and content.
@@ -142,7 +144,13 @@ def epub(
         raise ValueError("illustrations need images")
     presets = config.parse_styles(styles)
     chapter, volume = config.resolve_style(presets["chapter"], title_style, config.CHAPTER_STYLE), config.resolve_style(presets["volume"], vol_style, config.VOLUME_STYLE)
-    done = overlay.with_keys(overlay.overlay(*layers)).where(overlay.is_chapter(F.col("file_name")))
+    whole = overlay.with_keys(overlay.overlay(*layers)).where(~overlay.is_reserved(F.col("file_name")))
+    own = files.book_info(refreshed(whole, ranges).where(F.col("file_name").startswith("000 ")).select("work_id", "text"), "work_id")
+    about = own if info is None else own.join(info.select("work_id", F.col("title").alias("_t"), F.col("author").alias("_a")), "work_id", "left").withColumns({"title": F.coalesce("_t", "title"), "author": F.coalesce("_a", "author")}).drop("_t", "_a")
+    named = about.select("work_id", "title", "author")
+    if info is not None:
+        named = named.unionByName(info.select("work_id", "title", "author").join(named.select("work_id"), "work_id", "left_anti"))
+    done = whole.where(overlay.is_chapter(F.col("file_name")))
     chapters, found = done.withColumn("file_title", segment.title_of_file(F.col("file_name"))), None
     if images is None:
         titled = publish.resolved_titles(chapters)
@@ -155,7 +163,8 @@ def epub(
         titled = markup.with_illustrations(titled, notes, overlay.KEY)
     items = volumes.spine(done, ranges).join(titled.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
     pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")), chapter, volume)
-    return publish.books(pages, info, publish.style_sheet(chapter, volume), modified, found, covers)
+    pages = pages.unionByName(publish.info_pages(about).select(*[F.col(c).cast(pages.schema[c].dataType).alias(c) for c in pages.columns]))
+    return publish.books(pages, named, publish.style_sheet(chapter, volume), modified, found, covers)
 
 
 def retry(records: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -148,6 +148,30 @@ def page_rows(spine: DataFrame, chapter: dict | None = None, volume: dict | None
     return spine.select("work_id", "kind", "title", "vol_no", "play_order", name.alias("page_name"), page.alias("page_html"))
 
 
+INFO_TITLE = "书籍信息"
+
+
+def info_pages(info: DataFrame) -> DataFrame:
+    """The information page of each book as a page row before all others.
+
+    info has work_id, title, author, platform, status, vol_count, word_count and description; empty fields and an unset
+    description have no line.
+    """
+    para = lambda c: F.concat(F.lit("<p>"), escape_html(c), F.lit("</p>"))
+    labelled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", para(F.concat(F.lit(label), c)))
+    about = F.filter(paragraphs(F.col("description")), lambda p: p != "")
+    told = (F.coalesce(strip(F.col("description")), F.lit("")) != "") & (strip(F.col("description")) != UNSET)
+    lines = F.array(
+        F.concat(F.lit('<p class="book-info-name">'), escape_html(F.col("title")), F.lit("</p>")),
+        para(F.concat(F.lit("作者："), F.coalesce(F.nullif("author", F.lit("")), F.lit(UNSET)))),
+        labelled("连载平台：", F.col("platform")), labelled("连载状态：", F.col("status")), labelled("卷/篇数：", F.col("vol_count")), labelled("字数：", F.col("word_count")),
+    )
+    body = F.concat(F.array_compact(lines), F.when(told, F.concat(F.array(F.lit("<p>简介：</p>")), F.transform(about, para))).otherwise(F.array().cast("array<string>")))
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{INFO_TITLE}</title><link rel="stylesheet" href="style.css"/></head><body class="book-info-page">\n<h1 class="book-info-title">{INFO_TITLE}</h1>\n'
+    page = F.concat(F.lit(head), F.array_join(body, "\n"), F.lit("\n</body></html>\n"))
+    return info.select("work_id", F.lit("info").alias("kind"), F.lit(INFO_TITLE).alias("title"), F.lit(None).cast("int").alias("vol_no"), F.lit(0).alias("play_order"), F.lit("book_info.xhtml").alias("page_name"), page.alias("page_html"))
+
+
 _VALUE = re.compile(r"(?:[a-zA-Z]+|#[0-9a-fA-F]{3,8}|\d+(?:\.\d+)?(?:em|rem|px|pt|%))")
 
 
@@ -164,6 +188,7 @@ def style_sheet(chapter: dict, volume: dict) -> str:
         + " }",
         f".vol h1 {{ color: {css_value(volume.get('vol_color', ''), '#8B0000')}; font-size: {css_value(volume.get('vol_size', ''), '2.5em')}; margin-top: {css_value(volume.get('vol_gap', ''), '0.6em')}; }}",
         "p { text-indent: 2em; margin: 0.5em 0; }",
+        ".book-info-page .book-info-name { font-size: 1.4em; font-weight: bold; }",
         ".illustration { text-align: center; }",
         ".illustration img { max-width: 100%; }",
     ]

@@ -147,6 +147,8 @@ _UPLOADED = _NOTICE.format("'插图: ch' || num || '_up_5.png'")
 DOWNLOADED = f"'a' || {LF} || {LF} || 'b' || {_UPLOADED} || CASE doc_id % 4 WHEN 0 THEN {_REFERENCED[0]} WHEN 1 THEN {_REFERENCED[1]} WHEN 2 THEN {_REFERENCED[2]} ELSE {_REFERENCED[3]} END || text || '[uploadedimage:6][image:9]'"
 
 
+INFO_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>书籍信息</title><link rel="stylesheet" href="style.css"/></head><body class="book-info-page">\n<h1 class="book-info-title">书籍信息</h1>\n'
+
 ORACLE_SQL: dict[str, str] = {
     "line_explode_nonblank": f"SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM ({PARAS})",
     "paragraph_interleave": f"SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(p, {LF} || {LF}) || {LF} END AS text FROM ({PARAS})",
@@ -253,4 +255,6 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "landed_chapters": "SELECT doc_id AS id, good AND doc_id % 5 <> 0 AS ok, CASE WHEN good THEN lang END AS title, md5(CASE WHEN good THEN text ELSE '' END) AS content_md5, CASE WHEN good AND doc_id % 2 = 0 THEN 'd' ELSE '' END AS description, CASE WHEN good THEN '2020-01-02 03:04:05' ELSE '' END AS time, CASE WHEN NOT good THEN 0 WHEN doc_id % 3 = 0 THEN doc_id ELSE length(text) END AS word_count FROM (SELECT *, doc_id % 10 <> 9 AS good FROM documents)",
     "format_command": f"""SELECT work_id, lpad(CAST(n AS VARCHAR), 3, '0') || ' ' || title || '.txt' AS file_name, md5(array_to_string([title] || list_transform(p, lambda p: {PAIRED.format(x=WIDE.format('p'))}), {LF} || {LF}) || {LF}) AS text_md5 FROM (
 SELECT {WORK} AS work_id, doc_id, row_number() OVER w AS k, doc_id % 20 + 1 AS n, '第' || ['一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十'][CAST(row_number() OVER w AS INTEGER)] || '章 t' || doc_id AS title, {paragraphs_sql("replace(replace(text, ', ', ' \"'), '. ', '?')")} AS p FROM documents WINDOW w AS (PARTITION BY {WORK} ORDER BY doc_id))""",
+    "epub_entries": f"{PAGE_ITEMS} SELECT work_id, 'OEBPS/' || page_name AS entry, CAST(octet_length(encode(page_html)) AS BIGINT) AS n_bytes, md5(page_html) AS entry_md5 FROM html UNION ALL SELECT DISTINCT work_id, e, CAST(length(t) AS BIGINT), md5(t) FROM html, (VALUES ('mimetype', 'application/epub+zip'), ('OEBPS/style.css', 'p {{}}')) x(e, t)",
+    "epub_info_pages": f"""SELECT c_custkey, 'book_info.xhtml' AS page_name, md5({q(INFO_HEAD)} || array_to_string(list_filter(['<p class="book-info-name">' || c_name || '</p>', '<p>作者：' || c_mktsegment || '</p>', '<p>连载平台：Web</p>', '<p>连载状态：' || {_status("(c_custkey % 4)", "(c_custkey % 2)")} || '（2020年1月2日）</p>', CASE WHEN c_custkey % 3 > 0 THEN '<p>卷/篇数：' || (c_custkey % 3) || '</p>' END, '<p>字数：' || {WAN.format("(c_custkey * 1000)")} || '</p>', '<p>简介：</p>', '<p>text</p>'], lambda x: x IS NOT NULL), {LF}) || {LF} || '</body></html>' || {LF}) AS page_md5 FROM customer""",
 }

@@ -368,6 +368,38 @@ def epub_archives(spark, d):
     return publish.books(pages, info, css, "2020-01-01T00:00:00Z").select("work_id", "file_name", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+@query
+def epub_entries(spark, d):
+    """What the archives hold, read back from their bytes: the pages, the style sheet and the type."""
+    bodies = publish.resolved_titles(V.documents(spark, d).select(V.work().alias("work_id"), X.pad3(F.col("doc_id") % V.WORK_SIZE).alias("chapter_key"), F.col("doc_id").cast("string").alias("file_title"), "text"))
+    items = volumes.spine(V.numbered(spark, d), _volumes(spark, d)).join(bodies.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
+    pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")))
+    info = V.table(spark, d, "documents").select(V.work().alias("work_id"), F.lit("T").alias("title"), F.lit("A").alias("author")).distinct()
+    made = publish.books(pages, info, "p {}", "2020-01-01T00:00:00Z")
+
+    def entries(frames):
+        import hashlib
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for work, content in zip(f.work_id, f.content):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows += [(work, n, len(z.read(n)), hashlib.md5(z.read(n)).hexdigest()) for n in z.namelist() if n in ("mimetype", "OEBPS/style.css") or n.startswith(("OEBPS/vol_", "OEBPS/chap_"))]
+            yield pd.DataFrame(rows, columns=["work_id", "entry", "n_bytes", "entry_md5"])
+
+    return made.select("work_id", "content").mapInPandas(entries, "work_id long, entry string, n_bytes long, entry_md5 string")
+
+
+@query
+def epub_info_pages(spark, d):
+    got = publish.info_pages(files.book_info(info_page_refresh(spark, d).withColumnRenamed("page", "text"), "c_custkey").withColumnRenamed("c_custkey", "work_id"))
+    return got.select(F.col("work_id").alias("c_custkey"), "page_name", F.md5("page_html").alias("page_md5"))
+
+
 # Index tables
 
 

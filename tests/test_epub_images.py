@@ -41,3 +41,19 @@ def test_book_with_images_cover_and_split_titles(spark):
         assert part in opf
     assert 'src="cover.png"' in w["OEBPS/cover.xhtml"].decode() and 'href="cover.xhtml"' in w["OEBPS/nav.xhtml"].decode()
     assert not [n for n in books["x"] if "img" in n or "cover" in n] and any("【插图: b.jpg】".encode() in b for b in books["x"].values())
+
+
+def test_the_information_page_stands_in_front(spark):
+    page = "书籍信息\n\nT & t\n\n作者：未填\n\n连载状态：9章（2020年1月2日）\n\n字数：0.0万字\n\n简介：\n\none\n\ntwo\n"
+    rows = [("w", "000 书籍信息.txt", page), ("w", "001 a.txt", "x"), ("w", "002 番外 b.txt", "y"), ("v", "001 a.txt", "x")]
+    base = overlay.with_keys(spark.createDataFrame(rows, "work_id string, file_name string, text string"))
+    ranges = volumes.valid_volumes(spark.createDataFrame([("w", 0, "V", 1, 1)], "work_id string, pos int, name string, start long, end long"))
+    info = spark.createDataFrame([("w", None, "A"), ("v", "V", "B")], "work_id string, title string, author string")
+    books = {r.work_id: (r.file_name, read(r)) for r in api.epub(base, ranges=ranges, info=info, modified="2020-01-01T00:00:00Z").collect()}
+    assert books["w"][0] == "T & t.epub" and books["v"][0] == "V.epub" and "OEBPS/book_info.xhtml" not in books["v"][1]
+    shown = books["w"][1]["OEBPS/book_info.xhtml"].decode()
+    assert '<p class="book-info-name">T &amp; t</p>\n<p>作者：A</p>\n<p>连载状态：1章+1番外（2020年1月2日）</p>\n<p>卷/篇数：1</p>\n<p>字数：0.0万字</p>\n<p>简介：</p>\n<p>one</p>\n<p>two</p>\n</body>' in shown
+    opf = books["w"][1]["OEBPS/content.opf"].decode()
+    assert opf.index('href="book_info.xhtml"') < opf.index('href="vol_') and books["w"][1]["OEBPS/nav.xhtml"].decode().count("<li>") == 4
+    plain = {r.work_id: r.file_name for r in api.epub(base, ranges=ranges, modified="2020-01-01T00:00:00Z").collect()}
+    assert plain == {"w": "T & t.epub", "v": "未填.epub"}
