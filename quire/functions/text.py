@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed value: Unicode white space as a regular-expression class, understood by Java and RE2 alike.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 STRIP = rf"^[{SPACE}]+|[{SPACE}]+\z"
+#: The same characters one by one.
+SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
 #: Lines of text mode: line feed, carriage return or both.
 LINE_BREAK = r"\r\n|\r|\n"
 #: Lines as Unicode has them: also vertical tab, form feed, the information separators, U+0085, U+2028 and U+2029.
@@ -18,7 +20,7 @@ INDENT = "　　"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense (trim() takes ASCII spaces only)."""
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:

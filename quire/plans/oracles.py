@@ -196,7 +196,9 @@ SELECT work_id, seq, md5({PAIRED.format(x='x')}) AS content_md5 FROM c""",
     "segment_chapters": f"""WITH s AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM ({SEGS})), l AS (SELECT * FROM ({MARKED_LINES}))
 SELECT s.doc_id, s.seg_no, s.marker, s.num, md5(coalesce(string_agg(l.line, {LF} ORDER BY l.line_no), '')) AS body_md5 FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND l.line_no > s.line_no AND (s.next IS NULL OR l.line_no < s.next) GROUP BY s.doc_id, s.seg_no, s.marker, s.num""",
     "segment_renumber": f"SELECT doc_id, seg_no, {NEW_TITLE} AS title, new_num, coalesce(new_num <> num, false) AS fixed FROM ({RENUM})",
-    "chapter_files_written": f"SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY doc_id, seg_no) AS seq, {NEW_TITLE} AS title FROM ({RENUM})",
+    "chapter_files_written": f"""WITH s AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next, row_number() OVER (PARTITION BY work_id ORDER BY doc_id, seg_no) AS seq, {NEW_TITLE} AS title FROM ({RENUM})), l AS (SELECT * FROM ({MARKED_LINES})),
+b AS (SELECT s.work_id, s.seq, s.title, coalesce(string_agg(l.line, {LF} ORDER BY l.line_no), '') AS body FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND l.line_no > s.line_no AND (s.next IS NULL OR l.line_no < s.next) GROUP BY s.work_id, s.seq, s.title)
+SELECT work_id, seq, lpad(CAST(seq AS VARCHAR), CAST(greatest(3, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') || ' ' || {strip_sql(REPLACED.replace("{}", " ").replace("replace(x", "replace(title", 1))} || '.txt' AS file_name, title, md5(body) AS body_md5 FROM b""",
     "global_sequence": f"SELECT doc_id, seg_no, seq FROM ({SEQ})",
     "volume_ranges": f"SELECT work_id, regexp_replace(CAST(doc_id AS VARCHAR), '^\\d+[ ]*', '') AS name, min(seq) AS start, max(seq) AS \"end\" FROM ({SEQ}) GROUP BY work_id, doc_id",
     "segment_preambles": f"SELECT doc_id // 20 AS work_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ({PRE}) GROUP BY 1",
@@ -220,6 +222,7 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "metadata_word_total": f"SELECT conv_id, CAST(sum(word_count) AS BIGINT) AS word_count, count(*) FILTER (contains(title, 'th')) AS n_extra, count(*) AS n_chapters FROM ({META}) GROUP BY conv_id",
     "summary_render": f"SELECT conv_id, string_agg(key || ' ' || title || ' ' || time || ' 字数: ' || word_count || {LF} || \"desc\" || {LF} || {LF}, '' ORDER BY turn) AS summary FROM ({META}) GROUP BY conv_id",
     "metadata_json_roundtrip": f"SELECT conv_id, key, title, word_count, \"desc\" FROM ({META})",
+    "metadata_json_text": f"""SELECT conv_id, md5('{{' || string_agg('"' || key || '":' || to_json(struct_pack(title := title, time := time, word_count := word_count, "desc" := "desc")), ',' ORDER BY key) || '}}') AS json_md5 FROM ({META}) GROUP BY conv_id""",
     "chapter_selection": "SELECT conv_id AS work_id, turn + 1 AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 10 AS running, turn + 1 AS kept FROM conversations WHERE turn + 1 BETWEEN 2 AND 4",
     "newest_info_argmax": "SELECT event_type, f AS file_name FROM (SELECT event_type, lpad(CAST(event_id AS VARCHAR), 10, '0') AS f, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "json_props_extract": "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events",

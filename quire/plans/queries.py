@@ -438,6 +438,11 @@ def metadata_json_roundtrip(spark, d):
     return rows.select("conv_id", "key", "v.title", "v.word_count", "v.desc")
 
 
+@query
+def metadata_json_text(spark, d):
+    return index.metadata_json(_metadata_rows(spark, d), "conv_id").select("conv_id", F.md5("json").alias("json_md5"))
+
+
 @query
 def chapter_selection(spark, d):
     m = V.messages(spark, d).select(F.col("conv_id").alias("work_id"), (F.col("turn") + 1).alias("pos"))
@@ -564,7 +569,7 @@ def revisions_upsert(spark, d):
 @query
 def chapter_files_written(spark, d):
     segs = segment.sequenced(segment.renumber(_segments(spark, d)))
-    return segment.chapter_files(segs, name_only=True).select("work_id", "seq", "title")
+    return segment.chapter_files(segs).select("work_id", "seq", "file_name", "title", F.md5("body").alias("body_md5"))
 
 
 @query
