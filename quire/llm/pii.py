@@ -60,6 +60,8 @@ CONTEXT_WORDS = {
     "mail": "mail|contact|write to",
     "other": "isbn|order|invoice|version|part|serial|commit|checksum|sha|ref|page|item|total|model|code|figure",
 }
+#: The same as whole words: what follows a span is often plain text, in which a part of a word means nothing.
+WORDS_BEHIND = {k: rf"(?:^|[^a-z0-9])(?:{p})(?:s|[0-9]+)?(?:[^a-z0-9]|$)" for k, p in CONTEXT_WORDS.items()}
 FEATURES = ["kind", "n", "digits", "letters", "upper", "separators", "groups", "distinct", "hex", "quoted", *CONTEXT_WORDS, *(f"{k}_behind" for k in CONTEXT_WORDS)]
 #: Spans that a block of a running sum or a sweep has.
 BLOCK = 64
@@ -70,7 +72,7 @@ def python_features(e: Example) -> list[float]:
     count = lambda p: float(len(re.findall(p, e.text)))
     return [
         float(list(GENERATORS).index(e.kind)), float(len(e.text)), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count(r"[\x20().,/:_-]"), count("[0-9]+"), float(len(set(e.text))),
-        float(bool(re.fullmatch("[0-9a-fA-F]+", e.text))), float(left.endswith(('"', "'", "=", ": "))), *(float(bool(re.search(p, side))) for side in (left, right) for p in CONTEXT_WORDS.values()),
+        float(bool(re.fullmatch("[0-9a-fA-F]+", e.text))), float(left.endswith(('"', "'", "=", ": "))), *(float(bool(re.search(p, left))) for p in CONTEXT_WORDS.values()), *(float(bool(re.search(p, right))) for p in WORDS_BEHIND.values()),
     ]
 
 
@@ -80,7 +82,7 @@ def column_features(kind: int, text: Column, before: Column, behind: Column) ->
     flag = lambda c: c.cast("double")
     return [
         F.lit(float(kind)), F.char_length(text).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count(r"[\x20().,/:_-]"), count("[0-9]+"), F.size(F.array_distinct(F.split(text, ""))).cast("double"),
-        flag(text.rlike("^[0-9a-fA-F]+$")), flag(left.endswith('"') | left.endswith("'") | left.endswith("=") | left.endswith(": ")), *(flag(side.rlike(p)) for side in (left, right) for p in CONTEXT_WORDS.values()),
+        flag(text.rlike("^[0-9a-fA-F]+$")), flag(left.endswith('"') | left.endswith("'") | left.endswith("=") | left.endswith(": ")), *(flag(left.rlike(p)) for p in CONTEXT_WORDS.values()), *(flag(right.rlike(p)) for p in WORDS_BEHIND.values()),
     ]
 
 
