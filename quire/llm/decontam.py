@@ -34,33 +34,37 @@ MIN_SHARE, MIN_RUN = 0.8, 9
 #: Items of fewer tokens than this are also found by MIN_SHARE of their tokens at one place: in longer ones a changed word leaves MIN_RUN windows.
 SHORT_ITEM = 2 * (MIN_RUN + WINDOW - 1) + 1
 #: Template tokens of one benchmark block at most (one item may exceed it alone).
-BLOCK_TOKENS = 300_000
+BLOCK_TOKENS = 2_000_000
 
 Item = tuple  # (item_id, slot kinds, values)
 
 
 class Block:
-    """A hashed part of the benchmark."""
+    """A hashed part of the benchmark: window hashes in order, each with its item and place."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        reader = Reader()
+        reader, held = Reader(), []
         self.items: list[Item] = []
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             ids, slot, codes = reader.read(text)
             if 0 < len(ids) < WINDOW:
                 self.whole[len(ids)][int(windows(codes, len(ids))[0])].append(len(self.items))
-            for j, h in enumerate(windows(codes).tolist()):
-                self.at[h].append((len(self.items), j))
+            held.append(windows(codes))
             self.items.append((item_id, slot.tolist(), [reader.values[k] for k in ids.tolist()]))
+        sizes = [len(h) for h in held]
+        hashes = np.concatenate([np.empty(0, np.uint64), *held])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)])[order]
         # One bit for each hash prefix: nearly all windows of a document stop here.
         bits = 16
-        while (1 << bits) < 64 * len(self.at) and bits < 26:
+        while (1 << bits) < 64 * len(self.hashes) and bits < 26:
             bits += 1
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
-        self.filter[np.array(list(self.at), np.uint64) >> self.shift] = True
+        self.filter[self.hashes >> self.shift] = True
 
     def matches(self, reader: Reader, text: str) -> list[dict]:
         """One entry for each item that the text holds."""
@@ -71,8 +75,10 @@ class Block:
             return out
         near = np.nonzero(self.filter[hashes >> self.shift])[0]
         found: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i, h in zip(near.tolist(), hashes[near].tolist()):
-            for item, j in self.at.get(h, ()):
+        first, end = (np.searchsorted(self.hashes, hashes[near], side) for side in ("left", "right"))
+        some = end > first
+        for i, a, b in zip(near[some].tolist(), first[some].tolist(), end[some].tolist()):
+            for item, j in zip(self.item[a:b].tolist(), self.place[a:b].tolist()):
                 found[item, i - j].append(j)
         hit: dict[int, set[int]] = defaultdict(set)
         changed: dict[int, bool] = {}
