@@ -167,6 +167,12 @@ def epub(
     return publish.books(pages, named, publish.style_sheet(chapter, volume), modified, found, covers)
 
 
+def import_tasks(tasks: DataFrame, chapters: DataFrame, force: bool = False) -> DataFrame:
+    """Tasks (chapter_num, novel_id) of an import list that are still to be done: those without a file, or all if forced; numbers as written."""
+    have = chapters.select(pad3(F.col("prefix").try_cast("int")).alias("chapter_num")).where("chapter_num is not null")
+    return overlay.pending(index.record_rows(tasks), have, "chapter_num", force)
+
+
 def retry(records: DataFrame, chapters: DataFrame) -> DataFrame:
     """Records whose chapter has no file; a prefix counts as its number, so 1 and 001 are the same chapter."""
     have = chapters.select(pad3(F.col("prefix").try_cast("int")).alias("chapter_num")).where("chapter_num is not null")

@@ -26,6 +26,25 @@ def remove(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone.select(*keys), keys, "left_anti")
 
 
+def csv_field(c: Column) -> Column:
+    """A value as a CSV writer puts it: in quotes if it holds a comma, a quote or a line break."""
+    return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def catalog(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """(by, csv): the catalog (by, series_id, title) of each owner with new titles put in, a line for each series in numeric order."""
+    rows = upsert(old, new, [by, "series_id"])
+    line = F.concat(csv_field(F.col("series_id")), F.lit(","), csv_field(F.col("title")), F.lit("\n"))
+    number = F.col("series_id").try_cast("decimal(38,0)")
+    held = F.array_sort(F.collect_list(F.struct(number.isNull().alias("a"), number.alias("n"), "series_id", line.alias("line"))))
+    return rows.groupBy(by).agg(F.array_join(F.transform(held, lambda r: r["line"]), "").alias("csv"))
+
+
+def now_iso() -> Column:
+    """The time of the query in the session's zone, to the second; not repeatable."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def record_rows(records: DataFrame) -> DataFrame:
     """records (chapter_num, novel_id) as written: padded numbers; rows whose number is no integer are left out."""
     n = F.col("chapter_num").try_cast("int")

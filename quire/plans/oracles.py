@@ -42,10 +42,11 @@ s AS (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key,
  FROM ({BASE}) x FULL JOIN ({COR}) y ON x.chapter_key = y.chapter_key LEFT JOIN d ON d.chapter_key = coalesce(x.chapter_key, y.chapter_key))"""
 ORD = "CAST(prefix AS BIGINT)"
 NUMERAL_SQL = f"""SELECT p_partkey, CASE WHEN n = 0 THEN '零' ELSE regexp_replace(regexp_replace(regexp_replace(
- CASE WHEN n >= 1000 THEN substr('零一二三四五六七八九', CAST(n // 1000 + 1 AS INTEGER), 1) || '千' ELSE '' END ||
+ CASE WHEN n >= 10000 THEN substr('零一二三四五六七八九', CAST(n // 10000 + 1 AS INTEGER), 1) || '万' ELSE '' END ||
+ CASE WHEN n >= 1000 THEN CASE WHEN n // 1000 % 10 = 0 THEN '零' ELSE substr('零一二三四五六七八九', CAST(n // 1000 % 10 + 1 AS INTEGER), 1) || '千' END ELSE '' END ||
  CASE WHEN n >= 100 THEN CASE WHEN n // 100 % 10 = 0 THEN '零' ELSE substr('零一二三四五六七八九', CAST(n // 100 % 10 + 1 AS INTEGER), 1) || '百' END ELSE '' END ||
  CASE WHEN n >= 10 THEN CASE WHEN n // 10 % 10 = 0 THEN '零' ELSE substr('零一二三四五六七八九', CAST(n // 10 % 10 + 1 AS INTEGER), 1) || '十' END ELSE '' END ||
- substr('零一二三四五六七八九', CAST(n % 10 + 1 AS INTEGER), 1), '零+', '零', 'g'), '零$', ''), '^一十', '十') END AS numeral FROM (SELECT p_partkey, p_partkey % 10000 AS n FROM part)"""
+ substr('零一二三四五六七八九', CAST(n % 10 + 1 AS INTEGER), 1), '零+', '零', 'g'), '零$', ''), '^一十', '十') END AS numeral FROM (SELECT p_partkey, p_partkey * 37 % 100000 AS n FROM part)"""
 TITLES = "SELECT p_partkey, ['第' || p_partkey || '章 ' || p_name, '番外：' || p_name, '番外 ' || p_name, '第一卷 ' || p_name, '第2.5话' || p_name][CAST(p_partkey % 5 + 1 AS INTEGER)] AS title FROM part"
 EXTRA_TITLE, CHAPTER_TITLE = rf"^番外(?:[：:][{SPACE}]*|[{SPACE}]+)(.+)$", rf"^(第[{TITLE_NUMERAL}]+[章话回节])[{SPACE}]+(.+)$"
 VOLUME_TITLE = rf"^(第[{NUMERAL}]+[卷部篇集]|番外(?:篇)?)[{SPACE}]*(.*)$"
@@ -166,7 +167,7 @@ ORACLE_SQL: dict[str, str] = {
     "media_type_of_url": "SELECT page_id, CASE page_id % 5 " + f"WHEN 0 THEN {q(MEDIA_TYPES['png'])} WHEN 2 THEN {q(MEDIA_TYPES['gif'])} ELSE {q(MEDIA_TYPES['jpeg'])} END AS media_type FROM pages",
     "first_difference": f"SELECT x.work_id, x.chapter_key, i AS pos, substr(x.text, i, 1) AS char1, substr(y.text, i, 1) AS char2 FROM (SELECT x.work_id, x.chapter_key, x.text, y.text AS other, list_position(list_transform(list_zip(string_split(x.text, ''), string_split(y.text, '')), lambda c: c[1] <> c[2]), true) AS i FROM ({BASE}) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key WHERE x.text <> y.text) x JOIN ({COR}) y ON x.chapter_key = y.chapter_key",
     "int_to_chinese": NUMERAL_SQL,
-    "chinese_to_int": "SELECT p_partkey, nullif(p_partkey % 10000, 0) AS value FROM part",
+    "chinese_to_int": "SELECT p_partkey, nullif(p_partkey * 37 % 100000, 0) AS value FROM part",
     "title_split": f"SELECT p_partkey, CASE WHEN regexp_matches(title, {q(EXTRA_TITLE)}) THEN '番外' WHEN regexp_matches(title, {q(CHAPTER_TITLE)}) THEN regexp_extract(title, {q(CHAPTER_TITLE)}, 1) END AS num, CASE WHEN regexp_matches(title, {q(EXTRA_TITLE)}) THEN {strip_sql(f'regexp_extract(title, {q(EXTRA_TITLE)}, 1)')} WHEN regexp_matches(title, {q(CHAPTER_TITLE)}) THEN {strip_sql(f'regexp_extract(title, {q(CHAPTER_TITLE)}, 2)')} ELSE title END AS name FROM ({TITLES})",
     "volume_title_split": f"SELECT p_partkey, CASE WHEN r <> '' THEN regexp_extract(title, {q(VOLUME_TITLE)}, 1) END AS num, CASE WHEN r <> '' THEN r ELSE title END AS name FROM (SELECT *, {strip_sql(f'regexp_extract(title, {q(VOLUME_TITLE)}, 2)')} AS r FROM ({TITLES}))",
     "chapter_name_only": f"SELECT p_partkey, CASE WHEN n = '' THEN s ELSE n END AS name FROM (SELECT p_partkey, title AS s, regexp_replace(title, {q(rf'^第[{NUMERAL}]+[章话节回][{SPACE}]*[：:]?[{SPACE}]*')}, '') AS n FROM ({TITLES}))",
@@ -260,4 +261,8 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
 SELECT {WORK} AS work_id, doc_id, row_number() OVER w AS k, doc_id % 20 + 1 AS n, '第' || ['一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十'][CAST(row_number() OVER w AS INTEGER)] || '章 t' || doc_id AS title, {paragraphs_sql("replace(replace(text, ', ', ' \"'), '. ', '?')")} AS p FROM documents WINDOW w AS (PARTITION BY {WORK} ORDER BY doc_id))""",
     "epub_entries": f"{PAGE_ITEMS} SELECT work_id, 'OEBPS/' || page_name AS entry, CAST(octet_length(encode(page_html)) AS BIGINT) AS n_bytes, md5(page_html) AS entry_md5 FROM html UNION ALL SELECT DISTINCT work_id, e, CAST(length(t) AS BIGINT), md5(t) FROM html, (VALUES ('mimetype', 'application/epub+zip'), ('OEBPS/style.css', 'p {{}}')) x(e, t)",
     "epub_info_pages": f"""SELECT c_custkey, 'book_info.xhtml' AS page_name, md5({q(INFO_HEAD)} || array_to_string(list_filter(['<p class="book-info-name">' || c_name || '</p>', '<p>作者：' || c_mktsegment || '</p>', '<p>连载平台：Web</p>', '<p>连载状态：' || {_status("(c_custkey % 4)", "(c_custkey % 2)")} || '（2020年1月2日）</p>', CASE WHEN c_custkey % 3 > 0 THEN '<p>卷/篇数：' || (c_custkey % 3) || '</p>' END, '<p>字数：' || {WAN.format("(c_custkey * 1000)")} || '</p>', '<p>简介：</p>', '<p>text</p>'], lambda x: x IS NOT NULL), {LF}) || {LF} || '</body></html>' || {LF}) AS page_md5 FROM customer""",
+    "import_tasks": "SELECT lpad(CAST(doc_id % 40 + 1 AS VARCHAR), 3, '0') AS chapter_num, CAST(doc_id AS VARCHAR) AS novel_id FROM documents WHERE doc_id % 40 + 1 NOT IN (SELECT doc_id % 40 FROM labels WHERE doc_id % 40 % 3 = 0)",
+    "catalog_render": f"SELECT n_regionkey AS owner, string_agg(n_nationkey || ',' || CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN contains(n_name, ',') OR contains(n_name, '\"') THEN '\"' || replace(n_name, '\"', '\"\"') || '\"' ELSE n_name END ELSE 'old' END || {LF}, '' ORDER BY n_nationkey) AS csv FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0 GROUP BY n_regionkey",
+    "info_fallback": "SELECT c_custkey AS work_id, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'S' ELSE '未填' END AS title, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'B' ELSE '未填' END AS author FROM customer",
 }
+ORACLE_SQL["illustration_totals"] = f"SELECT conv_id, count(*) AS n_images, CAST(count(*) FILTER (\"desc\" <> '') AS BIGINT) AS n_lines, count(DISTINCT chapter) AS n_chapters FROM ({ORACLE_SQL['illustration_collect']}) GROUP BY conv_id"

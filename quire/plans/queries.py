@@ -112,12 +112,12 @@ def first_difference(spark, d):
 
 @query
 def int_to_chinese(spark, d):
-    return V.table(spark, d, "part").select("p_partkey", N.int_to_chinese(F.col("p_partkey") % 10000).alias("numeral"))
+    return V.table(spark, d, "part").select("p_partkey", N.int_to_chinese(F.col("p_partkey") * 37 % 100000).alias("numeral"))
 
 
 @query
 def chinese_to_int(spark, d):
-    n = F.col("p_partkey") % 10000
+    n = F.col("p_partkey") * 37 % 100000
     return V.table(spark, d, "part").select("p_partkey", N.chinese_to_int(N.int_to_chinese(n)).alias("value"))
 
 
@@ -719,3 +719,32 @@ def landed_chapters(spark, d):
 def format_command(spark, d):
     chapters = overlay.with_keys(V.documents(spark, d).select(V.work().alias("work_id"), F.concat(X.pad3(F.col("doc_id") % V.WORK_SIZE + 1), F.lit(" t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.replace(F.replace("text", F.lit(", "), F.lit(' "')), F.lit(". "), F.lit("?")).alias("text")))
     return api.format_chapters(chapters, punct=True).select("work_id", "file_name", F.md5("text").alias("text_md5"))
+
+
+@query
+def import_tasks(spark, d):
+    tasks = V.table(spark, d, "documents").select((F.col("doc_id") % 40 + 1).cast("string").alias("chapter_num"), F.col("doc_id").cast("string").alias("novel_id"))
+    held = V.table(spark, d, "labels").select((F.col("doc_id") % 40).alias("n")).where("n % 3 = 0").select(X.pad3(F.col("n")).alias("prefix")).distinct()
+    return api.import_tasks(tasks, held).select("chapter_num", "novel_id")
+
+
+@query
+def catalog_render(spark, d):
+    n = V.table(spark, d, "nation")
+    old = n.where("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("owner"), F.col("n_nationkey").cast("string").alias("series_id"), F.lit("old").alias("title"))
+    new = n.where("n_nationkey % 3 = 0").select(F.col("n_regionkey").alias("owner"), F.col("n_nationkey").cast("string").alias("series_id"), F.col("n_name").alias("title"))
+    return index.catalog(old, new, "owner")
+
+
+@query
+def info_fallback(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("work_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"))
+    unset = V.table(spark, d, "customer").select(F.col("c_custkey").alias("work_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author"))
+    second = c.where("work_id % 3 <> 2").select("work_id", F.lit("S").alias("title"), F.lit("B").alias("author"))
+    return files.filled_info(c.where("work_id % 3 = 0"), second, unset)
+
+
+@query
+def illustration_totals(spark, d):
+    rows = files.illustrations_from_text(_illustrations(spark, d), "conv_id")
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_images"), F.sum(F.size("desc")).cast("long").alias("n_lines"), F.countDistinct("chapter").alias("n_chapters"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 # The defaults of a chapter style and of a volume style.
 CHAPTER_STYLE = {"align": "center", "color": "", "size": "1.5em", "underline": False, "split": False, "num_color": "", "num_size": "1em", "desc": ""}
@@ -28,6 +29,21 @@ def parse_styles(text: str | None) -> dict[str, dict[str, dict]]:
     return {"chapter": chapter, "volume": volume}
 
 
+#: What a missing style file is written as.
+SAMPLE = {"chapter": {"default": CHAPTER_STYLE, "split_title": CHAPTER_STYLE | {"split": True}}, "volume": {"default": VOLUME_STYLE}}
+
+
+def load_presets(path: str) -> dict[str, dict[str, dict]]:
+    """The presets of a style file on the driver; a missing file is written as a sample first, an unreadable one has none."""
+    file = Path(path)
+    try:
+        if not file.exists():
+            file.write_text(json.dumps(SAMPLE, ensure_ascii=False, indent=4) + "\n", encoding="utf-8")
+        return parse_styles(file.read_text(encoding="utf-8"))
+    except (OSError, UnicodeDecodeError):
+        return parse_styles(None)
+
+
 def resolve_style(presets: dict[str, dict], name: str | None, defaults: dict, **given) -> dict:
     """A preset by name with explicit arguments over it; KeyError for an unknown name."""
     if name is not None and name not in presets:

@@ -81,3 +81,23 @@ def test_places(spark):
     folders = spark.createDataFrame([("w", 0, "/a/base"), ("w", 1, "/a/fixed")], "work_id string, rank int, folder string")
     got = [r.place for r in landed.search_places(folders, ["", "illustrations"]).orderBy("priority").collect()]
     assert got == ["/a/fixed", "/a/fixed/illustrations", "/a", "/a/illustrations", "/a/base", "/a/base/illustrations"]
+
+
+def test_style_files(tmp_path):
+    from quire.sources import config
+
+    path = tmp_path / "styles.json"
+    made = config.load_presets(str(path))
+    assert path.exists() and set(made["chapter"]) == {"default", "split_title"} and made["chapter"]["split_title"]["split"] and made["volume"]["default"] == config.VOLUME_STYLE
+    assert config.load_presets(str(path)) == made
+    path.write_bytes(b"\xff{")
+    assert config.load_presets(str(path)) == {"chapter": {}, "volume": {}} == config.load_presets(str(tmp_path / "none" / "x.json"))
+
+
+def test_import_list_and_clock(spark):
+    tasks = spark.createDataFrame([("1", "11"), ("2", "12"), ("x", "13")], "chapter_num string, novel_id string")
+    chapters = spark.createDataFrame([("001",)], "prefix string")
+    assert [r.novel_id for r in api.import_tasks(tasks, chapters).collect()] == ["12"] and api.import_tasks(tasks, chapters, force=True).count() == 2
+    import re
+
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d", spark.range(1).select(index.now_iso()).first()[0])
