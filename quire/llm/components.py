@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Links stay distributed: each step is a min per node (combined before the shuffle)
-and an equi-join, whose hub nodes adaptive execution splits. Every round is cut by
-a checkpoint, so a lost executor costs at most that round.
+and an equi-join on the node and a salt of the other end, so that the links of a hub
+are spread over several tasks. Every round is cut by a checkpoint, so a lost executor
+costs at most that round.
 """
 
 from __future__ import annotations
@@ -13,15 +14,25 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut
 
 
+#: Parts over which the links of one node are spread.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of their u in least (u, m)."""
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
