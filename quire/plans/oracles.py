@@ -264,5 +264,6 @@ SELECT {WORK} AS work_id, doc_id, row_number() OVER w AS k, doc_id % 20 + 1 AS n
     "import_tasks": "SELECT lpad(CAST(doc_id % 40 + 1 AS VARCHAR), 3, '0') AS chapter_num, CAST(doc_id AS VARCHAR) AS novel_id FROM documents WHERE doc_id % 40 + 1 NOT IN (SELECT doc_id % 40 FROM labels WHERE doc_id % 40 % 3 = 0)",
     "catalog_render": f"SELECT n_regionkey AS owner, string_agg(n_nationkey || ',' || CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN contains(n_name, ',') OR contains(n_name, '\"') THEN '\"' || replace(n_name, '\"', '\"\"') || '\"' ELSE n_name END ELSE 'old' END || {LF}, '' ORDER BY n_nationkey) AS csv FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0 GROUP BY n_regionkey",
     "info_fallback": "SELECT c_custkey AS work_id, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'S' ELSE '未填' END AS title, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'B' ELSE '未填' END AS author FROM customer",
+    "stream_upsert": "SELECT conv_id, role, max_by(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY conv_id, role",
 }
 ORACLE_SQL["illustration_totals"] = f"SELECT conv_id, count(*) AS n_images, CAST(count(*) FILTER (\"desc\" <> '') AS BIGINT) AS n_lines, count(DISTINCT chapter) AS n_chapters FROM ({ORACLE_SQL['illustration_collect']}) GROUP BY conv_id"

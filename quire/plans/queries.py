@@ -14,6 +14,7 @@ from quire.functions import text as X
 from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
 from quire.plans import views as V
 from quire.sources import config, files, landed
+from quire.streaming import upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -748,3 +749,14 @@ def info_fallback(spark, d):
 def illustration_totals(spark, d):
     rows = files.illustrations_from_text(_illustrations(spark, d), "conv_id")
     return rows.groupBy("conv_id").agg(F.count("*").alias("n_images"), F.sum(F.size("desc")).cast("long").alias("n_lines"), F.countDistinct("chapter").alias("n_chapters"))
+
+
+@query
+def stream_upsert(spark, d):
+    """The latest turn of each speaker, kept by a stream over the table's files."""
+    path = f"{d}/conversations.parquet"
+    schema = spark.read.parquet(path).schema
+    folder = upserts.scratch_folder(spark)
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path).select("conv_id", "role", "turn", "text")
+    upserts.keep_index(source, f"{folder}/table", f"{folder}/checkpoint", ["conv_id", "role"], "turn").awaitTermination()
+    return upserts.current(spark, f"{folder}/table", "conv_id long, role string, text string, turn long")

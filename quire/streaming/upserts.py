@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.operators.index import upsert
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all machines see: below spark.checkpoint.dir; a session in one process may do without that setting."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if base is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{base or tempfile.mkdtemp(prefix='quire-stream-')}/stream-{uuid.uuid4().hex}"
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the committed versions of a table folder; a version without its success mark does not count."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
