@@ -259,6 +259,31 @@ class PrefixCounter:
         inside = max((n for n, c in enumerate(table) if c <= left), default=0) if table else 0
         return start + inside if inside else spans[full - 1][1] if full else 0
 
+    def every_prefix(self, text: str | None) -> list[int]:
+        """Tokens of the first k code points of a text, for k = 0 .. its length: table lookups, nothing is encoded again.
+
+        Only words whose beginnings normalise otherwise, and the insides of special strings, are counted one by one.
+        """
+        text = text or ""
+        out, at = [0], 0
+        for k, part in enumerate(self.split_special.split(text)):
+            if k % 2:  # until it is whole, a special string is text behind the word that it touches
+                word = max((m.end() for m in _SPACE.finditer(text, 0, at)), default=0)
+                out += [out[word] + self.count(text[word:end]) for end in range(at + 1, at + len(part))]
+                out.append(out[at] + 1)
+            else:
+                done, last = out[at], 0
+                for m in _WORDS.finditer(part):
+                    out += [done] * (m.start() - last)
+                    table = self.word_prefixes(m.group())
+                    if table is None:
+                        table = [self.count(m.group()[:n]) for n in range(len(m.group()) + 1)]
+                    out += [done + n for n in table[1:]]
+                    done, last = out[-1], m.end()
+                out += [done] * (len(part) - last)
+            at += len(part)
+        return out
+
     def boundaries(self, text: str | None) -> tuple[list[int], list[int]]:
         """(ends, counts): for each word of the text its end as an offset in code points, and the tokens up to there.
 

@@ -64,6 +64,26 @@ def prefix_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), per_batch, "doc_id long, ends array<int>, counts array<int>")
 
 
+def every_prefix(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, counts array<int>): element k is the number of tokens of the first k code points, k from 0 to the length.
+
+    Nulls and empty texts have the one count 0; repeated rows and empty tables behave as in token_counts.
+    """
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(vocabulary)
+        for b in batches:
+            yield batch_of({"doc_id": (b.column(0).to_pylist(), pa.int64()), "counts": ([c.every_prefix(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))})
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), per_batch, "doc_id long, counts array<int>")
+
+
+def longest_within(table: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, chars, n_tokens) of the longest prefix within a budget, white space included, from an every_prefix table alone."""
+    k = F.array_max(F.transform("counts", lambda n, k: F.when(n <= budget, k)))
+    return table.select("doc_id", k.cast("long").alias("chars"), F.element_at("counts", k + 1).cast("long").alias("n_tokens"))
+
+
 def longest_prefix(table: DataFrame, budget: int) -> DataFrame:
     """(doc_id, chars, n_tokens) of the longest prefix within a budget, from a prefix_table alone."""
     k = F.size(F.filter("counts", lambda n: n <= budget))

@@ -55,6 +55,20 @@ def test_longest_prefix_within_a_budget(pair):
             assert got == (total, want), (text, budget)
 
 
+def test_the_table_of_every_prefix(spark, pair):
+    mine, library = pair
+    r = random.Random(11)
+    made = ["", None, "Don't cut  here: naïve cafés, they'll cost 12½ <|endoftext|> more. ", "a!<|endoftext|><|endoftext|>b", "e\u0301te\u0301 İs", "日本語テスト 😀👍🏽 ", "they'rE'S 've", "x" * 120]
+    made += ["".join(r.choice("aeiou'sStTrelvdmx019!?., \nßé日😀<|>") for _ in range(r.randrange(1, 40))) for _ in range(80)]
+    for text in made:
+        assert mine.every_prefix(text) == [library((text or "")[:k]) for k in range(len(text or "") + 1)], text
+    table = tokens.every_prefix(spark.createDataFrame([(1, made[2]), (2, None)], "doc_id long, text string"), PATH)
+    counts = mine.every_prefix(made[2])
+    for budget in (0, 3, 9, 100):
+        best = max(k for k, n in enumerate(counts) if n <= budget)
+        assert {tuple(x) for x in tokens.longest_within(table, budget).collect()} == {(1, best, counts[best]), (2, 0, 0)}
+
+
 def inside_special(text, k):
     return any(a < k < a + len(s) for s in ("<|startoftext|>", "<|endoftext|>") for a in range(len(text)) if text.startswith(s, a))
 
