@@ -759,4 +759,4 @@ def stream_upsert(spark, d):
     folder = upserts.scratch_folder(spark)
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path).select("conv_id", "role", "turn", "text")
     upserts.keep_index(source, f"{folder}/table", f"{folder}/checkpoint", ["conv_id", "role"], "turn").awaitTermination()
-    return upserts.current(spark, f"{folder}/table", "conv_id long, role string, text string, turn long")
+    return upserts.current(spark, f"{folder}/table", "conv_id long, role string, text string, turn long", ["conv_id", "role"])

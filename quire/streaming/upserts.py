@@ -7,10 +7,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.operators.index import upsert
+from quire.streaming.keyed import BUCKETS, KeyedTable
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -24,39 +23,25 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the committed versions of a table folder; a version without its success mark does not count."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    found = []
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def current(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Numbers of the committed versions of an index that are kept."""
+    return KeyedTable(spark, folder, []).versions()
+
+
+def current(spark: SparkSession, folder: str, schema, keys: list[str]) -> DataFrame:
     """The latest committed version, empty if there is none."""
-    found = versions(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/v={found[-1]}") if found else spark.createDataFrame([], schema)
+    return KeyedTable(spark, folder, keys).read(schema)
 
 
-def batch_upserter(folder: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: version n of the folder is the table after batch n. A batch that runs again writes the same version."""
+def batch_upserter(folder: str, keys: list[str], order: str, stream: str = "", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts each batch of a stream into the index once, however often it runs."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [v for v in versions(spark, folder) if v < number]
-        names = [c for c in batch.columns if c != order] + [order]
-        old = spark.read.schema(batch.schema).parquet(f"{folder}/v={earlier[-1]}") if earlier else spark.createDataFrame([], batch.schema)
-        upsert(old.select(*names), batch.select(*names), keys, F.col(order)).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        KeyedTable(batch.sparkSession, folder, keys, order, buckets).put(batch, number, stream)
 
     return put
 
 
-def keep_index(source: DataFrame, folder: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Start the upkeep of an index from a streaming source; it resumes behind what its checkpoint has seen."""
-    return source.writeStream.foreachBatch(batch_upserter(folder, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_index(source: DataFrame, folder: str, checkpoint: str, keys: list[str], order: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Start the upkeep of an index from a streaming source; it resumes behind what its checkpoint has seen. Streams with other checkpoints may feed one index in turn."""
+    names = [c for c in source.columns if c != order] + [order]
+    return source.select(*names).writeStream.foreachBatch(batch_upserter(folder, keys, order, checkpoint, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
