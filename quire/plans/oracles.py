@@ -267,3 +267,10 @@ SELECT {WORK} AS work_id, doc_id, row_number() OVER w AS k, doc_id % 20 + 1 AS n
     "stream_upsert": "SELECT conv_id, role, max_by(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY conv_id, role",
 }
 ORACLE_SQL["illustration_totals"] = f"SELECT conv_id, count(*) AS n_images, CAST(count(*) FILTER (\"desc\" <> '') AS BIGINT) AS n_lines, count(DISTINCT chapter) AS n_chapters FROM ({ORACLE_SQL['illustration_collect']}) GROUP BY conv_id"
+_EVENTS = "SELECT CAST(conv_id AS VARCHAR) AS work_id, role AS chapter_key, CASE length(text) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS rank, turn * 3 + CASE length(text) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS o FROM conversations"
+#: Events of each chapter in order: where it is done, how it began, and its failures before that.
+_RESUMED = f"""e AS ({_EVENTS}), k AS (SELECT work_id, chapter_key, min(o) FILTER (rank = 2) AS done_at, arg_min(rank, o) AS first_rank FROM e GROUP BY ALL),
+f AS (SELECT e.work_id, e.chapter_key, row_number() OVER (PARTITION BY e.work_id, e.chapter_key ORDER BY o) AS n FROM e JOIN k ON e.work_id = k.work_id AND e.chapter_key = k.chapter_key WHERE rank = 1 AND (done_at IS NULL OR o < done_at))"""
+ORACLE_SQL["stream_resume"] = f"WITH {_RESUMED} SELECT work_id, chapter_key, CAST(least(n + 1, 3) AS INTEGER) AS attempt, CASE WHEN n < 3 THEN 'fetch' ELSE 'given_up' END AS status FROM f WHERE n <= 3 UNION ALL SELECT work_id, chapter_key, 1, 'fetch' FROM k WHERE first_rank = 0"
+ORACLE_SQL["resume_states"] = f"WITH {_RESUMED}, c AS (SELECT work_id, chapter_key, count(*) AS n FROM f GROUP BY ALL) SELECT k.work_id, k.chapter_key, done_at IS NOT NULL AND coalesce(n, 0) < 3 AS done, CAST(least(coalesce(n, 0), 3) AS INTEGER) AS failures FROM k LEFT JOIN c ON k.work_id = c.work_id AND k.chapter_key = c.chapter_key"
+ORACLE_SQL["stream_listing"] = "SELECT source AS work_id, p // 30 AS page_no, CAST(p % 30 AS INTEGER) AS pos, CAST(doc_id AS VARCHAR) AS id, n_chars AS words FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents WHERE source IS NOT NULL)"

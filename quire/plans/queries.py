@@ -13,8 +13,8 @@ from quire.functions import numerals as N
 from quire.functions import text as X
 from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
 from quire.plans import views as V
-from quire.sources import config, files, landed
-from quire.streaming import upserts
+from quire.sources import config, files, landed, paging, sink
+from quire.streaming import resume, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -760,3 +760,42 @@ def stream_upsert(spark, d):
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path).select("conv_id", "role", "turn", "text")
     upserts.keep_index(source, f"{folder}/table", f"{folder}/checkpoint", ["conv_id", "role"], "turn").awaitTermination()
     return upserts.current(spark, f"{folder}/table", "conv_id long, role string, text string, turn long", ["conv_id", "role"])
+
+
+@query
+def stream_resume(spark, d):
+    """The tasks that a stream gives out whose events are the turns of each speaker, landed in three parts with a restart behind each."""
+    kinds = F.array(*[F.lit(k) for k in resume.KINDS])
+    kind = F.get(kinds, (F.char_length("text") % 3).cast("int"))
+    events = V.messages(spark, d).select(F.col("conv_id").cast("string").alias("work_id"), F.col("role").alias("chapter_key"), kind.alias("kind"), F.col("turn").cast("long").alias("at"))
+    folder = upserts.scratch_folder(spark)
+    for part in ("at < 2", "at between 2 and 3", "at > 3"):
+        events.where(part).write.mode("append").parquet(f"{folder}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        resume.keep_tasks(source, f"{folder}/tasks", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(resume.TASK).parquet(f"{folder}/tasks")
+
+
+@query
+def resume_states(spark, d):
+    """Whether each speaker of a conversation is done and how often it has failed, of the same events in one batch."""
+    kind = F.get(F.array(*[F.lit(k) for k in resume.KINDS]), (F.char_length("text") % 3).cast("int"))
+    return resume.states(V.messages(spark, d).select(F.col("conv_id").alias("work_id"), F.col("role").alias("chapter_key"), kind.alias("kind"), F.col("turn").alias("at")))
+
+
+@query
+def stream_listing(spark, d):
+    """The documents of each source as a listing of pages of thirty, paged by a stream that starts twice: when half of the pages have landed, and then again."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = V.table(spark, d, "documents").where("source is not null").select("source", "doc_id", "n_chars", place.alias("place")).withColumn("cursor", (F.expr(f"place div {paging.PAGE_SIZE}") * paging.PAGE_SIZE).cast("long"))
+    item = F.struct(F.col("place").alias("p"), F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("textCount"), (F.col("place") + 1).alias("order"))
+    held = rows.groupBy("source", "cursor").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    body = F.to_json(F.struct(F.struct(F.transform("items", lambda x: x.dropFields("p")).alias("seriesContents")).alias("body")))
+    landing = held.select("cursor", F.concat(F.url_encode("source"), F.lit("."), F.col("cursor").cast("string"), F.lit(".json")).alias("file_name"), body.alias("content"))
+    works = sorted(r.source for r in rows.select("source").distinct().limit(paging.MAX_WORKS + 1).collect())
+    folder, n = upserts.scratch_folder(spark), paging.PAGE_SIZE
+    for part in (f"cursor % {2 * n} = 0 or cursor = {n}", f"not (cursor % {2 * n} = 0 or cursor = {n})"):
+        sink.write_files(landing.where(part), f"{folder}/pages")
+        pages = paging.stream_pages(spark, f"{folder}/pages", works)
+        pages.writeStream.format("parquet").option("path", f"{folder}/read").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return files.listing_rows(spark.read.schema("work_id string, page_no long, cursor long, json string").parquet(f"{folder}/read"))

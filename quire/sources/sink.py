@@ -1,21 +1,29 @@
-"""A sink that writes each row as a file of exactly the name it carries.
+"""A sink that writes each row as a file of exactly the name it carries, to any file system that Arrow knows.
 
 Spark's writers choose their own file names. This one is a Python data source for tables
 (file_name string, content binary): tasks write into a staging folder below the target,
 which must be shared by all executors, and the driver moves the files when all tasks
-have succeeded, so a job that fails leaves the target as it was.
+have succeeded. Before it moves the first it writes the list of moves into the staging folder, so a
+driver that dies between two moves leaves what ``finish`` completes; a job that fails leaves the target as it was.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import shutil
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from quire.sources.uri import located
+
+STAGE = ".stage-"
+#: In a staging folder: all its files are whole and belong to the target.
+MOVES = "_moves.json"
+
 
 @dataclass
 class _Written(WriterCommitMessage):
@@ -23,30 +31,56 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
-        self.stage = os.path.join(path, f".stage-{uuid.uuid4().hex}")
+    def __init__(self, folder: str):
+        self.folder, self.stage = folder, f"{STAGE}{uuid.uuid4().hex}"
 
     def write(self, iterator) -> WriterCommitMessage:
-        os.makedirs(self.stage, exist_ok=True)
+        store, base = located(self.folder)
+        store.create_dir(f"{base}/{self.stage}", recursive=True)
         names = []
         for row in iterator:
             if os.path.basename(row.file_name) != row.file_name or row.file_name in ("", ".", ".."):
                 raise ValueError(f"not a plain file name: {row.file_name!r}")
             staged = uuid.uuid4().hex  # a task that runs twice never meets its own files
-            with open(os.path.join(self.stage, staged), "wb") as f:
+            with store.open_output_stream(f"{base}/{self.stage}/{staged}") as f:
                 f.write(bytes(row.content or b""))
             names.append((staged, row.file_name))
         return _Written(names)
 
     def commit(self, messages) -> None:
-        for m in messages:
-            for staged, name in m.names if m else ():
-                os.replace(os.path.join(self.stage, staged), os.path.join(self.path, name))
-        shutil.rmtree(self.stage, ignore_errors=True)
+        store, base = located(self.folder)
+        store.create_dir(f"{base}/{self.stage}", recursive=True)
+        with store.open_output_stream(f"{base}/{self.stage}/{MOVES}") as f:
+            f.write(json.dumps([x for m in messages if m for x in m.names]).encode())
+        _moved(store, base, self.stage)
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+        _gone(*located(self.folder), self.stage)
+
+
+def _gone(store: fs.FileSystem, base: str, stage: str) -> None:
+    if store.get_file_info(f"{base}/{stage}").type != fs.FileType.NotFound:
+        store.delete_dir(f"{base}/{stage}")
+
+
+def _moved(store: fs.FileSystem, base: str, stage: str) -> None:
+    """Move the files of a whole staging folder to their names; those that are moved already are not there."""
+    with store.open_input_stream(f"{base}/{stage}/{MOVES}") as f:
+        names = json.loads(f.read())
+    left = {x.base_name for x in store.get_file_info(fs.FileSelector(f"{base}/{stage}"))}
+    for staged, name in names:
+        if staged in left:
+            store.move(f"{base}/{stage}/{staged}", f"{base}/{name}")
+    _gone(store, base, stage)
+
+
+def finish(folder: str) -> None:
+    """Complete what a job that died while it moved its files left behind, and delete what failed jobs staged; no job may be writing."""
+    store, base = located(folder)
+    for x in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if x.base_name.startswith(STAGE):
+            whole = store.get_file_info(f"{base}/{x.base_name}/{MOVES}").type == fs.FileType.File
+            _moved(store, base, x.base_name) if whole else _gone(store, base, x.base_name)
 
 
 class NamedFiles(DataSource):
@@ -64,7 +98,8 @@ class NamedFiles(DataSource):
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write files (file_name, content string or binary) into a shared folder; equal names: one of them stays."""
-    SparkSession.getActiveSession().dataSource.register(NamedFiles)
-    os.makedirs(folder, exist_ok=True)
+    """Write files (file_name, content string or binary) into a shared folder, by path or URI; equal names: one of them stays."""
+    files.sparkSession.dataSource.register(NamedFiles)
+    store, base = located(folder)
+    store.create_dir(base, recursive=True)
     files.selectExpr("file_name", "cast(content as binary) as content").write.format("quire_files").option("path", folder).mode("append").save()
