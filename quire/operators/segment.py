@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.numerals import EXTRA, NUMERAL, chapter_name, int_to_chinese, marker_columns, renumbered, title_of_file
 from quire.functions.text import pad3, sanitize_filename_part, strip, unicode_lines
+from quire.operators.running import running
 
 FILE = ["work_id", "file_name"]
 
@@ -54,8 +55,8 @@ def renumber(segs: DataFrame) -> DataFrame:
 def sequenced(segs: DataFrame) -> DataFrame:
     """segs with seq, counting through the files of a work: per-file counts summed, then the place in the file."""
     sizes = segs.groupBy(*FILE, "file_ord").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("work_id").orderBy("file_ord", "file_name").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*FILE, "offset")
+    ends = running(sizes, ["work_id"], [F.col("file_ord"), F.col("file_name")], {"end": ("sum", F.col("n"))})
+    offsets = ends.select(*FILE, (F.col("end") - F.col("n")).alias("offset"))
     return segs.join(offsets, FILE).withColumn("seq", F.col("offset") + F.col("seg_no")).drop("offset")
 
 
@@ -87,10 +88,12 @@ def display_titles(files: DataFrame) -> DataFrame:
     raw = F.regexp_extract("file_name", grammar, 2)
     plain = strip(F.regexp_replace(raw, rf"^第[{NUMERAL.replace('.', '')}]+章\s*", ""))
     rows = rows.withColumn("plain", plain).withColumn("is_extra", F.contains(plain, F.lit(EXTRA)))
-    w = Window.partitionBy("work_id").orderBy("ord", "file_name").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.sum(F.when(F.col("is_extra"), 0).otherwise(1)).over(w)
+    # numbers come from the names alone; texts stay where they are
+    names = rows.select("work_id", "ord", "file_name", "is_extra").distinct()
+    numbers = running(names, ["work_id"], [F.col("ord"), F.col("file_name")], {"number": ("sum", F.when(F.col("is_extra"), 0).otherwise(1))})
+    rows = rows.join(numbers.select("work_id", "file_name", "number"), FILE)
     bare = strip(F.replace(F.replace("plain", F.lit(f"{EXTRA}："), F.lit("")), F.lit(EXTRA), F.lit("")))
-    rows = rows.withColumn("number", F.when(~F.col("is_extra"), number)).withColumn("bare", bare)
+    rows = rows.withColumn("number", F.when(~F.col("is_extra"), F.col("number"))).withColumn("bare", bare)
     extra = F.when(F.col("bare") == "", F.lit(EXTRA)).otherwise(F.concat(F.lit(f"{EXTRA}："), F.col("bare")))
     main = F.concat(F.lit("第"), int_to_chinese(F.col("number")), F.lit("章 "), F.col("plain"))
     shown = rows.withColumn("display", F.when(F.col("is_extra"), extra).otherwise(main))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.running import running
+from quire.sources.scratch import once
+
 
 def valid_volumes(volumes: DataFrame) -> DataFrame:
     """volumes (work_id, pos, name, start, end) that have a name and 0 <= start <= end (end defaults to start), with vol_no by start."""
@@ -14,17 +17,29 @@ def valid_volumes(volumes: DataFrame) -> DataFrame:
     return kept.withColumn("vol_no", F.row_number().over(Window.partitionBy("work_id").orderBy("start", "pos")))
 
 
+#: Chapters of a volume that are laid out at once.
+_BLOCK = 4096
+
+
 def in_ranges(chapters: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Every (chapter, volume) with start <= ord <= end.
+    """Every (chapter, volume) with start <= ord <= end, however large the numbers.
 
-    A volume is laid out as the chapter numbers it spans that the work can have (its largest number bounds the
-    range), so this is an equi-join that can be shuffled and split, not a nested loop over ranges.
+    A sweep over the chapter numbers of a work and the ends of its volumes counts the numbers before each: a volume becomes a
+    range of places among the numbers that exist, which is as long as the result, and the join an equi-join on places.
     """
-    last = chapters.where("ord is not null").groupBy("work_id").agg(F.max("ord").cast("long").alias("last"))
-    spans = volumes.join(last, "work_id").withColumn("to", F.least("end", "last")).where("start <= to")
-    numbers = spans.select("work_id", "vol_no", F.col("name").alias("volume"), "start", "end", F.explode(F.sequence("start", "to")).alias("number"))
-    numbered = chapters.where("ord is not null and ord > 0").withColumn("number", F.col("ord").cast("long"))
-    return numbered.join(numbers, ["work_id", "number"])
+    whole = "decimal(38,0)"
+    held = volumes.select("work_id", "vol_no", F.col("name").alias("volume"), F.col("start").cast(whole).alias("start"), F.col("end").cast(whole).alias("end")).distinct()
+    numbers = chapters.where("ord > 0").select("work_id", F.col("ord").cast(whole).alias("at")).distinct()
+    edge = lambda at, kind: held.select("work_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), "vol_no", "volume", "start", "end")
+    none = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("vol_no", "volume", "start", "end")]
+    # at one place a start comes before the number and an end behind it
+    events = numbers.select("work_id", "at", F.lit(1).alias("kind"), *none).unionByName(edge("start", 0)).unionByName(edge("end", 2))
+    placed = once(running(events, ["work_id"], [F.col("at"), F.col("kind"), F.col("vol_no"), F.col("volume"), F.col("end")], {"place": ("sum", (F.col("kind") == 1).cast("long"))}))
+    spans = placed.where("kind <> 1").groupBy("work_id", "vol_no", "volume", "start", "end").agg((F.min("place") + 1).alias("low"), F.max("place").alias("high")).where("low <= high")
+    blocks = spans.withColumn("block", F.explode(F.expr(f"sequence(low div {_BLOCK}, high div {_BLOCK})")))
+    places = blocks.withColumn("place", F.explode(F.expr(f"sequence(greatest(low, block * {_BLOCK}), least(high, block * {_BLOCK} + {_BLOCK - 1}))"))).drop("block", "low", "high")
+    numbered = placed.where("kind = 1").select("work_id", "at", "place").join(places, ["work_id", "place"]).drop("place")
+    return chapters.where("ord > 0").withColumn("at", F.col("ord").cast(whole)).join(numbered, ["work_id", "at"]).drop("at")
 
 
 def assign_first(chapters: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -45,20 +60,19 @@ def spine(chapters: DataFrame, volumes: DataFrame) -> DataFrame:
     """
     owned = assign_first(chapters, volumes).select("work_id", "chapter_key", "vol_no", "volume")
     rows = chapters.select("work_id", "chapter_key", "ord").join(owned, ["work_id", "chapter_key"], "left")
-    order = Window.partitionBy("work_id").orderBy(F.col("ord").isNull(), "ord", "chapter_key")
-    placed = rows.withColumn("place", F.row_number().over(order))
+    placed = once(running(rows, ["work_id"], [F.col("ord").isNull(), F.col("ord"), F.col("chapter_key")], {"place": ("sum", F.lit(1))}))
     pages = placed.where("vol_no is not null").groupBy("work_id", "vol_no", "volume").agg(F.min("place").alias("place"))
     items = placed.select("work_id", F.lit("chap").alias("kind"), "chapter_key", "vol_no", F.col("chapter_key").alias("title"), "place", F.lit(1).alias("after")).unionByName(
         pages.select("work_id", F.lit("vol").alias("kind"), F.lit(None).cast("string").alias("chapter_key"), "vol_no", F.col("volume").alias("title"), "place", F.lit(0).alias("after"))
     )
-    return items.withColumn("play_order", F.row_number().over(Window.partitionBy("work_id").orderBy("place", "after", "vol_no"))).drop("place", "after")
+    ordered = running(items, ["work_id"], [F.col("place"), F.col("after"), F.col("vol_no")], {"play_order": ("sum", F.lit(1))})
+    return ordered.withColumn("play_order", F.col("play_order").cast("int")).drop("place", "after")
 
 
 def nested(items: DataFrame) -> DataFrame:
     """items with parent: the play order of the volume page that a run of its chapters follows, null outside."""
-    w = Window.partitionBy("work_id").orderBy("play_order").rowsBetween(Window.unboundedPreceding, 0)
-    page = F.last(F.when(F.col("kind") == "vol", F.struct("vol_no", "play_order")), ignorenulls=True).over(w)
-    return items.withColumn("_p", page).withColumn("parent", F.when((F.col("kind") == "chap") & (F.col("_p.vol_no") == F.col("vol_no")), F.col("_p.play_order"))).drop("_p")
+    page = F.when(F.col("kind") == "vol", F.struct("play_order", "vol_no"))
+    return running(items, ["work_id"], [F.col("play_order")], {"_p": ("max", page)}).withColumn("parent", F.when((F.col("kind") == "chap") & (F.col("_p.vol_no") == F.col("vol_no")), F.col("_p.play_order"))).drop("_p")
 
 
 def overlaps(volumes: DataFrame) -> DataFrame:
