@@ -15,14 +15,16 @@ from quire.operators import diff, index, markup, overlay, publish, reports, segm
 from quire.sources import config, files
 
 
-def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False, info: bool = False) -> DataFrame:
+def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False, info: bool = False, in_chunks: bool = False) -> DataFrame:
     """(work_id, text): the layers overlaid, later ones winning, as one text; ranges are valid volumes.
 
-    The information page (000) stands first; with info its counts are renewed from the chapters that are merged.
+    The information page (000) stands first; with info its counts are renewed from the chapters that are merged. in_chunks
+    gives (work_id, chunk_no, offset, text) for works of any length.
     """
     done = overlay.with_keys(overlay.overlay(*layers)).where(~overlay.is_reserved(F.col("file_name")))
     heads = volumes.headings(done, ranges) if ranges is not None else None
-    return publish.merge_text(refreshed(done, ranges) if info else done, heads, indent)
+    make = publish.merge_chunks if in_chunks else publish.merge_text
+    return make(refreshed(done, ranges) if info else done, heads, indent)
 
 
 def refreshed(chapters: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
@@ -103,16 +105,16 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     return diff.paragraph_diffs(diff.compare(first, second))
 
 
-def diff_layers(base: DataFrame, corrected: DataFrame, preview: int = 3) -> dict[str, DataFrame]:
-    """summary, chapters, preview and report of two layers."""
+def diff_layers(base: DataFrame, corrected: DataFrame, preview: int = 3, in_chunks: bool = False) -> dict[str, DataFrame]:
+    """summary, chapters, preview and report of two layers; in_chunks gives the report as (work_id, chunk_no, offset, text)."""
     found = diff.compare(base, corrected)
-    return {"summary": diff.status_summary(found), "chapters": found, "preview": diff.preview(diff.paragraph_diffs(found), preview), "report": reports.directory_report(found, preview)}
+    return {"summary": diff.status_summary(found), "chapters": found, "preview": diff.preview(diff.paragraph_diffs(found), preview), "report": (reports.report_chunks if in_chunks else reports.directory_report)(found, preview)}
 
 
-def assemble(base: DataFrame, corrected: DataFrame) -> dict[str, DataFrame]:
-    """chapters, summary and lineage of a corrected layer over a base."""
+def assemble(base: DataFrame, corrected: DataFrame, in_chunks: bool = False) -> dict[str, DataFrame]:
+    """chapters, summary and lineage of a corrected layer over a base; in_chunks gives the lineage as (work_id, chunk_no, offset, text)."""
     done = overlay.assemble(base, corrected)
-    return {"chapters": done, "summary": overlay.assemble_summary(done), "lineage": overlay.lineage_lines(done)}
+    return {"chapters": done, "summary": overlay.assemble_summary(done), "lineage": (overlay.lineage_chunks if in_chunks else overlay.lineage_lines)(done)}
 
 
 def split(packed: DataFrame, name_only: bool = False, limit_title: bool = False, punct: bool = False) -> dict[str, DataFrame]:
@@ -131,10 +133,12 @@ def split(packed: DataFrame, name_only: bool = False, limit_title: bool = False,
 
 
 def epub(
-    *layers: DataFrame, ranges: DataFrame, info: DataFrame | None = None, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str, images: DataFrame | None = None, illustrations: DataFrame | None = None, covers: DataFrame | None = None
+    *layers: DataFrame, ranges: DataFrame, info: DataFrame | None = None, styles: str | None = None, title_style: str | None = None, vol_style: str | None = None, modified: str, images: DataFrame | None = None, illustrations: DataFrame | None = None, covers: DataFrame | None = None, in_parts: bool = False
 ) -> DataFrame:
     """(work_id, file_name, content): an e-book of each work; info has work_id, title and author, which beat those of its information page.
 
+    in_parts gives its bytes as rows with part_no and offset, none larger than a page or an image, for ``sink.write_parts``.
+
     A work with an information page (000) has it in front, its counts renewed from the chapters that are packed.
 
     images (work_id, img, priority, content) are shown where a text has their marker, and at the end of the chapters that
@@ -164,7 +168,8 @@ def epub(
     items = volumes.spine(done, ranges).join(titled.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
     pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")), chapter, volume)
     pages = pages.unionByName(publish.info_pages(about).select(*[F.col(c).cast(pages.schema[c].dataType).alias(c) for c in pages.columns]))
-    return publish.books(pages, named, publish.style_sheet(chapter, volume), modified, found, covers)
+    make = publish.book_parts if in_parts else publish.books
+    return make(pages, named, publish.style_sheet(chapter, volume), modified, found, covers)
 
 
 def import_tasks(tasks: DataFrame, chapters: DataFrame, force: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import file_prefix
+from quire.operators.chunks import SIZE, chunked
 
 KEY = ["work_id", "chapter_key"]
 #: Names of files beside the chapters: never chapters themselves.
@@ -109,8 +110,21 @@ def format_order() -> list[Column]:
     return [F.coalesce(F.col("ord"), F.lit(0)), F.col("file_name")]
 
 
-def lineage_lines(assembled: DataFrame) -> DataFrame:
-    """(work_id, text): one line for each chapter of a work saying which layer it came from, in key order."""
+def lineage_rows(assembled: DataFrame) -> DataFrame:
+    """(work_id, chapter_key, text): for each chapter the line that says which layer it came from."""
     line = F.concat("file_name", F.lit(" <- "), "origin", F.when(F.col("renamed"), F.concat(F.lit(" (was "), "replaces", F.lit(")"))).otherwise(F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("chapter_key").alias("k"), line.alias("line"))))
-    return assembled.groupBy("work_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    return assembled.select("work_id", "chapter_key", line.alias("text"))
+
+
+def lineage_lines(assembled: DataFrame) -> DataFrame:
+    """(work_id, text): the lines of a work in key order, in one cell; ``lineage_chunks`` has no such bound."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("chapter_key").alias("k"), F.col("text").alias("line"))))
+    return lineage_rows(assembled).groupBy("work_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def lineage_chunks(assembled: DataFrame, size: int = SIZE) -> DataFrame:
+    """(work_id, chunk_no, offset, text): the same lines as numbered chunks, a line feed before each but the first."""
+    rows = lineage_rows(assembled)
+    first = rows.groupBy("work_id").agg(F.min("chapter_key").alias("first"))
+    led = rows.join(first, "work_id").withColumn("text", F.when(F.col("chapter_key") == F.col("first"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")))
+    return chunked(led.select("work_id", "chapter_key", "text"), ["chapter_key"], size=size)

@@ -1,15 +1,13 @@
 """Publishing a work: one text, chapter files, the information page, and an e-book.
 
-Everything up to the bytes of an archive is DataFrame expressions. A book is the one
-thing that is gathered by work, as its file must be; pages travel as rows until then.
+Everything up to the bytes of an archive is DataFrame expressions, and an archive is rows too: of a work only
+the names and titles of its pages are gathered.
 """
 
 from __future__ import annotations
 
 import html
-import io
 import re
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.numerals import marker_columns, split_title, split_volume_title
 from quire.functions.text import MEDIA_TYPES, UNSET, escape_html, format_wan, indent_body, paragraphs, status_text, strip
+from quire.operators import archive, chunks
 from quire.operators.markup import inline_fragments, paragraph_html
 
 INFO_NAME = "000 书籍信息.txt"
@@ -35,15 +34,25 @@ def merged_chapter(paras: Column, indent: bool = False, information: Column | No
     return F.when(F.size(paras) > 0, F.concat(F.array_join(body, "\n\n"), F.lit("\n\n"))).otherwise(F.lit(""))
 
 
-def merge_text(chapters: DataFrame, headings: DataFrame | None = None, indent: bool = False) -> DataFrame:
-    """(work_id, text): chapters (work_id, chapter_key, ord, text) in order, a volume's heading before its first chapter."""
+def merged_parts(chapters: DataFrame, headings: DataFrame | None = None, indent: bool = False) -> DataFrame:
+    """(work_id, a, b, c, text): the part of each of chapters (work_id, chapter_key, ord, text) in a merged text, in the order of a, b and c; a volume's heading stands before its first chapter."""
     part = merged_chapter(paragraphs(F.col("text")), indent, F.coalesce(F.col("ord") == 0, F.lit(False)))
     rows = chapters.select("work_id", "chapter_key", "ord", part.alias("part"))
     if headings is not None:
         rows = rows.join(headings.select("work_id", "chapter_key", "volume"), ["work_id", "chapter_key"], "left")
         rows = rows.withColumn("part", F.concat(F.when(F.col("volume").isNotNull(), F.concat(F.lit("\n"), "volume", F.lit("\n\n"))).otherwise(F.lit("")), "part"))
-    order = F.struct(F.col("ord").isNull().alias("a"), F.col("ord").alias("b"), F.col("chapter_key").alias("c"), F.col("part").alias("part"))
-    return rows.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["part"]), "").alias("text"))
+    return rows.select("work_id", F.col("ord").isNull().alias("a"), F.col("ord").alias("b"), F.col("chapter_key").alias("c"), F.col("part").alias("text"))
+
+
+def merge_text(chapters: DataFrame, headings: DataFrame | None = None, indent: bool = False) -> DataFrame:
+    """(work_id, text): the merged text of each work in one cell; ``merge_chunks`` has no such bound."""
+    order = F.struct("a", "b", "c", F.col("text").alias("part"))
+    return merged_parts(chapters, headings, indent).groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["part"]), "").alias("text"))
+
+
+def merge_chunks(chapters: DataFrame, headings: DataFrame | None = None, indent: bool = False, size: int = chunks.SIZE) -> DataFrame:
+    """(work_id, chunk_no, offset, text): the merged text of each work, of whatever length, as numbered chunks."""
+    return chunks.chunked(merged_parts(chapters, headings, indent), ["a", "b", "c"], size=size)
 
 
 def resolved_titles(chapters: DataFrame, known: Column | None = None) -> DataFrame:
@@ -207,20 +216,25 @@ def _media(name: str) -> str:
     return MEDIA_TYPES.get(name.rpartition(".")[2].lower(), "image/jpeg")
 
 
-def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, author: str, css: str, book_id: str, modified: str, images: dict[str, bytes] | None = None, cover: tuple[str, bytes] | None = None) -> bytes:
-    """An e-book of pages (name, kind, title, vol_no, html) in reading order, with images by name and a cover (name, bytes); the same input gives the same bytes."""
+def cover_page(img: str) -> tuple[str, str]:
+    """(name of the cover's file, its page)."""
+    at = f"cover.{img.rpartition('.')[2].lower() if '.' in img else 'jpg'}"
+    return at, f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>封面</title><link rel="stylesheet" href="style.css"/></head><body class="cover-page">\n<div class="cover-image"><img src="{html.escape(at, quote=True)}" alt="封面"/></div>\n</body></html>\n'
+
+
+_XML = '<?xml version="1.0" encoding="utf-8"?>\n'
+CONTAINER = _XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+EPUB_TYPE = "application/epub+zip"
+
+
+def package(pages: list[tuple[str, str, str, int | None]], title: str, author: str, book_id: str, modified: str, images: list[str], cover: str | None) -> list[tuple[str, str]]:
+    """(name, text) of the package, contents and navigation of a book with pages (name, kind, title, vol_no) in reading order, images by name and a cover's file."""
     esc = lambda s: html.escape(s or "", quote=True)
-    images, packed, extra, meta, guide = images or {}, [], "", "", ""
+    extra, meta, guide = "", "", ""
     if cover:
-        at = f"cover.{cover[0].rpartition('.')[2].lower() if '.' in cover[0] else 'jpg'}"
-        page = f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>封面</title><link rel="stylesheet" href="style.css"/></head><body class="cover-page">\n<div class="cover-image"><img src="{esc(at)}" alt="封面"/></div>\n</body></html>\n'
-        pages = [("cover.xhtml", "cover", "封面", None, page), *pages]
-        packed.append((f"OEBPS/{at}", cover[1]))
-        extra += f'<item id="cover-img" href="{esc(at)}" media-type="{_media(at)}" properties="cover-image"/>'
+        extra += f'<item id="cover-img" href="{esc(cover)}" media-type="{_media(cover)}" properties="cover-image"/>'
         meta, guide = '<meta name="cover" content="cover-img"/>', '<guide><reference type="cover" title="封面" href="cover.xhtml"/></guide>'
-    for k, (name, data) in enumerate(sorted(images.items())):
-        packed.append((f"OEBPS/img/{name}", data))
-        extra += f'<item id="img{k}" href="img/{esc(name)}" media-type="{_media(name)}"/>'
+    extra += "".join(f'<item id="img{k}" href="img/{esc(name)}" media-type="{_media(name)}"/>' for k, name in enumerate(images))
     manifest = "".join(f'<item id="p{k}" href="{n}" media-type="application/xhtml+xml"/>' for k, (n, *_) in enumerate(pages))
     spine = "".join(f'<itemref idref="p{k}"/>' for k in range(len(pages)))
     tree: list[tuple[int, tuple, list]] = []
@@ -233,28 +247,14 @@ def archive(pages: list[tuple[str, str, str, int | None, str]], title: str, auth
     entry = lambda p, inner="": f'<li><a href="{p[0]}">{esc(p[2])}</a>{inner}</li>'
     ncx = "".join(point(k, p, "".join(point(*c) for c in kids)) for k, p, kids in tree)
     nav = "".join(entry(p, f"<ol>{''.join(entry(c) for _, c in kids)}</ol>" if kids else "") for _, p, kids in tree)
-    xml = '<?xml version="1.0" encoding="utf-8"?>\n'
-    files = [
-        ("META-INF/container.xml", xml + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'),
-        ("OEBPS/style.css", css),
-        *((f"OEBPS/{n}", body) for n, _, _, _, body in pages),
-        *packed,
-        (
-            "OEBPS/content.opf",
-            xml
-            + f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{esc(book_id)}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:creator>{esc(author)}</dc:creator><dc:language>zh</dc:language><meta property="dcterms:modified">{esc(modified)}</meta>{meta}</metadata>'
-            + f'<manifest><item id="css" href="style.css" media-type="text/css"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{extra}{manifest}</manifest><spine toc="ncx">{spine}</spine>{guide}</package>',
-        ),
-        ("OEBPS/toc.ncx", xml + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{esc(book_id)}"/></head><docTitle><text>{esc(title)}</text></docTitle><navMap>{ncx}</navMap></ncx>'),
-        ("OEBPS/nav.xhtml", xml + f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{esc(title)}</title></head><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>'),
-    ]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        stamp = (1980, 1, 1, 0, 0, 0)
-        z.writestr(zipfile.ZipInfo("mimetype", stamp), "application/epub+zip", zipfile.ZIP_STORED)
-        for name, data in files:
-            z.writestr(zipfile.ZipInfo(name, stamp), data, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
+    opf = (
+        _XML
+        + f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{esc(book_id)}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:creator>{esc(author)}</dc:creator><dc:language>zh</dc:language><meta property="dcterms:modified">{esc(modified)}</meta>{meta}</metadata>'
+        + f'<manifest><item id="css" href="style.css" media-type="text/css"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{extra}{manifest}</manifest><spine toc="ncx">{spine}</spine>{guide}</package>'
+    )
+    toc = _XML + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{esc(book_id)}"/></head><docTitle><text>{esc(title)}</text></docTitle><navMap>{ncx}</navMap></ncx>'
+    shown = _XML + f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{esc(title)}</title></head><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>'
+    return [("OEBPS/content.opf", opf), ("OEBPS/toc.ncx", toc), ("OEBPS/nav.xhtml", shown)]
 
 
 def known_images(images: DataFrame) -> DataFrame:
@@ -263,31 +263,68 @@ def known_images(images: DataFrame) -> DataFrame:
     return plain.groupBy("work_id", "img").agg(F.min_by("content", F.struct("priority", "content")).alias("content"))
 
 
-def books(pages: DataFrame, info: DataFrame, css: str, modified: str, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
-    """(work_id, file_name, content): an archive for each work; one work's pages and images are in memory at a time.
+def book_entries(pages: DataFrame, info: DataFrame, css: str, modified: str, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """(work_id, section, k, name, data, stored): the entries of a book for each work, in the order of section, k and name; see books.
 
-    images (work_id, img, content) holds each name of a work once; those that a page shows are packed. covers (work_id, img, content) has at most one row for a work.
+    Pages and images stay rows of their own. What is gathered by work are the names and titles of its pages, of which the package,
+    the contents and the navigation are one text each.
     """
-    rows = pages.withColumn("data", F.lit(None).cast("binary"))
+    work = pages.schema["work_id"].dataType.simpleString()
+    entry = lambda df, section, k, name, data, stored=False: df.select("work_id", F.lit(section).alias("section"), k.cast("long").alias("k"), name.alias("name"), data.cast("binary").alias("data"), F.lit(stored).alias("stored"))
+    zero, in_book = F.lit(0), lambda c: F.concat(F.lit("OEBPS/"), c)
+    works = pages.select("work_id").distinct()
+    out = entry(works, 0, zero, F.lit("mimetype"), F.lit(EPUB_TYPE), True).unionByName(entry(works, 1, zero, F.lit("META-INF/container.xml"), F.lit(CONTAINER))).unionByName(entry(works, 2, zero, F.lit("OEBPS/style.css"), F.lit(css)))
+    out = out.unionByName(entry(pages, 4, F.col("play_order"), in_book(F.col("page_name")), F.col("page_html")))
+    about = pages.select("work_id", "kind", "title", "vol_no", "play_order", "page_name")
     bare = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("title", "vol_no", "play_order")]
-    as_rows = lambda df, kind: df.select("work_id", F.lit(kind).alias("kind"), *bare, F.col("img").alias("page_name"), F.lit(None).cast("string").alias("page_html"), F.col("content").alias("data"))
+    named = lambda df, kind: df.select("work_id", F.lit(kind).alias("kind"), *bare, F.col("img").alias("page_name"))
     if images is not None:
-        used = pages.select("work_id", F.explode(F.array_distinct(F.regexp_extract_all("page_html", F.lit(r'<img src="img/([^"]+)"'), 1))).alias("_shown"))
+        used = pages.select("work_id", F.explode(F.array_distinct(F.regexp_extract_all("page_html", F.lit(r'<img src="img/([^"]+)"'), 1))).alias("_shown")).distinct()
         shown = images.withColumn("_shown", escape_html(F.col("img"))).join(used, ["work_id", "_shown"], "left_semi")
-        rows = rows.unionByName(as_rows(shown, "img"))
+        out = out.unionByName(entry(shown, 6, zero, in_book(F.concat(F.lit("img/"), "img")), F.col("content")))
+        about = about.unionByName(named(shown, "img"))
     if covers is not None:
-        rows = rows.unionByName(as_rows(covers.join(pages.select("work_id"), "work_id", "left_semi"), "cover"))
-    rows = rows.join(info.select("work_id", F.col("title").alias("book_title"), "author"), "work_id", "left")
+        own = covers.join(works, "work_id", "left_semi")
+        suffix = F.when(F.contains("img", F.lit(".")), F.lower(F.element_at(F.split("img", r"\."), -1))).otherwise(F.lit("jpg"))
+        out = out.unionByName(entry(own, 5, zero, in_book(F.concat(F.lit("cover."), suffix)), F.col("content")))
+        about = about.unionByName(named(own, "cover"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        files = {k: [(p.page_name, bytes(p.data)) for p in pdf[pdf.kind == k].itertuples()] for k in ("img", "cover")}
-        work, title = pdf.work_id.iloc[0], pdf.book_title.iloc[0]
+        files = {k: sorted(pdf[pdf.kind == k].page_name) for k in ("img", "cover")}
+        of, title = pdf.work_id.iloc[0], pdf.book_title.iloc[0]
         title = title if isinstance(title, str) else UNSET
         author = pdf.author.iloc[0] if isinstance(pdf.author.iloc[0], str) else UNSET
         pdf = pdf[~pdf.kind.isin(list(files))].sort_values("play_order")
-        made = archive(
-            [(p.page_name, p.kind, p.title, None if pd.isna(p.vol_no) else int(p.vol_no), p.page_html) for p in pdf.itertuples()], title, author, css, f"urn:quire:{work}", modified, dict(files["img"]), next(iter(files["cover"]), None)
-        )
-        return pd.DataFrame({"work_id": [work], "file_name": [f"{title}.epub"], "content": [made]})
+        shown = [(p.page_name, p.kind, p.title, None if pd.isna(p.vol_no) else int(p.vol_no)) for p in pdf.itertuples()]
+        rows, cover = [], None
+        if files["cover"]:
+            cover, page = cover_page(files["cover"][0])
+            shown.insert(0, ("cover.xhtml", "cover", "封面", None))
+            rows.append((3, 0, "OEBPS/cover.xhtml", page))
+        rows += [(7, k, name, text) for k, (name, text) in enumerate(package(shown, title, author, f"urn:quire:{of}", modified, files["img"], cover))]
+        return pd.DataFrame([(of, section, k, name, text.encode(), False) for section, k, name, text in rows], columns=["work_id", "section", "k", "name", "data", "stored"])
+
+    titled = about.join(info.select("work_id", F.col("title").alias("book_title"), "author"), "work_id", "left")
+    return out.unionByName(titled.groupBy("work_id").applyInPandas(build, f"work_id {work}, section int, k long, name string, data binary, stored boolean"))
+
+
+def book_parts(pages: DataFrame, info: DataFrame, css: str, modified: str, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """(work_id, file_name, part_no, offset, content): the bytes of a book for each work in parts, none larger than a page or an image; for ``sink.write_parts``."""
+    made = archive.parts(book_entries(pages, info, css, modified, images, covers))
+    title = F.concat(F.coalesce("title", F.lit(UNSET)), F.lit(".epub")).alias("file_name")
+    named = made.join(info.select("work_id", "title"), "work_id", "left")
+    return named.select("work_id", F.coalesce(title, F.lit(f"{UNSET}.epub")).alias("file_name"), "part_no", "offset", "content")
+
+
+def books(pages: DataFrame, info: DataFrame, css: str, modified: str, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """(work_id, file_name, content): the parts of each book put together, so a book must fit a cell; ``book_parts`` has no such bound.
+
+    images (work_id, img, content) holds each name of a work once; those that a page shows are packed. covers (work_id, img, content) has at most one row for a work.
+    """
+    made = book_parts(pages, info, css, modified, images, covers)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part_no")
+        return pd.DataFrame({"work_id": [pdf.work_id.iloc[0]], "file_name": [pdf.file_name.iloc[0]], "content": [b"".join(pdf.content)]})
 
-    return rows.groupBy("work_id").applyInPandas(build, f"work_id {pages.schema['work_id'].dataType.simpleString()}, file_name string, content binary")
+    return made.groupBy("work_id").applyInPandas(join, f"work_id {pages.schema['work_id'].dataType.simpleString()}, file_name string, content binary")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import first_difference, once, paragraphs
+from quire.operators.chunks import SIZE, chunked
 
 _NONE = "array<string>"
 
@@ -72,11 +73,11 @@ def _chapter_section(preview: int) -> Column:
 
 
 #: Sections in order, with the line above each.
-MODIFIED, RENAMED, MODIFIED_NAMED, EQUAL, ONLY_BASE, ONLY_CORRECTED = range(6)
+MODIFIED, RENAMED, MODIFIED_NAMED, EQUAL, ONLY_BASE, ONLY_CORRECTED, TOTALS = range(7)
 
 
-def directory_report(compared: DataFrame, preview: int = 3) -> DataFrame:
-    """(work_id, report): the sections of a comparison of two layers (rows of diff.compare), each work in one text.
+def report_parts(compared: DataFrame, preview: int = 3) -> DataFrame:
+    """(work_id, section, a, b, c, text): the parts of a comparison's report (rows of diff.compare), in the order of section, a, b and c.
 
     Chapters with differences (``preview`` of each kind in full), chapters that only changed their name, those without a number,
     those in one layer only, then the totals. Within a section numbers come in numeric order, names by code point.
@@ -89,14 +90,28 @@ def directory_report(compared: DataFrame, preview: int = 3) -> DataFrame:
     named = F.coalesce("base_name", "corrected_name")
     numbered = F.concat(F.when(prefixed, F.concat(F.lit("["), "chapter_key", F.lit("] "))).otherwise(F.lit("")), named)
     line = F.when(status == "modified", _chapter_section(preview)).when(status == "renamed_only", F.concat(F.lit("  "), numbered, F.lit("  ->  "), "corrected_name")).otherwise(F.concat(F.lit("  "), numbered))
-    rows = compared.select("work_id", "chapter_key", status, section.alias("section"), F.when(section.isNotNull(), line).alias("line"))
-    order = F.struct((~prefixed).alias("a"), F.when(prefixed, F.col("chapter_key").cast("decimal(38,0)")).alias("b"), F.col("chapter_key").alias("c"), F.col("line").alias("line"))
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, order))), lambda x: x["line"]).alias(f"s{s}") for s in (MODIFIED, RENAMED, MODIFIED_NAMED, ONLY_BASE, ONLY_CORRECTED)]
-    got = rows.groupBy("work_id").agg(*lists, F.count_if(status == "unchanged").alias("same"))
+    shown = compared.withColumn("section", section)
+    # lines of a section follow its head, which stands at a = 0
+    lines = shown.where("section is not null").select("work_id", "section", F.when(prefixed, F.lit(1)).otherwise(F.lit(2)).alias("a"), F.when(prefixed, F.col("chapter_key").cast("decimal(38,0)")).alias("b"), F.col("chapter_key").alias("c"), F.concat(line, F.lit("\n")).alias("text"))
+    counts = shown.groupBy("work_id").agg(*[F.count_if(F.col("section") == s).alias(f"n{s}") for s in (MODIFIED, RENAMED, MODIFIED_NAMED, ONLY_BASE, ONLY_CORRECTED)], F.count_if(status == "unchanged").alias("same"))
     # The sentences of the report.
     heads = {MODIFIED: ("", " 个配对文件发现内容差异："), RENAMED: ("", " 个文件仅改了文件名（内容一致）:"), MODIFIED_NAMED: ("", " 个无前缀文件发现差异:"), ONLY_BASE: ("仅标准化目录存在 ", " 个文件（未校正）:"), ONLY_CORRECTED: ("仅校正目录存在 ", " 个文件（新增）:")}
-    block = lambda s: F.when(F.size(f"s{s}") > 0, F.concat(_text("\n" + heads[s][0], F.size(f"s{s}"), heads[s][1] + "\n"), F.array_join(f"s{s}", "\n"), F.lit("\n"))).otherwise(F.lit(""))
-    size = lambda *s: sum((F.size(f"s{k}") for k in s[1:]), F.size(f"s{s[0]}"))
-    equal = F.when(size(MODIFIED, RENAMED, MODIFIED_NAMED) == 0, F.lit("\n所有配对文件内容完全一致，无差异。\n")).otherwise(F.lit(""))
-    last = _text("\n对比完成: ", size(MODIFIED, MODIFIED_NAMED), " 篇改动，", F.col("same") + size(RENAMED), " 篇未改（其中 ", size(RENAMED), " 篇仅改名），", size(ONLY_BASE), " 篇未校正，", size(ONLY_CORRECTED), " 篇新增\n")
-    return got.select("work_id", F.concat(block(MODIFIED), block(RENAMED), block(MODIFIED_NAMED), equal, block(ONLY_BASE), block(ONLY_CORRECTED), last).alias("report"))
+    n = lambda *s: sum((F.col(f"n{k}") for k in s[1:]), F.col(f"n{s[0]}"))
+    told = [F.struct(F.lit(s).alias("section"), F.when(n(s) > 0, _text("\n" + before, n(s), behind + "\n")).alias("text")) for s, (before, behind) in heads.items()]
+    equal = F.when(n(MODIFIED, RENAMED, MODIFIED_NAMED) == 0, F.lit("\n所有配对文件内容完全一致，无差异。\n"))
+    last = _text("\n对比完成: ", n(MODIFIED, MODIFIED_NAMED), " 篇改动，", F.col("same") + n(RENAMED), " 篇未改（其中 ", n(RENAMED), " 篇仅改名），", n(ONLY_BASE), " 篇未校正，", n(ONLY_CORRECTED), " 篇新增\n")
+    told += [F.struct(F.lit(EQUAL).alias("section"), equal.alias("text")), F.struct(F.lit(TOTALS).alias("section"), last.alias("text"))]
+    frame = counts.select("work_id", F.explode(F.array(*told)).alias("t")).where("t.text is not null")
+    return lines.unionByName(frame.select("work_id", "t.section", F.lit(0).alias("a"), F.lit(None).cast("decimal(38,0)").alias("b"), F.lit(None).cast("string").alias("c"), "t.text"))
+
+
+def directory_report(compared: DataFrame, preview: int = 3) -> DataFrame:
+    """(work_id, report): the report of each work in one cell; ``report_chunks`` has no such bound."""
+    order = F.struct("section", "a", "b", "c", "text")
+    rows = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"])
+    return report_parts(compared, preview).groupBy("work_id").agg(F.array_join(rows, "").alias("report"))
+
+
+def report_chunks(compared: DataFrame, preview: int = 3, size: int = SIZE) -> DataFrame:
+    """(work_id, chunk_no, offset, text): the same report as numbered chunks."""
+    return chunked(report_parts(compared, preview), ["section", "a", "b", "c"], size=size)

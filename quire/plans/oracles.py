@@ -274,3 +274,45 @@ f AS (SELECT e.work_id, e.chapter_key, row_number() OVER (PARTITION BY e.work_id
 ORACLE_SQL["stream_resume"] = f"WITH {_RESUMED} SELECT work_id, chapter_key, CAST(least(n + 1, 3) AS INTEGER) AS attempt, CASE WHEN n < 3 THEN 'fetch' ELSE 'given_up' END AS status FROM f WHERE n <= 3 UNION ALL SELECT work_id, chapter_key, 1, 'fetch' FROM k WHERE first_rank = 0"
 ORACLE_SQL["resume_states"] = f"WITH {_RESUMED}, c AS (SELECT work_id, chapter_key, count(*) AS n FROM f GROUP BY ALL) SELECT k.work_id, k.chapter_key, done_at IS NOT NULL AND coalesce(n, 0) < 3 AS done, CAST(least(coalesce(n, 0), 3) AS INTEGER) AS failures FROM k LEFT JOIN c ON k.work_id = c.work_id AND k.chapter_key = c.chapter_key"
 ORACLE_SQL["stream_listing"] = "SELECT source AS work_id, p // 30 AS page_no, CAST(p % 30 AS INTEGER) AS pos, CAST(doc_id AS VARCHAR) AS id, n_chars AS words FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents WHERE source IS NOT NULL)"
+
+
+def _chunked(before: str, parts: str, order: str, size: int) -> str:
+    """Chunks of parts (work_id, ..., text) in an order: those that begin in one stretch of ``size`` characters."""
+    return f"""WITH {before}parts AS ({parts}), placed AS (SELECT work_id, text, sum(length(text)) OVER (PARTITION BY work_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(text) AS began FROM parts WHERE text <> ''),
+g AS (SELECT work_id, began // {size} AS stretch, min(began) AS begins, string_agg(text, '' ORDER BY began) AS t FROM placed GROUP BY work_id, began // {size})
+SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY stretch) AS chunk_no, CAST(begins AS BIGINT) AS "offset", CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM g"""
+
+
+_MERGED = ORACLE_SQL["merged_text"]
+#: The inside of string_agg(... ORDER BY ...) in the merged text: one part for each chapter.
+_PART, _FROM = _MERGED[_MERGED.index("string_agg(") + len("string_agg(") : _MERGED.index(", '' ORDER BY ord")], _MERGED[_MERGED.index("\nFROM (") : _MERGED.rindex(" GROUP BY c.work_id")]
+ORACLE_SQL["merged_chunks"] = _chunked("", f"SELECT c.work_id, ord, c.chapter_key, {_PART} AS text {_FROM}", "ord, chapter_key", 5000)
+_LINEAGE = ORACLE_SQL["assemble_lineage_text"]
+_LINES = _LINEAGE[_LINEAGE.index("FROM (SELECT") + len("FROM (") : _LINEAGE.rindex(") GROUP BY work_id")]
+ORACLE_SQL["lineage_chunks"] = _chunked("", f"SELECT work_id, chapter_key, CASE WHEN row_number() OVER (PARTITION BY work_id ORDER BY chapter_key) > 1 THEN {LF} ELSE '' END || line AS text FROM ({_LINES})", "chapter_key", 100)
+_HEADS = " ".join(f"WHEN {k} THEN {LF} || '{a}' || count(*) || '{b}' || {LF}" for k, (a, b) in {0: ("", " 个配对文件发现内容差异："), 1: ("", " 个文件仅改了文件名（内容一致）:"), 4: ("仅标准化目录存在 ", " 个文件（未校正）:"), 5: ("仅校正目录存在 ", " 个文件（新增）:")}.items())
+ORACLE_SQL["report_chunks"] = _chunked(
+    DIRECTORY_REPORT[len("WITH ") : DIRECTORY_REPORT.index("r AS (SELECT work_id")],
+    f"""SELECT work_id, section, 1 AS a, CAST(chapter_key AS BIGINT) AS b, line || {LF} AS text FROM l WHERE section <> 6
+UNION ALL SELECT work_id, section, 0, 0, CASE section {_HEADS} END FROM l WHERE section <> 6 GROUP BY work_id, section
+UNION ALL SELECT work_id, 3, 0, 0, {LF} || '所有配对文件内容完全一致，无差异。' || {LF} FROM l GROUP BY work_id HAVING count(*) FILTER (section < 2) = 0
+UNION ALL SELECT work_id, 6, 0, 0, {LF} || '对比完成: ' || count(*) FILTER (section = 0) || ' 篇改动，' || count(*) FILTER (section IN (1, 6)) || ' 篇未改（其中 ' || count(*) FILTER (section = 1) || ' 篇仅改名），' || count(*) FILTER (section = 4) || ' 篇未校正，' || count(*) FILTER (section = 5) || ' 篇新增' || {LF} FROM l GROUP BY work_id""",
+    "section, a, b",
+    2000,
+)
+#: Pages of a book with what navigation needs: whether a chapter stands inside a volume's entry, and whether the next page does.
+_NAVIGATION = f"""{PAGE_ITEMS}, named AS (SELECT s.work_id, s.kind, s.play_order, s.vol_no, coalesce(b.title, s.title) AS title, CASE s.kind WHEN 'vol' THEN 'vol_' ELSE 'chap_' END || lpad(CAST(s.play_order AS VARCHAR), 5, '0') || '.xhtml' AS page_name FROM spine s LEFT JOIN bodies b ON s.work_id = b.work_id AND s.chapter_key = b.chapter_key),
+led AS (SELECT *, last_value(CASE WHEN kind = 'vol' THEN vol_no END IGNORE NULLS) OVER w AS led_no, max(CASE WHEN kind = 'vol' THEN play_order END) OVER w AS led_at FROM named WINDOW w AS (PARTITION BY work_id ORDER BY play_order)),
+outs AS (SELECT *, max(CASE WHEN kind = 'chap' AND vol_no IS DISTINCT FROM led_no THEN play_order END) OVER (PARTITION BY work_id ORDER BY play_order) AS out_at FROM led),
+nests AS (SELECT *, kind = 'chap' AND led_at IS NOT NULL AND vol_no IS NOT DISTINCT FROM led_no AND coalesce(out_at, 0) < led_at AS inside, {ESCAPE.format('title')} AS shown FROM outs),
+points AS (SELECT *, coalesce(lead(inside) OVER (PARTITION BY work_id ORDER BY play_order), false) AS more FROM nests)"""
+_HEAD = "'<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10)"
+_PACKAGE = {
+    "OEBPS/content.opf": """'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:quire:' || work_id || '</dc:identifier><dc:title>T</dc:title><dc:creator>A</dc:creator><dc:language>zh</dc:language><meta property="dcterms:modified">2020-01-01T00:00:00Z</meta></metadata><manifest><item id="css" href="style.css" media-type="text/css"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' || string_agg('<item id="p' || (play_order - 1) || '" href="' || page_name || '" media-type="application/xhtml+xml"/>', '' ORDER BY play_order) || '</manifest><spine toc="ncx">' || string_agg('<itemref idref="p' || (play_order - 1) || '"/>', '' ORDER BY play_order) || '</spine></package>'""",
+    "OEBPS/toc.ncx": """'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:quire:' || work_id || '"/></head><docTitle><text>T</text></docTitle><navMap>' || string_agg('<navPoint id="n' || play_order || '" playOrder="' || play_order || '"><navLabel><text>' || shown || '</text></navLabel><content src="' || page_name || '"/>' || CASE WHEN kind = 'chap' THEN '</navPoint>' ELSE '' END || CASE WHEN (kind = 'vol' OR inside) AND NOT more THEN '</navPoint>' ELSE '' END, '' ORDER BY play_order) || '</navMap></ncx>'""",
+    "OEBPS/nav.xhtml": """'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>T</title></head><body><nav epub:type="toc"><ol>' || string_agg('<li><a href="' || page_name || '">' || shown || '</a>' || CASE WHEN kind = 'chap' THEN '</li>' WHEN more THEN '<ol>' ELSE '</li>' END || CASE WHEN inside AND NOT more THEN '</ol></li>' ELSE '' END, '' ORDER BY play_order) || '</ol></nav></body></html>'""",
+}
+_CONTAINER = "'<container version=\"1.0\" xmlns=\"urn:oasis:names:tc:opendocument:xmlns:container\"><rootfiles><rootfile full-path=\"OEBPS/content.opf\" media-type=\"application/oebps-package+xml\"/></rootfiles></container>'"
+ORACLE_SQL["epub_entries"] = f"""{_NAVIGATION}, texts AS (SELECT work_id, 'OEBPS/' || page_name AS entry, page_html AS t FROM html UNION ALL SELECT DISTINCT work_id, e, t FROM html, (VALUES ('mimetype', 'application/epub+zip'), ('OEBPS/style.css', 'p {{}}'), ('META-INF/container.xml', {_HEAD} || {_CONTAINER})) x(e, t)
+{' '.join(f"UNION ALL SELECT work_id, '{name}', {_HEAD} || {text} FROM points GROUP BY work_id" for name, text in _PACKAGE.items())})
+SELECT work_id, entry, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, md5(t) AS entry_md5 FROM texts"""

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quire import api
 from quire.functions import numerals as N
 from quire.functions import text as X
-from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
+from quire.operators import diff, index, markup, overlay, publish, reports, segment, stats, volumes
 from quire.plans import views as V
 from quire.sources import config, files, landed, paging, sink
 from quire.streaming import resume, upserts
@@ -351,6 +351,31 @@ def merged_text(spark, d):
     return done.select("work_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def _merged(spark, d):
+    chapters = V.numbered(spark, d).join(V.documents(spark, d).select(V.work().alias("work_id"), X.pad3(F.col("doc_id") % V.WORK_SIZE).alias("chapter_key"), "text"), overlay.KEY)
+    return chapters, volumes.headings(V.numbered(spark, d), _volumes(spark, d))
+
+
+def _chunk_digest(chunks):
+    return chunks.select("work_id", "chunk_no", "offset", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def merged_chunks(spark, d):
+    """The merged text of each work in chunks of about 5,000 characters."""
+    return _chunk_digest(publish.merge_chunks(*_merged(spark, d), indent=True, size=5000))
+
+
+@query
+def report_chunks(spark, d):
+    return _chunk_digest(reports.report_chunks(diff.compare(V.layer(spark, d, "base"), V.layer(spark, d, "corrected")), size=2000))
+
+
+@query
+def lineage_chunks(spark, d):
+    return _chunk_digest(overlay.lineage_chunks(overlay.assemble(V.layer(spark, d, "base"), V.layer(spark, d, "extra")), size=100))
+
+
 @query
 def epub_pages(spark, d):
     bodies = publish.resolved_titles(V.documents(spark, d).select(V.work().alias("work_id"), X.pad3(F.col("doc_id") % V.WORK_SIZE).alias("chapter_key"), F.col("doc_id").cast("string").alias("file_title"), "text"))
@@ -371,7 +396,7 @@ def epub_archives(spark, d):
 
 @query
 def epub_entries(spark, d):
-    """What the archives hold, read back from their bytes: the pages, the style sheet and the type."""
+    """What the archives hold, read back from their bytes: pages, style sheet, type, container, package, contents and navigation."""
     bodies = publish.resolved_titles(V.documents(spark, d).select(V.work().alias("work_id"), X.pad3(F.col("doc_id") % V.WORK_SIZE).alias("chapter_key"), F.col("doc_id").cast("string").alias("file_title"), "text"))
     items = volumes.spine(V.numbered(spark, d), _volumes(spark, d)).join(bodies.select("work_id", "chapter_key", "display_title", "fragments"), overlay.KEY, "left")
     pages = publish.page_rows(items.withColumn("title", F.coalesce("display_title", "title")))
@@ -389,7 +414,7 @@ def epub_entries(spark, d):
             rows = []
             for work, content in zip(f.work_id, f.content):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(work, n, len(z.read(n)), hashlib.md5(z.read(n)).hexdigest()) for n in z.namelist() if n in ("mimetype", "OEBPS/style.css") or n.startswith(("OEBPS/vol_", "OEBPS/chap_"))]
+                    rows += [(work, n, len(z.read(n)), hashlib.md5(z.read(n)).hexdigest()) for n in z.namelist()]
             yield pd.DataFrame(rows, columns=["work_id", "entry", "n_bytes", "entry_md5"])
 
     return made.select("work_id", "content").mapInPandas(entries, "work_id long, entry string, n_bytes long, entry_md5 string")

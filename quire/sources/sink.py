@@ -1,7 +1,7 @@
 """A sink that writes each row as a file of exactly the name it carries, to any file system that Arrow knows.
 
 Spark's writers choose their own file names. This one is a Python data source for tables
-(file_name string, content binary): tasks write into a staging folder below the target,
+(file_name string, part_no long, content binary): tasks write into a staging folder below the target,
 which must be shared by all executors, and the driver moves the files when all tasks
 have succeeded. Before it moves the first it writes the list of moves into the staging folder, so a
 driver that dies between two moves leaves what ``finish`` completes; a job that fails leaves the target as it was.
@@ -37,14 +37,22 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         store, base = located(self.folder)
         store.create_dir(f"{base}/{self.stage}", recursive=True)
-        names = []
+        names, last, out = [], None, None
         for row in iterator:
+            if out is not None and row.part_no is not None and row.file_name == last[0] and row.part_no > last[1]:
+                out.write(bytes(row.content or b""))
+                last = (row.file_name, row.part_no)
+                continue
             if os.path.basename(row.file_name) != row.file_name or row.file_name in ("", ".", ".."):
                 raise ValueError(f"not a plain file name: {row.file_name!r}")
             staged = uuid.uuid4().hex  # a task that runs twice never meets its own files
-            with store.open_output_stream(f"{base}/{self.stage}/{staged}") as f:
-                f.write(bytes(row.content or b""))
+            if out is not None:
+                out.close()
+            out, last = store.open_output_stream(f"{base}/{self.stage}/{staged}"), (row.file_name, row.part_no)
+            out.write(bytes(row.content or b""))
             names.append((staged, row.file_name))
+        if out is not None:
+            out.close()
         return _Written(names)
 
     def commit(self, messages) -> None:
@@ -84,14 +92,14 @@ def finish(folder: str) -> None:
 
 
 class NamedFiles(DataSource):
-    """Format quire_files; option path is the target folder."""
+    """Format quire_files; option path is the target folder. Neighbouring rows of one name with rising part_no are one file."""
 
     @classmethod
     def name(cls) -> str:
         return "quire_files"
 
     def schema(self) -> str:
-        return "file_name string, content binary"
+        return "file_name string, part_no long, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
@@ -99,7 +107,20 @@ class NamedFiles(DataSource):
 
 def write_files(files: DataFrame, folder: str) -> None:
     """Write files (file_name, content string or binary) into a shared folder, by path or URI; equal names: one of them stays."""
+    _save(files.selectExpr("file_name", "cast(null as long) as part_no", "cast(content as binary) as content"), folder)
+
+
+def write_parts(parts: DataFrame, folder: str, by: str = "work_id") -> None:
+    """Write files of which parts (by, file_name, part_no, content) are the bytes in order, one file for each ``by``; equal names: one of them stays.
+
+    A task holds one part at a time, of however large a file.
+    """
+    ordered = parts.repartition("file_name").sortWithinPartitions("file_name", by, "part_no")
+    _save(ordered.selectExpr("file_name", "cast(part_no as long) as part_no", "cast(content as binary) as content"), folder)
+
+
+def _save(files: DataFrame, folder: str) -> None:
     files.sparkSession.dataSource.register(NamedFiles)
     store, base = located(folder)
     store.create_dir(base, recursive=True)
-    files.selectExpr("file_name", "cast(content as binary) as content").write.format("quire_files").option("path", folder).mode("append").save()
+    files.write.format("quire_files").option("path", folder).mode("append").save()
