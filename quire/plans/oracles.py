@@ -316,3 +316,20 @@ _CONTAINER = "'<container version=\"1.0\" xmlns=\"urn:oasis:names:tc:opendocumen
 ORACLE_SQL["epub_entries"] = f"""{_NAVIGATION}, texts AS (SELECT work_id, 'OEBPS/' || page_name AS entry, page_html AS t FROM html UNION ALL SELECT DISTINCT work_id, e, t FROM html, (VALUES ('mimetype', 'application/epub+zip'), ('OEBPS/style.css', 'p {{}}'), ('META-INF/container.xml', {_HEAD} || {_CONTAINER})) x(e, t)
 {' '.join(f"UNION ALL SELECT work_id, '{name}', {_HEAD} || {text} FROM points GROUP BY work_id" for name, text in _PACKAGE.items())})
 SELECT work_id, entry, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, md5(t) AS entry_md5 FROM texts"""
+_SIZED = "CAST(c_custkey % 7 AS VARCHAR) || 'em'"
+ORACLE_SQL["preset_rows"] = f"""SELECT c_custkey, 'chapter' AS section, 'big' AS preset, CASE WHEN c_custkey % 4 = 1 THEN '1.5em' ELSE {_SIZED} END AS size, CASE WHEN c_custkey % 4 = 1 THEN 'left' ELSE 'center' END AS align, c_custkey % 4 <> 1 AND c_custkey % 2 = 0 AS flag, CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment ELSE '' END AS "desc" FROM customer WHERE c_custkey % 4 > 0
+UNION ALL SELECT c_custkey, 'volume', 'plain', '2.5em', NULL, false, '' FROM customer WHERE c_custkey % 4 > 1"""
+_HAS = "(c_custkey % 3 = 1 AND c_custkey % 4 > 0)"
+ORACLE_SQL["preset_choices"] = f"""SELECT c_custkey, [NULL, 'big', 'odd'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS preset, c_custkey % 3 = 0 OR {_HAS} AS known, CASE WHEN c_custkey % 5 = 0 THEN '9em' WHEN {_HAS} AND c_custkey % 4 > 1 THEN {_SIZED} ELSE '1.5em' END AS size, CASE WHEN c_custkey % 5 = 0 THEN 'red' ELSE '' END AS color,
+CASE WHEN {_HAS} AND c_custkey % 4 = 1 THEN 'left' ELSE 'center' END AS align, {_HAS} AND c_custkey % 4 > 1 AND c_custkey % 2 = 0 AS split FROM customer"""
+ORACLE_SQL["changed_chapters"] = "SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS chapter_key, CASE WHEN doc_id % 10 = 9 THEN 'new' ELSE 'changed' END AS change, CAST(length(text) + 1 AS BIGINT) AS n_chars, md5(text || '!') AS text_md5 FROM documents WHERE text IS NOT NULL AND doc_id % 10 IN (3, 9)"
+ORACLE_SQL["prefix_conflict_files"] = f"SELECT work_id, chapter_key, string_agg(file_name, '|' ORDER BY file_name) AS file_names FROM ({conflicting_sql(3)}) GROUP BY work_id, chapter_key HAVING count(*) > 1"
+ORACLE_SQL["records_files"] = "SELECT lpad(CAST(turn AS VARCHAR), 3, '0') AS chapter_num, conv_id || '-' || role AS novel_id FROM conversations WHERE turn % 5 <> 4 AND turn % 7 <> 6"
+ORACLE_SQL["catalog_files"] = "SELECT CAST(conv_id AS VARCHAR) AS series_id, arg_max('t' || turn || '-' || role, lpad(CAST(turn AS VARCHAR), 9, '0') || role) AS title FROM conversations GROUP BY conv_id"
+ORACLE_SQL["word_count_totals"] = "SELECT l_orderkey, CAST(coalesce(sum(CASE WHEN l_linenumber % 3 = 1 THEN trunc(CAST(l_quantity AS DOUBLE)) END), 0) AS BIGINT) AS words FROM lineitem GROUP BY l_orderkey"
+_SHOWN = "'<div class=\"illustration\"><img src=\"img/{}\" alt=\"插图\"/>' || {} || '</div>'"
+_PARA = "list_transform(p, lambda x: '<p>' || " + ESCAPE.format("x") + " || '</p>')"
+_MARKS = f"replace(text, ', ', '【插图：gone.png】')"
+ORACLE_SQL["illustrated_chapters"] = f"""WITH b AS (SELECT doc_id, {paragraphs_sql(_MARKS)} AS p FROM documents), f AS (SELECT doc_id, list_concat(list_concat([{_SHOWN.format('p1.png', "''")}], {_PARA}),
+list_concat([CASE WHEN doc_id % 2 = 0 THEN '<p>【插图: p2.png】</p>' ELSE {_SHOWN.format('p2.png', "''")} END], CASE WHEN doc_id % 3 = 0 THEN [{_SHOWN.format('n1.gif', "'<div class=\"illustration-desc\">a&lt;b<br/>' || doc_id || '</div>'")}, {_SHOWN.format('n2.gif', "''")}] ELSE [] END)) AS x FROM b)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_fragments, md5(array_to_string(x, {LF})) AS fragments_md5 FROM f"""

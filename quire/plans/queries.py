@@ -13,7 +13,7 @@ from quire.functions import numerals as N
 from quire.functions import text as X
 from quire.operators import diff, index, markup, overlay, publish, reports, segment, stats, volumes
 from quire.plans import views as V
-from quire.sources import config, files, landed, paging, sink
+from quire.sources import changes, config, files, landed, paging, sink
 from quire.streaming import resume, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,6 +598,89 @@ def chapter_files_written(spark, d):
     return segment.chapter_files(segs).select("work_id", "seq", "file_name", "title", F.md5("body").alias("body_md5"))
 
 
+def _styles(spark, d):
+    """(c_custkey, json): a style file for each customer: two sections, a flat object, an odd preset, or unreadable text."""
+    size = F.concat((F.col("c_custkey") % 7).cast("string"), F.lit("em"))
+    two = F.to_json(F.struct(F.struct(F.struct(size.alias("size"), (F.col("c_custkey") % 2 == 0).alias("split")).alias("big"), F.struct(F.lit("right").alias("align")).alias("odd")).alias("chapter"), F.struct(F.struct(F.lit(False).alias("vol_split")).alias("plain")).alias("volume")))
+    flat = F.to_json(F.struct(F.struct(F.lit("left").alias("align"), F.col("c_mktsegment").alias("desc")).alias("big"), F.lit(1).alias("odd")))
+    kind = F.col("c_custkey") % 4
+    return V.table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(kind == 0, F.lit("no json")).when(kind == 1, flat).otherwise(two).alias("json"))
+
+
+@query
+def preset_rows(spark, d):
+    """The presets of every customer's style file, chapters' and volumes'."""
+    chapters = config.preset_rows(_styles(spark, d), "c_custkey", "chapter", config.CHAPTER_STYLE).select("c_custkey", F.lit("chapter").alias("section"), "preset", "size", "align", F.col("split").alias("flag"), "desc")
+    return chapters.unionByName(config.preset_rows(_styles(spark, d), "c_custkey", "volume", config.VOLUME_STYLE).select("c_custkey", F.lit("volume").alias("section"), "preset", F.col("vol_size").alias("size"), F.lit(None).cast("string").alias("align"), F.col("vol_split").alias("flag"), "desc"))
+
+
+@query
+def preset_choices(spark, d):
+    """The preset that each customer names, with a colour given for some, over its own style file."""
+    styles = _styles(spark, d)
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("string")).when(F.col("c_custkey") % 3 == 1, F.lit("big")).otherwise(F.lit("odd"))
+    given = F.when(F.col("c_custkey") % 5 == 0, F.create_map(F.lit("color"), F.lit("red"), F.lit("size"), F.lit("9em")))
+    presets = config.preset_rows(styles, "c_custkey", "chapter", config.CHAPTER_STYLE)
+    return config.resolved_styles(styles.select("c_custkey", name.alias("preset"), given.alias("given")), presets, "c_custkey", config.CHAPTER_STYLE).select("c_custkey", "preset", "known", "size", "color", "align", "split")
+
+
+@query
+def changed_chapters(spark, d):
+    """What a second scan of a folder of chapters reads: every document was a file, then some were written anew, some longer, and new ones came."""
+    folder = upserts.scratch_folder(spark)
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" c.txt"))
+    docs = V.documents(spark, d).where("text is not null")
+    sink.write_files(docs.where("doc_id % 10 <> 9").select(name.alias("file_name"), F.col("text").alias("content")), f"{folder}/chapters")
+    scans = changes.Scans(spark, f"{folder}/chapters", f"{folder}/state")
+    scans.commit(scans.changes()[0])
+    sink.write_files(docs.where("doc_id % 10 in (3, 9)").select(name.alias("file_name"), F.concat("text", F.lit("!")).alias("content")), f"{folder}/chapters")
+    found = changes.changed_chapters(scans.changes()[1], "w")
+    return found.select("chapter_key", "change", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def prefix_conflict_files(spark, d):
+    """Every number that several files of a folder claim, with their names."""
+    return files.prefix_conflicts(V.conflicting(spark, d, 3).withColumn("layer_rank", F.lit(0))).select("work_id", "chapter_key", F.array_join("file_names", "|").alias("file_names"))
+
+
+@query
+def records_files(spark, d):
+    """Records of every turn written as CSV files and read back: rows without a number or with more than two columns do not count."""
+    folder = upserts.scratch_folder(spark)
+    number = F.when(F.col("turn") % 5 == 4, F.lit("x")).otherwise(F.col("turn").cast("string"))
+    line = F.concat(number, F.lit(","), F.col("conv_id").cast("string"), F.lit("-"), F.col("role"), F.when(F.col("turn") % 7 == 6, F.lit(",more")).otherwise(F.lit("")))
+    V.messages(spark, d).select(line.alias("value")).write.text(f"{folder}/records")
+    return index.record_rows(files.read_records(spark, f"{folder}/records"))
+
+
+@query
+def catalog_files(spark, d):
+    """The catalog of conversations written as CSV, one file in the order of turns, and read back: the last title of each counts."""
+    folder = upserts.scratch_folder(spark)
+    rows = V.messages(spark, d).select("conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit(","), F.lit("t"), F.col("turn").cast("string"), F.lit("-"), F.col("role")).alias("value"))
+    rows.repartitionByRange(1, "turn", "value").sortWithinPartitions("turn", "value").select("value").write.text(f"{folder}/catalog")
+    return files.read_catalog(spark, f"{folder}/catalog")
+
+
+@query
+def word_count_totals(spark, d):
+    """Whole parts of the numbers in a field that also holds text and nothing."""
+    value = F.when(F.col("l_linenumber") % 3 == 0, F.lit("many")).when(F.col("l_linenumber") % 3 == 1, F.col("l_quantity").cast("string"))
+    return V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(stats.numeric_total(value).alias("words"))
+
+
+@query
+def illustrated_chapters(spark, d):
+    """The fragments of chapters with markers in their text and illustrations noted for their end."""
+    text = F.concat(F.lit("【插图: p1.png】"), F.replace("text", F.lit(", "), F.lit("【插图：gone.png】")), F.lit("\n【插图: p2.png】"))
+    known = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("p1.png"))).otherwise(F.array(F.lit("p1.png"), F.lit("p2.png")))
+    bodies = publish.resolved_titles(V.documents(spark, d).select("doc_id", F.lit("T").alias("file_title"), text.alias("text"), known.alias("known")), F.col("known"))
+    notes = V.documents(spark, d).where("doc_id % 3 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("pos")).select("doc_id", "pos", F.concat(F.lit("n"), F.col("pos").cast("string"), F.lit(".gif")).alias("img"), F.when(F.col("pos") == 1, F.array(F.lit("a<b"), F.col("doc_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias("desc"))
+    done = markup.with_illustrations(bodies.select("doc_id", "fragments"), notes, ["doc_id"])
+    return done.select("doc_id", F.size("fragments").cast("long").alias("n_fragments"), F.md5(F.array_join("fragments", "\n")).alias("fragments_md5"))
+
+
 @query
 def preset_resolution(spark, d):
     presets = config.parse_styles('{"chapter": {"big": {"size": "3em"}, "bad": {"align": "right"}}, "volume": {"plain": {"vol_split": false}}}')
