@@ -106,7 +106,7 @@ CASES = {
     ISC: "ISC",
     ZLIB: "Zlib",
     "# SPDX-License-Identifier: MIT OR Apache-2.0\nimport os": "MIT,Apache-2.0",
-    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */\nint x;": "GPL-2.0-only,Linux-syscall-note,BSD-3-Clause",
+    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */\nint x;": "GPL-2.0-only WITH Linux-syscall-note,BSD-3-Clause",
     "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0",
     "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
     "-- SPDX-License-Identifier: ISC": "ISC",
@@ -125,28 +125,54 @@ CASES = {
     "To the extent possible, this is dedicated to the public domain.": "Public-Domain",
     "Released under CC0.": "CC0-1.0",
     "Copyright 2020 Someone. All rights reserved.": "All-Rights-Reserved",
+    "This is not licensed under the MIT license.": "",
+    "This software is not covered by the GPL.": "",
+    "The code is no longer distributed under the Apache License 2.0.": "",
+    "This file isn't released under the BSD license, but is licensed under the ISC license.": "ISC",
+    "It is not under the MIT license but under the Apache License, Version 2.0.": "Apache-2.0",
+    "The MIT license does not apply to the logo. Licensed under the zlib license.": "Zlib",
+    "No license is granted. The GPL is mentioned here, and warranty is not given.": "GPL",
+    "MIT/Apache-2.0 dual license": "Apache-2.0,MIT",
+    "License: Apache-2.0 / MIT": "Apache-2.0,MIT",
+    "LGPL-3.0-or-later licensed": "LGPL-3.0-or-later",
+    "GPL-2.0-only license text": "GPL-2.0",
+    "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0 WITH Linux-syscall-note",
+    "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR MIT": "Apache-2.0 WITH LLVM-exception,MIT",
+    "Licensed under the Server Side Public License, v 1 (SSPL).": "SSPL-1.0",
+    "Use of this software is governed by the Business Source License included in the file.": "BUSL-1.1",
+    "Licensed under the Elastic License 2.0; you may not use this file except in compliance with it.": "Elastic-2.0",
+    "Distributed under the Python Software Foundation License.": "PSF-2.0",
+    "Microsoft Public License (MS-PL)": "MS-PL",
+    "Released under the Microsoft Reciprocal License.": "MS-RL",
+    "The contents of this file are subject to the Common Development and Distribution License (CDDL) version 1.1.": "CDDL-1.1",
+    "Licensed under CDDL-1.0.": "CDDL-1.0",
+    "Licensed under the EUPL, Version 1.2 or later.": "EUPL-1.2",
+    "European Union Public Licence v. 1.1": "EUPL-1.1",
     "Copyright 2020 Someone. All rights reserved. Licensed under the MIT License.": "MIT",
 }
 
 
 def plain_sequence(ids):
     """Licences of an identifier sequence by walking it, without the rules' patterns: names and full texts only."""
-    names = {"mit_ref": "MIT", "mit_grant": "MIT", "isc_grant": "ISC", "isc_ref": "ISC", "zlib_grant": "Zlib", "unlicense": "Unlicense", "apache2_ref": "Apache-2.0", "mpl2_ref": "MPL-2.0", "bsd_ref": "BSD", "bsd3_ref": "BSD-3-Clause", "cc0": "CC0-1.0"}
+    names = {"mit_ref": "MIT", "mit_grant": "MIT", "isc_grant": "ISC", "isc_ref": "ISC", "zlib_grant": "Zlib", "zlib_ref": "Zlib", "unlicense": "Unlicense", "apache2_ref": "Apache-2.0", "mpl2_ref": "MPL-2.0", "bsd_ref": "BSD", "sspl_ref": "SSPL-1.0", "busl_ref": "BUSL-1.1", "elastic2_ref": "Elastic-2.0", "psf_ref": "PSF-2.0", "mspl_ref": "MS-PL", "msrl_ref": "MS-RL", "cddl11_ref": "CDDL-1.1", "cddl1_ref": "CDDL-1.0", "cddl_ref": "CDDL", "eupl12_ref": "EUPL-1.2", "eupl11_ref": "EUPL-1.1", "eupl_ref": "EUPL", "bsd3_ref": "BSD-3-Clause", "cc0": "CC0-1.0"}
     out = {names[i] for i in ids if i in names}
     for family in ("agpl", "lgpl", "gpl"):
         for i in ids:
             if i.startswith(family) and i not in ("gpl_hope", "gpl_see", "gpl_received"):
                 version, _, later = i.removeprefix(family).partition("_")
                 out.add("-".join(x for x in (family.upper(), version, "or-later" if later else "") if x))
-    if "bsd_intro" in ids:
-        out.add("BSD-4-Clause" if "bsd_advert" in ids else "BSD-3-Clause" if "bsd_endorse" in ids else "BSD-2-Clause")
+    # each text of the BSD kind goes from its first sentence to that of the next
+    starts = [k for k, i in enumerate(ids) if i == "bsd_intro"]
+    for k, end in zip(starts, [*starts[1:], len(ids)]):
+        own = ids[k:end]
+        out.add("BSD-4-Clause" if "bsd_advert" in own else "BSD-3-Clause" if "bsd_endorse" in own else "BSD-2-Clause")
     if "public_domain" in ids and not out & {"Unlicense", "CC0-1.0"}:
         out.add("Public-Domain")
     for i in ids:
         if i.startswith("cc:"):
             out.add(i.replace(":", "-").upper())
         if i.startswith("spdx:"):
-            out.add({k.lower(): k for k in licenses.SPDX}.get(i[5:], "GPL-2.0-or-later" if i == "spdx:gpl-2.0+" else i[5:]))
+            out.add(" WITH ".join({k.lower(): k for k in licenses.SPDX}.get(x, "GPL-2.0-or-later" if x == "gpl-2.0+" else x) for x in i[5:].split("~")))
     return out or ({"All-Rights-Reserved"} if "rights" in ids else set())
 
 
@@ -170,6 +196,12 @@ def test_rules(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_expressions_stay_as_written(spark):
+    texts = ["/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */\nint x;", "# spdx-license-identifier: MIT\n# SPDX-License-Identifier: Apache-2.0 AND  ISC -->\n", "none", None]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.expressions for r in got] == ["(GPL-2.0-only WITH Linux-syscall-note) OR MIT", "MIT;Apache-2.0 AND  ISC", "", ""]
+
+
 def test_same_as_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     pa = pytest.importorskip("pyarrow")
