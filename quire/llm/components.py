@@ -25,6 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node that has a lesser one has just that, and it has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("root").alias("root"))
+    return held.where("below > 1 or below = 1 and root = 1").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a long, b long); root is the least node reachable.
 
@@ -32,10 +39,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     are not in the result. An empty table gives an empty result.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        seen = state
+    while not _settled(edges):
         edges = cut(_small_star(_large_star(edges)))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

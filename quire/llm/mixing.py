@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.common import cut, word_count
+from quire.operators.running import running
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -37,6 +38,8 @@ SEED = 42
 CLASSES = (1024, 128, 1)
 #: Tables of one row for each source are broadcast up to this many rows (under 10 MB); beyond it they are shuffled.
 BROADCAST_SOURCES = 50_000
+#: Equal rows that are laid out at once.
+_ROWS = 4096
 _UNIT = "struct<doc_id:long,size:long,mass:long>"
 
 
@@ -44,26 +47,22 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
     """(source, n, source_size, target) of sources (source, n, source_size), one row for each source, null among them.
 
     Sources are numbered by code point, null last; weights repeat along them. The common level t with
-    target = min(cap * source_size, weight * t) is found by sums over all sources, so no list of sources
-    is collected and none is numbered in one task.
+    target = min(cap * source_size, weight * t) comes from one pass of running sums over the sources, of which no
+    list is collected.
     """
-    ranged = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    before, shift = 0, {}
-    for part in sorted(sizes):
-        shift[part] = before
-        before += sizes[part]
-    offset = F.coalesce(*[F.when(F.col("part") == p, F.lit(s)) for p, s in shift.items()], F.lit(0)) if shift else F.lit(0)
-    number = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + offset
-    weighted = cut(ranged.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))).drop("part"))
-    total = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    level, last = 0.0, None
-    while total and level != last:
-        last = level
-        above = F.col("weight") * F.lit(level) > cap * F.col("source_size")
-        r = weighted.agg(F.coalesce(F.sum(F.when(above, cap * F.col("source_size"))), F.lit(0)).alias("full"), F.sum(F.when(~above, F.col("weight"))).alias("w")).first()
-        if r.w:
-            level = max(level, (total - r.full) / r.w)
+    one = sources.withColumn("all", F.lit(0))
+    numbered = running(one, ["all"], [F.col("source").asc_nulls_last()], {"number": ("sum", F.lit(1).cast("long"))})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("number") - 1) % len(weights) + 1).cast("int"))
+    weighted = cut(numbered.withColumn("weight", weight).drop("number"))
+    all_ = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.sum("weight").alias("weight")).first()
+    level = 0.0
+    if all_["size"]:
+        # If the sources that are first by cap * size / weight are full, the others share the rest: no such level is above the true one.
+        reached = F.lit(cap) * F.col("source_size")
+        full = running(weighted, ["all"], [reached / F.col("weight"), F.col("source").asc_nulls_last()], {"full": ("sum", reached), "used": ("sum", F.col("weight"))})
+        rest = F.lit(float(all_["weight"])) - F.col("used")
+        best = full.where(rest > 0.5 * min(weights)).agg(F.max((F.lit(all_["size"]) - F.col("full")) / rest)).first()[0]
+        level = max(all_["size"] / all_["weight"], best or 0.0)
     return weighted.select("source", "n", "source_size", F.least(F.col("weight") * F.lit(level), (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
@@ -184,6 +183,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
     t = taken.select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_doc_id"), F.col("size").alias("t_size"), F.lit(1).alias("won"))
     same = F.col("source").eqNullSafe(F.col("t_source")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("size") == F.col("t_size"))
     decided = planned.join(t, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", "whole", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("extra"))
-    each = decided.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    # equal rows are counted off in blocks, so no array holds all of them
+    blocks = decided.withColumn("block", F.explode(F.expr(f"sequence(0L, (rows - 1) div {_ROWS})")))
+    each = blocks.withColumn("i", F.explode(F.expr(f"sequence(block * {_ROWS} + 1, least(rows, (block + 1) * {_ROWS}))")))
     copies = F.col("whole") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))

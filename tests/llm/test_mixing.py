@@ -64,3 +64,26 @@ def test_rounding_keeps_expectations(spark):
 def test_no_words_at_all(spark):
     got = mixing.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()
     assert {(r.doc_id, r.size, r.target, r.taken) for r in got} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_very_many_equal_rows(spark):
+    df = spark.range(20_000).selectExpr("1L as doc_id", "'same five words are here' as text", "if(id < 15000, 'a', 'b') as source")
+    got = mixing.mix(df).groupBy("source", "copies").count().collect()
+    sizes = {"a": 75_000, "b": 25_000}
+    want = brute_targets(sizes)
+    for s, n in (("a", 15_000), ("b", 5_000)):
+        own = {r.copies: r["count"] for r in got if r.source == s}
+        assert sum(own.values()) == n and abs(sum(c * k * 5 for c, k in own.items()) - want[s]) <= 6
+
+
+def test_levels_of_many_sources(spark):
+    r = random.Random(4)
+    rows = [(k, "w " * int(r.paretovariate(0.7) * 3), f"s{r.randrange(90):02d}" if k % 50 else None) for k in range(2000)]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n long, source_size long")
+    for weights in ((5, 2, 1), (7,), (1, 9)):
+        want = brute_targets(sizes, weights)
+        got = {x.source: x.target for x in mixing.source_targets(df, weights).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
