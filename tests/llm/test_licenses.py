@@ -196,6 +196,16 @@ def test_rules(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_hints_let_every_mention_through():
+    import re
+
+    said = ["License", "licence", "Copyright", "permission", "Warranty", "redistribute", "SPDX", "public domain", "All rights reserved", "merchantability", "MPL 2", "the AGPL", "a LGPL", "gpl-3.0", "GNU", "Creative Commons", "CC0", "cc by", "cc-by", "advertising materials", "SSPL", "BUSL", "cddl", "EUPL", "psfl", "MS-PL", "ms-rl"]
+    for text in [*said, *filter(None, CASES)]:
+        if re.search(licenses.MENTIONS, text.lower()):
+            assert any(h in text.lower() for h in licenses.HINTS), text
+    assert len([t for t in said if re.search(licenses.MENTIONS, t.lower())]) == len(said)
+
+
 def test_expressions_stay_as_written(spark):
     texts = ["/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */\nint x;", "# spdx-license-identifier: MIT\n# SPDX-License-Identifier: Apache-2.0 AND  ISC -->\n", "none", None]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
