@@ -25,11 +25,29 @@ import regex
 CACHE_WORDS = 500_000
 #: Longer pre-tokens are worked out in arrays of their own and not kept.
 SHORT = 48
+#: Characters of a pre-token up to which it is cut anew when something is put behind it.
+_NEAR = 4
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _WORDS = re.compile(_SPACE.pattern.replace("[", "[^", 1))
+_LETTER = regex.compile(r"\p{L}")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def joining() -> frozenset[str]:
+    """Code points that may change what stands before them under normal form C: marks, and those that are the second half of a composition."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul compose by rule
+    for c in map(chr, range(0x110000)):
+        if unicodedata.combining(c):
+            out.add(c)
+        else:
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and not parts[0].startswith("<"):
+                out.add(chr(int(parts[1], 16)))
+            elif parts and not parts[0].startswith("<") and unicodedata.combining(unicodedata.normalize("NFD", c)[0]):
+                out.add(c)
+    return frozenset(out)
+
+
 def _byte_symbols() -> list[str]:
     """The printable symbol of each byte in byte-level vocabularies: itself, or the next code point from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -67,6 +85,7 @@ class PrefixCounter:
         for pair, rank in self.ranks.items():  # in the order of the merges: the first that makes a token is the one that does
             if pair[0] in self.made and pair[1] in self.made and pair[0] + pair[1] not in self.made:
                 self.made[pair[0] + pair[1]], self.halves[pair[0] + pair[1]] = rank, pair
+        self.joining: frozenset[str] | None = None  # found when the first word needs it
         self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[str, tuple[str, int]] = {}
         self.totals: dict[str, int] = {}
@@ -103,7 +122,7 @@ class PrefixCounter:
         made = self.made
         for j in range(max(0, k - self.longest), k):
             token = s[j:k] + suffix
-            if token in made and (j == 0 or self.agree(last[j], token)):
+            if token in made and (not last[j] or self.agree(last[j], token)):
                 return token, counts[j] + 1
         raise ValueError(f"no token ends at {k} of {s!r}")
 
@@ -111,8 +130,8 @@ class PrefixCounter:
         """One symbol for each byte of a pre-token; ASCII letters and digits stand for themselves."""
         return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.symbols)
 
-    def piece_counts(self, piece: str) -> list[int]:
-        """Tokens of the first k symbols (bytes) of a pre-token, as a word of their own, for k = 1 .. its length."""
+    def _states(self, piece: str) -> tuple[str, list[int], list[str], list[int]]:
+        """(symbols, tokens of the first k of them as a word of their own, last token and count of the first k) of a pre-token."""
         s = self.symbols_of(piece)
         last, counts, out = [""], [0], []
         for k in range(1, len(s) + 1):
@@ -120,7 +139,11 @@ class PrefixCounter:
             t, c = self._last(s, k, "", last, counts)
             last.append(t)
             counts.append(c)
-        return out
+        return s, out, last, counts
+
+    def piece_counts(self, piece: str) -> list[int]:
+        """Tokens of the first k symbols (bytes) of a pre-token, as a word of their own, for k = 1 .. its length."""
+        return self._states(piece)[1]
 
     def _kept(self, s: str) -> int:
         """Tokens of a short pre-token; the states of its prefixes are looked up, or worked out and kept."""
@@ -175,27 +198,65 @@ class PrefixCounter:
             total = self.piece_total(word) if word.isascii() and word.isalpha() else sum(map(self.piece_total, self.pieces.findall(word)))
         return total
 
-    def word_prefixes(self, word: str) -> list[int] | None:
-        """Tokens of the first k characters of a word, for k = 0 .. its length.
-
-        None for a word whose beginnings do not normalise to beginnings of its own normal form.
-        """
+    def word_prefixes(self, word: str) -> list[int]:
+        """Tokens of the first k characters of a word, for k = 0 .. its length."""
         normal = self.normalise(word)
-        if not (word.isascii() or (unicodedata.is_normalized("NFC", word) and len(normal) == len(word) and unicodedata.is_normalized("NFC", normal))):
-            return None
-        out, done = [0], 0
+        table, starts, states = self._table(normal)
+        if word.isascii() or (len(normal) == len(word) and unicodedata.is_normalized("NFC", word)):
+            return table
+        # The word in segments whose normal forms stand one after another; inside one, what comes before it stays.
+        if self.joining is None:
+            self.joining = joining()
+        begins = [0, *(k for k in range(1, len(word)) if word[k] not in self.joining), len(word)]
+        out, at, piece = [0], 0, 0
+        for start, end in zip(begins, begins[1:]):
+            for k in range(start + 1, end):
+                out.append(self._with_tail(normal, at, self.normalise(word[start:k]), table, starts[piece], states[piece]))
+            at += len(self.normalise(word[start:end]))
+            out.append(table[at])
+            while piece + 1 < len(starts) and starts[piece + 1] < at:
+                piece += 1
+        return out
+
+    def _table(self, normal: str) -> tuple[list[int], list[int], list[tuple]]:
+        """(tokens of the first k characters of a normalised word, where its pre-tokens start, their states)."""
+        out, done, starts, states = [0], 0, [], []
         for piece in self.pieces.findall(normal):
+            starts.append(len(out) - 1)
             if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # a part of such an ending is cut in another way
                 counts = [sum(map(self.piece_total, self.pieces.findall(piece[:k]))) for k in range(1, len(piece) + 1)]
+                states.append(())
             else:
-                by_byte, at = self.piece_counts(piece), 0
+                held, at = self._states(piece), 0
+                states.append(held)
                 counts = []
                 for c in piece:
                     at += len(c.encode())
-                    counts.append(by_byte[at - 1])
+                    counts.append(held[1][at - 1])
             out += [done + c for c in counts]
             done += counts[-1]
-        return out if len(out) == len(word) + 1 else None
+        return out, starts, states
+
+    def _with_tail(self, normal: str, at: int, tail: str, table: list[int], start: int, states: tuple) -> int:
+        """Tokens of normal[:at] + tail, if the pre-token that ends at ``at`` or holds it starts at ``start``; the work is that of the tail."""
+        if not at:
+            return sum(map(self.piece_total, self.pieces.findall(tail)))
+        if not states or at - start <= _NEAR:  # such as an apostrophe that may become an ending
+            return table[start] + sum(map(self.piece_total, self.pieces.findall(normal[start:at] + tail)))
+        # pre-tokens of more characters are runs of letters or of marks, and go on with their like
+        run = self.pieces.findall(("a" if _LETTER.match(normal, at - 1) else "!") + tail)  # an apostrophe would look like an ending
+        more = run[0][1:]
+        if not more:
+            return table[at] + sum(map(self.piece_total, self.pieces.findall(tail)))
+        s, _, last, counts = states
+        b = len(normal[start:at].encode())
+        low = max(0, b - self.longest)
+        own, last, counts = s[low:b] + self.symbols_of(more), last[low : b + 1], counts[low : b + 1]
+        for k in range(b - low + 1, len(own)):
+            t, c = self._last(own, k, "", last, counts)
+            last.append(t)
+            counts.append(c)
+        return table[start] + self._last(own, len(own), self.end, last, counts)[1] + sum(map(self.piece_total, run[1:]))
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -229,7 +290,7 @@ class PrefixCounter:
         """(tokens, length in code points of the longest prefix within the budget) from one pass over the words.
 
         The prefix does not end in white space; if it is not the whole text, the word at which the budget runs out is
-        looked up in its table of prefix counts (one whose beginnings normalise otherwise is left out whole).
+        looked up in its table of prefix counts.
         """
         if not text:
             return 0, 0
@@ -256,13 +317,13 @@ class PrefixCounter:
         spans = [m.span() for m in islice(_WORDS.finditer(part), full + 1)]
         start, end = spans[full]
         table = self.word_prefixes(part[start:end])
-        inside = max((n for n, c in enumerate(table) if c <= left), default=0) if table else 0
+        inside = max((n for n, c in enumerate(table) if c <= left), default=0)
         return start + inside if inside else spans[full - 1][1] if full else 0
 
     def every_prefix(self, text: str | None) -> list[int]:
         """Tokens of the first k code points of a text, for k = 0 .. its length: table lookups, nothing is encoded again.
 
-        Only words whose beginnings normalise otherwise, and the insides of special strings, are counted one by one.
+        Only the insides of special strings are counted one by one.
         """
         text = text or ""
         out, at = [0], 0
@@ -276,8 +337,6 @@ class PrefixCounter:
                 for m in _WORDS.finditer(part):
                     out += [done] * (m.start() - last)
                     table = self.word_prefixes(m.group())
-                    if table is None:
-                        table = [self.count(m.group()[:n]) for n in range(len(m.group()) + 1)]
                     out += [done + n for n in table[1:]]
                     done, last = out[-1], m.end()
                 out += [done] * (len(part) - last)

@@ -29,8 +29,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for every row of docs (doc_id, text, ...).
 
     limit_chars is the length in code points of the longest prefix without white space at its end that keeps
-    within the limit (the whole text if it does); only a word that is not in normal form C is taken whole or not
-    at all. A null text counts as empty: no bytes, no tokens.
+    within the limit (the whole text if it does), inside words too. A null text counts as empty: no bytes, no tokens.
     Repeated rows stay; a null doc_id stays null; other columns are ignored; an empty table gives none.
     """
 

@@ -97,3 +97,47 @@ def test_operator(spark, pair):
     held = tokens.prefix_table(df, PATH)
     cuts = {(r.doc_id, r.chars, r.n_tokens) for r in tokens.longest_prefix(held.where(f"doc_id = {ODD.index('word ' * 3000)}"), 7).collect()}
     assert cuts == {(ODD.index("word " * 3000), 7 * 5 - 1, 7)}
+
+
+#: Runs of code points whose normal forms join: Thai, Hangul as letters, marks in odd order, and composites that decompose.
+SCRIPTS = ["กขคงจฉำแเ\u0e31\u0e34\u0e48\u0e33", "\u1100\u1103\u1112\u1161\u1175\u11a8\u11c2가힣", "aeoNs'!'\u0301\u0327\u0308\u0345ß", "\u09c7\u09be\u0bc6\u0bbe\u0344\u0958\u212b\u2126İΣ1½", "日本語か\u3099は\u309a。、\u0f71\u0f72"]
+
+
+def test_words_outside_normal_form_against_the_library(pair):
+    mine, library = pair
+    r = random.Random(21)
+    for script in SCRIPTS:
+        for n in (1, 2, 3, 5, 9, 14, 40):
+            for _ in range(12):
+                text = "".join(r.choice(script) for _ in range(n))
+                if r.random() < 0.3:
+                    text = "they'" + text + r.choice([" x", "", "re", "<|endoftext|>"])
+                assert mine.every_prefix(text) == [library(text[:k]) for k in range(len(text) + 1)], ascii(text)
+                total = library(text)
+                counts = mine.every_prefix(text)
+                for budget in {1, total // 2, max(0, total - 1)}:
+                    want = len(text) if total <= budget else max((k for k in range(len(text)) if counts[k] <= budget and not text[k - 1 : k].isspace() and not inside_special(text, k)), default=0)
+                    assert mine.measure(text, budget) == (total, want), ascii(text)
+
+
+def test_long_words_outside_normal_form_take_time_in_proportion(pair):
+    import time
+
+    mine, library = pair
+    r = random.Random(22)
+    took = {}
+    for n in (20_000, 100_000):
+        text = "".join(r.choice("กขคงจฉชซ") for _ in range(n)) + "e\u0301" + "日本語" * 10
+        began = time.time()
+        counts = mine.every_prefix(text)
+        took[n] = time.time() - began
+        assert len(counts) == len(text) + 1 and counts[-1] == library(text) == mine.count(text)
+        for k in r.sample(range(len(text)), 5):
+            assert counts[k] == library(text[:k])
+        total, cut = mine.measure(text, 2048)
+        assert total == counts[-1] and cut == max(k for k in range(len(text)) if counts[k] <= 2048)
+    assert took[100_000] < 8 * took[20_000] + 1
+    for odd in ("!!!!!!'s\u0301t", "......'re\u0301", "abcdefg's\u0301", "abcdefg'\u0301s", "!!!!!!\u0301a\u0301", "abcdef\u0301\u0327x"):
+        assert mine.every_prefix(odd) == [library(odd[:k]) for k in range(len(odd) + 1)], ascii(odd)
+    decomposed = "e\u0301o\u0308" * 5_000
+    assert mine.every_prefix(decomposed)[-1] == library(decomposed)
