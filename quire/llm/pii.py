@@ -39,13 +39,19 @@ BASE_PATTERNS = {
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "birth": r"(?<![0-9./-])(?:[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9./-])",
     "local_phone": r"(?<![0-9+().-])[0-9(](?:[\x20().-]?[0-9]){7,15}+(?![0-9])",
     "spelled_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,40}+(?:\x20\[?at\]?\x20|\(at\))[a-z0-9-]{1,40}+(?:\x20dot\x20|\[dot\]|\(dot\))[a-z]{2,10}",
+    # keys that their first characters give away, web tokens of three parts, and the first line of a private key
+    "known_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|xox[abeoprs]-[A-Za-z0-9-]{10,200}|gh[oprsu]_[A-Za-z0-9]{20,255}|glpat-[A-Za-z0-9_-]{20,64}|[ps]k_live_[A-Za-z0-9]{16,255}|eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}(?:\.[A-Za-z0-9_-]{0,4000})?)(?![A-Za-z0-9_-])|-----BEGIN\x20[A-Z\x20]{0,20}PRIVATE\x20KEY-----",
+    # the alphabet with / and +, which the one above has not
+    "base64_key": r"(?<![A-Za-z0-9+/=._-])(?=[A-Za-z0-9]*+[+/])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{20,200}+={0,2}(?![A-Za-z0-9+/=._-])",
+    "identity": r"(?<![A-Za-z0-9_-])(?=[0-9]*+[A-Z])(?=[A-Z]*+[0-9][A-Z]*+[0-9])[A-Z0-9]{7,12}+(?![A-Za-z0-9_-])",
+    "password": r"(?i)(?:(?<=password is )|(?<=password: )|(?<=password = )|(?<=password=)|(?<=passwort ist )|(?<=passwort: )|(?<=passwd: )|(?<=passwd=)|(?<=passcode is )|(?<=pwd: )|(?<=pwd=))[^\x20\x09-\x0D\"',;<>()]{5,63}[^\x20\x09-\x0D\"',;<>().!?:]",
 }
 #: What a document needs for a pattern to be tried at all.
-NEEDS = {"email": "@", "phone": "\\+[0-9]", "ip": "[0-9]\\.[0-9]", "spelled_email": "(?i)at"}
+NEEDS = {"email": "@", "phone": "\\+[0-9]", "ip": "[0-9]\\.[0-9]", "spelled_email": "(?i)at", "password": "(?i)passw|passcode|pwd", "known_key": "AKIA|ASIA|AROA|AIDA|AIza|xox|gh[oprsu]_|glpat-|k_live_|eyJ|PRIVATE KEY", "base64_key": "[+/]"}
 PRECISION = 0.97
 CONTEXT_CHARS = 24
 #: What stands around a span only counts within its clause.
@@ -53,7 +59,7 @@ BEFORE_CLAUSE = r"(?s)^.*(?:[;\n]|, |[.!?] (?=[A-Z]))"
 CLAUSE = r"[^,.;\n]*"
 CONTEXT_WORDS = {
     "secret": "token|key|secret|password|passwd|bearer|credential",
-    "id": "ssn|social|taxpayer|passport",
+    "id": "ssn|social|taxpayer|passport|identity|id card|licen[cs]e no",
     "bank": "iban|bank|account|konto|pay to|transfer",
     "birth": "born|birth|dob|geboren",
     "phone": "call|phone|tel|mobile|fax",
@@ -62,17 +68,33 @@ CONTEXT_WORDS = {
 }
 #: The same as whole words: what follows a span is often plain text, in which a part of a word means nothing.
 WORDS_BEHIND = {k: rf"(?:^|[^a-z0-9])(?:{p})(?:s|[0-9]+)?(?:[^a-z0-9]|$)" for k, p in CONTEXT_WORDS.items()}
-FEATURES = ["kind", "n", "digits", "letters", "upper", "separators", "groups", "distinct", "hex", "quoted", *CONTEXT_WORDS, *(f"{k}_behind" for k in CONTEXT_WORDS)]
+FEATURES = ["kind", "n", "digits", "letters", "upper", "separators", "groups", "distinct", "hex", "quoted", "check", "lower_words", *CONTEXT_WORDS, *(f"{k}_behind" for k in CONTEXT_WORDS)]
 #: Spans that a block of a running sum or a sweep has.
 BLOCK = 64
 
 
+def iban_check(text: str) -> int:
+    """The remainder modulo 97 of an account number's characters, the first four put last; 1 if its check digits are right. 0 for other text."""
+    c = text.replace(" ", "")
+    if not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", c):
+        return 0
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
+def _iban_check(text: Column) -> Column:
+    c = F.regexp_replace(text, " ", "")
+    chars = F.filter(F.split(F.concat(F.substring(c, F.lit(5), F.char_length(c)), F.substring(c, 1, 4)), ""), lambda x: x != "")
+    value = lambda x: F.when(x.rlike("[0-9]"), x.try_cast("int")).otherwise(F.ascii(x) - 55)
+    rest = F.aggregate(chars, F.lit(0), lambda acc, x: (acc * F.when(x.rlike("[0-9]"), 10).otherwise(100) + value(x)) % 97)
+    return F.when(c.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), rest).otherwise(0)
+
+
 def python_features(e: Example) -> list[float]:
     left, right = re.sub(BEFORE_CLAUSE, "", e.left[-CONTEXT_CHARS:]).lower(), re.match(CLAUSE, e.right[:CONTEXT_CHARS].lower()).group()
     count = lambda p: float(len(re.findall(p, e.text)))
     return [
         float(list(GENERATORS).index(e.kind)), float(len(e.text)), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count(r"[\x20().,/:_-]"), count("[0-9]+"), float(len(set(e.text))),
-        float(bool(re.fullmatch("[0-9a-fA-F]+", e.text))), float(left.endswith(('"', "'", "=", ": "))), *(float(bool(re.search(p, left))) for p in CONTEXT_WORDS.values()), *(float(bool(re.search(p, right))) for p in WORDS_BEHIND.values()),
+        float(bool(re.fullmatch("[0-9a-fA-F]+", e.text))), float(left.endswith(('"', "'", "=", ": "))), float(iban_check(e.text) == 1), count("[a-z]{4,}"), *(float(bool(re.search(p, left))) for p in CONTEXT_WORDS.values()), *(float(bool(re.search(p, right))) for p in WORDS_BEHIND.values()),
     ]
 
 
@@ -82,7 +104,7 @@ def column_features(kind: int, text: Column, before: Column, behind: Column) ->
     flag = lambda c: c.cast("double")
     return [
         F.lit(float(kind)), F.char_length(text).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count(r"[\x20().,/:_-]"), count("[0-9]+"), F.size(F.array_distinct(F.split(text, ""))).cast("double"),
-        flag(text.rlike("^[0-9a-fA-F]+$")), flag(left.endswith('"') | left.endswith("'") | left.endswith("=") | left.endswith(": ")), *(flag(left.rlike(p)) for p in CONTEXT_WORDS.values()), *(flag(right.rlike(p)) for p in WORDS_BEHIND.values()),
+        flag(text.rlike("^[0-9a-fA-F]+$")), flag(left.endswith('"') | left.endswith("'") | left.endswith("=") | left.endswith(": ")), flag(_iban_check(text) == 1) if kind == list(GENERATORS).index("iban") else F.lit(0.0), count("[a-z]{4,}"), *(flag(left.rlike(p)) for p in CONTEXT_WORDS.values()), *(flag(right.rlike(p)) for p in WORDS_BEHIND.values()),
     ]
 
 
@@ -126,15 +148,17 @@ def _swept(rows: Column, state: Column, step: Callable[[Column, Column], Column]
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[Boosted, dict[str, float]]:
-    """The trees, fitted on two thirds of the labelled candidates, and a margin for each kind calibrated on the rest."""
+def model() -> tuple[dict[str, Boosted], dict[str, float]]:
+    """The trees of each kind, fitted on two thirds of its labelled candidates, and a margin for each calibrated on the rest."""
     rows = examples(GENERATORS)
-    x, y = np.array([python_features(e) for e in rows]), np.array([e.label for e in rows], float)
-    held = np.arange(len(rows)) % 3 == 0
-    boosted = fit(x[~held], y[~held])
-    margins = boosted.margins(x[held])
-    kinds = np.array([e.kind for e in rows])[held]
-    return boosted, {k: max(0.0, calibrated_threshold(margins[kinds == k], y[held][kinds == k], PRECISION)) for k in GENERATORS}
+    trees, least = {}, {}
+    for kind in GENERATORS:
+        own = [e for e in rows if e.kind == kind]
+        x, y = np.array([python_features(e) for e in own]), np.array([e.label for e in own], float)
+        held = np.arange(len(own)) % 3 == 0
+        trees[kind] = fit(x[~held], y[~held])
+        least[kind] = max(0.0, calibrated_threshold(trees[kind].margins(x[held]), y[held], PRECISION))
+    return trees, least
 
 
 MATCH = "struct<start:int,end:int,text:string,before:string,behind:string>"
@@ -144,10 +168,10 @@ def _matches(text: Column, pattern: str, needs: str | None, context: bool = Fals
     """array of MATCH: the leftmost non-overlapping matches, offsets in code points; with up to CONTEXT_CHARS of the text on either side, if wanted."""
 
     def around(found: Column, pieces: Column, k: Column) -> tuple[Column, Column]:
-        # A match has eight characters at least, so three of them and the pieces between fill a context.
+        # A match has six characters at least, so four of them and the pieces between fill a context.
         part = lambda array, j: F.coalesce(F.get(array, j), F.lit(""))
-        before = [x for j in (3, 2, 1) for x in (part(found, k - j), _tail(part(pieces, k - j + 1)))]
-        behind = [x for j in (1, 2, 3) for x in (_head(part(pieces, k + j)), part(found, k + j))]
+        before = [x for j in (4, 3, 2, 1) for x in (part(found, k - j), _tail(part(pieces, k - j + 1)))]
+        behind = [x for j in (1, 2, 3, 4) for x in (_head(part(pieces, k + j)), part(found, k + j))]
         return _tail(F.concat(*before)), _head(F.concat(*behind))
 
     def placed(found: Column, pieces: Column) -> Column:
@@ -206,10 +230,10 @@ def base_spans(text: Column) -> Column:
 
 def method_candidates(text: Column) -> Column:
     """Accepted candidates of the generators, of the same type; they may still overlap."""
-    boosted, least = model()
+    trees, least = model()
     found = []
     for k, kind in enumerate(GENERATORS):
-        scored = F.transform(_matches(text, GENERATORS[kind], NEEDS.get(kind), True), lambda m: _span(kind, len(BASE) + k, m, _margin(boosted, column_features(k, m["text"], m["before"], m["behind"]))))
+        scored = F.transform(_matches(text, GENERATORS[kind], NEEDS.get(kind), True), lambda m: _span(kind, len(BASE) + k, m, _margin(trees[kind], column_features(k, m["text"], m["before"], m["behind"]))))
         found.append(F.filter(scored, lambda s: s["score"] >= least[kind]))
     return F.concat(*found)
 
@@ -255,7 +279,7 @@ def resolved(base: Column, extra: Column) -> Column:
 def with_spans(docs: DataFrame, base: str, spans: str) -> DataFrame:
     """docs with the base spans and all spans under these names; the arrays are computed once, each in its own projection."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = text.rlike("[0-9@]|(?i)[\\x20\\[(]at[\\x20\\])]")
+    some = text.rlike("[0-9@]|(?i)[\\x20\\[(]at[\\x20\\])]|passw|passcode|pwd|PRIVATE KEY")
     none = F.array().cast(f"array<{SPAN}>")
     extra = fresh(docs, base, spans, "pii_extra")[2]
     step = docs.withColumn(base, F.when(some, base_spans(text)).otherwise(none)).withColumn(extra, F.when(some, method_candidates(text)).otherwise(none))
