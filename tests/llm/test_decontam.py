@@ -76,3 +76,35 @@ def test_one_changed_word_in_a_short_item():
             windows = sum(not j <= at < j + 5 for j in range(n - 4))
             assert bool(block.matches(Reader(), " ".join(text))) == (windows > 0), (n, at)
     assert not block.matches(Reader(), prose(r, 3000))
+
+
+def test_join_of_a_large_benchmark_is_the_same(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    common = " ".join(r.choice(words) for _ in range(12))
+    item = lambda n: " ".join(r.choice([r.choice(words), str(r.randint(1, 50)), "Maria", "kg"]) for _ in range(n))
+    bench = [(k, item(r.choice([2, 4, 6, 10, 26, 27, 40, 90])) + (" " + common if k % 5 == 0 else "")) for k in range(120)]
+    docs = []
+    for k in range(150):
+        text = [item(40)]
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(bench)[1].split()
+            a = r.randrange(len(own))
+            kept = own if r.random() < 0.4 else own[a : a + r.randint(5, 20)] if r.random() < 0.5 else [w if r.random() < 0.93 else "zzz" for w in own]
+            text += [" ".join(kept), common if r.random() < 0.3 else "", item(r.randint(1, 30))]
+        docs.append((k, " ".join(text)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    small, joined = (sorted(map(tuple, decontam.contaminated(d, b, block_tokens=n).collect())) for n in (10**9, 10))
+    assert small == joined and len({x[0] for x in small}) > 40 and len({x[1] for x in small}) > 40
+    clean = {x.doc_id for x in decontam.decontaminate(d.selectExpr("doc_id", "text", "1 as _ROW", "'x' as row"), b, 10).collect()}
+    assert clean == {k for k, _ in docs} - {x[0] for x in small}
+    pairs = decontam.candidates(d.selectExpr("doc_id as row", "text"), b.selectExpr("item_id as row", "text")).count()
+    assert pairs < 0.5 * len(docs) * len(bench)
+
+
+def test_a_benchmark_of_many_tokens_in_one_scan(spark):
+    """A benchmark of two million tokens is joined, and planted items are found."""
+    base = spark.range(40_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 50), k -> substr(md5(concat(id, '-', k)), 1, 6))) as text")
+    docs = base.where("item_id % 400 = 7").selectExpr("item_id as doc_id", "concat('some words before this ', text, ' and some behind') as text").union(spark.range(200).selectExpr("-id - 1", "concat_ws(' ', transform(sequence(1, 300), k -> substr(md5(concat('d', id, '-', k)), 1, 6)))"))
+    got = decontam.contaminated(docs, base, block_tokens=1_000_000).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(7, 40_000, 400)}
