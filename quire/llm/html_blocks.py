@@ -30,6 +30,10 @@ NEUTRAL_WORDS = set(
 ARTICLE_WORDS = set("article content main post entry story maincontent".split())
 _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_STYLE = re.compile(r"""(?<![\w-])style\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _STOP = re.compile(r"""=\s*(["'])|>""")
@@ -74,14 +78,22 @@ def furniture_of(value: str) -> tuple[int, bool]:
     return grade, article and not grade
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether an element's attributes keep it from being shown: hidden, or a style of its own."""
+    low = attrs.lower()
+    if "hidden" in low and _HIDDEN.search(_VALUE.sub('""', attrs)):
+        return True
+    return ("none" in low or "hidden" in low) and any(_UNSEEN.search(m[1] or m[2] or m[3] or "") for m in _STYLE.finditer(attrs))
+
+
 class _Page:
     """Open elements as a stack with counters, so that no text walks it."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, bool]] = []
         self.block_at: list[int] = []  # places of the elements that are not inline
         self.open: dict[str, int] = {}
-        self.content = self.hinted = self.named = 0
+        self.content = self.hinted = self.named = self.hidden = 0
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.blocks: list[Block] = []
@@ -97,23 +109,25 @@ class _Page:
         self.linked.clear()
 
     def add(self, raw: str) -> None:
-        if raw:
+        if raw and not self.hidden:
             text = html.unescape(raw)
             self.parts.append(text)
             self.linked.append(text if self.open.get("a") else " ")
 
-    def push(self, name: str, content: bool, furniture: int) -> None:
+    def push(self, name: str, content: bool, furniture: int, hidden: bool = False) -> None:
         if name not in INLINE:
             self.block_at.append(len(self.stack))
-        self.stack.append((name, content, furniture))
+        self.stack.append((name, content, furniture, hidden))
         self.open[name] = self.open.get(name, 0) + 1
         self.content += content
+        self.hidden += hidden
         self.hinted += furniture == 1
         self.named += furniture == 2
 
     def pop_to(self, size: int) -> None:
         while len(self.stack) > size:
-            name, content, furniture = self.stack.pop()
+            name, content, furniture, hidden = self.stack.pop()
+            self.hidden -= hidden
             self.open[name] -= 1
             self.content -= content
             self.hinted -= furniture == 1
@@ -143,7 +157,7 @@ class _Page:
                 grade, article = furniture_of(m[2] or m[3] or m[4] or "")
                 furniture = max(furniture, grade)
                 content |= article
-        self.push(name, content and not furniture, furniture)
+        self.push(name, content and not furniture, furniture, bool(attrs) and name not in ("html", "body") and is_hidden(attrs))
 
 
 def _tag_end(page: str, at: int, none_left: set[str]) -> int:

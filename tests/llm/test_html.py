@@ -136,3 +136,12 @@ def test_operator(spark):
     n = len(html_extract.main_text(PAGE, html_extract.train()))
     assert got == sorted([(1, n, n), (1, n, n), (None, 0, 0), (2, 0, 0)], key=str)
     assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_hidden_elements_are_no_text():
+    from quire.llm.html_blocks import blocks_of, is_hidden
+
+    page = """<article><p>Seen <span hidden>not this</span>and <b style="font-weight: bold">this</b>.</p><div style='DISPLAY : none'><p>not <i>this</i></p></div>
+    <p style="visibility:hidden">nor this</p><p class="hidden" data-hidden="x" title="hidden">but this</p><div hidden="">no<p>no</div><p>end</article>"""
+    assert [b.text for b in blocks_of(page)] == ["Seen and this.", "but this", "end"]
+    assert not is_hidden(' class="hidden" style="overflow:hidden"') and not is_hidden(" data-hidden=1 aria-hidden=true") and is_hidden(" id=a hidden") and is_hidden(" style=display:none")
