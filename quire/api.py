@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quire.functions.numerals import EXTRA
 from quire.functions.text import char_count, chinese_date, convert_punctuation, interleave_blank_lines, once, pad3, paragraphs, punctuation_stats
 from quire.operators import diff, index, markup, overlay, publish, reports, segment, volumes
-from quire.sources import config, files
+from quire.operators.running import running
+from quire.sources import config, files, landed
 
 
 def merge(*layers: DataFrame, ranges: DataFrame | None = None, indent: bool = False, info: bool = False, in_chunks: bool = False) -> DataFrame:
@@ -182,3 +183,78 @@ def retry(records: DataFrame, chapters: DataFrame) -> DataFrame:
     """Records whose chapter has no file; a prefix counts as its number, so 1 and 001 are the same chapter."""
     have = chapters.select(pad3(F.col("prefix").try_cast("int")).alias("chapter_num")).where("chapter_num is not null")
     return overlay.missing(index.record_rows(records), have, "chapter_num")
+
+
+def selected(tasks: DataFrame, selection: DataFrame | None) -> DataFrame:
+    """tasks (work_id, pos, ...) that a selection (work_id, wanted) keeps: wanted is empty or null (all), a number, or a range such as 11-21.
+
+    A work without a row keeps all, one whose selection is none of these, or does not lie within 1 and its number of tasks first
+    number first, keeps nothing and is for the caller to report (``odd_selections``).
+    """
+    if selection is None:
+        return tasks
+    met = tasks.join(_ranges_wanted(tasks, selection), "work_id", "left")
+    return met.where(F.col("all").isNull() | F.col("all") | (F.col("valid") & F.col("pos").between(F.col("low"), F.col("high")))).select(*tasks.columns)
+
+
+def odd_selections(tasks: DataFrame, selection: DataFrame) -> DataFrame:
+    """(work_id, wanted) of selections that keep nothing because they are none."""
+    return _ranges_wanted(tasks, selection).where(~F.col("all") & ~F.col("valid")).select("work_id", "wanted")
+
+
+def _ranges_wanted(tasks: DataFrame, selection: DataFrame) -> DataFrame:
+    grammar = r"^(\d+)(?:\s*-\s*(\d+))?$"
+    wanted = F.trim(F.coalesce("wanted", F.lit("")))
+    sizes = tasks.groupBy("work_id").agg(F.count("*").alias("total"))
+    low = F.regexp_extract(wanted, grammar, 1).try_cast("long")
+    rows = selection.select("work_id", "wanted", (wanted == "").alias("all"), low.alias("low"), F.coalesce(F.regexp_extract(wanted, grammar, 2).try_cast("long"), low).alias("high")).join(sizes, "work_id", "left")
+    valid = (F.col("low") >= 1) & (F.col("low") <= F.col("high")) & (F.col("high") <= F.coalesce("total", F.lit(0)))
+    return rows.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("total")
+
+
+def _fetched(tasks: DataFrame, details: DataFrame, illustrations: DataFrame | None, done: DataFrame | None, force: bool) -> dict[str, DataFrame]:
+    """What becomes of tasks (work_id, number, id): those without a file are met with landed details (id, json) and written."""
+    numbered = tasks.select("work_id", pad3(F.col("number")).alias("chapter_num"), F.col("id").alias("novel_id"))
+    todo = numbered
+    if done is not None and not force:
+        have = done.select("work_id", pad3(F.col("prefix").try_cast("long")).alias("chapter_num")).where("chapter_num is not null").distinct()
+        todo = numbered.join(have, ["work_id", "chapter_num"], "left_anti")
+    landed_ = details.select(F.col("id").alias("novel_id"), "json")
+    out = landed.download(todo.join(landed_, "novel_id", "left"), illustrations)
+    size = lambda df, name: df.groupBy("work_id").agg(F.count("*").alias(name))
+    totals = size(numbered, "n_tasks").join(size(todo, "n_todo"), "work_id", "left").join(size(out["records"], "n_done"), "work_id", "left").na.fill(0, ["n_todo", "n_done"])
+    told = out["metadata"].groupBy("work_id").agg(F.sum("word_count").alias("n_words"))
+    totals = totals.join(told, "work_id", "left").select("work_id", "n_tasks", (F.col("n_tasks") - F.col("n_todo")).alias("n_skipped"), "n_done", (F.col("n_todo") - F.col("n_done")).alias("n_failed"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
+    return out | {"todo": todo, "totals": totals, "summary": index.summary(out["metadata"], "work_id")}
+
+
+def novel(novels: DataFrame, details: DataFrame, illustrations: DataFrame | None = None, done: DataFrame | None = None, force: bool = False) -> dict[str, DataFrame]:
+    """Single works: novels (work_id, id), each one chapter; see ``series`` for the tables given back and for done and force."""
+    return _fetched(novels.select("work_id", F.lit(1).alias("number"), "id"), details, illustrations, done, force)
+
+
+def csv(tasks: DataFrame, details: DataFrame, illustrations: DataFrame | None = None, done: DataFrame | None = None, force: bool = False) -> dict[str, DataFrame]:
+    """An import list: tasks (work_id, chapter_num, novel_id), of which those whose number is none do not count and of a number the greatest id does."""
+    rows = tasks.select("work_id", F.col("chapter_num").try_cast("long").alias("number"), F.col("novel_id").alias("id")).where("number is not null")
+    return _fetched(rows.groupBy("work_id", "number").agg(F.max("id").alias("id")), details, illustrations, done, force)
+
+
+def series(overviews: DataFrame, pages: DataFrame, details: DataFrame, selection: DataFrame | None = None, start: int = 1, illustrations: DataFrame | None = None, done: DataFrame | None = None, force: bool = False) -> dict[str, DataFrame]:
+    """Whole series from what has landed: overviews (work_id, json), listing pages (work_id, page_no, json) and chapters details (id, json).
+
+    Chapters are numbered in the order of their pages from ``start``; with a selection (work_id, wanted) they keep the numbers of their
+    places. done (work_id, prefix) are chapters that have files: they are skipped, unless forced. Given back are the tables of
+    ``landed.download``, and info (work_id, text), the page of each series; tasks (work_id, pos, id, words); todo, those fetched; totals (work_id, n_tasks,
+    n_skipped, n_done, n_failed, n_words); summary (work_id, summary).
+    """
+    listed = files.listing_rows(pages)
+    order = running(listed.select("work_id", "page_no", "pos", "id", "words"), ["work_id"], [F.col("page_no"), F.col("pos")], {"place": ("sum", F.lit(1).cast("long"))})
+    tasks = order.select("work_id", F.col("place").alias("pos"), "id", "words")
+    kept = selected(tasks, selection)
+    numbered = kept.withColumn("number", F.col("pos") if selection is not None else F.col("pos") + (start - 1))
+    out = _fetched(numbered, details, illustrations, done, force)
+    about = landed.series_overview(overviews, "work_id")
+    counts = tasks.groupBy("work_id").agg(F.sum("words").alias("words"), F.count("*").alias("chapters"))
+    page = publish.series_info_page(F.col("work_id").cast("string"), F.col("title"), F.col("author"), F.col("update_time"), F.col("words"), F.col("chapters"), F.col("tags"), F.col("description"))
+    info = about.join(counts, "work_id", "left").select("work_id", page.alias("text"))
+    return out | {"tasks": tasks, "info": info}

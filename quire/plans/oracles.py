@@ -241,7 +241,7 @@ FROM (SELECT {WORK} AS work_id, {PAD} AS chapter_key, doc_id % 20 AS ord, {BODY}
     "volumes_json": f"SELECT work_id, '[' || string_agg('{{\"name\":\"' || name || '\",\"start\":' || a || ',\"end\":' || b || '}}', ',' ORDER BY a) || ']' AS json FROM (SELECT work_id, regexp_replace(CAST(doc_id AS VARCHAR), '^\\d+[ ]*', '') AS name, min(seq) AS a, max(seq) AS b FROM ({SEQ}) GROUP BY work_id, doc_id) GROUP BY work_id",
     "assemble_lineage_text": f"SELECT work_id, string_agg(line, {LF} ORDER BY chapter_key) AS text FROM (SELECT coalesce(x.work_id, y.work_id) AS work_id, coalesce(x.chapter_key, y.chapter_key) AS chapter_key, coalesce(y.file_name, x.file_name) || CASE WHEN y.file_name IS NULL THEN ' <- baseline' ELSE ' <- corrected' END || CASE WHEN x.file_name <> y.file_name THEN ' (was ' || x.file_name || ')' ELSE '' END AS line FROM ({BASE}) x FULL JOIN ({EXTRA}) y ON x.chapter_key = y.chapter_key) GROUP BY work_id",
     "revisions_upsert": "SELECT conv_id, lpad(CAST(turn AS VARCHAR), 3, '0') || CASE WHEN turn % 6 = 0 THEN ' x.txt' ELSE '' END AS key, CASE WHEN turn % 3 = 0 THEN text ELSE 'new' END AS msg, lpad(CAST(turn AS VARCHAR), 3, '0') || ' x.txt' AS filename FROM conversations",
-    "preset_resolution": "SELECT * FROM (VALUES ('default', '1.5em', 'red', 'center'), ('big', '3em', 'red', 'center')) t(name, size, color, align)",
+    "preset_resolution": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'none such' ELSE n_name END AS preset, n_nationkey % 4 <> 1 AS known, CASE WHEN n_nationkey % 4 > 1 THEN n_nationkey || 'em' ELSE '2.5em' END AS vol_size, CASE WHEN n_nationkey % 5 = 0 THEN 'red' ELSE '#8B0000' END AS vol_color, n_nationkey % 4 <= 1 OR n_nationkey % 3 = 0 AS vol_split FROM nation",
     "compare_report": COMPARE_REPORT,
     "directory_report": DIRECTORY_REPORT,
     "revisions_remove": f"SELECT conv_id, CASE WHEN turn % 2 = 0 THEN {TURN} || ' x.txt' ELSE {TURN} END AS key, role AS msg FROM conversations WHERE turn % 3 <> 0",
@@ -333,3 +333,12 @@ _MARKS = f"replace(text, ', ', '【插图：gone.png】')"
 ORACLE_SQL["illustrated_chapters"] = f"""WITH b AS (SELECT doc_id, {paragraphs_sql(_MARKS)} AS p FROM documents), f AS (SELECT doc_id, list_concat(list_concat([{_SHOWN.format('p1.png', "''")}], {_PARA}),
 list_concat([CASE WHEN doc_id % 2 = 0 THEN '<p>【插图: p2.png】</p>' ELSE {_SHOWN.format('p2.png', "''")} END], CASE WHEN doc_id % 3 = 0 THEN [{_SHOWN.format('n1.gif', "'<div class=\"illustration-desc\">a&lt;b<br/>' || doc_id || '</div>'")}, {_SHOWN.format('n2.gif', "''")}] ELSE [] END)) AS x FROM b)
 SELECT doc_id, CAST(len(x) AS BIGINT) AS n_fragments, md5(array_to_string(x, {LF})) AS fragments_md5 FROM f"""
+#: Chapters that a download of a series selects, whether they have a file, and whether their response is one.
+_SERIES = f"""t AS (SELECT doc_id, {WORK} AS work_id, doc_id % {20} + 1 AS n, n_chars, text, doc_id % 7 = 1 AS have, doc_id % 11 <> 0 AND doc_id % 9 <> 0 AS good FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n) AS pos FROM t), sized AS (SELECT *, count(*) OVER (PARTITION BY work_id) AS total FROM p),
+kept AS (SELECT * FROM sized WHERE CASE work_id % 3 WHEN 1 THEN total >= 9 AND pos BETWEEN 2 AND 9 WHEN 2 THEN total >= 5 AND pos = 5 ELSE true END)"""
+ORACLE_SQL["series_totals"] = f"""WITH {_SERIES} SELECT work_id, count(*) AS n_tasks, count(*) FILTER (have) AS n_skipped, count(*) FILTER (NOT have AND good) AS n_done, count(*) FILTER (NOT have AND NOT good) AS n_failed,
+CAST(coalesce(sum(length(text)) FILTER (NOT have AND good), 0) AS BIGINT) AS n_words FROM kept GROUP BY work_id"""
+ORACLE_SQL["series_chapters"] = f"WITH {_SERIES} SELECT work_id, lpad(CAST(pos AS VARCHAR), 3, '0') || ' t' || doc_id || '.txt' AS file_name, md5(text) AS content_md5 FROM kept WHERE NOT have AND good"
+ORACLE_SQL["series_pages"] = f"""WITH {_SERIES}, s AS (SELECT work_id, count(*) AS n, sum(n_chars) AS words, work_id % 5 = 4 AS bad FROM p GROUP BY work_id)
+SELECT work_id, '系列ID: ' || work_id || {LF} || '系列名称: ' || CASE WHEN bad THEN '未知系列' ELSE 'S' || work_id END || {LF} || '作者: ' || CASE WHEN bad THEN '未知作者' ELSE 'A' END || {LF} || '更新时间: ' || CASE WHEN bad THEN '未知时间' ELSE '2020-01-02' END || {LF} || '总字数: ' || words || {LF} || '章节数: ' || n || {LF} || '标签: 无' || {LF} || {LF} || '简介:' || {LF} || CASE WHEN bad THEN '（暂无简介）' ELSE 'd' END AS text FROM s"""

@@ -683,9 +683,14 @@ def illustrated_chapters(spark, d):
 
 @query
 def preset_resolution(spark, d):
-    presets = config.parse_styles('{"chapter": {"big": {"size": "3em"}, "bad": {"align": "right"}}, "volume": {"plain": {"vol_split": false}}}')
-    styles = [(n, config.resolve_style(presets["chapter"], n, config.CHAPTER_STYLE, color="red")) for n in (None, "big")]
-    return spark.createDataFrame([(n or "default", s["size"], s["color"], s["align"]) for n, s in styles], "name string, size string, color string, align string")
+    """The volume style of every nation: a preset of its own style file by name, a colour given over it, or the defaults."""
+    n = V.table(spark, d, "nation")
+    preset = F.to_json(F.struct(F.create_map("n_name", F.struct(F.concat(F.col("n_nationkey").cast("string"), F.lit("em")).alias("vol_size"), (F.col("n_nationkey") % 3 == 0).alias("vol_split"))).alias("volume")))
+    presets = config.preset_rows(n.select("n_nationkey", preset.alias("json")), "n_nationkey", "volume", config.VOLUME_STYLE)
+    named = F.when(F.col("n_nationkey") % 4 == 1, F.lit("none such")).when(F.col("n_nationkey") % 4 > 1, F.col("n_name"))
+    given = F.when(F.col("n_nationkey") % 5 == 0, F.create_map(F.lit("vol_color"), F.lit("red")))
+    choices = n.select("n_nationkey", named.alias("preset"), given.alias("given"))
+    return config.resolved_styles(choices, presets, "n_nationkey", config.VOLUME_STYLE).select("n_nationkey", "preset", "known", "vol_size", "vol_color", "vol_split")
 
 
 # Reports, notes, landed responses
@@ -907,3 +912,34 @@ def stream_listing(spark, d):
         pages = paging.stream_pages(spark, f"{folder}/pages", works)
         pages.writeStream.format("parquet").option("path", f"{folder}/read").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return files.listing_rows(spark.read.schema("work_id string, page_no long, cursor long, json string").parquet(f"{folder}/read"))
+
+
+def _series(spark, d):
+    """Every twenty documents as a series: an overview, listing pages of eight, and their texts as landed chapters of which some failed."""
+    docs = V.table(spark, d, "documents").select("doc_id", V.work().alias("work_id"), (F.col("doc_id") % V.WORK_SIZE).alias("n"), "text", "n_chars")
+    works = docs.select("work_id").distinct()
+    overviews = works.select("work_id", F.when(F.col("work_id") % 5 == 4, F.lit("no json")).otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("S"), F.col("work_id").cast("string")).alias("title"), F.lit("A").alias("userName"), F.lit("2020-01-02").alias("updateDate"), F.lit("d").alias("caption")).alias("body")))).alias("json"))
+    item = F.struct("n", F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("textCount"))
+    rows = docs.groupBy("work_id", F.expr("n div 8").alias("page_no")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = rows.select("work_id", "page_no", F.to_json(F.struct(F.struct(F.transform("items", lambda x: x.dropFields("n")).alias("seriesContents")).alias("body"))).alias("json"))
+    body = F.struct(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.lit("").alias("description"), F.lit("2020-01-02T03:04:05").alias("createDate"))
+    details = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct((F.col("doc_id") % 9 == 0).alias("error"), body.alias("body"))).alias("json"))
+    wanted = F.when(F.col("work_id") % 3 == 1, F.lit("2 - 9")).when(F.col("work_id") % 3 == 2, F.lit("5")).otherwise(F.lit(""))
+    done = docs.where("doc_id % 7 = 1").select("work_id", X.pad3(F.col("n") + 1).alias("prefix"))
+    return api.series(overviews, pages, details, works.select("work_id", wanted.alias("wanted")), done=done)
+
+
+@query
+def series_totals(spark, d):
+    """What each download of a series has come to: tasks selected, skipped, written and failed, and words."""
+    return _series(spark, d)["totals"]
+
+
+@query
+def series_chapters(spark, d):
+    return _series(spark, d)["chapters"].select("work_id", "file_name", F.md5("content").alias("content_md5"))
+
+
+@query
+def series_pages(spark, d):
+    return _series(spark, d)["info"]
