@@ -42,3 +42,42 @@ def test_stages_use_the_operators():
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5
     assert corpus_pipeline.keep_good is quality.keep_good and corpus_pipeline.keep_one is simhash.keep_one
     assert corpus_pipeline.decontaminate is decontam.decontaminate and corpus_pipeline.redact is pii.redact
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, d, docs, bench, columns=COLUMNS):
+    spark.createDataFrame(docs, columns).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def test_empty_tables(spark, tmp_path):
+    made = corpus_pipeline.run(spark, written(spark, tmp_path / "none", [], [(1, "a b c d e f")]))
+    assert made.collect() == [] and {"doc_id", "size", "source_size", "target", "taken"} <= set(made.columns)
+    r = random.Random(5)
+    docs = [(k, " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(80)), "en", "a", 1) for k in range(5)]
+    made = corpus_pipeline.run(spark, written(spark, tmp_path / "some", docs, []))
+    assert sorted(x.doc_id for x in made.collect()) == list(range(5))
+
+
+def test_nulls_repeated_ids_and_clashing_columns(spark, tmp_path):
+    r = random.Random(6)
+    prose = lambda: " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(90))
+    texts = [prose() for _ in range(7)]
+    docs = [(None, texts[0], "en", "a", 1), (None, texts[1], None, None, None), (3, texts[2], "en", None, 1), (3, texts[3], "en", "a", 1), (4, texts[4], "en", "a", 1), (4, texts[4], "en", "a", 1), (None, texts[4], "en", "b", 1), (6, None, "en", "b", 0), (7, "", "en", "b", 0), (8, texts[5], "en", "b", 1), (9, texts[6] + " 4111 1111 1111 1111", "en", "b", 1)]
+    wide = [(*d, 7, "x", 0.5) for d in docs]
+    folder = written(spark, tmp_path / "odd", wide, [(None, texts[5]), (2, None)], COLUMNS + ", `_fp` int, pii_spans string, size double")
+    frame, columns = spark.read.parquet(f"{folder}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, folder)
+        columns = columns or frame.columns
+        assert frame.columns == columns, name
+        frame = spark.createDataFrame(frame.collect(), frame.schema)
+    kept = sorted(((x.doc_id, x.source, x.size) for x in frame.collect()), key=str)
+    # two texts without an id, two texts under one id, one of the copies, none of the benchmark's or without words
+    assert kept == sorted([(None, "a", 0.5), (None, None, 0.5), (3, None, 0.5), (3, "a", 0.5), (4, "a", 0.5), (9, "b", 0.5)], key=str)
+    assert frame.where("doc_id = 9").first().text.endswith(" [CARD]")
+    mixed = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((str(x.doc_id), x.size) for x in mixed) == sorted((str(i), 91 if i == 9 else 90) for i, _, _ in kept)
