@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept
 and returns a DataFrame; all but the last return the columns of documents.
+
+Defined for odd rows: a null or empty text has no words and goes with the first stage, which also drops texts
+without enough of them; rows with a null doc_id are documents like any other, and so are several rows of one
+doc_id with different texts, while of equal texts one row stays, that of the smallest doc_id, nulls last. A null source is a
+source of its own. An empty benchmark takes nothing away and items with a null text match nothing; an empty documents
+table gives no rows, with the columns of any result. Further columns of documents, whatever their names, go through all
+stages but the last.
 """
 
 from __future__ import annotations
