@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -212,6 +213,16 @@ def style_sheet(chapter: dict, volume: dict) -> str:
     return "\n".join(rules) + "\n"
 
 
+def style_sheets(styles: DataFrame, by: str) -> DataFrame:
+    """(by, css) of styles (by, chapter struct, volume struct), whose fields are those of the presets."""
+
+    def sheets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({by: f[by], "css": [style_sheet(dict(c), dict(v)) for c, v in zip(f["chapter"], f["volume"])]})
+
+    return styles.select(by, "chapter", "volume").mapInPandas(sheets, f"{by} {styles.schema[by].dataType.simpleString()}, css string")
+
+
 def _media(name: str) -> str:
     return MEDIA_TYPES.get(name.rpartition(".")[2].lower(), "image/jpeg")
 

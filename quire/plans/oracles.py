@@ -342,3 +342,8 @@ CAST(coalesce(sum(length(text)) FILTER (NOT have AND good), 0) AS BIGINT) AS n_w
 ORACLE_SQL["series_chapters"] = f"WITH {_SERIES} SELECT work_id, lpad(CAST(pos AS VARCHAR), 3, '0') || ' t' || doc_id || '.txt' AS file_name, md5(text) AS content_md5 FROM kept WHERE NOT have AND good"
 ORACLE_SQL["series_pages"] = f"""WITH {_SERIES}, s AS (SELECT work_id, count(*) AS n, sum(n_chars) AS words, work_id % 5 = 4 AS bad FROM p GROUP BY work_id)
 SELECT work_id, '系列ID: ' || work_id || {LF} || '系列名称: ' || CASE WHEN bad THEN '未知系列' ELSE 'S' || work_id END || {LF} || '作者: ' || CASE WHEN bad THEN '未知作者' ELSE 'A' END || {LF} || '更新时间: ' || CASE WHEN bad THEN '未知时间' ELSE '2020-01-02' END || {LF} || '总字数: ' || words || {LF} || '章节数: ' || n || {LF} || '标签: 无' || {LF} || {LF} || '简介:' || {LF} || CASE WHEN bad THEN '（暂无简介）' ELSE 'd' END AS text FROM s"""
+_BIG = "(c_custkey % 4 > 1)"  # a style file with sections
+ORACLE_SQL["style_sheets"] = f"""SELECT c_custkey, md5('h1 {{ text-align: ' || CASE WHEN c_custkey % 4 = 1 THEN 'left' ELSE 'center' END || '; font-size: ' || CASE WHEN c_custkey % 5 <> 1 AND {_BIG} THEN {_SIZED} ELSE '1.5em' END || '; text-decoration: ' || CASE WHEN c_custkey % 5 = 1 THEN 'underline' ELSE 'none' END || ';' ||
+CASE WHEN c_custkey % 5 = 0 THEN ' color: #12ab;' ELSE '' END || ' }}' || {LF} || '.vol h1 {{ color: #8B0000; font-size: 2.5em; margin-top: 0.6em; }}' || {LF} || 'p {{ text-indent: 2em; margin: 0.5em 0; }}' || {LF} || '.book-info-page .book-info-name {{ font-size: 1.4em; font-weight: bold; }}' || {LF} ||
+'.illustration {{ text-align: center; }}' || {LF} || '.illustration img {{ max-width: 100%; }}' || {LF} || CASE WHEN {_BIG} AND c_custkey % 2 = 0 THEN '.chapter-num {{ display: block; font-size: 1em; }}' || {LF} || '.chapter-name {{ display: block; }}' || {LF} ELSE '' END ||
+CASE WHEN {_BIG} THEN '' ELSE '.vol .volume-num {{ display: block; color: #555555; font-size: 1.2em; margin-bottom: 0.6em; }}' || {LF} || '.vol .volume-name {{ display: block; color: #8B0000; font-size: 2.5em; }}' || {LF} || '.vol h1 {{ font-size: 1em; }}' || {LF} END) AS css_md5 FROM customer"""

@@ -624,6 +624,19 @@ def preset_choices(spark, d):
     return config.resolved_styles(styles.select("c_custkey", name.alias("preset"), given.alias("given")), presets, "c_custkey", config.CHAPTER_STYLE).select("c_custkey", "preset", "known", "size", "color", "align", "split")
 
 
+@query
+def style_sheets(spark, d):
+    """The style sheet of every customer: its own preset for chapters with a colour and an odd size for some, its own for volumes."""
+    styles, n = _styles(spark, d), F.col("c_custkey")
+    given = F.when(n % 5 == 0, F.create_map(F.lit("color"), F.lit("#12ab"), F.lit("num_color"), F.lit("url(x)"))).when(n % 5 == 1, F.create_map(F.lit("size"), F.lit("1;x"), F.lit("underline"), F.lit("true")))
+    parts = []
+    for section, preset, defaults, over in (("chapter", "big", config.CHAPTER_STYLE, given), ("volume", "plain", config.VOLUME_STYLE, F.lit(None).cast("map<string,string>"))):
+        choices = styles.select("c_custkey", F.lit(preset).alias("preset"), over.alias("given"))
+        done = config.resolved_styles(choices, config.preset_rows(styles, "c_custkey", section, defaults), "c_custkey", defaults)
+        parts.append(done.select("c_custkey", F.struct(*defaults).alias(section)))
+    return publish.style_sheets(parts[0].join(parts[1], "c_custkey"), "c_custkey").select("c_custkey", F.md5("css").alias("css_md5"))
+
+
 @query
 def changed_chapters(spark, d):
     """What a second scan of a folder of chapters reads: every document was a file, then some were written anew, some longer, and new ones came."""
