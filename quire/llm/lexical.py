@@ -59,7 +59,11 @@ def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     each = rows.select("row", "doc_id", "n", F.explode(F.array_append("found", F.lit(None).cast("string"))).alias("term"))
     if wanted is not None:
         known = wanted.select("term").distinct().withColumn("known", F.lit(True))
-        each = each.join(F.broadcast(known) if fits(known) else known, "term", "left").where("known or term is null").drop("known")
+        if fits(known):
+            each = each.join(F.broadcast(known), "term", "left").where("known or term is null").drop("known")
+        else:  # the rows without a term would all meet in one task of a shuffled join
+            lengths = rows.select("row", "doc_id", "n", F.lit(None).cast("string").alias("term"))
+            each = each.where("term is not null").join(known, "term", "left_semi").select(lengths.columns).unionByName(lengths)
     counted = each.groupBy("row", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
     return counted.select(bucket(F.col("term")).alias("bucket"), "term", "row", "doc_id", "n", "tf").withColumn("bucket", F.when(F.col("term").isNotNull(), F.col("bucket")))
 
