@@ -20,6 +20,8 @@ from quire.sources.scratch import once
 
 #: Beyond these a field of the format is too small and its 64-bit form is used.
 MOST_BYTES, MOST_ENTRIES = 2**31 - 1, 65_535
+#: Compressed bytes that a task gathers before it gives them on.
+_GIVEN_ON = 4 << 20
 # Fixed values of the format: version, the first day it can name, and the rights of a file.
 _VERSION, _VERSION_64, _DATE, _RIGHTS, _UNIX = 20, 45, 33, 0o600 << 16, 3
 
@@ -64,11 +66,17 @@ def parts(entries: DataFrame, key: str = "work_id") -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):  # an entry at a time
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            rows, held = [], 0
+            for i in range(b.num_rows):  # an entry at a time, given on in batches of a few MB
                 own, name, section, k, data, stored = (c[i].as_py() for c in b.columns)
                 data = data or b""
                 made, crc, packed = local_part(name, data, stored)
-                yield pa.RecordBatch.from_pydict({"own": pa.array([own], b.schema.field(0).type), "section": pa.array([section], pa.int32()), "k": pa.array([k], pa.int64()), "name": [name], "stored": [stored], "crc": [crc], "packed": [packed], "size": [len(data)], "content": pa.array([made], pa.binary())})
+                rows.append((own, section, k, name, stored, crc, packed, len(data), made))
+                held += len(made)
+                if held >= _GIVEN_ON or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["own", "section", "k", "name", "stored", "crc", "packed", "size", "content"])
+                    rows, held = [], 0
 
     rows = entries.select(F.col(key).alias("own"), "name", F.col("section").cast("int"), F.col("k").cast("long"), F.col("data").cast("binary"), "stored")
     local = once(rows.mapInArrow(pack, f"own {kind}, section int, k long, name string, stored boolean, crc long, packed long, size long, content binary"))
