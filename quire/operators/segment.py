@@ -78,13 +78,15 @@ def split_stats(segs: DataFrame, lines: DataFrame) -> DataFrame:
     return done.join(left, "work_id", "left").withColumn("preamble_files", F.coalesce("preamble_files", F.lit(0)))
 
 
-def display_titles(files: DataFrame) -> DataFrame:
+def display_titles(files: DataFrame, untitled: bool = False) -> DataFrame:
     """files (work_id, file_name, prefix, ord) with kind, number and display: main chapters counted, extras not.
 
-    Only names of digits, white space and .txt take part; number zero is the information page and is left out.
+    Only names of digits, white space and .txt take part; number zero is the information page and is left out. With untitled, names
+    that begin with digits but are not of this form take part too, as chapters without a title.
     """
-    grammar = r"(?i)^(\d+)\s+(.*?)\.txt$"
-    rows = files.where(F.col("file_name").rlike(grammar) & (F.col("ord") != 0))
+    grammar = r"(?id)^(\d+)\s+(.*?)\.txt$"
+    formed = F.col("prefix").isNotNull() if untitled else F.col("file_name").rlike(grammar)
+    rows = files.where(formed & (F.col("ord") != 0))
     raw = F.regexp_extract("file_name", grammar, 2)
     plain = strip(F.regexp_replace(raw, rf"^第[{NUMERAL.replace('.', '')}]+章\s*", ""))
     rows = rows.withColumn("plain", plain).withColumn("is_extra", F.contains(plain, F.lit(EXTRA)))

@@ -2,11 +2,14 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.text import paragraphs
 from quire.operators import diff, index, markup, overlay, publish, segment, stats, volumes
+from quire.plans.oracles import ORACLE_SQL
+from quire.plans.queries import QUERIES
 from quire.sources import config, files
 
 
@@ -58,6 +61,23 @@ def test_display_titles(spark):
     assert got == {names[0]: "043 第一章 某某.txt", names[1]: "044 番外：x.txt", names[2]: "045 第二章 y.txt"}
 
 
+def test_names_of_a_number_alone(spark):
+    names = ["043 a.txt", "0440.txt", "045b.txt", "046 c\rd.txt", "0.txt", "附录.txt"]
+    f = overlay.with_keys(spark.createDataFrame([("w", n) for n in names], "work_id string, file_name string"))
+    assert {r.file_name: (r.number, r.display) for r in segment.display_titles(f, untitled=True).collect()} == {names[0]: (1, "第一章 a"), names[2]: (2, "第二章 "), names[3]: (3, "第三章 c\rd"), names[1]: (4, "第四章 ")}
+    assert {r.file_name for r in segment.display_titles(f).collect()} == {names[0], names[3]}
+
+
+def test_main_extra_numbering_keeps_numbers_without_titles(spark, tmp_path):
+    texts = {19: "4763047826333361 of", 20: "x", 21: "a b", 38: "57 tail"}
+    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, kind, number, display FROM ({ORACLE_SQL['main_extra_numbering']})").fetchall()}
+    got = {r.doc_id: (r.kind, r.number, r.display) for r in QUERIES["main_extra_numbering"](spark, str(tmp_path)).collect()}
+    assert got == want and got[19] == ("main", 1, "第一章 ")
+
+
 def test_volumes_and_spine(spark):
     cfg = spark.createDataFrame([("w", '[{"name":"b","start":3},{"name":"a","start":"1","end":2},{"start":1},{"name":"x","start":2,"end":1},{"name":"e","start":90,"end":95}]')], "work_id string, json string")
     vols = volumes.valid_volumes(files.volumes_of(cfg))
