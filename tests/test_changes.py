@@ -52,3 +52,26 @@ def test_choices(spark):
     choices = spark.createDataFrame([(1, "a", {"split": "true"}), (1, "z", None), (1, None, {"size": "5em"}), (2, "a", None), (None, "a", {})], "k int, preset string, given map<string,string>")
     got = {(r.k, r.preset): (r.known, r["size"], r["split"]) for r in config.resolved_styles(choices, presets, "k", config.CHAPTER_STYLE).collect()}
     assert got == {(1, "a"): (True, "2em", True), (1, "z"): (False, "1.5em", False), (1, None): (True, "5em", False), (2, "a"): (False, "1.5em", False), (None, "a"): (True, "3em", False)}
+
+
+def test_a_scan_of_many_files_takes_few_tasks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(400):
+        (folder / f"{k:03d} a.txt").write_text(f"text {k}")
+    for name in (".x.txt", "_y.txt", "z.json"):
+        (folder / name).write_text("no")
+    (folder / "below.txt").mkdir()
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        found = changes.listing(spark, str(folder))
+        assert found.rdd.getNumPartitions() <= 4 and found.count() == 400
+        rows = {r.file_name: (r.path, r.length, r.mtime.timestamp()) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    # the same paths, lengths and times as Spark's own file source gives
+    own = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(str(folder)).select("path", "length", "modificationTime").collect()
+    assert {(p, n, t) for p, n, t in rows.values()} == {(r.path, r.length, r.modificationTime.timestamp()) for r in own}
+    read = changes.contents(found)
+    assert {bytes(r.content).decode() for r in read.collect()} == {f"text {k}" for k in range(400)} and read.rdd.getNumPartitions() == 4
