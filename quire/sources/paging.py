@@ -2,12 +2,14 @@
 
 A page that was landed for a work at a cursor is the file ``<work, quoted>.<cursor>.json`` of one folder. The next page's
 cursor is the ``order`` of the last item, or else the cursor plus the size of a page; a page with fewer items is the
-last. Each page is one partition, so pages are read by the executors; the driver reads each page once, for its cursor.
+last. Runs of pages are partitions, so pages are read by the executors; the driver reads each page once, for its cursor,
+several works at a time.
 """
 
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -19,6 +21,10 @@ from quire.sources.uri import located
 PAGE_SIZE = 30
 #: Works of one stream at most, as its offset names each of them.
 MAX_WORKS = 10_000
+#: Pages of a partition at least, and partitions of a batch at most, from which on they grow.
+TASK_PAGES, TASKS = 64, 200
+#: Works whose pages the driver reads at a time.
+READERS = 16
 #: The cursor of a work that has been read to its end.
 END = -1
 
@@ -50,10 +56,8 @@ def next_cursor(cursor: int, page: str, size: int = PAGE_SIZE) -> int:
 
 
 @dataclass
-class _Page(InputPartition):
-    work: str
-    number: int
-    cursor: int
+class _Run(InputPartition):
+    pages: list[tuple[str, int, int]]  # work, number, cursor
 
 
 class _Pages(DataSourceStreamReader):
@@ -81,20 +85,23 @@ class _Pages(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """work -> number of its pages that have landed, for those with any."""
-        return {w: n for w in self.works if (n := len(self._advance(w)) - 1)}
+        return {w: n for w, chain in self._advanced(self.works) if (n := len(chain) - 1)}
+
+    def _advanced(self, works: list[str]) -> list[tuple[str, list[int]]]:
+        with ThreadPoolExecutor(READERS) as pool:
+            return list(zip(works, pool.map(self._advance, works)))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
-        for work, n in end.items():
-            chain = self._advance(work)
-            out += [_Page(work, k, chain[k]) for k in range(start.get(work, 0), n)]
-        return out
-
-    def read(self, partition: _Page):
-        page = self._read(partition.work, partition.cursor)
-        if page is None:
-            raise FileNotFoundError(page_name(partition.work, partition.cursor))
-        yield (partition.work, partition.number, partition.cursor, page)
+        pages = [(work, k, chain[k]) for work, chain in self._advanced(list(end)) for k in range(start.get(work, 0), end[work])]
+        size = max(TASK_PAGES, -(-len(pages) // TASKS))
+        return [_Run(pages[k : k + size]) for k in range(0, len(pages), size)]
+
+    def read(self, partition: _Run):
+        for work, number, cursor in partition.pages:
+            page = self._read(work, cursor)
+            if page is None:
+                raise FileNotFoundError(page_name(work, cursor))
+            yield (work, number, cursor, page)
 
     def commit(self, end: dict) -> None:
         """Nothing is held for pages that are through: the checkpoint has their number."""

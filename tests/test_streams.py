@@ -94,6 +94,22 @@ def test_three_restarts_give_each_page_once(spark, tmp_path):
     assert sorted(int(r.id) for r in rows if r.work_id == "a/b") == list(range(65)) and len(rows) == 95
 
 
+def test_many_pages_are_few_tasks(tmp_path):
+    for work, n in (("a", 300), ("b", 7)):
+        for k in range(n):
+            (tmp_path / paging.page_name(work, 30 * k)).write_text(page(30 * k, 30 if k + 1 < n else 5))
+    reader = paging.ListingPages({"path": str(tmp_path), "works": '["a", "b", "none"]'}).streamReader(None)
+    end = reader.latestOffset()
+    assert end == {"a": 300, "b": 7}
+    runs = reader.partitions({"a": 20}, end)
+    assert len(runs) == 5
+    got = [row[:3] for run in runs for row in reader.read(run)]
+    assert got == [("a", k, 30 * k) for k in range(20, 300)] + [("b", k, 30 * k) for k in range(7)]
+    (tmp_path / paging.page_name("a", 600)).unlink()
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(runs[0]))
+
+
 def test_too_many_works(spark):
     with pytest.raises(ValueError):
         paging.ListingPages({"path": "x", "works": json.dumps([str(k) for k in range(paging.MAX_WORKS + 1)])}).streamReader(None)
