@@ -39,68 +39,105 @@ def local_part(name: str, data: bytes, stored: bool) -> tuple[bytes, int, int]:
     return head + raw + packed, crc, len(packed)
 
 
-def central_record(name: str, stored: bool, crc: int, packed: int, size: int, offset: int) -> bytes:
+def central_record(name: str, stored: bool, crc: int, packed: int, size: int, offset: int, most: int = MOST_BYTES) -> bytes:
     raw, extra, version = name.encode(), b"", _VERSION
-    if offset > MOST_BYTES:
+    if offset > most:
         extra, version = struct.pack("<HHQ", 1, 8, offset), _VERSION_64
         offset = 0xFFFFFFFF
     head = struct.pack("<4s4B4H3L5H2L", b"PK\x01\x02", version, _UNIX, version, 0, 0 if raw.isascii() else 0x800, 0 if stored else 8, 0, _DATE, crc, packed, size, len(raw), len(extra), 0, 0, 0, _RIGHTS, offset)
     return head + raw + extra
 
 
-def end_record(entries: int, size: int, offset: int) -> bytes:
+def end_record(entries: int, size: int, offset: int, most: int = MOST_BYTES, few: int = MOST_ENTRIES) -> bytes:
     """The end of an archive whose central directory of so many bytes lies at an offset."""
     out = b""
-    if entries > MOST_ENTRIES or size > MOST_BYTES or offset > MOST_BYTES:
+    if entries > few or size > most or offset > most:
         out = struct.pack("<4sQ2H2L4Q", b"PK\x06\x06", 44, _VERSION_64, _VERSION_64, 0, 0, entries, entries, size, offset) + struct.pack("<4sLQL", b"PK\x06\x07", 0, offset + size, 1)
         entries, size, offset = min(entries, 0xFFFF), min(size, 0xFFFFFFFF), min(offset, 0xFFFFFFFF)
     return out + struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, entries, entries, size, offset, 0)
 
 
-def parts(entries: DataFrame, key: str = "work_id") -> DataFrame:
-    """(key, part_no, offset, content) for entries (key, section, k, name, data, stored): the bytes of an archive for each key, in parts.
+def deflated(entries: DataFrame, key: str = "work_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, section, k, name, data, stored) as (own, section, k, name, stored, crc, packed, size, content), each computed once: with content, and without it but with the columns to keep.
 
-    Entries stand in the order of section, k and name, which together name one; null data is empty. Parts count from 1 without gaps.
+    What reads the second leaves the bytes of the first where they lie.
     """
-    kind = entries.schema[key].dataType.simpleString()
+    rows = entries.select("data", F.col(key).alias("own"), F.col("section").cast("int").alias("section"), F.col("k").cast("long").alias("k"), "name", "stored", *keep)
+    rows = rows.withColumn("data", F.col("data").cast("binary"))
+    counted = ["crc", "packed", "size", "content"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            rows, held = [], 0
+            made, held, begun = [], 0, 0
+            data, names, stored = b.column("data"), b.column("name"), b.column("stored")
             for i in range(b.num_rows):  # an entry at a time, given on in batches of a few MB
-                own, name, section, k, data, stored = (c[i].as_py() for c in b.columns)
-                data = data or b""
-                made, crc, packed = local_part(name, data, stored)
-                rows.append((own, section, k, name, stored, crc, packed, len(data), made))
-                held += len(made)
+                entry = data[i].as_py() or b""
+                content, crc, packed = local_part(names[i].as_py(), entry, stored[i].as_py())
+                made.append((crc, packed, len(entry), content))
+                held += len(content)
                 if held >= _GIVEN_ON or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["own", "section", "k", "name", "stored", "crc", "packed", "size", "content"])
-                    rows, held = [], 0
+                    own = b.slice(begun, len(made))
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*made), [pa.int64()] * 3 + [pa.binary()])]
+                    yield pa.RecordBatch.from_arrays(own.columns[1:] + columns, names=b.schema.names[1:] + counted)
+                    made, held, begun = [], 0, i + 1
+
+    told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    done = once(rows.mapInArrow(pack, f"{told}, crc long, packed long, size long, content binary"))
+    return done.drop(*keep), once(done.drop("content"))
+
+
+_ORDER = ["section", "k", "name"]
 
-    rows = entries.select(F.col(key).alias("own"), "name", F.col("section").cast("int"), F.col("k").cast("long"), F.col("data").cast("binary"), "stored")
-    local = once(rows.mapInArrow(pack, f"own {kind}, section int, k long, name string, stored boolean, crc long, packed long, size long, content binary"))
-    order = [F.col("section"), F.col("k"), F.col("name")]
-    sizes = local.drop("content").withColumn("length", F.col("packed") + F.lit(30) + F.octet_length("name"))
-    placed = once(running(sizes, ["own"], order, {"part_no": ("sum", F.lit(1).cast("long")), "end": ("sum", F.col("length"))}).withColumn("offset", F.col("end") - F.col("length")))
+
+def _directory(sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of deflated entries without their content: where each lies (own, section, k, name, part_no, offset, upto, length), and each work's totals (own, n, directory, bytes), central records (own, part_no, at, content) and end (own, content).
+
+    ``at`` and ``upto`` count the bytes of the central directory before and up to an entry's record, whose length follows from name and offset.
+    """
+    most, few = MOST_BYTES, MOST_ENTRIES
+    kind, order = sizes.schema["own"].dataType.simpleString(), [F.col(c) for c in _ORDER]
+    lengths = sizes.withColumn("taken", F.col("packed") + F.lit(30) + F.octet_length("name"))
+    laid = running(lengths, ["own"], order, {"part_no": ("sum", F.lit(1).cast("long")), "end": ("sum", F.col("taken"))}).withColumn("offset", F.col("end") - F.col("taken"))
+    laid = laid.withColumn("length", (F.octet_length("name") + F.when(F.col("offset") > most, 58).otherwise(46)).cast("long"))
+    placed = once(running(laid, ["own"], order, {"upto": ("sum", F.col("length"))}))
+    totals = placed.groupBy("own").agg(F.max("end").alias("directory"), F.max("part_no").alias("n"), F.sum("length").alias("bytes"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.to_pydict()
-            made = [central_record(*row) for row in zip(x["name"], x["stored"], x["crc"], x["packed"], x["size"], x["offset"])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["own", "part_no", "content"])
-
-    records = once(placed.select("own", "part_no", "name", "stored", "crc", "packed", "size", "offset").mapInArrow(describe, f"own {kind}, part_no long, content binary"))
-    ends = placed.groupBy("own").agg(F.max("end").alias("directory"), F.max("part_no").alias("n"))
-    lengths = running(records.select("own", "part_no", F.octet_length("content").cast("long").alias("length")), ["own"], [F.col("part_no")], {"upto": ("sum", F.col("length"))})
-    central = records.join(lengths, ["own", "part_no"]).join(ends, "own").select("own", (F.col("n") + F.col("part_no")).alias("part_no"), (F.col("directory") + F.col("upto") - F.col("length")).alias("offset"), "content")
+            made = [central_record(*row, most) for row in zip(*(b.column(c).to_pylist() for c in ("name", "stored", "crc", "packed", "size", "offset")))]
+            yield pa.RecordBatch.from_arrays([b.column("own"), b.column("part_no"), b.column("at"), pa.array(made, pa.binary())], names=["own", "part_no", "at", "content"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [end_record(*row) for row in zip(*(b.column(k).to_pylist() for k in (3, 4, 2)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["own", "at", "content"])
+            made = [end_record(*row, most, few) for row in zip(*(b.column(c).to_pylist() for c in ("n", "bytes", "directory")))]
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(made, pa.binary())], names=["own", "content"])
+
+    told = placed.select("own", "part_no", (F.col("upto") - F.col("length")).alias("at"), "name", "stored", "crc", "packed", "size", "offset")
+    return placed, totals, told.mapInArrow(describe, f"own {kind}, part_no long, at long, content binary"), totals.mapInArrow(close, f"own {kind}, content binary")
 
-    whole = ends.join(lengths.groupBy("own").agg(F.sum("length").alias("bytes")), "own").select("own", F.struct((2 * F.col("n") + 1).alias("part_no"), (F.col("directory") + F.col("bytes")).alias("offset")).alias("at"), "directory", "n", "bytes")
-    last = whole.mapInArrow(close, f"own {kind}, at struct<part_no:bigint,offset:bigint>, content binary").select("own", "at.part_no", "at.offset", "content")
-    first = local.join(placed.select("own", "section", "k", "name", "part_no", "offset"), ["own", "section", "k", "name"]).select("own", "part_no", "offset", "content")
+
+def in_parts(contents: DataFrame, sizes: DataFrame, key: str = "work_id") -> DataFrame:
+    """(key, part_no, offset, content) of deflated entries: the bytes of an archive for each key, in parts that count from 1 without gaps."""
+    placed, totals, records, ends = _directory(sizes)
+    first = contents.select("own", *_ORDER, "content").join(placed.select("own", *_ORDER, "part_no", "offset"), ["own", *_ORDER]).select("own", "part_no", "offset", "content")
+    central = records.join(totals, "own").select("own", (F.col("n") + F.col("part_no")).alias("part_no"), (F.col("directory") + F.col("at")).alias("offset"), "content")
+    last = ends.join(totals, "own").select("own", (2 * F.col("n") + 1).alias("part_no"), (F.col("directory") + F.col("bytes")).alias("offset"), "content")
     return first.unionByName(central).unionByName(last).withColumnRenamed("own", key)
+
+
+def whole(contents: DataFrame, sizes: DataFrame, key: str = "work_id") -> DataFrame:
+    """(key, content) of deflated entries: the bytes of an archive for each key in a cell, for which each entry is shuffled once."""
+    _, _, records, ends = _directory(sizes)
+    none = [F.lit(None).cast(contents.schema[c].dataType).alias(c) for c in _ORDER]
+    piece = lambda df, stage, place, order: df.select("own", F.lit(stage).alias("stage"), *order, place.cast("long").alias("place"), "content")
+    pieces = piece(contents, 0, F.lit(0), _ORDER).unionByName(piece(records, 1, F.col("part_no"), none)).unionByName(piece(ends, 2, F.lit(0), none))
+    joined = F.expr(f"listagg(content) WITHIN GROUP (ORDER BY stage, {', '.join(_ORDER)}, place)")
+    return pieces.repartition("own").groupBy("own").agg(joined.alias("content")).withColumnRenamed("own", key)
+
+
+def parts(entries: DataFrame, key: str = "work_id") -> DataFrame:
+    """(key, part_no, offset, content) for entries (key, section, k, name, data, stored): the bytes of an archive for each key, in parts.
+
+    Entries stand in the order of section, k and name, which together name one; null data is empty. Parts count from 1 without gaps.
+    """
+    return in_parts(*deflated(entries, key), key)

@@ -92,3 +92,21 @@ def test_names_of_many_books_are_dealt_to_several_tasks(spark):
     packages = publish.book_entries(pages, info, "p {}", "2020-01-01T00:00:00Z").where("section = 7").select("work_id", F.spark_partition_id().alias("task")).collect()
     assert len(packages) == 3 * 40 and len({r.task for r in packages}) > 1
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_pages_of_books_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def titled(n):
+        made.add(1)
+        return f"t{n}"
+
+    rows = spark.range(0, 60, 1, 2).select(F.expr("id div 20").alias("work_id"), F.concat(F.lit("c"), "id").alias("page_name"), F.lit("chap").alias("kind"), F.udf(titled, "string")("id").alias("title"), F.lit(None).cast("int").alias("vol_no"), (F.col("id") % 20).alias("play_order"))
+    pages = rows.withColumn("page_html", F.concat(F.lit("<h1>"), "title", F.lit("</h1>")))
+    info = spark.range(3).select(F.col("id").alias("work_id"), F.lit("T").alias("title"), F.lit("A").alias("author"))
+    books = publish.books(pages, info, "p {}", "2020-01-01T00:00:00Z").collect()
+    assert made.value == 60
+    for b in books:
+        with zipfile.ZipFile(io.BytesIO(bytes(b.content))) as z:
+            assert z.testzip() is None and all(z.read(f"OEBPS/c{n}") == f"<h1>t{n}</h1>".encode() for n in range(20 * b.work_id, 20 * b.work_id + 20))
+            assert z.read("OEBPS/toc.ncx").count(b"<navPoint ") == 20

@@ -1,3 +1,4 @@
+import html
 import unicodedata
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import numerals as N
 from quire.functions import text as X
+from quire.operators.markup import paragraph_html
 
 
 def values(spark, rows, *columns, schema="a string, b string"):
@@ -105,3 +107,15 @@ def test_white_space_class_is_pythons(spark):
     spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
     assert values(spark, [f"{c}x{c}" for c in spaces], X.strip(F.col("a"))) == ["x"] * len(spaces)
     assert unicodedata.category("　") == "Zs"
+
+
+def test_paragraphs_end_at_any_line_break(spark):
+    texts = ["a\rb\r\nc\n\rd", "\r\r\n\n", "\r\n　x 　\r", "", None, "one"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(X.paragraphs(F.col("t"))).collect()]
+    assert got == [["a", "b", "c", "d"], [], ["x"], [], None, ["one"]]
+
+
+def test_paragraph_html_escapes_each_special_character(spark):
+    texts = ["a&b", "<i>", 'say "x"', "it's", "&amp;<", "plain", "", None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(paragraph_html(F.col("t"))).collect()]
+    assert got == [None if t is None else f"<p>{html.escape(t, quote=True)}</p>" for t in texts]
