@@ -62,19 +62,21 @@ def chinese_to_int(s: Column, compat: bool = False) -> Column:
     return F.when(done > 0, done)
 
 
-def marker_columns(line: Column, limit_title: bool = False) -> dict[str, Column]:
+def marker_columns(line: Column, limit_title: bool = False, space: str = SPACE) -> dict[str, Column]:
     """What a line is as a chapter marker: marker (its stripped text), num and style (arabic, chinese, extra); all null for other lines.
 
     A number that cannot be read leaves num and style null. A marker whose number is not followed by white
-    space, a colon or the end must not contain a full stop, nor with limit_title exceed 20 characters.
+    space, a colon or the end must not contain a full stop, nor with limit_title exceed 20 characters. space is the
+    white space that is meant, as a class.
     """
     s = strip(line)
     fits = (s != "") & (F.char_length(s) <= MAX_MARKER)
     rest = F.regexp_replace(s, MARKER, "")
-    glued = (rest != "") & ~rest.rlike(rf"^[{SPACE}：:]")
+    glued = (rest != "") & ~rest.rlike(rf"^[{space}：:]")
     prose = glued & (F.contains(s, F.lit("。")) | (F.lit(limit_title) & (F.char_length(s) > 20)))
     numbered = fits & s.rlike(MARKER) & ~prose
-    extra = fits & s.rlike(rf"^{EXTRA}([：:].*)?$")
+    # `.` must not cross line feeds only
+    extra = fits & s.rlike(rf"(?d)^{EXTRA}([：:].*)?$")
     num_text = F.regexp_extract(s, MARKER, 1)
     arabic = num_text.rlike(r"^\d+$")
     num = F.when(arabic, F.expr("null").cast("long")).otherwise(chinese_to_int(num_text))

@@ -14,6 +14,8 @@ SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
 LINE_BREAK = r"\r\n|\r|\n"
 #: Lines as Unicode has them: also vertical tab, form feed, the information separators, U+0085, U+2028 and U+2029.
 UNICODE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+#: White space of a regular expression's \s in ASCII mode.
+ASCII_SPACE = r"\t\n\f\r "
 UNSET = "未填"
 INDENT = "　　"
 
@@ -42,7 +44,12 @@ def paragraphs(text: Column) -> Column:
     """array<string>: stripped lines that are not blank."""
     # a carriage return as a line feed adds blank lines at most, and one character splits several times faster than a pattern
     broken = F.when(F.contains(text, F.lit("\r")), F.replace(text, F.lit("\r"), F.lit("\n"))).otherwise(text)
-    return F.filter(F.transform(F.split(broken, "\n"), strip), lambda x: x != "")
+    return paragraphs_by_feed(broken)
+
+
+def paragraphs_by_feed(text: Column) -> Column:
+    """paragraphs() of lines that line feeds alone break."""
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
 def interleave_blank_lines(paras: Column) -> Column:

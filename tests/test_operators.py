@@ -78,6 +78,30 @@ def test_main_extra_numbering_keeps_numbers_without_titles(spark, tmp_path):
     assert got == want and got[19] == ("main", 1, "第一章 ")
 
 
+def both_ways(spark, folder, name, texts):
+    """The rows of a query and of its SQL over documents (doc_id, text), by doc_id."""
+    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(folder / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    rows = QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    return {r[0]: tuple(r[1:]) for r in rows.collect()}, {r[0]: r[1:] for r in want}
+
+
+def test_first_line_title_of_blank_and_odd_texts(spark, tmp_path):
+    texts = {0: "", 1: " \n　", 2: "", 4: "a\rb", 5: "T5\nT5\nz", 6: "番外：a\x85b\nx", 8: "\r\n", 9: "番外：y\rz", 10: "第三章　x。", 11: "第三章 x。\n第三章 x。", 13: None, 14: "\n番外\n"}
+    got, want = both_ways(spark, tmp_path, "first_line_title", texts)
+    assert got == want and not {0, 8, 13} & set(got)
+    assert got[2] == ("T2", False, 1) and got[5] == ("T5", False, 3) and got[6] == ("番外：a\x85b", True, 1) and got[10] == ("T10", False, 1)
+
+
+def test_resolved_titles_keep_every_chapter(spark):
+    texts = {"a": "", "b": "b\nb\rz", "c": "番外：a\x85b\rx", "d": "第三章　x。\ny"}
+    f = spark.createDataFrame(list(texts.items()), "file_title string, text string")
+    got = {r.file_title: (r.display_title, r.skip_first, r.fragments) for r in publish.resolved_titles(f).collect()}
+    assert got == {"a": ("a", False, []), "b": ("b", False, ["<p>z</p>"]), "c": ("番外：a\x85b", True, ["<p>x</p>"]), "d": ("第三章　x。", True, ["<p>y</p>"])}
+
+
 def test_volumes_and_spine(spark):
     cfg = spark.createDataFrame([("w", '[{"name":"b","start":3},{"name":"a","start":"1","end":2},{"start":1},{"name":"x","start":2,"end":1},{"name":"e","start":90,"end":95}]')], "work_id string, json string")
     vols = volumes.valid_volumes(files.volumes_of(cfg))
